@@ -29,9 +29,10 @@ def align_answers(questions: DataFrame, answers: DataFrame, key: str = "row_id")
     j = questions.join(answers.withColumnRenamed(key, "_akey"),
                        questions[key] == F.col("_akey"), "full_outer")
     bad = F.col(key).isNull() | F.col("_akey").isNull()
-    checked = j.withColumn("_chk", F.when(bad, F.raise_error(F.lit("answers and questions do not align")))
-                           .otherwise(F.lit(None)))
-    return checked.drop("_akey", "_chk")
+    # The check lives in the key column itself, so it cannot be pruned away.
+    checked = F.when(bad, F.raise_error(F.lit("answers and questions do not align")).cast(
+        questions.schema[key].dataType)).otherwise(F.col(key))
+    return j.withColumn(key, checked).drop("_akey")
 
 
 def params_map(params: dict) -> F.Column:

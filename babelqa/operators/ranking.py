@@ -57,3 +57,20 @@ def with_row_id(df: DataFrame, order_cols, out: str = "row_index",
     """Dense global 0-based index in the order of ``order_cols``."""
     return rank_within(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, out=out,
                        num_partitions=num_partitions).drop("_all")
+
+
+def running_max(df: DataFrame, order_col: str, value_col: str, out: str = "running_max",
+                num_partitions: int | None = None) -> DataFrame:
+    """``max(value) OVER (ORDER BY order_col ROWS UNBOUNDED PRECEDING)`` without a
+    single-task window: running max inside each range partition, combined with the
+    maximum of all earlier partitions (a table with one row per partition)."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    tagged = ranged.withColumn("_part", F.spark_partition_id())
+    local = tagged.withColumn("_lmax", F.max(value_col).over(
+        Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = tagged.groupBy("_part").agg(F.max(value_col).alias("_pmax"))
+    prev = parts.withColumn("_prev", F.max("_pmax").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_prev")
+    return local.join(prev, "_part").withColumn(
+        out, F.greatest(F.col("_lmax"), F.col("_prev"))).drop("_part", "_lmax", "_prev")

@@ -315,3 +315,122 @@ ORACLE["gen_metrics"] = _with_ans(f"""SELECT CASE WHEN grouping(lang) = 1 THEN '
   {_round4_sql('sum(exact_match)', 'count(*)')} AS value
 FROM (SELECT *, {D.lang_of("expected_lang || '_' || expected_country")} AS lang FROM rec) r GROUP BY ROLLUP (lang)
 UNION ALL SELECT 'eval_gen_n_samples', NULL, count(*), CAST(count(*) AS DOUBLE) FROM rec""")
+
+
+# ------------------------------------------------------- 2.6/2.7 sampling, batches --
+
+from ..operators import batching as BT  # noqa: E402
+from ..operators import sampling as SM  # noqa: E402
+
+_SAMPLE_N = 101
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf):
+    return SM.stratified_sample(FX.docs(spark, sf), _SAMPLE_N).select("row_id", "lang")
+
+
+ORACLE["stratified_sample"] = FX.with_views(f"""
+SELECT r.row_id, r.lang FROM ranked r JOIN quota q ON r.lang = q.lang WHERE r.pos < q.quota""", "docs", extra=[
+    ("d", "SELECT row_id, split_part(subset, '_', 1) AS lang FROM docs WHERE subset IS NOT NULL"),
+    ("langs", """SELECT lang, row_number() OVER (ORDER BY min(row_id), lang) - 1 AS rk, count(*) OVER () AS nl
+                 FROM d GROUP BY lang"""),
+    ("quota", f"SELECT lang, {_SAMPLE_N} // nl + CASE WHEN rk < {_SAMPLE_N} % nl THEN 1 ELSE 0 END AS quota FROM langs"),
+    ("ranked", """SELECT row_id, lang, row_number() OVER (PARTITION BY lang
+                  ORDER BY md5(concat_ws('|', 42, row_id)), row_id) - 1 AS pos FROM d"""),
+])
+
+
+@query("uniform_sample", """SELECT row_id FROM docs ORDER BY md5(concat_ws('|', 7, row_id)), row_id LIMIT 50""",
+       ["docs"])
+def q_uniform_sample(spark, sf):
+    return SM.uniform_sample(FX.docs(spark, sf), 50, seed=7).select("row_id")
+
+
+@query("head_n", "SELECT row_id, subset FROM qa ORDER BY row_id LIMIT 50", ["qa"])
+def q_head_n(spark, sf):
+    return SM.head_n(FX.qa(spark, sf), 50).select("row_id", "subset")
+
+
+_ALLOC_SQL = [
+    ("cnt", "SELECT lang, count(*) AS n FROM docs GROUP BY lang"),
+    ("a1", """SELECT lang, n, pow(CAST(n AS DOUBLE), 0.5) / sum(pow(CAST(n AS DOUBLE), 0.5)) OVER () * 64.0 AS raw
+              FROM cnt"""),
+    ("a2", """SELECT lang, n, raw, CAST(floor(raw) AS BIGINT) AS fl, greatest(CAST(floor(raw) AS BIGINT), 1) AS s
+              FROM a1"""),
+    ("a3", """SELECT *, sum(s) OVER () AS total, count(*) OVER () AS nl,
+                sum(CASE WHEN s > 1 THEN 1 ELSE 0 END) OVER (ORDER BY n DESC, lang
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS erank,
+                row_number() OVER (ORDER BY raw - fl DESC, lang) - 1 AS frank FROM a2"""),
+    ("alloc", """SELECT lang, n, CAST(s
+                 - CASE WHEN total > 64 AND s > 1 AND erank <= total - 64 THEN 1 ELSE 0 END
+                 + CASE WHEN total < 64 THEN (64 - total) // nl
+                        + CASE WHEN frank < (64 - total) % nl THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS slots
+                 FROM a3"""),
+]
+
+
+def _doc_alloc(spark, sf):
+    return BT.lang_allocation(FX.docs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n")), 64)
+
+
+@query("lang_allocation", "SELECT lang, n, slots FROM alloc", ["docs"], _ALLOC_SQL)
+def q_lang_allocation(spark, sf):
+    return _doc_alloc(spark, sf)
+
+
+@query("batch_plan_size", """SELECT CAST(ceil(max(n) / max(slots)) AS BIGINT) AS batches,
+  CAST(ceil(max(n) / max(slots)) AS BIGINT) * 8 AS reported_len,
+  CAST(ceil(max(n) / max(slots)) * ceil(sum(slots) / 8) AS BIGINT) AS real_micro_batches FROM alloc""",
+       ["docs"], _ALLOC_SQL)
+def q_batch_plan_size(spark, sf):
+    return BT.batch_plan_size(_doc_alloc(spark, sf), 8, 8)
+
+
+@query("batch_plan", """SELECT effective_batch,
+  effective_batch * CAST(ceil(batch_slots / 8) AS BIGINT) + p // 8 AS micro_batch, p % 8 AS position, lang, row_id, cycle
+FROM (SELECT *, row_number() OVER (PARTITION BY effective_batch
+        ORDER BY md5(concat_ws('|', 42, 'batch', effective_batch, lang, slot)), lang, slot) - 1 AS p
+      FROM (SELECT *, d // slots AS effective_batch, d % slots AS slot FROM drawn WHERE d < batches * slots) t) u""",
+       ["docs"], _ALLOC_SQL + [
+           ("dims", """SELECT lang, n, slots, CAST(ceil(max(n) OVER () / max(slots) OVER ()) AS BIGINT) AS batches,
+                       sum(slots) OVER () AS batch_slots FROM alloc"""),
+           ("cyc", """SELECT *, CAST(ceil(batches * slots / n) AS BIGINT) AS cycles FROM dims"""),
+           ("rows_c", """SELECT d.row_id, c.lang, c.n, c.slots, c.batches, c.batch_slots,
+                           unnest(generate_series(0, c.cycles - 1)) AS cycle
+                         FROM docs d JOIN cyc c ON d.lang = c.lang"""),
+           ("drawn", """SELECT *, cycle * n + row_number() OVER (PARTITION BY lang, cycle
+                          ORDER BY md5(concat_ws('|', 42, lang, cycle, row_id)), row_id) - 1 AS d FROM rows_c"""),
+       ])
+def q_batch_plan(spark, sf):
+    return BT.batch_plan(FX.docs(spark, sf), 8, 8)
+
+
+@query("micro_batches", """SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS row_index,
+  (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM qa""", ["qa"])
+def q_micro_batches(spark, sf):
+    return BT.micro_batches(FX.qa(spark, sf).select("row_id"), 8)
+
+
+@query("shard_round_robin", """SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS row_index,
+  CAST((row_number() OVER (ORDER BY row_id) - 1) % 3 AS INTEGER) AS shard FROM qa""", ["qa"])
+def q_shard_round_robin(spark, sf):
+    return RC.shard(with_row_id(FX.qa(spark, sf).select("row_id"), ["row_id"]), 3)
+
+
+@query("shard_counts", """SELECT shard, count(*) AS rows FROM (SELECT CAST((row_number() OVER (ORDER BY row_id) - 1) % 3
+  AS INTEGER) AS shard FROM qa) t GROUP BY ROLLUP (shard)""", ["qa"])
+def q_shard_counts(spark, sf):
+    s = RC.shard(with_row_id(FX.qa(spark, sf).select("row_id"), ["row_id"]), 3)
+    return s.rollup("shard").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("union_shards", "SELECT row_id, subset FROM qa", ["qa"])
+def q_union_shards(spark, sf):
+    s = RC.shard(with_row_id(FX.qa(spark, sf).select("row_id", "subset"), ["row_id"]), 3)
+    return SM.union_shards(*[s.where(F.col("shard") == i) for i in range(3)]).select("row_id", "subset")
+
+
+@query("default_id", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS ID FROM docs", ["docs"])
+def q_default_id(spark, sf):
+    return RC.with_id(FX.docs(spark, sf).select("row_id"), "row_id")
