@@ -62,13 +62,16 @@ def find_subarray(ids, needle, start) -> Column:
     return F.when((last >= st) & (F.size(cand) > 0), F.element_at(cand, 1))
 
 
-def label_mask(ids, prefix_len, marker_ids, ignore: int = IGNORE_INDEX, strict: bool = True) -> Column:
+def label_mask(ids, prefix_len, marker_ids, ignore: int = IGNORE_INDEX, strict: bool = True,
+               search=None) -> Column:
     """Training labels of one example: every id up to the end of the first response
     marker found in the final assistant turn (which starts at ``prefix_len``) is
-    ``ignore``; the rest are kept. A missing marker fails the query when ``strict``."""
+    ``ignore``; the rest are kept. A missing marker fails the query when ``strict``.
+    ``search`` is an array aligned with ``ids`` to look for the marker in (e.g. the
+    token strings when the marker is given as text); default ``ids``."""
     a = _col(ids)
     nd = F.array(*[F.lit(x) for x in marker_ids]) if isinstance(marker_ids, (list, tuple)) else _col(marker_ids)
-    pos = find_subarray(a, nd, prefix_len)
+    pos = find_subarray(a if search is None else _col(search), nd, prefix_len)
     r = pos + F.size(nd)
     masked = F.concat(F.array_repeat(F.lit(ignore), r), F.slice(a, r + 1, F.greatest(F.size(a) - r, F.lit(0))))
     if not strict:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def py_round4(s: pd.Series) -> pd.Series:
     """Python's ``round(x, 4)`` (half-even on the exact binary value).
 

@@ -17,7 +17,11 @@ from ..functions.arrays import pad_to
 from .ranking import rank_within, running_max, with_row_id
 from .sampling import md5_order
 
-_ALL = Window.partitionBy()  # windows below only run over the per-language table
+
+
+def _all() -> Window:
+    """A window over a whole table; only used on the per-language tables below."""
+    return Window.partitionBy()
 
 
 def lang_allocation(counts: DataFrame, effective_batch: int, alpha: float = K.DEFAULT_ALPHA,
@@ -32,10 +36,10 @@ def lang_allocation(counts: DataFrame, effective_batch: int, alpha: float = K.DE
     """
     c = counts.select(F.col(lang).alias("lang"), F.col(n).cast("long").alias("n"))
     c = c.withColumn("_w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
-    c = c.withColumn("raw", F.col("_w") / F.sum("_w").over(_ALL) * F.lit(float(effective_batch)))
+    c = c.withColumn("raw", F.col("_w") / F.sum("_w").over(_all()) * F.lit(float(effective_batch)))
     c = c.withColumn("_fl", F.floor("raw").cast("long"))
     c = c.withColumn("_s", F.greatest(F.col("_fl"), F.lit(1)))
-    c = c.withColumn("_total", F.sum("_s").over(_ALL)).withColumn("_L", F.count(F.lit(1)).over(_ALL))
+    c = c.withColumn("_total", F.sum("_s").over(_all())).withColumn("_L", F.count(F.lit(1)).over(_all()))
     by_count = Window.orderBy(F.desc("n"), "lang").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("_erank", F.sum(F.when(F.col("_s") > 1, 1).otherwise(0)).over(by_count))
     by_frac = Window.orderBy(F.desc(F.col("raw") - F.col("_fl")), "lang")
@@ -51,9 +55,9 @@ def lang_allocation(counts: DataFrame, effective_batch: int, alpha: float = K.DE
 def plan_dimensions(alloc: DataFrame, micro: int, accum: int) -> DataFrame:
     """Per language: slots, pool size, number of effective batches (shared) and the
     number of pool cycles the plan needs."""
-    a = alloc.withColumn("batches", F.ceil(F.max("n").over(_ALL) / F.max("slots").over(_ALL)).cast("long"))
+    a = alloc.withColumn("batches", F.ceil(F.max("n").over(_all()) / F.max("slots").over(_all())).cast("long"))
     a = a.withColumn("cycles", F.ceil(F.col("batches") * F.col("slots") / F.col("n")).cast("long"))
-    return a.withColumn("batch_slots", F.sum("slots").over(_ALL))
+    return a.withColumn("batch_slots", F.sum("slots").over(_all()))
 
 
 def batch_plan_size(alloc: DataFrame, micro: int, accum: int) -> DataFrame:

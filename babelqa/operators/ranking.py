@@ -13,6 +13,11 @@ classic distributed scheme:
    rows - and turn the counts into start offsets with a window over that small table;
 4. join the offsets back (AQE broadcasts the offsets only after measuring them).
 
+Steps 3 and 4 both read the numbered rows. Range bounds are sampled per exchange, so
+two evaluations could number rows differently; the numbered rows are therefore
+materialised once with a reliable ``checkpoint()`` in ``spark.checkpoint.dir`` (shared
+storage), which also cuts the lineage for executor loss.
+
 Ties in the order keys must be broken by the caller (add a unique column) for a
 deterministic result.
 """
@@ -25,6 +30,12 @@ from pyspark.sql import functions as F
 _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -41,6 +52,7 @@ def rank_within(df: DataFrame, group_cols, order_cols, out: str = "rank",
     tagged = (ranged.withColumn("_mid", mid)
               .withColumn("_part", F.shiftright("_mid", _LOW_BITS))
               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))))
+    tagged = _materialise(tagged)
     # Position of the first row of each (partition, group) inside the partition and the
     # number of rows of the group in that partition.
     counts = tagged.groupBy("_part", *groups).agg(F.min("_local").alias("_first"),
@@ -66,7 +78,7 @@ def running_max(df: DataFrame, order_col: str, value_col: str, out: str = "runni
     maximum of all earlier partitions (a table with one row per partition)."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
-    tagged = ranged.withColumn("_part", F.spark_partition_id())
+    tagged = _materialise(ranged.withColumn("_part", F.spark_partition_id()))
     local = tagged.withColumn("_lmax", F.max(value_col).over(
         Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
     parts = tagged.groupBy("_part").agg(F.max(value_col).alias("_pmax"))

@@ -62,7 +62,7 @@ def sft_pairs(df: DataFrame, mode: str, countries: DataFrame, marker: str | None
     return sft.select(*keep, "messages", ans.alias("answer"))
 
 
-def build_preferences(df: DataFrame, marker: str = K.ANSWER_MARKER) -> DataFrame:
+def build_preferences(df: DataFrame, marker: str = K.ANSWER_MARKER, keep=()) -> DataFrame:
     """Evaluation records -> preference rows (prompt, chosen, rejected).
 
     prompt = question messages without a marker turn, from ``expected_lang`` /
@@ -73,7 +73,7 @@ def build_preferences(df: DataFrame, marker: str = K.ANSWER_MARKER) -> DataFrame
     prompt = question_messages("input", "expected_lang", "expected_country", None)
     chosen = F.array(message("assistant", F.concat(F.lit(marker + " "), F.col("gold_answer"))))
     rejected = F.array(message("assistant", F.concat(F.lit(marker + " "), F.col("gen_answer"))))
-    return df.select(prompt.alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"))
+    return df.select(*keep, prompt.alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"))
 
 
 def clean_generation(df: DataFrame, raw: str = "raw_answer", question: str = "input",
@@ -116,6 +116,6 @@ def shard(df: DataFrame, n: int, i: int | None = None, index_col: str = "row_ind
 
 
 def per_subset(df: DataFrame, lookup: DataFrame, key: str = "subset") -> DataFrame:
-    """Rows restricted to the subsets listed in ``lookup`` - one join instead of one
-    scan per distinct subset."""
-    return df.join(F.broadcast(lookup.select(key).distinct()), key, "left_semi")
+    """Rows restricted to the subsets listed in ``lookup`` - one semi-join instead of one
+    scan per distinct subset (AQE broadcasts the lookup once it has measured it)."""
+    return df.join(lookup.select(key), key, "left_semi")

@@ -434,3 +434,282 @@ def q_union_shards(spark, sf):
 @query("default_id", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS ID FROM docs", ["docs"])
 def q_default_id(spark, sf):
     return RC.with_id(FX.docs(spark, sf).select("row_id"), "row_id")
+
+
+# ------------------------------------------------------------------ 2.8 prompts ----
+
+_SYS = D.sq(K.SYSTEM_PROMPT)
+_MARK = D.sq(K.ANSWER_MARKER)
+_STUDENT_SQL = ("CASE WHEN lang <> '' OR country <> '' THEN concat(chr(10), 'Answer in ', lang, chr(10), "
+                "'Question:', chr(10), input) ELSE input END")
+_QA_PARTS = [("qp", """SELECT q.*, split_part(q.subset, '_', 1) AS lang,
+    coalesce(c.name, split_part(q.subset, '_', 2)) AS country
+  FROM qa q LEFT JOIN countries c ON split_part(q.subset, '_', 2) = c.code""")]
+
+
+def _qa_parts(spark, sf):
+    x = RC.with_subset_parts(FX.qa(spark, sf), strict=True)
+    return RC.with_country_name(x, FX.countries(spark))
+
+
+@query("student_prompt", f"SELECT row_id, {_STUDENT_SQL} AS prompt FROM qp", ["qa", "countries"], _QA_PARTS)
+def q_student_prompt(spark, sf):
+    return _qa_parts(spark, sf).select("row_id", P.student_prompt("input", "lang", "country_name").alias("prompt"))
+
+
+@query("teacher_prompt", """SELECT row_id, concat(chr(10), 'Answer in ', lang, ' as spoken in ', country, chr(10),
+  'Question:', chr(10), input, chr(10), chr(10), 'Reference answer (use it to ground your response):', chr(10), output)
+  AS prompt FROM qp""", ["qa", "countries"], _QA_PARTS)
+def q_teacher_prompt(spark, sf):
+    return _qa_parts(spark, sf).select(
+        "row_id", P.teacher_prompt("input", "lang", "country_name", "output").alias("prompt"))
+
+
+@query("sft_train", f"""SELECT row_id, subset, 0 AS msg_pos, 'system' AS role, {_SYS} AS content FROM qp
+UNION ALL SELECT row_id, subset, 1, 'user', {_STUDENT_SQL} FROM qp
+UNION ALL SELECT row_id, subset, 2, 'assistant', concat({_MARK}, ' ', output) FROM qp""",
+       ["qa", "countries"], _QA_PARTS)
+def q_sft_train(spark, sf):
+    return _messages_long(RC.build_sft(FX.qa(spark, sf), "train", FX.countries(spark), keep=("row_id", "subset")),
+                          "messages", ["row_id", "subset"])
+
+
+@query("sft_test", f"""SELECT row_id, subset, 0 AS msg_pos, 'system' AS role, {_SYS} AS content FROM qp
+UNION ALL SELECT row_id, subset, 1, 'user', {_STUDENT_SQL} FROM qp
+UNION ALL SELECT row_id, subset, 2, 'assistant', {_MARK} FROM qp""", ["qa", "countries"], _QA_PARTS)
+def q_sft_test(spark, sf):
+    return _messages_long(RC.build_sft(FX.qa(spark, sf), "test", FX.countries(spark), keep=("row_id", "subset")),
+                          "messages", ["row_id", "subset"])
+
+
+@query("sft_pairs", "SELECT row_id, CAST(3 AS INTEGER) AS n_messages, output AS answer FROM qa", ["qa"])
+def q_sft_pairs(spark, sf):
+    p = RC.sft_pairs(FX.qa(spark, sf), "val", FX.countries(spark))
+    return p.select("row_id", F.size("messages").alias("n_messages"), "answer")
+
+
+@query("preference_pairs")
+def q_preference_pairs(spark, sf):
+    rec = _eval_records(spark, sf)
+    pref = RC.build_preferences(rec, keep=("ID",))
+    return pref.select("ID", F.size("prompt").alias("n_prompt"), F.col("prompt")[1]["content"].alias("prompt_user"),
+                       F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"))
+
+
+ORACLE["preference_pairs"] = _with_ans(f"""SELECT ID, CAST(2 AS INTEGER) AS n_prompt,
+  CASE WHEN expected_lang <> '' OR expected_country <> '' THEN concat(chr(10), 'Answer in ', expected_lang, chr(10),
+    'Question:', chr(10), input) ELSE input END AS prompt_user,
+  concat({_MARK}, ' ', gold_answer) AS chosen, concat({_MARK}, ' ', gen_answer) AS rejected FROM rec""")
+
+
+def _turn_sql(role: str, content: str) -> str:
+    tokens = {"system": K.SYSTEM_TOKEN, "user": K.USER_TOKEN, "assistant": K.CHATBOT_TOKEN}
+    tok = f"CASE {role} " + " ".join(f"WHEN '{r}' THEN {D.sq(t)}" for r, t in tokens.items()) + " END"
+    body = f"CASE WHEN {role} = 'assistant' THEN concat({D.sq(K.RESPONSE_START)}, {content}, {D.sq(K.RESPONSE_END)}) " \
+           f"ELSE {content} END"
+    return f"concat({D.sq(K.START_TURN)}, {tok}, {body}, {D.sq(K.END_TURN)})"
+
+
+_HEAD = D.sq(K.BOS_TOKEN + K.START_TURN + K.SYSTEM_TOKEN + K.SYSTEM_PROMPT + K.END_TURN)
+_OPEN = D.sq(K.START_TURN + K.CHATBOT_TOKEN + K.RESPONSE_START)
+_RENDER_SQL = (f"concat({_HEAD}, array_to_string(list_transform(list_filter(messages, lambda m: m.role <> 'system'), "
+               f"lambda m: {_turn_sql('m.role', 'm.content')}), ''), "
+               f"CASE WHEN messages[-1].role = 'user' THEN {_OPEN} ELSE '' END)")
+
+
+@query("render_chat", f"SELECT conv_id, {_RENDER_SQL} AS rendered FROM chat", ["chat"])
+def q_render_chat(spark, sf):
+    return FX.chat(spark, sf).select("conv_id", P.render_chat("messages", generation=True).alias("rendered"))
+
+
+@query("drop_assistant", """SELECT conv_id, CAST(len(list_filter(messages, lambda m: m.role <> 'assistant')) AS INTEGER)
+  AS n_left FROM chat""", ["chat"])
+def q_drop_assistant(spark, sf):
+    return FX.chat(spark, sf).select("conv_id", F.size(P.drop_role("messages", "assistant")).alias("n_left"))
+
+
+_Q_RENDER = f"{_HEAD}, {D.sq(K.START_TURN + K.USER_TOKEN)}, {_STUDENT_SQL}, {D.sq(K.END_TURN)}"
+
+
+@query("cut_after_marker", f"""SELECT row_id, substr(r, 1, strpos(r, {_MARK}) + {len(K.ANSWER_MARKER) - 1}) AS prompt
+FROM (SELECT row_id, concat({_Q_RENDER}, {D.sq(K.START_TURN + K.CHATBOT_TOKEN + K.RESPONSE_START)}, {_MARK},
+  {D.sq(K.RESPONSE_END + K.END_TURN)}) AS r FROM qp) t""", ["qa", "countries"], _QA_PARTS)
+def q_cut_after_marker(spark, sf):
+    x = _qa_parts(spark, sf).select("row_id", P.question_messages("input", "lang", "country_name").alias("m"))
+    return x.select("row_id", P.cut_after_marker(P.render_chat("m")).alias("prompt"))
+
+
+@query("append_marker", f"""SELECT row_id, concat({_Q_RENDER}, {_OPEN}, {_MARK}) AS prompt FROM qp""",
+       ["qa", "countries"], _QA_PARTS)
+def q_append_marker(spark, sf):
+    x = _qa_parts(spark, sf).select("row_id", P.question_messages("input", "lang", "country_name", None).alias("m"))
+    return x.select("row_id", P.append_marker(P.render_chat("m", generation=True)).alias("prompt"))
+
+
+# ------------------------------------------------------------------- 2.9 tokens ----
+
+from ..constants import WORD_PATTERN  # noqa: E402
+from ..operators import batching as _BT  # noqa: E402,F401
+from ..operators import vocab as VC  # noqa: E402
+
+_WORD = D.regex(WORD_PATTERN)
+_CHAT_TOK = D.regex(VC.CHAT_TOKEN_PATTERN)
+
+
+def _ids_str(c) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def _vocab_sql(src: str, col: str) -> list:
+    """CTEs ``v_all`` (token, cnt, id) over the token lists ``col`` of ``src``."""
+    return [("v_cnt", f"SELECT token, count(*) AS cnt FROM (SELECT unnest({col}) AS token FROM {src}) t GROUP BY token"),
+            ("v_all", "SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS id FROM v_cnt")]
+
+
+def _enc_sql(name: str, src: str, key: str, col: str) -> tuple:
+    """CTE ``name`` (key, ids) encoding the token list ``col`` of ``src`` with ``v_all``."""
+    return (name, f"""SELECT x.{key}, list(v.id ORDER BY x.pos) AS ids FROM
+      (SELECT {key}, unnest(generate_series(0, len({col}) - 1)) AS pos, unnest({col}) AS token FROM {src}) x
+      JOIN v_all v ON x.token = v.token GROUP BY x.{key}""")
+
+
+_DOC_TOKS = [("dt", f"SELECT row_id, regexp_extract_all(text, {_WORD}) AS toks FROM docs")]
+
+
+def _doc_tokens(spark, sf):
+    return FX.docs(spark, sf).select("row_id", TX.words("text").alias("tokens"))
+
+
+@query("build_vocab", "SELECT token, cnt, id FROM v_all", ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks"))
+def q_build_vocab(spark, sf):
+    return VC.build_vocab(_doc_tokens(spark, sf))
+
+
+@query("encode_tokens", "SELECT row_id, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(ids, ',') AS ids FROM enc",
+       ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks") + [_enc_sql("enc", "dt", "row_id", "toks")])
+def q_encode_tokens(spark, sf):
+    t = _doc_tokens(spark, sf)
+    e = VC.encode_tokens(t, VC.build_vocab(t))
+    return e.select("row_id", F.size("ids").alias("n_ids"), _ids_str(F.col("ids")).alias("ids"))
+
+
+@query("decode_tokens", "SELECT row_id, array_to_string(toks, ' ') AS text FROM dt", ["docs"], _DOC_TOKS)
+def q_decode_tokens(spark, sf):
+    t = _doc_tokens(spark, sf)
+    v = VC.build_vocab(t)
+    return VC.decode_tokens(VC.encode_tokens(t, v), v)
+
+
+@query("argmax_label", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax "
+       "FROM embeddings")
+def q_argmax_label(spark, sf):
+    e = FX.table(spark, sf, "embeddings")
+    return e.select("vec_id", A.argmax_label("embedding").alias("argmax"))
+
+
+_QA_TOKS = [("qt", f"""SELECT row_id, regexp_extract_all(input, {_WORD}) AS p,
+    regexp_extract_all(output, {_WORD}) AS a, list_concat(regexp_extract_all(input, {_WORD}),
+    regexp_extract_all(output, {_WORD})) AS pa FROM qa""")]
+
+
+def _qa_encoded(spark, sf):
+    """qa with word-token id arrays of the question (p), answer (a) and both (pa)."""
+    q = FX.qa(spark, sf).select("row_id", TX.words("input").alias("p"), TX.words("output").alias("a"))
+    q = q.withColumn("pa", F.concat("p", "a"))
+    v = VC.build_vocab(q, "pa")
+    out = q.select("row_id")
+    for c in ("p", "a", "pa"):
+        out = out.join(VC.encode_tokens(q, v, c, out=f"{c}_ids"), "row_id", "left")
+    return out
+
+
+@query("strip_prompt_ids", "SELECT row_id, array_to_string(ids, ',') AS ids FROM ea", ["qa"],
+       _QA_TOKS + _vocab_sql("qt", "pa") + [_enc_sql("ea", "qt", "row_id", "a")])
+def q_strip_prompt_ids(spark, sf):
+    e = _qa_encoded(spark, sf)
+    return e.select("row_id", _ids_str(A.strip_prompt_ids("pa_ids", F.size("p_ids"))).alias("ids"))
+
+
+@query("truncate_at_stop", """SELECT row_id, array_to_string(CASE WHEN k IS NULL THEN ids ELSE list_slice(ids, 1, k - 1) END,
+  ',') AS ids FROM (SELECT row_id, ids, list_filter(list_transform(generate_series(1, len(ids)),
+    lambda i: CASE WHEN ids[i] IN (0, 1) THEN i END), lambda x: x IS NOT NULL)[1] AS k FROM ea) t""", ["qa"],
+       _QA_TOKS + _vocab_sql("qt", "pa") + [_enc_sql("ea", "qt", "row_id", "a")])
+def q_truncate_at_stop(spark, sf):
+    e = _qa_encoded(spark, sf)
+    return e.select("row_id", _ids_str(A.truncate_at_stop("a_ids", [0, 1, None])).alias("ids"))
+
+
+def _pad_sql(side: str) -> str:
+    fill = "list_transform(generate_series(1, L - len(cut)), lambda i: {v})"
+
+    def pad(arr, v):
+        f = fill.format(v=v)
+        return f"list_concat({f}, {arr})" if side == "left" else f"list_concat({arr}, {f})"
+    ones = "list_transform(cut, lambda x: 1)"
+    return f"""SELECT row_id, batch, array_to_string({pad('cut', 0)}, ',') AS input_ids,
+  array_to_string({pad('cut', -100)}, ',') AS labels, array_to_string({pad(ones, 0)}, ',') AS attention_mask
+FROM (SELECT row_id, batch, L, list_slice(ids, 1, L) AS cut FROM
+  (SELECT row_id, ids, batch, least(max(len(ids)) OVER (PARTITION BY batch), 64) AS L FROM
+    (SELECT row_id, ids, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM ep) b) m) c"""
+
+
+_PAD_CTES = _QA_TOKS + _vocab_sql("qt", "pa") + [_enc_sql("ep", "qt", "row_id", "p")]
+
+
+def _padded(spark, sf, side):
+    e = _qa_encoded(spark, sf).select("row_id", F.col("p_ids").alias("ids"))
+    b = BT.micro_batches(e, 8)
+    p = BT.pad_batches(b, "ids", batch="batch", max_len=64, pad_id=0, side=side)
+    return p.select("row_id", "batch", _ids_str(F.col("input_ids")).alias("input_ids"),
+                    _ids_str(F.col("labels_padded")).alias("labels"),
+                    _ids_str(F.col("attention_mask")).alias("attention_mask"))
+
+
+@query("pad_left", _pad_sql("left"), ["qa"], _PAD_CTES)
+def q_pad_left(spark, sf):
+    return _padded(spark, sf, "left")
+
+
+@query("pad_right", _pad_sql("right"), ["qa"], _PAD_CTES)
+def q_pad_right(spark, sf):
+    return _padded(spark, sf, "right")
+
+
+@query("batch_max_len", """SELECT batch, max_len, max(max_len) OVER (ORDER BY batch
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max_len FROM
+  (SELECT batch, least(max(len(ids)), 64) AS max_len FROM
+    (SELECT ids, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM ep) b GROUP BY batch) t""",
+       ["qa"], _PAD_CTES)
+def q_batch_max_len(spark, sf):
+    e = _qa_encoded(spark, sf).select("row_id", F.col("p_ids").alias("ids"))
+    return BT.batch_max_len(BT.micro_batches(e, 8), "ids", "batch", max_seq_len=64)
+
+
+_CHAT_LAST_A = "element_at(messages, -1).role = 'assistant'"
+
+
+def _render_sql(msgs: str) -> str:
+    return (f"concat({_HEAD}, array_to_string(list_transform(list_filter({msgs}, lambda m: m.role <> 'system'), "
+            f"lambda m: {_turn_sql('m.role', 'm.content')}), ''))")
+
+
+@query("label_mask", """SELECT conv_id, CAST(len(ids) AS INTEGER) AS n_ids, r AS label_start,
+  array_to_string(list_concat(list_transform(generate_series(1, r), lambda i: -100), list_slice(ids, r + 1, len(ids))),
+    ',') AS labels
+FROM (SELECT l.conv_id, e.ids, l.plen + list_position(list_slice(l.toks, l.plen + 1, len(l.toks)),
+        '<|START_RESPONSE|>') AS r FROM lt l JOIN el e ON l.conv_id = e.conv_id) t""", ["chat"], [
+    ("lt", f"""SELECT conv_id, regexp_extract_all({_render_sql('messages')}, {_CHAT_TOK}) AS toks,
+       len(regexp_extract_all({_render_sql('list_slice(messages, 1, len(messages) - 1)')}, {_CHAT_TOK})) AS plen
+       FROM chat WHERE messages[-1].role = 'assistant'""")] + _vocab_sql("lt", "toks") + [
+    _enc_sql("el", "lt", "conv_id", "toks")])
+def q_label_mask(spark, sf):
+    c = FX.chat(spark, sf).where(F.element_at("messages", -1)["role"] == "assistant")
+    c = c.select("conv_id", VC.chat_tokens(P.render_chat("messages")).alias("toks"),
+                 F.size(VC.chat_tokens(P.render_chat(F.slice("messages", 1, F.size("messages") - 1)))).alias("plen"))
+    v = VC.build_vocab(c, "toks")
+    e = VC.encode_tokens(c, v, "toks", key="conv_id").join(c, "conv_id")
+    labels = A.label_mask("ids", F.col("plen"), [K.RESPONSE_START], search=F.col("toks"))
+    x = e.select("conv_id", "ids", labels.alias("labels"))
+    return x.select("conv_id", F.size("ids").alias("n_ids"),
+                    F.size(F.filter("labels", lambda v_: v_ == K.IGNORE_INDEX)).alias("label_start"),
+                    _ids_str(F.col("labels")).alias("labels"))
