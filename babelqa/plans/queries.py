@@ -713,3 +713,117 @@ def q_label_mask(spark, sf):
     return x.select("conv_id", F.size("ids").alias("n_ids"),
                     F.size(F.filter("labels", lambda v_: v_ == K.IGNORE_INDEX)).alias("label_start"),
                     _ids_str(F.col("labels")).alias("labels"))
+
+
+# --------------------------------------------------------------- 2.6 repetition ----
+
+from ..constants import LOSSLESS_TOKEN_PATTERN  # noqa: E402
+from ..operators import repetition as RP  # noqa: E402
+
+
+@query("first_repeated_ngram", """SELECT row_id, first_start, n FROM (
+  SELECT row_id, n, pos, p1 AS first_start, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, pos) AS k
+  FROM (SELECT row_id, n, pos, row_number() OVER (PARTITION BY row_id, n, gram ORDER BY pos) AS rn,
+          min(pos) OVER (PARTITION BY row_id, n, gram) AS p1 FROM g) t WHERE rn = 2) u WHERE k = 1""", ["docs"],
+       _DOC_TOKS + [("gs", """SELECT row_id, toks, n, unnest(generate_series(0, len(toks) - n)) AS pos
+                               FROM dt, range(3, 9) r(n) WHERE len(toks) >= n"""),
+                    ("g", "SELECT row_id, n, pos, list_slice(toks, pos + 1, pos + n) AS gram FROM gs")])
+def q_first_repeated_ngram(spark, sf):
+    return RP.first_repeated_ngram(_doc_tokens(spark, sf))
+
+
+def _trim_sql(src: str, m: int) -> list:
+    return [
+        ("tg", f"""SELECT row_id, pos, list_slice(toks, pos + 1, pos + {m}) AS gram FROM
+                  (SELECT row_id, toks, unnest(generate_series(0, len(toks) - {m})) AS pos FROM {src}
+                   WHERE len(toks) >= {m}) t"""),
+        ("tf", "SELECT row_id, gram, min(pos) AS p FROM tg GROUP BY row_id, gram"),
+        ("tb", f"""SELECT row_id, j, len(toks) - (j + 1) * {m} AS s,
+                  list_slice(toks, len(toks) - (j + 1) * {m} + 1, len(toks) - j * {m}) AS gram FROM
+                  (SELECT row_id, toks, unnest(generate_series(0, len(toks) // {m} - 1)) AS j FROM {src}
+                   WHERE len(toks) >= {m}) t"""),
+        ("tj", f"""SELECT b.row_id, coalesce(min(b.j) FILTER (WHERE NOT (f.p + {m} <= b.s)), count(*)) AS jj
+                  FROM tb b JOIN tf f ON b.row_id = f.row_id AND b.gram = f.gram GROUP BY b.row_id"""),
+        ("tk", f"""SELECT d.row_id, CAST(len(d.toks) AS INTEGER) AS n_tokens,
+                  CAST(len(d.toks) - coalesce(tj.jj, 0) * {m} AS INTEGER) AS n_kept
+                  FROM {src} d LEFT JOIN tj ON d.row_id = tj.row_id"""),
+    ]
+
+
+@query("trim_repetition", "SELECT row_id, n_tokens, n_kept FROM tk", ["docs"], _DOC_TOKS + _trim_sql("dt", 3))
+def q_trim_repetition(spark, sf):
+    return RP.trailing_keep_length(_doc_tokens(spark, sf), min_n=3, max_n=8)
+
+
+_LOSSLESS = D.regex(LOSSLESS_TOKEN_PATTERN)
+
+
+@query("clean_repetition", f"""SELECT row_id, {D.py_strip("array_to_string(list_slice(toks, 1, n_kept), '')")} AS cleaned
+FROM lt2 JOIN tk USING (row_id)""", ["docs"],
+       [("lt2", f"SELECT row_id, regexp_extract_all(text, {_LOSSLESS}) AS toks FROM docs")] + _trim_sql("lt2", 3))
+def q_clean_repetition(spark, sf):
+    return RP.clean_repetition(FX.docs(spark, sf).select("row_id", "text")).select("row_id", "cleaned")
+
+
+# ------------------------------------------------------------------ 2.5 scoring ----
+
+from ..functions import rouge as RG  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+
+
+def _scoring_input(spark, sf, stem: bool):
+    a = _answers(spark, sf)
+    return SC.scoring_tokens(a, "output", "gen_answer", stem).select("row_id", "_gen_t", "_gold_t")
+
+
+@query("rouge_tokens")
+def q_rouge_tokens(spark, sf):
+    return _answers(spark, sf).select("row_id", F.array_join(RG.rouge_tokens("gen_answer"), " ").alias("tokens"))
+
+
+ORACLE["rouge_tokens"] = FX.with_views(
+    "SELECT row_id, array_to_string(regexp_extract_all(lower(gen_answer), '[a-z0-9]+'), ' ') AS tokens FROM ans",
+    "gen", extra=_ANS)
+
+
+@query("rouge1_counts")
+def q_rouge1_counts(spark, sf):
+    return SC.rouge1_counts(_scoring_input(spark, sf, False), "_gen_t", "_gold_t")
+
+
+ORACLE["rouge1_counts"] = FX.with_views("""SELECT t.row_id, CAST(coalesce(o.overlap, 0) AS INTEGER) AS overlap,
+  CAST(len(t.g) AS INTEGER) AS n_gen, CAST(len(t.r) AS INTEGER) AS n_gold
+FROM rt t LEFT JOIN (SELECT row_id, sum(least(cg, cr)) AS overlap FROM (
+    SELECT coalesce(a.row_id, b.row_id) AS row_id, coalesce(a.c, 0) AS cg, coalesce(b.c, 0) AS cr
+    FROM (SELECT row_id, tok, count(*) AS c FROM (SELECT row_id, unnest(g) AS tok FROM rt) x GROUP BY ALL) a
+    FULL JOIN (SELECT row_id, tok, count(*) AS c FROM (SELECT row_id, unnest(r) AS tok FROM rt) y GROUP BY ALL) b
+      ON a.row_id = b.row_id AND a.tok = b.tok) z GROUP BY row_id) o ON t.row_id = o.row_id""", "gen", extra=_ANS + [
+    ("rt", """SELECT row_id, regexp_extract_all(lower(gen_answer), '[a-z0-9]+') AS g,
+              regexp_extract_all(lower(output), '[a-z0-9]+') AS r FROM ans""")])
+
+
+@query("stem_vocab")
+def q_stem_vocab(spark, sf):
+    return SC.stem_vocab(_scoring_input(spark, sf, False).select(F.concat("_gen_t", "_gold_t").alias("t")), "t")
+
+
+@query("rouge1")
+def q_rouge1(spark, sf):
+    s = SC.rouge_score(_answers(spark, sf), "output", "gen_answer")
+    return s.select("row_id", "rouge1_f1")
+
+
+@query("rougeL_counts")
+def q_rougeL_counts(spark, sf):
+    return SC.rougeL_counts(_scoring_input(spark, sf, True), "_gen_t", "_gold_t")
+
+
+@query("rouge_score")
+def q_rouge_score(spark, sf):
+    s = SC.rouge_score(_answers(spark, sf), "output", "gen_answer")
+    return s.select("row_id", "rouge1_f1", "rougeL_f1", "score")
+
+
+@query("score_answers")
+def q_score_answers(spark, sf):
+    return SC.score_answers(_answers(spark, sf))
