@@ -827,3 +827,104 @@ def q_rouge_score(spark, sf):
 @query("score_answers")
 def q_score_answers(spark, sf):
     return SC.score_answers(_answers(spark, sf))
+
+
+# ----------------------------------------------------- 2.11 inference, streaming ----
+
+from ..operators import inference as INF  # noqa: E402
+from ..plans import evaluation as EV  # noqa: E402
+from ..plans import submission as SU  # noqa: E402
+
+_TAIL6 = f"array_to_string(list_slice(regexp_extract_all(output, {_WORD}), " \
+         f"greatest(len(regexp_extract_all(output, {_WORD})) - 5, 1), len(regexp_extract_all(output, {_WORD}))), ' ')"
+_STUB_SQL = f"concat(input, ' ', output, ' ', {_TAIL6})"
+
+
+@query("batch_infer", f"""SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch,
+  {_STUB_SQL} AS answer FROM qa""", ["qa"])
+def q_batch_infer(spark, sf):
+    return INF.batch_infer(FX.qa(spark, sf), INF.echo_predictor()).select("row_id", "batch", "answer")
+
+
+def _fails(batch) -> bool:
+    return bool((batch["row_id"] % 5 == 0).any())
+
+
+@query("batch_infer_failures", f"""SELECT row_id, CASE WHEN failed = 1 THEN {D.sq(K.FALLBACK_ANSWER)} ELSE {_STUB_SQL} END
+  AS answer, failed FROM (SELECT *, CAST(max(CASE WHEN row_id % 5 = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY (rn - 1) // 8) AS INTEGER) AS failed
+  FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS rn FROM qa) a) b""", ["qa"])
+def q_batch_infer_failures(spark, sf):
+    out = INF.batch_infer(FX.qa(spark, sf), INF.failing_predictor(_fails, INF.echo_predictor()))
+    return out.select("row_id", TX.with_fallback("answer").alias("answer"),
+                      F.col("error").isNotNull().cast("int").alias("failed"))
+
+
+@query("submission_run", f"""SELECT ef.ID, c.cleaned AS TargetRLF1, c.cleaned AS TargetR1F1, c.cleaned AS TargetLLM
+FROM ef JOIN (SELECT lt3.row_id, {D.py_strip("array_to_string(list_slice(toks, 1, n_kept), '')")} AS cleaned
+  FROM lt3 JOIN tk ON lt3.row_id = tk.row_id) c ON ef.row_id = c.row_id""", ["qa"], [
+    ("ef", f"SELECT row_id, ID, {D.strip_echo(_STUB_SQL, 'input')} AS t FROM qa"),
+    ("lt3", f"SELECT row_id, regexp_extract_all(t, {_LOSSLESS}) AS toks FROM ef")] + _trim_sql("lt3", 3))
+def q_submission_run(spark, sf):
+    return SU.submission_run(FX.qa(spark, sf), INF.echo_predictor(), FX.countries(spark), FX.max_lens(spark))
+
+
+@query("eval_run")
+def q_eval_run(spark, sf):
+    records, _ = EV.eval_run(FX.qa(spark, sf), INF.echo_predictor(), FX.countries(spark))
+    return records
+
+
+@query("debug_sample", f"""SELECT row_id, concat({_Q_RENDER}, {_OPEN}, {_MARK}) AS prompt, raw_answer
+FROM qp JOIN (SELECT row_id AS rid, raw_answer FROM gen) g ON qp.row_id = g.rid ORDER BY row_id LIMIT 5""",
+       ["gen", "countries"], _QA_PARTS)
+def q_debug_sample(spark, sf):
+    x = _qa_parts(spark, sf).select("row_id", P.question_messages("input", "lang", "country_name", None).alias("m"))
+    x = x.select("row_id", P.append_marker(P.render_chat("m", generation=True)).alias("prompt"))
+    g = FX.gen(spark, sf).select("row_id", "raw_answer")
+    return SM.debug_sample(x.join(g, "row_id"), 5)
+
+
+@query("merge_parts", """SELECT CAST(shard AS INTEGER) AS part, count(*) AS rows FROM (SELECT (row_number() OVER (ORDER BY row_id)
+  - 1) % 3 AS shard FROM qa) t GROUP BY ROLLUP (shard)""", ["qa"])
+def q_merge_parts(spark, sf):
+    """Write three round-robin shards as CSV part folders, merge them in one read."""
+    from ..session import scratch_path
+    from ..sources.qa import merge_parts, part_report
+    from ..sources.sinks import write_csv
+    base = scratch_path(spark, "parts")
+    s = RC.shard(with_row_id(FX.qa(spark, sf).select("row_id", "subset", "input"), ["row_id"]), 3)
+    for i in range(3):
+        write_csv(s.where(F.col("shard") == i).drop("shard"), f"{base}/shard={i}")
+    merged = merge_parts(spark, [f"{base}/shard={i}" for i in range(3)])
+    part = F.regexp_extract("part_file", r"shard=(\d+)", 1).cast("int")
+    return part_report(merged, part)
+
+
+def _stream_inputs(spark, sf, df, name):
+    from ..session import scratch_path
+    d = scratch_path(spark, name)
+    df.repartition(4).write.parquet(d)
+    return d
+
+
+@query("stream_scoring")
+def q_stream_scoring(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.scoring import stream_scoring
+    gen = FX.gen(spark, sf)
+    src = _stream_inputs(spark, sf, gen, "stream-in")
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    stream_scoring(spark, src, out, ck, gen.schema)
+    return spark.read.parquet(out)
+
+
+@query("stream_log_windows")
+def q_stream_log_windows(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.windows import stream_log_windows
+    seqs = _tok_sequences(spark, sf).select("seq_id", "step", "subset", "correct", "total")
+    src = _stream_inputs(spark, sf, seqs, "windows-in")
+    sdf = spark.readStream.schema(seqs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ck = scratch_path(spark, "windows-out"), scratch_path(spark, "windows-ck")
+    return stream_log_windows(spark, sdf, 10, out, ck)
