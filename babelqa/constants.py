@@ -107,13 +107,22 @@ PY_WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).issp
 
 
 def regex_class(chars: str, negate: bool = False) -> str:
-    """A regex character class of ``chars`` using ``\\x{..}`` escapes.
+    """A regex character class of ``chars`` using ``\\x{..}`` escapes, consecutive code
+    points merged into ranges (fewer alternatives to test per character).
 
     The same text is valid in Java regex (Spark) and RE2 (DuckDB), so both engines
     agree on what a whitespace character is.
     """
-    body = "".join(f"\\x{{{ord(c):x}}}" for c in chars)
-    return f"[{'^' if negate else ''}{body}]"
+    codes = sorted({ord(c) for c in chars})
+    parts, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        lo, hi = codes[i], codes[j]
+        parts.append(f"\\x{{{lo:x}}}" if lo == hi else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}")
+        i = j + 1
+    return f"[{'^' if negate else ''}{''.join(parts)}]"
 
 
 WS_CLASS = regex_class(PY_WHITESPACE)

@@ -1,9 +1,15 @@
 """Degenerate-repetition detection and cleanup on token arrays.
 
-Both operators work on exploded n-grams keyed by (row, gram) - ordinary aggregations
-and windows, one shuffle on the row key plus the gram, no per-row loops. A row's grams
-are bounded by its own length, so a long text is one bounded group, and rows are spread
-over all tasks.
+Rows are hash-partitioned by their key once; a row's n-grams are then generated inside
+its task and every later window and aggregate is keyed by (key, ...), so Spark reuses
+that partitioning and the whole operator costs a single shuffle of the input rows. A
+row is bounded by its own length, so a long text is one bounded group.
+
+Grams are compared as strings: tokens joined with ``gram_sep``. That is exact when the
+separator cannot occur inside a token - ``" "`` for whitespace-split words, ``""`` for
+lossless tokens (each of them after the first starts with whitespace and ends with
+non-whitespace, so the joined text splits back uniquely). ``gram_sep=None`` compares
+the token arrays themselves, for arbitrary tokens.
 
 Trailing-repetition trimming has a closed form. Dropping the last ``k`` tokens because
 that k-gram already occurs in the body can only ever fire for ``k = min_n``: if a longer
@@ -23,73 +29,103 @@ from .. import constants as K
 from ..functions.text import lossless_tokens, py_strip
 
 
-def _grams(tokens: str, n: int):
-    """Array of struct(pos, gram) of every n-gram of the ``tokens`` array."""
+def _by_key(df: DataFrame, key: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, key)
+
+
+def _gram(t, i, n: int, sep: str | None):
+    g = F.slice(t, i + 1, n)
+    return g if sep is None else F.concat_ws(sep, g)
+
+
+def _positions(df: DataFrame, tokens: str, key: str, lengths, min_n: int, sep: str | None) -> DataFrame:
+    """One row per start position ``pos`` with ``g<n>`` = the n-gram starting there
+    (NULL where it would run past the end), for each n in ``lengths``."""
     t = F.col(tokens)
-    starts = F.sequence(F.lit(0), F.size(t) - F.lit(n))
-    grams = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.slice(t, i + 1, n).alias("gram")))
-    return F.when(F.size(t) >= n, grams).otherwise(F.array())
+    size = F.size(t)
+
+    def at(i):
+        fields = [i.alias("pos")]
+        for n in lengths:
+            fields.append(F.when(i + n <= size, _gram(t, i, n, sep)).alias(f"g{n}"))
+        return F.struct(*fields)
+
+    starts = F.when(size >= min_n, F.sequence(F.lit(0), size - min_n)).otherwise(F.array().cast("array<int>"))
+    return df.select(key, size.alias("_len"), F.explode(F.transform(starts, at)).alias("_p")).select(
+        key, "_len", "_p.*")
 
 
 def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_id",
-                         min_n: int = K.DEFAULT_MIN_N, max_n: int = K.DEFAULT_MAX_N) -> DataFrame:
+                         min_n: int = K.DEFAULT_MIN_N, max_n: int = K.DEFAULT_MAX_N,
+                         gram_sep: str | None = " ") -> DataFrame:
     """For each row with a repeated n-gram (``min_n <= n <= max_n``): the longest such
     ``n``, and among its repeated grams the one whose second occurrence comes first;
     returns ``(key, first_start, n)`` with the gram's first start. Overlapping
-    occurrences count. Rows without a repeat are absent (the toolkit returns None)."""
-    def tagged(n):
-        return F.transform(_grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g["pos"].alias("pos"),
-                                                                 g["gram"].alias("gram")))
-    per_n = [tagged(n) for n in range(max_n, min_n - 1, -1)]
-    exploded = df.select(key, F.explode(F.concat(*per_n)).alias("g")).select(
-        key, F.col("g.n").alias("n"), F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
-    w = Window.partitionBy(key, "n", "gram").orderBy("pos")
-    second = (exploded.withColumn("_rn", F.row_number().over(w))
-              .withColumn("_first", F.min("pos").over(Window.partitionBy(key, "n", "gram")))
+    occurrences count. Rows without a repeat are absent (the toolkit returns None).
+
+    Every occurrence of a repeated n-gram starts with a repeated ``min_n``-gram, so
+    only positions whose ``min_n``-gram repeats are expanded to the longer lengths.
+    """
+    if min_n < 1 or min_n > max_n:
+        return df.sparkSession.createDataFrame([], f"{key} long, first_start int, n int")
+    lengths = list(range(min_n, max_n + 1))
+    pos = _positions(_by_key(df.select(key, tokens), key), tokens, key, lengths, min_n, gram_sep)
+    base = f"g{min_n}"
+    cand = pos.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key, base))).where(F.col("_c") > 1)
+    stacked = cand.select(key, "pos", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("gram")) for n in lengths])).alias("_g")) \
+        .select(key, "pos", "_g.n", "_g.gram").where(F.col("gram").isNotNull())
+    w = Window.partitionBy(key, "n", "gram")
+    second = (stacked.withColumn("_rn", F.row_number().over(w.orderBy("pos")))
+              .withColumn("_first", F.min("pos").over(w))
               .where(F.col("_rn") == 2))
     best = second.groupBy(key).agg(F.max(F.struct(F.col("n"), (-F.col("pos")).alias("neg_pos"),
                                                   F.col("_first").alias("first"))).alias("b"))
     return best.select(key, F.col("b.first").alias("first_start"), F.col("b.n").alias("n"))
 
 
+def _keep_lengths(x: DataFrame, tokens: str, key: str, m: int, sep: str | None) -> DataFrame:
+    """``(key, n_tokens, n_kept)`` for rows already partitioned by ``key``."""
+    pos = _positions(x, tokens, key, [m], m, sep)
+    first = pos.withColumn("_first", F.min("pos").over(Window.partitionBy(key, f"g{m}")))
+    blocks = first.where(F.pmod(F.col("_len") - F.col("pos"), F.lit(m)) == 0).select(
+        key, ((F.col("_len") - F.col("pos")) / F.lit(m) - 1).cast("int").alias("j"),
+        (F.col("_first") + F.lit(m) <= F.col("pos")).alias("removable"))
+    # J = first non-removable block; all removable -> number of blocks.
+    stop = blocks.groupBy(key).agg(F.min(F.when(~F.col("removable"), F.col("j"))).alias("_stop"),
+                                   F.count(F.lit(1)).alias("_nb"))
+    base = x.select(key, F.size(tokens).alias("n_tokens"))
+    out = base.join(stop, key, "left").withColumn("_J", F.coalesce(F.col("_stop"), F.col("_nb"), F.lit(0)))
+    return out.select(key, "n_tokens", (F.col("n_tokens") - F.col("_J") * F.lit(m)).cast("int").alias("n_kept"))
+
+
+def _check(min_n: int) -> None:
+    if min_n < 1:
+        raise ValueError("min_n must be >= 1 (0 never terminates in the original loop)")
+
+
 def trailing_keep_length(df: DataFrame, tokens: str = "tokens", key: str = "row_id",
-                         min_n: int = 1, max_n: int = K.DEFAULT_MAX_N, max_passes: int = 1) -> DataFrame:
+                         min_n: int = 1, max_n: int = K.DEFAULT_MAX_N, max_passes: int = 1,
+                         gram_sep: str | None = " ") -> DataFrame:
     """``(key, n_tokens, n_kept)``: how many leading tokens survive trailing-repetition
     trimming (see the module docstring)."""
-    if min_n < 1:
-        raise ValueError("min_n must be >= 1 (0 never terminates in the original loop)")
-    base = df.select(key, F.size(tokens).alias("n_tokens"))
+    _check(min_n)
     if min_n > max_n or max_passes <= 0:
-        return base.withColumn("n_kept", F.col("n_tokens"))
-    m = min_n
-    t = F.col(tokens)
-    grams = df.select(key, F.explode(_grams(tokens, m)).alias("g")).select(
-        key, F.col("g.gram").alias("gram"), F.col("g.pos").alias("pos"))
-    first = grams.groupBy(key, "gram").agg(F.min("pos").alias("first"))
-    nblocks = F.floor(F.size(t) / F.lit(m)).cast("int")
-    block_list = F.transform(
-        F.sequence(F.lit(0), nblocks - 1),
-        lambda j: F.struct(j.alias("j"), (F.size(t) - (j + 1) * m).alias("start"),
-                           F.slice(t, F.size(t) - (j + 1) * m + 1, m).alias("gram")))
-    # sequence(0, -1) would count down, so rows without a whole block get no blocks.
-    blocks = df.select(key, F.explode(F.when(nblocks > 0, block_list).otherwise(F.array())).alias("b")) \
-        .select(key, "b.j", "b.start", "b.gram")
-    flags = blocks.join(first, [key, "gram"]).select(
-        key, "j", (F.col("first") + F.lit(m) <= F.col("start")).alias("removable"))
-    # J = first non-removable block; all removable -> number of blocks.
-    stop = flags.groupBy(key).agg(
-        F.min(F.when(~F.col("removable"), F.col("j"))).alias("_stop"),
-        F.count(F.lit(1)).alias("_nb"))
-    out = base.join(stop, key, "left").withColumn(
-        "_J", F.coalesce(F.col("_stop"), F.col("_nb"), F.lit(0)))
-    return out.select(key, "n_tokens", (F.col("n_tokens") - F.col("_J") * F.lit(m)).cast("int").alias("n_kept"))
+        return df.select(key, F.size(tokens).alias("n_tokens"), F.size(tokens).alias("n_kept"))
+    return _keep_lengths(_by_key(df.select(key, tokens), key), tokens, key, min_n, gram_sep)
 
 
 def trim_repetition(df: DataFrame, tokens: str = "tokens", key: str = "row_id", min_n: int = 1,
-                    max_n: int = K.DEFAULT_MAX_N, max_passes: int = 1, out: str = "trimmed") -> DataFrame:
-    """Token arrays with degenerate trailing repetition removed."""
-    keep = trailing_keep_length(df, tokens, key, min_n, max_n, max_passes)
-    return df.join(keep.select(key, "n_kept"), key).withColumn(
+                    max_n: int = K.DEFAULT_MAX_N, max_passes: int = 1, out: str = "trimmed",
+                    gram_sep: str | None = " ") -> DataFrame:
+    """Token arrays with degenerate trailing repetition removed (other columns kept)."""
+    _check(min_n)
+    if min_n > max_n or max_passes <= 0:
+        return df.withColumn(out, F.col(tokens))
+    x = _by_key(df, key)
+    keep = _keep_lengths(x, tokens, key, min_n, gram_sep)
+    return x.join(keep.select(key, "n_kept"), key).withColumn(
         out, F.slice(tokens, 1, F.col("n_kept"))).drop("n_kept")
 
 
@@ -99,5 +135,5 @@ def clean_repetition(df: DataFrame, text: str = "text", key: str = "row_id", min
     """Text-level cleanup: lossless tokens (whitespace kept in front of each token),
     trailing-repetition trim, re-join, Python strip."""
     toks = df.withColumn("_toks", lossless_tokens(text))
-    trimmed = trim_repetition(toks, "_toks", key, min_n, max_n, max_passes, out="_kept")
+    trimmed = trim_repetition(toks, "_toks", key, min_n, max_n, max_passes, out="_kept", gram_sep="")
     return trimmed.withColumn(out, py_strip(F.array_join("_kept", ""))).drop("_toks", "_kept")

@@ -32,11 +32,29 @@ def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return with_row_id(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], out="id").drop("_neg")
 
 
+# Largest vocabulary shipped to every task for a map-side lookup (rows). Bigger
+# vocabularies take the shuffle join, where AQE splits the partitions of hot tokens.
+BROADCAST_VOCAB_ROWS = 2_000_000
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "row_id",
-                  out: str = "ids") -> DataFrame:
-    """Token arrays -> id arrays (unknown tokens -> NULL), in token order."""
-    exploded = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
-    j = exploded.join(vocab.select("token", "id"), "token", "left")
+                  out: str = "ids", broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
+    """Token arrays -> id arrays (unknown tokens -> NULL), in token order.
+
+    The vocabulary's row count is checked first (``build_vocab`` output is already
+    materialised, so counting it is cheap). Within ``broadcast_rows`` the rows are
+    hash-partitioned by key, exploded, looked up in the broadcast vocabulary and
+    regrouped in the same task - one shuffle of the input rows. Beyond it, the exploded
+    tokens are joined to the vocabulary by a shuffle on the token and regrouped by key.
+    """
+    small = vocab.count() <= broadcast_rows
+    src = df.select(key, tokens)
+    if small:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        src = src.repartition(n, key)
+    exploded = src.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    lk = vocab.select("token", "id")
+    j = exploded.join(F.broadcast(lk) if small else lk, "token", "left")
     rows = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_p"))
     ids = rows.select(key, F.transform("_p", lambda x: x["id"].cast("int")).alias(out))
     # Rows with no tokens keep an empty array.
