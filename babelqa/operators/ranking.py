@@ -14,9 +14,10 @@ classic distributed scheme:
 4. join the offsets back (AQE broadcasts the offsets only after measuring them).
 
 Steps 3 and 4 both read the numbered rows. Range bounds are sampled per exchange, so
-two evaluations could number rows differently; the numbered rows are therefore
-materialised once with a reliable ``checkpoint()`` in ``spark.checkpoint.dir`` (shared
-storage), which also cuts the lineage for executor loss.
+two evaluations could number rows differently; the numbered rows are therefore written
+once as a Parquet table under ``spark.checkpoint.dir`` (shared storage) and read back,
+which also cuts the lineage: a lost executor cannot change the numbering. (An eager
+``checkpoint()`` would compute the rows twice: once to count, once to save.)
 
 Ties in the order keys must be broken by the caller (add a unique column) for a
 deterministic result.
@@ -31,9 +32,10 @@ _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record numbe
 
 
 def _materialise(df: DataFrame) -> DataFrame:
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, "ranked")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _cols(cols) -> list[Column]:

@@ -134,6 +134,6 @@ def clean_repetition(df: DataFrame, text: str = "text", key: str = "row_id", min
                      out: str = "cleaned") -> DataFrame:
     """Text-level cleanup: lossless tokens (whitespace kept in front of each token),
     trailing-repetition trim, re-join, Python strip."""
-    toks = df.withColumn("_toks", lossless_tokens(text))
+    toks = _by_key(df, key).withColumn("_toks", lossless_tokens(text))
     trimmed = trim_repetition(toks, "_toks", key, min_n, max_n, max_passes, out="_kept", gram_sep="")
     return trimmed.withColumn(out, py_strip(F.array_join("_kept", ""))).drop("_toks", "_kept")

@@ -577,7 +577,9 @@ _DOC_TOKS = [("dt", f"SELECT row_id, regexp_extract_all(text, {_WORD}) AS toks F
 
 
 def _doc_tokens(spark, sf):
-    return FX.docs(spark, sf).select("row_id", TX.words("text").alias("tokens"))
+    """Documents hash-partitioned by key, then tokenised in parallel; the doc-keyed
+    operators downstream reuse this partitioning instead of shuffling again."""
+    return FX.docs_by_key(spark, sf).select("row_id", TX.words("text").alias("tokens"))
 
 
 @query("build_vocab", "SELECT token, cnt, id FROM v_all", ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks"))
@@ -762,7 +764,7 @@ _LOSSLESS = D.regex(LOSSLESS_TOKEN_PATTERN)
 FROM lt2 JOIN tk USING (row_id)""", ["docs"],
        [("lt2", f"SELECT row_id, regexp_extract_all(text, {_LOSSLESS}) AS toks FROM docs")] + _trim_sql("lt2", 3))
 def q_clean_repetition(spark, sf):
-    return RP.clean_repetition(FX.docs(spark, sf).select("row_id", "text")).select("row_id", "cleaned")
+    return RP.clean_repetition(FX.docs_by_key(spark, sf).select("row_id", "text")).select("row_id", "cleaned")
 
 
 # ------------------------------------------------------------------ 2.5 scoring ----

@@ -63,6 +63,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.col("lang"), F.lit("_"), F.col("source")).alias("subset"), "text")
 
 
+def docs_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs`` hash-partitioned by ``row_id`` (the key every per-document operator
+    groups by), with the number of partitions Spark's own shuffles use."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return docs(spark, sf_dir).repartition(n, "row_id")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitespace tokens of ``docs.text`` with their 0-based position."""
     d = docs(spark, sf_dir)
