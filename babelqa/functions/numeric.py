@@ -24,3 +24,14 @@ def ratio(num, den) -> Column:
     n = F.col(num) if isinstance(num, str) else num
     d = F.col(den) if isinstance(den, str) else den
     return F.try_divide(n.cast("double"), d.cast("double"))
+
+
+def format_metric(c, dp: int = 4) -> Column:
+    """Display text of a metric with ``dp`` decimals, formatted the Python way
+    (``f"{v:.4f}"``: half-even on the exact binary value). Display views only."""
+
+    @F.pandas_udf(T.StringType())
+    def fmt(s: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or pd.isna(v) else f"{float(v):.{dp}f}" for v in s])
+
+    return fmt(F.col(c) if isinstance(c, str) else c)

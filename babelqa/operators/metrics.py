@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.arrays import shift_compare
 from ..functions.locale import lang_of
-from ..functions.numeric import py_round4, ratio
+from ..functions.numeric import format_metric, py_round4, ratio
 
 
 def eval_summary(df: DataFrame, by: str = "expected_lang", require_rouge: bool = True) -> DataFrame:
@@ -130,3 +130,17 @@ def distinct_first_seen(df: DataFrame, key: str = "lang", order_col: str = "row_
     first = df.groupBy(key).agg(F.min(order_col).alias("first_seen"))
     return first.withColumn("first_rank",
                             F.row_number().over(Window.orderBy("first_seen", key)) - 1)
+
+
+def format_metrics(df: DataFrame, dp: int = 4, counts=("n",)) -> DataFrame:
+    """Display view of a summary: every double column as text with ``dp`` decimals,
+    count columns with none."""
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "double":
+            out.append(format_metric(f.name, dp).alias(f.name))
+        elif f.name in counts:
+            out.append(format_metric(F.col(f.name).cast("double"), 0).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)

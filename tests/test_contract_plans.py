@@ -52,3 +52,26 @@ def test_ngram_operator_single_shuffle(spark):
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     # one repartition of the documents by key; windows and the final aggregate reuse it
     assert final.count("Exchange hashpartitioning(row_id") == 1, final
+
+
+def test_required_columns_and_lookup_errors(spark):
+    import pytest
+    from babelqa.operators import lookups as LK
+    df = spark.createDataFrame([(1, "Xyz_Abc", "q")], "row_id long, subset string, input string")
+    with pytest.raises(ValueError, match="missing required"):
+        RC.build_sft(df, "train", FX.countries(spark))
+    with pytest.raises(Exception, match="no max_new_tokens"):
+        LK.with_max_len(df, FX.max_lens(spark)).collect()
+    # unknown country code passes through
+    x = RC.with_country_name(RC.with_subset_parts(df, strict=True), FX.countries(spark)).first()
+    assert x.country_name == "Abc"
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, answer string")
+    with pytest.raises(Exception, match="do not align"):
+        LK.align_answers(df.select("row_id", "input"), a).collect()
+
+
+def test_pad_id_falls_back_to_eos(spark):
+    from babelqa.operators import batching as BT
+    df = spark.createDataFrame([(0, 0, [1, 2]), (1, 0, [3])], "row_id long, batch long, ids array<int>")
+    out = {r.row_id: r.input_ids for r in BT.pad_batches(df, pad_id=None, eos_id=99, side="right").collect()}
+    assert out[1] == [3, 99]

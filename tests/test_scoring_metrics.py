@@ -81,3 +81,9 @@ def test_log_windows(spark):
     w = MT.token_accuracy(seqs, every=10).collect()
     overall = [r for r in w if r.lang is None]
     assert sum(r.total for r in overall) == 374 and len({r.window for r in overall}) == len(overall)
+
+
+def test_format_metrics(spark):
+    df = spark.createDataFrame([("en", 32, 0.03125), ("fr", 3, 2 / 3)], "lang string, n long, exact_match double")
+    got = {r.lang: (r.n, r.exact_match) for r in MT.format_metrics(df).collect()}
+    assert got == {"en": ("32", f"{0.03125:.4f}"), "fr": ("3", "0.6667")}
