@@ -64,18 +64,34 @@ def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_
     returns ``(key, first_start, n)`` with the gram's first start. Overlapping
     occurrences count. Rows without a repeat are absent (the toolkit returns None).
 
-    Every occurrence of a repeated n-gram starts with a repeated ``min_n``-gram, so
-    only positions whose ``min_n``-gram repeats are expanded to the longer lengths.
+    Every occurrence of a repeated n-gram starts with a repeated ``min_n``-gram. A first
+    pass therefore ranks only (key, position, 64-bit hash of the ``min_n``-gram) rows; a
+    hash collision can only add a candidate, never drop one. The candidate positions of a
+    row go back to that row (same partition), and the exact grams of every length are
+    built and compared there.
     """
     if min_n < 1 or min_n > max_n:
         return df.sparkSession.createDataFrame([], f"{key} long, first_start int, n int")
     lengths = list(range(min_n, max_n + 1))
-    pos = _positions(_by_key(df.select(key, tokens), key), tokens, key, lengths, min_n, gram_sep)
-    base = f"g{min_n}"
-    cand = pos.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key, base))).where(F.col("_c") > 1)
-    stacked = cand.select(key, "pos", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("gram")) for n in lengths])).alias("_g")) \
-        .select(key, "pos", "_g.n", "_g.gram").where(F.col("gram").isNotNull())
+    x = _by_key(df.select(key, tokens), key)
+    t = F.col(tokens)
+    size = F.size(t)
+    starts = F.when(size >= min_n, F.sequence(F.lit(0), size - min_n)).otherwise(F.array().cast("array<int>"))
+    hashed = x.select(key, F.explode(F.transform(
+        starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(_gram(t, i, min_n, gram_sep)).alias("h")))).alias("_p"))
+    hashed = hashed.select(key, "_p.pos", "_p.h")
+    repeated = hashed.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key, "h"))).where(F.col("_c") > 1)
+    cand = repeated.groupBy(key).agg(F.collect_list("pos").alias("_cand"))
+
+    def at(i):
+        return F.struct(i.alias("pos"), F.array(*[
+            F.struct(F.lit(n).alias("n"), F.when(i + n <= size, _gram(t, i, n, gram_sep)).alias("gram"))
+            for n in lengths]).alias("gs"))
+
+    y = x.join(cand, key)
+    stacked = (y.select(key, F.explode(F.transform("_cand", at)).alias("_p"))
+               .select(key, "_p.pos", F.explode("_p.gs").alias("_g"))
+               .select(key, "pos", "_g.n", "_g.gram").where(F.col("gram").isNotNull()))
     w = Window.partitionBy(key, "n", "gram")
     second = (stacked.withColumn("_rn", F.row_number().over(w.orderBy("pos")))
               .withColumn("_first", F.min("pos").over(w))
