@@ -109,7 +109,7 @@ def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_A
 
 def micro_batches(df: DataFrame, size: int, order_col: str = "row_id") -> DataFrame:
     """Rows cut in order into batches of ``size``: ``batch = row_index div size``."""
-    x = with_row_id(df, [order_col])
+    x = with_row_id(df, [order_col], key=order_col)
     return x.withColumn("batch", F.floor(F.col("row_index") / F.lit(size)).cast("long"))
 
 

@@ -29,7 +29,7 @@ def batch_infer(df: DataFrame, make_predictor: Callable[[], Predictor], batch_si
                 order_col: str = "row_id", on_error: str = "blank", num_partitions: int | None = None,
                 answer_col: str = "answer") -> DataFrame:
     """Adds ``batch``, ``answer`` and ``error`` (NULL when the batch succeeded)."""
-    x = with_row_id(df, [order_col], out="_idx")
+    x = with_row_id(df, [order_col], out="_idx", key=order_col)
     x = x.withColumn("batch", F.floor(F.col("_idx") / F.lit(batch_size)).cast("long")).drop("_idx")
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     x = x.repartition(n, "batch").sortWithinPartitions("batch", order_col)

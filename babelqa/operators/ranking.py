@@ -67,8 +67,20 @@ def rank_within(df: DataFrame, group_cols, order_cols, out: str = "rank",
 
 
 def with_row_id(df: DataFrame, order_cols, out: str = "row_index",
-                num_partitions: int | None = None) -> DataFrame:
-    """Dense global 0-based index in the order of ``order_cols``."""
+                num_partitions: int | None = None, key: str | None = None) -> DataFrame:
+    """Dense global 0-based index in the order of ``order_cols``.
+
+    With a unique ``key`` column only ``key`` and the order columns are ranked and
+    materialised; the index is then joined back, so wide rows (texts, prompts) are not
+    copied to the checkpoint folder.
+    """
+    if key is not None:
+        names = [c for c in order_cols if isinstance(c, str)]
+        if len(names) != len(order_cols):
+            raise ValueError("key= needs order columns given by name")
+        narrow = df.select(*dict.fromkeys([key, *names]))
+        idx = with_row_id(narrow, order_cols, out, num_partitions).select(key, out)
+        return df.join(idx, key)
     return rank_within(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, out=out,
                        num_partitions=num_partitions).drop("_all")
 

@@ -103,7 +103,7 @@ def with_id(df: DataFrame, order_col: str = "row_id", out: str = "ID") -> DataFr
     """Keep ``ID`` when present, else the dense global row index."""
     if out in df.columns:
         return df
-    return with_row_id(df, [order_col], out=out)
+    return with_row_id(df, [order_col], out=out, key=order_col)
 
 
 def shard(df: DataFrame, n: int, i: int | None = None, index_col: str = "row_index") -> DataFrame:

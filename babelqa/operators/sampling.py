@@ -52,9 +52,11 @@ def stratified_sample(df: DataFrame, n: int | None, subset_col: str = "subset",
     ).select("lang", (F.floor(F.col("_n") / F.col("_L")) +
                       F.when(F.col("first_rank") < F.pmod(F.col("_n"), F.col("_L")), 1).otherwise(0))
              .cast("long").alias("_quota"))
-    ranked = rank_within(x.withColumn("_h", md5_order(seed, F.col(order_col))), ["lang"],
-                         ["_h", order_col], out="_pos")
-    return ranked.join(quotas, "lang").where(F.col("_pos") < F.col("_quota")).drop("_h", "_pos", "_quota")
+    # Rank a narrow projection only; the chosen keys are joined back to the full rows.
+    narrow = x.select("lang", order_col, md5_order(seed, F.col(order_col)).alias("_h"))
+    ranked = rank_within(narrow, ["lang"], ["_h", order_col], out="_pos")
+    chosen = ranked.join(quotas, "lang").where(F.col("_pos") < F.col("_quota")).select(order_col)
+    return x.join(chosen, order_col, "left_semi")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, order_col: str = "row_id") -> DataFrame:
