@@ -4,7 +4,7 @@ per-batch lengths and padding.
 The batch plan is computed in closed form instead of by iterating a sampler: draw ``d``
 of a language with ``n`` rows is position ``d mod n`` of permutation ``d div n`` of that
 language's pool. Each permutation is an md5 order inside (language, cycle), numbered by
-the skew-safe ``rank_within``; no row is ever looked up by index.
+the skew-safe ``rank_by_hash``; no row is ever looked up by index.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.arrays import pad_to
-from .ranking import rank_within, running_max, with_row_id
+from .ranking import rank_by_hash, running_max, with_row_id
 from .sampling import md5_order
 
 
@@ -87,7 +87,7 @@ def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_A
     cycles = F.sequence(F.lit(0).cast("long"), F.col("cycles") - 1)
     rows = x.join(dims, "lang").withColumn("cycle", F.explode(cycles))
     rows = rows.withColumn("_h", md5_order(seed, F.col("lang"), F.col("cycle"), F.col("row_id")))
-    ranked = rank_within(rows, ["lang", "cycle"], ["_h", "row_id"], out="_pos")
+    ranked = rank_by_hash(rows, ["lang", "cycle"], "_h", ["row_id"], out="_pos")
     draws = ranked.withColumn("_d", F.col("cycle") * F.col("n") + F.col("_pos")) \
         .where(F.col("_d") < F.col("batches") * F.col("slots"))
     draws = draws.withColumn("effective_batch", F.floor(F.col("_d") / F.col("slots")).cast("long")) \

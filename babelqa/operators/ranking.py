@@ -100,3 +100,25 @@ def running_max(df: DataFrame, order_col: str, value_col: str, out: str = "runni
         Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_prev")
     return local.join(prev, "_part").withColumn(
         out, F.greatest(F.col("_lmax"), F.col("_prev"))).drop("_part", "_lmax", "_prev")
+
+
+def rank_by_hash(df: DataFrame, group_cols, hash_col: str, tie_cols=(), out: str = "rank",
+                 prefix_chars: int = 4) -> DataFrame:
+    """0-based position inside each group in ``(hash_col, *tie_cols)`` order, for a
+    ``hash_col`` that is a fixed-width lower-case hex digest (``md5``).
+
+    A digest's first ``prefix_chars`` hex digits are an order-preserving bucket holding
+    about ``16**-prefix_chars`` of every group, so a group of billions of rows is spread
+    over 65,536 small windows. rank = rows of the group in earlier buckets (a window
+    over the bucket-count table) + position inside the bucket. The bucket is a pure
+    function of the row: any re-evaluation or retry gives the same ranks, and nothing
+    has to be materialised.
+    """
+    groups = list(group_cols)
+    x = df.withColumn("_b", F.conv(F.substring(hash_col, 1, prefix_chars), 16, 10).cast("int"))
+    counts = x.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(hash_col, *tie_cols)) - 1
+    return (x.withColumn("_l", local).join(offsets, [*groups, "_b"])
+            .withColumn(out, F.col("_before") + F.col("_l")).drop("_b", "_l", "_before"))

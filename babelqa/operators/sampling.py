@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.locale import lang_of
 from .metrics import distinct_first_seen
-from .ranking import rank_within
+from .ranking import rank_by_hash
 
 
 def md5_order(*parts) -> F.Column:
@@ -54,7 +54,7 @@ def stratified_sample(df: DataFrame, n: int | None, subset_col: str = "subset",
              .cast("long").alias("_quota"))
     # Rank a narrow projection only; the chosen keys are joined back to the full rows.
     narrow = x.select("lang", order_col, md5_order(seed, F.col(order_col)).alias("_h"))
-    ranked = rank_within(narrow, ["lang"], ["_h", order_col], out="_pos")
+    ranked = rank_by_hash(narrow, ["lang"], "_h", [order_col], out="_pos")
     chosen = ranked.join(quotas, "lang").where(F.col("_pos") < F.col("_quota")).select(order_col)
     return x.join(chosen, order_col, "left_semi")
 

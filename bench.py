@@ -2,8 +2,8 @@
 
 Runs each query at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` (default 8); every run executes the full plan into Spark's no-op
-sink. Reports the median of ``$BENCH_REPS`` runs (default 3) per query and prints ONE
-JSON line.
+sink. One untimed warm-up query runs first. Reports the median of ``$BENCH_REPS`` runs
+(default 3) per query and prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", app="babelqa-bench", shuffle_partitions=2 * cpus,
                         extra={"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
+    # Untimed warm-up (JIT, first file listing) so the first headline query is not
+    # charged for JVM start-up effects.
+    QUERIES["lang_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
         runs = []

@@ -105,3 +105,14 @@ def test_padding(spark, side):
     assert out[2].input_ids == [5, 6, 7, 8]  # truncated to the cap, first tokens kept
     with pytest.raises(Exception, match="longer than max_len"):
         BT.pad_batches(df, "ids", batch="batch", max_len=4, overflow="error").collect()
+
+
+def test_rank_by_hash_hot_group(spark):
+    from babelqa.operators.ranking import rank_by_hash
+    df = spark.range(20000).withColumn("g", F.when(F.col("id") % 50 == 0, "cold").otherwise("hot")) \
+        .withColumn("h", F.md5(F.col("id").cast("string")))
+    rows = rank_by_hash(df, ["g"], "h", ["id"], out="rk").collect()
+    for g in ("hot", "cold"):
+        mine = sorted((r.rk, r.h) for r in rows if r.g == g)
+        assert [m[0] for m in mine] == list(range(len(mine)))
+        assert [m[1] for m in mine] == sorted(m[1] for m in mine)
