@@ -930,3 +930,19 @@ def q_stream_log_windows(spark, sf):
     sdf = spark.readStream.schema(seqs.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = scratch_path(spark, "windows-out"), scratch_path(spark, "windows-ck")
     return stream_log_windows(spark, sdf, 10, out, ck)
+
+
+# ------------------------------------------------------ training-table composition --
+
+from ..plans import training as TRN  # noqa: E402
+
+
+@query("training_table")
+def q_training_table(spark, sf):
+    """QA rows -> chat ids and label masks -> language-stratified plan -> padded
+    micro-batches (the collator's output, one row per example and micro-batch)."""
+    ex = TRN.training_examples(FX.qa(spark, sf), FX.countries(spark))
+    b = TRN.training_batches(ex, micro=8, accum=8)
+    return b.select("effective_batch", "micro_batch", "position", "row_id", "lang",
+                    F.size("input_ids").alias("padded_len"),
+                    F.size(F.filter("labels_padded", lambda v: v != K.IGNORE_INDEX)).alias("n_labels"))

@@ -85,3 +85,24 @@ def test_eval_run(spark):
     s = summary.collect()
     assert any(r.expected_lang is None for r in s)
     assert {"rouge1_f1", "rougeL_f1", "score", "exact_match"} <= set(summary.columns)
+
+
+def test_event_time_windows_match_step_windows(spark):
+    from babelqa.streaming.windows import log_window_counts
+    seqs = MT.token_counts(MT.token_positions_to_sequences(FX.tok_pred(spark, SF01)))
+    by_step = {(r.window, r.lang, r.correct, r.total) for r in log_window_counts(seqs, 10).collect()}
+    timed = seqs.withColumn("ts", F.timestamp_seconds("step"))
+    by_time = {(int(r.window.start.timestamp()) // 10, r.lang, r.correct, r.total)
+               for r in log_window_counts(timed, 10, ts="ts", watermark="10 seconds").collect()}
+    assert by_step == by_time
+
+
+def test_training_table(spark):
+    import __spark_entry__ as E
+    t = E.queries()["training_table"](spark, SF001)
+    rows = t.collect()
+    assert rows and all(r.n_labels > 0 for r in rows)
+    per_micro = {}
+    for r in rows:
+        per_micro.setdefault(r.micro_batch, set()).add(r.padded_len)
+    assert all(len(v) == 1 for v in per_micro.values())  # one padded length per micro-batch
