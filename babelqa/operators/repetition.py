@@ -30,8 +30,11 @@ from ..functions.text import lossless_tokens, py_strip
 
 
 def _by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by key. Rows with a NULL key are dropped first: they could not be
+    joined back anyway, and with the filter below the exchange both sides of the later
+    self-join see the same plan, so the exchange is reused instead of run twice."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(n, key)
+    return df.where(F.col(key).isNotNull()).repartition(n, key)
 
 
 def _gram(t, i, n: int, sep: str | None):
@@ -39,23 +42,6 @@ def _gram(t, i, n: int, sep: str | None):
     return g if sep is None else F.concat_ws(sep, g)
 
 
-def _positions(df: DataFrame, tokens: str, key: str, lengths, min_n: int, sep: str | None) -> DataFrame:
-    """One row per start position ``pos`` with ``g<n>`` = the n-gram starting there
-    (NULL where it would run past the end), for each n in ``lengths``."""
-    t = F.col(tokens)
-    size = F.size(t)
-
-    def at(i):
-        fields = [i.alias("pos")]
-        for n in lengths:
-            fields.append(F.when(i + n <= size, _gram(t, i, n, sep)).alias(f"g{n}"))
-        return F.struct(*fields)
-
-    starts = F.when(size >= min_n, F.sequence(F.lit(0), size - min_n)).otherwise(F.array().cast("array<int>"))
-    return df.select(key, size.alias("_len"), F.explode(F.transform(starts, at)).alias("_p")).select(
-        key, "_len", "_p.*")
-
-
 def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_id",
                          min_n: int = K.DEFAULT_MIN_N, max_n: int = K.DEFAULT_MAX_N,
                          gram_sep: str | None = " ") -> DataFrame:
@@ -66,9 +52,10 @@ def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_
 
     Every occurrence of a repeated n-gram starts with a repeated ``min_n``-gram. A first
     pass therefore ranks only (key, position, 64-bit hash of the ``min_n``-gram) rows; a
-    hash collision can only add a candidate, never drop one. The candidate positions of a
-    row go back to that row (same partition), and the exact grams of every length are
-    built and compared there.
+    hash collision can only add a candidate, never drop one. The row's tokens ride on
+    its first position row, so the aggregate per key returns the candidate positions
+    together with the tokens, and the exact grams of every length are built from them -
+    no join back, one exchange in total.
     """
     if min_n < 1 or min_n > max_n:
         return df.sparkSession.createDataFrame([], f"{key} long, first_start int, n int")
@@ -77,19 +64,22 @@ def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_
     t = F.col(tokens)
     size = F.size(t)
     starts = F.when(size >= min_n, F.sequence(F.lit(0), size - min_n)).otherwise(F.array().cast("array<int>"))
-    hashed = x.select(key, F.explode(F.transform(
-        starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(_gram(t, i, min_n, gram_sep)).alias("h")))).alias("_p"))
-    hashed = hashed.select(key, "_p.pos", "_p.h")
-    repeated = hashed.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key, "h"))).where(F.col("_c") > 1)
-    cand = repeated.groupBy(key).agg(F.collect_list("pos").alias("_cand"))
+    hashed = x.select(key, F.explode(F.transform(starts, lambda i: F.struct(
+        i.alias("pos"), F.xxhash64(_gram(t, i, min_n, gram_sep)).alias("h"),
+        F.when(i == 0, t).alias("_t")))).alias("_p")).select(key, "_p.*")
+    flagged = hashed.withColumn("_rep", F.count(F.lit(1)).over(Window.partitionBy(key, "h")) > 1)
+    per_row = flagged.groupBy(key).agg(F.collect_list(F.when(F.col("_rep"), F.col("pos"))).alias("_cand"),
+                                       F.first("_t", ignorenulls=True).alias(tokens)) \
+        .where(F.size("_cand") > 0)
+    tt = F.col(tokens)
+    tsize = F.size(tt)
 
     def at(i):
         return F.struct(i.alias("pos"), F.array(*[
-            F.struct(F.lit(n).alias("n"), F.when(i + n <= size, _gram(t, i, n, gram_sep)).alias("gram"))
+            F.struct(F.lit(n).alias("n"), F.when(i + n <= tsize, _gram(tt, i, n, gram_sep)).alias("gram"))
             for n in lengths]).alias("gs"))
 
-    y = x.join(cand, key)
-    stacked = (y.select(key, F.explode(F.transform("_cand", at)).alias("_p"))
+    stacked = (per_row.select(key, F.explode(F.transform("_cand", at)).alias("_p"))
                .select(key, "_p.pos", F.explode("_p.gs").alias("_g"))
                .select(key, "pos", "_g.n", "_g.gram").where(F.col("gram").isNotNull()))
     w = Window.partitionBy(key, "n", "gram")
@@ -101,19 +91,39 @@ def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_
     return best.select(key, F.col("b.first").alias("first_start"), F.col("b.n").alias("n"))
 
 
-def _keep_lengths(x: DataFrame, tokens: str, key: str, m: int, sep: str | None) -> DataFrame:
-    """``(key, n_tokens, n_kept)`` for rows already partitioned by ``key``."""
-    pos = _positions(x, tokens, key, [m], m, sep)
-    first = pos.withColumn("_first", F.min("pos").over(Window.partitionBy(key, f"g{m}")))
-    blocks = first.where(F.pmod(F.col("_len") - F.col("pos"), F.lit(m)) == 0).select(
-        key, ((F.col("_len") - F.col("pos")) / F.lit(m) - 1).cast("int").alias("j"),
-        (F.col("_first") + F.lit(m) <= F.col("pos")).alias("removable"))
-    # J = first non-removable block; all removable -> number of blocks.
-    stop = blocks.groupBy(key).agg(F.min(F.when(~F.col("removable"), F.col("j"))).alias("_stop"),
-                                   F.count(F.lit(1)).alias("_nb"))
-    base = x.select(key, F.size(tokens).alias("n_tokens"))
-    out = base.join(stop, key, "left").withColumn("_J", F.coalesce(F.col("_stop"), F.col("_nb"), F.lit(0)))
-    return out.select(key, "n_tokens", (F.col("n_tokens") - F.col("_J") * F.lit(m)).cast("int").alias("n_kept"))
+def _keep_lengths(x: DataFrame, tokens: str, key: str, m: int, sep: str | None, carry=None) -> DataFrame:
+    """``(key, n_tokens, n_kept[, _row])`` for rows already partitioned by ``key``.
+
+    Every row yields its m-gram positions (a row shorter than ``m`` yields one marker
+    position -1). ``carry`` (a struct of the row's columns) rides on the first position
+    only, so the per-key aggregate hands the row back and no join is needed.
+    """
+    t = F.col(tokens)
+    size = F.size(t)
+    starts = F.when(size >= m, F.sequence(F.lit(0), size - m)).otherwise(F.array(F.lit(-1)))
+
+    def at(i):
+        fields = [i.alias("pos"), F.when(i >= 0, _gram(t, i, m, sep)).alias("g")]
+        if carry is not None:
+            fields.append(F.when(i <= 0, carry).alias("_row"))
+        return F.struct(*fields)
+
+    pos = x.select(key, size.alias("_len"), F.explode(F.transform(starts, at)).alias("_p")).select(
+        key, "_len", "_p.*")
+    first = pos.withColumn("_first", F.min("pos").over(Window.partitionBy(key, "g")))
+    is_block = (F.col("pos") >= 0) & (F.pmod(F.col("_len") - F.col("pos"), F.lit(m)) == 0)
+    j = ((F.col("_len") - F.col("pos")) / F.lit(m) - 1).cast("int")
+    removable = F.col("_first") + F.lit(m) <= F.col("pos")
+    aggs = [F.max("_len").alias("n_tokens"),
+            # J = first non-removable block; all removable -> number of blocks.
+            F.min(F.when(is_block & ~removable, j)).alias("_stop"),
+            F.count(F.when(is_block, F.lit(1))).alias("_nb")]
+    if carry is not None:
+        aggs.append(F.first("_row", ignorenulls=True).alias("_row"))
+    out = first.groupBy(key).agg(*aggs)
+    kept = (F.col("n_tokens") - F.coalesce(F.col("_stop"), F.col("_nb")) * F.lit(m)).cast("int")
+    cols = [key, F.col("n_tokens").cast("int").alias("n_tokens"), kept.alias("n_kept")]
+    return out.select(*cols, *(["_row"] if carry is not None else []))
 
 
 def _check(min_n: int) -> None:
@@ -140,9 +150,10 @@ def trim_repetition(df: DataFrame, tokens: str = "tokens", key: str = "row_id",
     if min_n > max_n or max_passes <= 0:
         return df.withColumn(out, F.col(tokens))
     x = _by_key(df, key)
-    keep = _keep_lengths(x, tokens, key, min_n, gram_sep)
-    return x.join(keep.select(key, "n_kept"), key).withColumn(
-        out, F.slice(tokens, 1, F.col("n_kept"))).drop("n_kept")
+    others = [c for c in x.columns if c != key]
+    keep = _keep_lengths(x, tokens, key, min_n, gram_sep, carry=F.struct(*others))
+    return keep.select(key, *[F.col("_row")[c].alias(c) for c in others],
+                       F.slice(F.col("_row")[tokens], 1, F.col("n_kept")).alias(out))
 
 
 def clean_repetition(df: DataFrame, text: str = "text", key: str = "row_id", min_n: int = K.DEFAULT_MIN_N,

@@ -52,22 +52,24 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key:
     if small:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         src = src.repartition(n, key)
-    exploded = src.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    # explode_outer keeps rows without tokens (one row with a NULL position), so they
+    # come out with an empty array without a second pass over the input.
+    exploded = src.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
     lk = vocab.select("token", "id")
     j = exploded.join(F.broadcast(lk) if small else lk, "token", "left")
-    rows = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_p"))
-    ids = rows.select(key, F.transform("_p", lambda x: x["id"].cast("int")).alias(out))
-    # Rows with no tokens keep an empty array.
-    empty = df.where(F.size(tokens) == 0).select(key, F.array().cast("array<int>").alias(out))
-    return ids.unionByName(empty)
+    rows = j.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.when(F.col("_pos").isNotNull(), F.struct("_pos", "id")))).alias("_p"))
+    return rows.select(key, F.transform("_p", lambda x: x["id"].cast("int")).alias(out))
 
 
 def decode_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "row_id",
                   skip_ids=(), sep: str = " ", out: str = "text") -> DataFrame:
     """Id arrays -> text; ``skip_ids`` (special tokens) are left out."""
-    exploded = df.select(key, F.posexplode(ids).alias("_pos", "id"))
+    exploded = df.select(key, F.posexplode_outer(ids).alias("_pos", "id"))
+    keep = F.col("_pos").isNotNull()
     if skip_ids:
-        exploded = exploded.where(~F.col("id").isin(list(skip_ids)))
+        keep = keep & ~F.col("id").isin(list(skip_ids))
     j = exploded.join(vocab.select("token", "id"), "id", "left")
-    rows = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_p"))
+    rows = j.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.when(keep, F.struct("_pos", "token")))).alias("_p"))
     return rows.select(key, F.array_join(F.transform("_p", lambda x: x["token"]), sep).alias(out))

@@ -87,3 +87,15 @@ def test_format_metrics(spark):
     df = spark.createDataFrame([("en", 32, 0.03125), ("fr", 3, 2 / 3)], "lang string, n long, exact_match double")
     got = {r.lang: (r.n, r.exact_match) for r in MT.format_metrics(df).collect()}
     assert got == {"en": ("32", f"{0.03125:.4f}"), "fr": ("3", "0.6667")}
+
+
+def test_encode_decode_empty_and_skip(spark):
+    from babelqa.operators import vocab as VC
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "row_id long, tokens array<string>")
+    v = VC.build_vocab(df)
+    for limit in (10, 0):  # broadcast lookup and shuffle join
+        enc = {r.row_id: r.ids for r in VC.encode_tokens(df, v, broadcast_rows=limit).collect()}
+        assert enc == {1: [0, 1, 0], 2: []}
+    e = VC.encode_tokens(df, v)
+    dec = {r.row_id: r.text for r in VC.decode_tokens(e, v, skip_ids=[1]).collect()}
+    assert dec == {1: "a a", 2: ""}
