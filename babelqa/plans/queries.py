@@ -946,3 +946,24 @@ def q_training_table(spark, sf):
     return b.select("effective_batch", "micro_batch", "position", "row_id", "lang",
                     F.size("input_ids").alias("padded_len"),
                     F.size(F.filter("labels_padded", lambda v: v != K.IGNORE_INDEX)).alias("n_labels"))
+
+
+# ------------------------------------------- summaries over fully scored records --
+
+def _scored(spark, sf):
+    return SC.score_answers(_answers(spark, sf))
+
+
+@query("eval_summary_scored")
+def q_eval_summary_scored(spark, sf):
+    """A1/A2 with every metric: exact match and the stemmed ROUGE scores."""
+    return MT.eval_summary(_scored(spark, sf))
+
+
+@query("gen_metrics_scored")
+def q_gen_metrics_scored(spark, sf):
+    """A3 over exact match, ROUGE-1, ROUGE-L and the combined score."""
+    s = _scored(spark, sf).select(
+        F.concat_ws("_", "expected_lang", "expected_country").alias("subset"), "exact_match",
+        F.col("rouge1_f1").alias("rouge1"), F.col("rougeL_f1").alias("rougeL"), "score")
+    return MT.gen_metrics(s, prefix="eval")

@@ -99,3 +99,28 @@ def test_encode_decode_empty_and_skip(spark):
     e = VC.encode_tokens(df, v)
     dec = {r.row_id: r.text for r in VC.decode_tokens(e, v, skip_ids=[1]).collect()}
     assert dec == {1: "a a", 2: ""}
+
+
+def test_rouge_pipeline_matches_python(spark):
+    import re
+    from babelqa.functions.porter import stem
+    from babelqa.operators.records import clean_generation
+    from conftest import SF001
+
+    def toks(s):
+        return [stem(t) if len(t) > 3 else t for t in re.findall(r"[a-z0-9]+", s.lower())]
+
+    def f(o, p, r):
+        if p == 0 or r == 0:
+            return 0.0
+        pp, rr = o / p, o / r
+        return 2 * pp * rr / (pp + rr) if pp + rr > 0 else 0.0
+
+    ans = clean_generation(FX.gen(spark, SF001))
+    got = {r.row_id: r for r in SC.rouge_score(ans, "output", "gen_answer").collect()}
+    for r in ans.collect():
+        g, ref = toks(r.gen_answer), toks(r.output)
+        o = sum((Counter(g) & Counter(ref)).values())
+        l1, ll = f(o, len(g), len(ref)), f(dp_lcs(g, ref), len(g), len(ref))
+        mine = got[r.row_id]
+        assert (mine.rouge1_f1, mine.rougeL_f1, mine.score) == (round(l1, 4), round(ll, 4), round(l1 * .5 + ll * .5, 4))
