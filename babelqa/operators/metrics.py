@@ -129,7 +129,7 @@ def distinct_first_seen(df: DataFrame, key: str = "lang", order_col: str = "row_
     """
     first = df.groupBy(key).agg(F.min(order_col).alias("first_seen"))
     return first.withColumn("first_rank",
-                            F.row_number().over(Window.orderBy("first_seen", key)) - 1)
+                            (F.row_number().over(Window.orderBy("first_seen", key)) - 1).cast("long"))
 
 
 def format_metrics(df: DataFrame, dp: int = 4, counts=("n",)) -> DataFrame:

@@ -677,9 +677,9 @@ def q_pad_right(spark, sf):
     return _padded(spark, sf, "right")
 
 
-@query("batch_max_len", """SELECT batch, max_len, max(max_len) OVER (ORDER BY batch
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max_len FROM
-  (SELECT batch, least(max(len(ids)), 64) AS max_len FROM
+@query("batch_max_len", """SELECT batch, max_len, CAST(max(max_len) OVER (ORDER BY batch
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS running_max_len FROM
+  (SELECT batch, CAST(least(max(len(ids)), 64) AS INTEGER) AS max_len FROM
     (SELECT ids, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM ep) b GROUP BY batch) t""",
        ["qa"], _PAD_CTES)
 def q_batch_max_len(spark, sf):
@@ -695,7 +695,7 @@ def _render_sql(msgs: str) -> str:
             f"lambda m: {_turn_sql('m.role', 'm.content')}), ''))")
 
 
-@query("label_mask", """SELECT conv_id, CAST(len(ids) AS INTEGER) AS n_ids, r AS label_start,
+@query("label_mask", """SELECT conv_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(r AS INTEGER) AS label_start,
   array_to_string(list_concat(list_transform(generate_series(1, r), lambda i: -100), list_slice(ids, r + 1, len(ids))),
     ',') AS labels
 FROM (SELECT l.conv_id, e.ids, l.plen + list_position(list_slice(l.toks, l.plen + 1, len(l.toks)),
@@ -723,7 +723,7 @@ from ..constants import LOSSLESS_TOKEN_PATTERN  # noqa: E402
 from ..operators import repetition as RP  # noqa: E402
 
 
-@query("first_repeated_ngram", """SELECT row_id, first_start, n FROM (
+@query("first_repeated_ngram", """SELECT row_id, CAST(first_start AS INTEGER) AS first_start, CAST(n AS INTEGER) AS n FROM (
   SELECT row_id, n, pos, p1 AS first_start, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, pos) AS k
   FROM (SELECT row_id, n, pos, row_number() OVER (PARTITION BY row_id, n, gram ORDER BY pos) AS rn,
           min(pos) OVER (PARTITION BY row_id, n, gram) AS p1 FROM g) t WHERE rn = 2) u WHERE k = 1""", ["docs"],

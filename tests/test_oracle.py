@@ -19,9 +19,16 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "StringType": "VARCHAR",
+                 "DoubleType": "DOUBLE", "BooleanType": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", ORACLES)
 def test_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF001)
+    rel = con.sql(E.oracle_sql()[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__) for f in sdf.schema.fields} == types
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
