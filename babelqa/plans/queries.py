@@ -14,18 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..constants import LOSSLESS_TOKEN_PATTERN
+from ..constants import WORD_PATTERN
 from ..functions import arrays as A
 from ..functions import locale as L
 from ..functions import params as PR
 from ..functions import prompts as P
+from ..functions import rouge as RG
 from ..functions import text as TX
+from ..operators import batching as BT
+from ..operators import inference as INF
 from ..operators import lookups as LK
 from ..operators import metrics as MT
 from ..operators import records as RC
+from ..operators import repetition as RP
+from ..operators import sampling as SM
+from ..operators import scoring as SC
+from ..operators import vocab as VC
 from ..operators.ranking import with_row_id
 from ..sources import fixtures as FX
 from ..sources.qa import read_qa
 from . import duck as D
+from . import evaluation as EV
+from . import submission as SU
+from . import training as TRN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -319,8 +331,6 @@ UNION ALL SELECT 'eval_gen_n_samples', NULL, count(*), CAST(count(*) AS DOUBLE)
 
 # ------------------------------------------------------- 2.6/2.7 sampling, batches --
 
-from ..operators import batching as BT  # noqa: E402
-from ..operators import sampling as SM  # noqa: E402
 
 _SAMPLE_N = 101
 
@@ -548,9 +558,6 @@ def q_append_marker(spark, sf):
 
 # ------------------------------------------------------------------- 2.9 tokens ----
 
-from ..constants import WORD_PATTERN  # noqa: E402
-from ..operators import batching as _BT  # noqa: E402,F401
-from ..operators import vocab as VC  # noqa: E402
 
 _WORD = D.regex(WORD_PATTERN)
 _CHAT_TOK = D.regex(VC.CHAT_TOKEN_PATTERN)
@@ -719,9 +726,6 @@ def q_label_mask(spark, sf):
 
 # --------------------------------------------------------------- 2.6 repetition ----
 
-from ..constants import LOSSLESS_TOKEN_PATTERN  # noqa: E402
-from ..operators import repetition as RP  # noqa: E402
-
 
 @query("first_repeated_ngram", """SELECT row_id, CAST(first_start AS INTEGER) AS first_start, CAST(n AS INTEGER) AS n FROM (
   SELECT row_id, n, pos, p1 AS first_start, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, pos) AS k
@@ -769,9 +773,6 @@ def q_clean_repetition(spark, sf):
 
 # ------------------------------------------------------------------ 2.5 scoring ----
 
-from ..functions import rouge as RG  # noqa: E402
-from ..operators import scoring as SC  # noqa: E402
-
 
 def _scoring_input(spark, sf, stem: bool):
     a = _answers(spark, sf)
@@ -833,9 +834,6 @@ def q_score_answers(spark, sf):
 
 # ----------------------------------------------------- 2.11 inference, streaming ----
 
-from ..operators import inference as INF  # noqa: E402
-from ..plans import evaluation as EV  # noqa: E402
-from ..plans import submission as SU  # noqa: E402
 
 _TAIL6 = f"array_to_string(list_slice(regexp_extract_all(output, {_WORD}), " \
          f"greatest(len(regexp_extract_all(output, {_WORD})) - 5, 1), len(regexp_extract_all(output, {_WORD}))), ' ')"
@@ -934,8 +932,6 @@ def q_stream_log_windows(spark, sf):
 
 # ------------------------------------------------------ training-table composition --
 
-from ..plans import training as TRN  # noqa: E402
-
 
 @query("training_table")
 def q_training_table(spark, sf):

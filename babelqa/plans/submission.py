@@ -9,7 +9,6 @@ a merge step.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.prompts import DEFAULT_TEMPLATE, ChatTemplate, render_chat
