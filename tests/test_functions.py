@@ -67,7 +67,7 @@ def test_subset_parsing(spark):
 
 
 def test_model_family(spark):
-    got = one(spark, L.model_family("m"), [("CohereLabs/Tiny-AYA",), ("Qwen/Qwen3",), ("llama",)], "m string")
+    got = one(spark, L.model_family("m"), [("lab/small-AYA-8b",), ("lab/base-QWEN-7b",), ("llama",)], "m string")
     assert got == ["aya", "qwen", "qwen"]
 
 
