@@ -95,9 +95,10 @@ STATS_TYPE = T.StructType([
 ])
 
 
-def rouge_stats_udf(w_r1: float = 0.5, w_rl: float = 0.5):
+def rouge_stats_udf(w_r1: float = 0.5, w_rl: float = 0.5, stem: bool = False):
     """Arrow UDF (gen_tokens, gold_tokens) -> struct of counts and 4-place F values
-    (rounded the Python way; the combined score uses the unrounded F values)."""
+    (rounded the Python way; the combined score uses the unrounded F values). With
+    ``stem`` the tokens are stemmed inside the same Python pass."""
 
     @F.pandas_udf(STATS_TYPE)
     def rouge_stats(gen: pd.Series, gold: pd.Series) -> pd.DataFrame:
@@ -105,6 +106,8 @@ def rouge_stats_udf(w_r1: float = 0.5, w_rl: float = 0.5):
         for g, r in zip(gen, gold):
             g = [] if g is None else list(g)
             r = [] if r is None else list(r)
+            if stem:
+                g, r = stem_list(g), stem_list(r)
             ov, lcs = overlap_count(g, r), lcs_length(g, r)
             f1 = f_measure(ov, len(g), len(r), empty_zero=False)
             fl = f_measure(lcs, len(g), len(r), empty_zero=True)
