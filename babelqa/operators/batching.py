@@ -69,23 +69,44 @@ def batch_plan_size(alloc: DataFrame, micro: int, accum: int) -> DataFrame:
 
 
 def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_ALPHA,
-               seed: int = K.DEFAULT_SAMPLE_SEED, lang: str = "lang", key: str = "row_id") -> DataFrame:
+               seed: int = K.DEFAULT_SAMPLE_SEED, lang: str = "lang", key: str = "row_id",
+               max_batches: int | None = None, cycle_chunk: int = 4096) -> DataFrame:
     """Language-stratified batch plan.
 
     Output ``(effective_batch, micro_batch, position, lang, row_id, cycle)``: every
     effective batch holds ``slots[lang]`` rows of each language, a language's pool is
     used without repeats inside one cycle and reshuffled for the next, each effective
     batch is shuffled and cut into micro-batches of ``micro`` rows (``micro_batch`` is
-    numbered globally).
+    numbered globally). ``max_batches`` keeps only the effective batches a trainer will
+    consume (its step budget); the default is the whole plan.
+
+    A small pool in a long plan repeats each row for many cycles. Rows needing more than
+    ``cycle_chunk`` cycles are first cut into chunks of cycles, the (few) chunk rows are
+    spread over the cluster, and each chunk generates its own cycles - so no single task
+    expands one row millions of times. Large pools take the direct path.
     """
     x = df.select(F.col(lang).alias("lang"), F.col(key).alias("row_id"))
     alloc = lang_allocation(x.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), micro * accum, alpha)
-    dims = plan_dimensions(alloc, micro, accum).select("lang", "n", "slots", "batches", "cycles",
-                                                       "batch_slots")
+    dims = plan_dimensions(alloc, micro, accum)
+    if max_batches is not None:
+        dims = dims.withColumn("batches", F.least(F.col("batches"), F.lit(int(max_batches)).cast("long"))) \
+            .withColumn("cycles", F.ceil(F.col("batches") * F.col("slots") / F.col("n")).cast("long"))
+    dims = dims.select("lang", "n", "slots", "batches", "cycles", "batch_slots")
     # Small per-language table joined on the language key (AQE broadcasts it after
     # measuring); each row is repeated once per cycle of its pool.
-    cycles = F.sequence(F.lit(0).cast("long"), F.col("cycles") - 1)
-    rows = x.join(dims, "lang").withColumn("cycle", F.explode(cycles))
+    rows = x.join(dims, "lang")
+    direct = rows.where(F.col("cycles") <= cycle_chunk).withColumn(
+        "cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cycles") - 1)))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    chunked = (rows.where(F.col("cycles") > cycle_chunk)
+               .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                          F.floor((F.col("cycles") - 1) / cycle_chunk).cast("long"))))
+               .repartition(n_parts, "row_id", "_chunk")
+               .withColumn("cycle", F.explode(F.sequence(
+                   F.col("_chunk") * cycle_chunk,
+                   F.least((F.col("_chunk") + 1) * cycle_chunk, F.col("cycles")) - 1)))
+               .drop("_chunk"))
+    rows = direct.unionByName(chunked)
     rows = rows.withColumn("_h", md5_order(seed, F.col("lang"), F.col("cycle"), F.col("row_id")))
     ranked = rank_by_hash(rows, ["lang", "cycle"], "_h", ["row_id"], out="_pos")
     draws = ranked.withColumn("_d", F.col("cycle") * F.col("n") + F.col("_pos")) \

@@ -116,3 +116,14 @@ def test_rank_by_hash_hot_group(spark):
         mine = sorted((r.rk, r.h) for r in rows if r.g == g)
         assert [m[0] for m in mine] == list(range(len(mine)))
         assert [m[1] for m in mine] == sorted(m[1] for m in mine)
+
+
+def test_batch_plan_chunked_cycles_and_budget(spark):
+    rows = [(i, "big" if i < 300 else ("mid" if i < 330 else "one")) for i in range(331)]
+    df = spark.createDataFrame(rows, "row_id long, lang string")
+    full = {tuple(r) for r in BT.batch_plan(df, micro=4, accum=2).collect()}
+    chunked = {tuple(r) for r in BT.batch_plan(df, micro=4, accum=2, cycle_chunk=3).collect()}
+    assert full == chunked and len(full) > 0
+    budget = BT.batch_plan(df, micro=4, accum=2, max_batches=5).collect()
+    assert {r.effective_batch for r in budget} == set(range(5))
+    assert {tuple(r) for r in budget} <= full
