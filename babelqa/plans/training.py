@@ -29,7 +29,10 @@ def training_examples(df: DataFrame, countries: DataFrame, marker: str = K.ANSWE
 
 
 def training_batches(examples: DataFrame, micro: int, accum: int, max_len: int = K.DEFAULT_MAX_SEQ_LEN,
-                     pad_id: int = 0, alpha: float = K.DEFAULT_ALPHA, seed: int = K.DEFAULT_SAMPLE_SEED) -> DataFrame:
-    plan = batch_plan(examples, micro, accum, alpha, seed)
+                     pad_id: int = 0, alpha: float = K.DEFAULT_ALPHA, seed: int = K.DEFAULT_SAMPLE_SEED,
+                     max_batches: int | None = None) -> DataFrame:
+    """Padded micro-batches of the stratified plan. A row of a small pool is drawn in
+    many batches; that hot join key is split by AQE's skew-join handling."""
+    plan = batch_plan(examples, micro, accum, alpha, seed, max_batches=max_batches)
     rows = plan.join(examples.drop("lang"), "row_id")
     return pad_batches(rows, "ids", "labels", batch="micro_batch", max_len=max_len, pad_id=pad_id, side="right")

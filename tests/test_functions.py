@@ -145,3 +145,9 @@ def test_label_mask(spark):
     assert df.select(A.label_mask("ids", F.col("plen"), [7])).first()[0] == [-100, -100, -100, 8, 7, 9]
     with pytest.raises(Exception, match="marker not found"):
         df.select(A.label_mask("ids", F.col("plen"), [42])).collect()
+
+
+def test_strict_params_fail(spark):
+    df = spark.createDataFrame([("{bad",)], "p string")
+    with pytest.raises(Exception):
+        df.select(PR.parse_params("p", strict=True)).collect()

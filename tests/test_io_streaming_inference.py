@@ -106,3 +106,11 @@ def test_training_table(spark):
     for r in rows:
         per_micro.setdefault(r.micro_batch, set()).add(r.padded_len)
     assert all(len(v) == 1 for v in per_micro.values())  # one padded length per micro-batch
+
+
+def test_inference_raise_mode(spark):
+    import pytest
+    qa = FX.qa(spark, SF001)
+    always = INF.failing_predictor(lambda b: True, INF.echo_predictor())
+    with pytest.raises(Exception, match="simulated generation failure"):
+        INF.batch_infer(qa, always, on_error="raise").collect()
