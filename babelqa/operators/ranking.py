@@ -38,6 +38,16 @@ def _materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, cols) -> DataFrame:
+    """Inner join on ``cols`` where NULL matches NULL (a NULL group is still a group)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond).drop(*[f"_r_{c}" for c in cols])
+
+
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -61,7 +71,7 @@ def rank_within(df: DataFrame, group_cols, order_cols, out: str = "rank",
                                                   F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    joined = tagged.join(offsets.select("_part", *groups, "_first", "_before"), ["_part", *groups])
+    joined = _join_null_safe(tagged, offsets.select("_part", *groups, "_first", "_before"), ["_part", *groups])
     return joined.withColumn(out, F.col("_before") + F.col("_local") - F.col("_first")) \
         .drop("_mid", "_part", "_local", "_first", "_before")
 
@@ -120,5 +130,5 @@ def rank_by_hash(df: DataFrame, group_cols, hash_col: str, tie_cols=(), out: str
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(hash_col, *tie_cols)) - 1
-    return (x.withColumn("_l", local).join(offsets, [*groups, "_b"])
+    return (_join_null_safe(x.withColumn("_l", local), offsets, [*groups, "_b"])
             .withColumn(out, F.col("_before") + F.col("_l")).drop("_b", "_l", "_before"))

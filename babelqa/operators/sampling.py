@@ -55,7 +55,8 @@ def stratified_sample(df: DataFrame, n: int | None, subset_col: str = "subset",
     # Rank a narrow projection only; the chosen keys are joined back to the full rows.
     narrow = x.select("lang", order_col, md5_order(seed, F.col(order_col)).alias("_h"))
     ranked = rank_by_hash(narrow, ["lang"], "_h", [order_col], out="_pos")
-    chosen = ranked.join(quotas, "lang").where(F.col("_pos") < F.col("_quota")).select(order_col)
+    chosen = ranked.join(quotas, ranked["lang"].eqNullSafe(quotas["lang"])) \
+        .where(F.col("_pos") < F.col("_quota")).select(order_col)
     return x.join(chosen, order_col, "left_semi")
 
 

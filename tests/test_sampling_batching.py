@@ -127,3 +127,13 @@ def test_batch_plan_chunked_cycles_and_budget(spark):
     budget = BT.batch_plan(df, micro=4, accum=2, max_batches=5).collect()
     assert {r.effective_batch for r in budget} == set(range(5))
     assert {tuple(r) for r in budget} <= full
+
+
+def test_null_groups_are_kept(spark):
+    from babelqa.operators.ranking import rank_by_hash, rank_within
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(10)], "id long, g string") \
+        .withColumn("h", F.md5(F.col("id").cast("string")))
+    assert rank_by_hash(df, ["g"], "h", ["id"]).count() == 10
+    assert rank_within(df, ["g"], ["id"], num_partitions=3).count() == 10
+    s = spark.createDataFrame([(0, "x_A"), (1, None), (2, None), (3, "y_B")], "row_id long, subset string")
+    assert SM.stratified_sample(s, 3, keep_null_subset=True).count() == 3
