@@ -3,7 +3,8 @@
 Runs each query at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` (default 8); every run executes the full plan into Spark's no-op
 sink. One untimed warm-up query runs first. Reports the median of ``$BENCH_REPS`` runs
-(default 3) per query and prints ONE JSON line.
+(default 3) per query and prints ONE JSON line. ``$BENCH_EVENT_LOG_DIR`` turns on
+Spark's event log there (stage and task times without the UI).
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     from babelqa.plans.queries import QUERIES
     from babelqa.session import get_session
-    spark = get_session(f"local[{cpus}]", app="babelqa-bench", shuffle_partitions=2 * cpus,
-                        extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if log_dir:  # stage/task times without the UI: Spark's event log in a scratch folder
+        os.makedirs(log_dir, exist_ok=True)
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+    spark = get_session(f"local[{cpus}]", app="babelqa-bench", shuffle_partitions=2 * cpus, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     # Untimed warm-up (JIT, first file listing) so the first headline query is not
     # charged for JVM start-up effects.
