@@ -73,7 +73,7 @@ def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_A
                max_batches: int | None = None, cycle_chunk: int = 4096) -> DataFrame:
     """Language-stratified batch plan.
 
-    Output ``(effective_batch, micro_batch, position, lang, row_id, cycle)``: every
+    Output ``(effective_batch, micro_batch, micro_pos, lang, row_id, cycle)``: every
     effective batch holds ``slots[lang]`` rows of each language, a language's pool is
     used without repeats inside one cycle and reshuffled for the next, each effective
     batch is shuffled and cut into micro-batches of ``micro`` rows (``micro_batch`` is
@@ -123,7 +123,7 @@ def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_A
         "effective_batch",
         (F.col("effective_batch") * per_batch + F.floor(F.col("_p") / F.lit(micro))).cast("long")
         .alias("micro_batch"),
-        F.pmod(F.col("_p"), F.lit(micro)).cast("long").alias("position"),
+        F.pmod(F.col("_p"), F.lit(micro)).cast("long").alias("micro_pos"),
         "lang", "row_id", "cycle",
     )
 

@@ -101,20 +101,20 @@ def token_accuracy(df: DataFrame, subset_col: str = "subset", every: int | None
     ``correct``/``total`` counts (see ``token_counts``).
 
     With ``every`` the counts reset at every log: one value per window
-    ``floor(step / every)``. Output ``(window, lang, correct, total, accuracy)``; the
+    ``floor(step / every)``. Output ``(log_window, lang, correct, total, accuracy)``; the
     overall row has ``lang`` NULL. Groups without a scored token emit nothing.
     """
     x = df.where(F.col("total") > 0).withColumn("_lang", lang_of(subset_col))
     if every:
-        x = x.withColumn("window", F.floor(F.col(step_col) / F.lit(every)).cast("long"))
-        g = x.groupBy("window", F.col("_lang").alias("lang")).agg(F.sum("correct").alias("correct"),
+        x = x.withColumn("log_window", F.floor(F.col(step_col) / F.lit(every)).cast("long"))
+        g = x.groupBy("log_window", F.col("_lang").alias("lang")).agg(F.sum("correct").alias("correct"),
                                                                   F.sum("total").alias("total"))
-        overall = g.groupBy("window").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")) \
-            .select("window", F.lit(None).cast("string").alias("lang"), "correct", "total")
+        overall = g.groupBy("log_window").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")) \
+            .select("log_window", F.lit(None).cast("string").alias("lang"), "correct", "total")
         res = g.unionByName(overall)
     else:
         g = x.rollup("_lang").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
-        res = g.select(F.lit(None).cast("long").alias("window"), F.col("_lang").alias("lang"), "correct", "total")
+        res = g.select(F.lit(None).cast("long").alias("log_window"), F.col("_lang").alias("lang"), "correct", "total")
     return res.where(F.col("total") > 0).withColumn("accuracy", ratio("correct", "total"))
 
 

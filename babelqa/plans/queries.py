@@ -287,7 +287,7 @@ def q_token_accuracy(spark, sf):
 
 
 ORACLE["token_accuracy"] = FX.with_views(f"""
-SELECT CAST(NULL AS BIGINT) AS window, lang, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total,
+SELECT CAST(NULL AS BIGINT) AS log_window, lang, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total,
   CAST(sum(correct) AS DOUBLE) / CAST(sum(total) AS DOUBLE) AS accuracy
 FROM (SELECT *, {D.lang_of('subset')} AS lang FROM seqs WHERE total > 0) s
 GROUP BY ROLLUP (lang) HAVING sum(total) > 0""", "tok_pred", extra=_TOKACC)
@@ -299,7 +299,7 @@ def q_log_window_accuracy(spark, sf):
 
 
 ORACLE["log_window_accuracy"] = FX.with_views(f"""
-SELECT CAST(floor(step / 10) AS BIGINT) AS window, lang, CAST(sum(correct) AS BIGINT) AS correct,
+SELECT CAST(floor(step / 10) AS BIGINT) AS log_window, lang, CAST(sum(correct) AS BIGINT) AS correct,
   CAST(sum(total) AS BIGINT) AS total, CAST(sum(correct) AS DOUBLE) / CAST(sum(total) AS DOUBLE) AS accuracy
 FROM (SELECT *, {D.lang_of('subset')} AS lang FROM seqs WHERE total > 0) s
 GROUP BY GROUPING SETS ((floor(step / 10), lang), (floor(step / 10))) HAVING sum(total) > 0""", "tok_pred",
@@ -398,7 +398,7 @@ def q_batch_plan_size(spark, sf):
 
 
 @query("batch_plan", """SELECT effective_batch,
-  effective_batch * CAST(ceil(batch_slots / 8) AS BIGINT) + p // 8 AS micro_batch, p % 8 AS position, lang, row_id, cycle
+  effective_batch * CAST(ceil(batch_slots / 8) AS BIGINT) + p // 8 AS micro_batch, p % 8 AS micro_pos, lang, row_id, cycle
 FROM (SELECT *, row_number() OVER (PARTITION BY effective_batch
         ORDER BY md5(concat_ws('|', 42, 'batch', effective_batch, lang, slot)), lang, slot) - 1 AS p
       FROM (SELECT *, d // slots AS effective_batch, d % slots AS slot FROM drawn WHERE d < batches * slots) t) u""",
@@ -939,7 +939,7 @@ def q_training_table(spark, sf):
     micro-batches (the collator's output, one row per example and micro-batch)."""
     ex = TRN.training_examples(FX.qa(spark, sf), FX.countries(spark))
     b = TRN.training_batches(ex, micro=8, accum=8)
-    return b.select("effective_batch", "micro_batch", "position", "row_id", "lang",
+    return b.select("effective_batch", "micro_batch", "micro_pos", "row_id", "lang",
                     F.size("input_ids").alias("padded_len"),
                     F.size(F.filter("labels_padded", lambda v: v != K.IGNORE_INDEX)).alias("n_labels"))
 

@@ -21,9 +21,9 @@ def log_window_counts(sdf: DataFrame, every: int, step_col: str = "step", subset
     x = sdf.where(F.col("total") > 0).withColumn("lang", lang_of(subset_col))
     if ts:
         x = x.withWatermark(ts, watermark or "0 seconds")
-        key = F.window(ts, f"{every} seconds").alias("window")
+        key = F.window(ts, f"{every} seconds").alias("log_window")
     else:
-        key = F.floor(F.col(step_col) / F.lit(every)).cast("long").alias("window")
+        key = F.floor(F.col(step_col) / F.lit(every)).cast("long").alias("log_window")
     return x.groupBy(key, "lang").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
 
 
@@ -39,8 +39,8 @@ def stream_log_windows(spark: SparkSession, sdf: DataFrame, every: int, out_dir:
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
     latest = spark.read.parquet(out_dir)
-    w = Window.partitionBy("window", "lang").orderBy(F.desc("epoch"))
+    w = Window.partitionBy("log_window", "lang").orderBy(F.desc("epoch"))
     cur = latest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "epoch")
-    overall = cur.groupBy("window").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")) \
-        .select("window", F.lit(None).cast("string").alias("lang"), "correct", "total")
+    overall = cur.groupBy("log_window").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")) \
+        .select("log_window", F.lit(None).cast("string").alias("lang"), "correct", "total")
     return cur.unionByName(overall).withColumn("accuracy", ratio("correct", "total"))

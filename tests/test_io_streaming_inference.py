@@ -58,9 +58,9 @@ def test_stream_windows_equal_batch(spark, scratch):
     src = scratch("win-in")
     seqs.repartition(4).write.parquet(src)
     sdf = spark.readStream.schema(seqs.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    streamed = {(r.window, r.lang, r.correct, r.total) for r in
+    streamed = {(r.log_window, r.lang, r.correct, r.total) for r in
                 stream_log_windows(spark, sdf, 10, scratch("win-out"), scratch("win-ck")).collect()}
-    batch = {(r.window, r.lang, r.correct, r.total) for r in MT.token_accuracy(seqs, every=10).collect()}
+    batch = {(r.log_window, r.lang, r.correct, r.total) for r in MT.token_accuracy(seqs, every=10).collect()}
     assert streamed == batch
 
 
@@ -90,9 +90,9 @@ def test_eval_run(spark):
 def test_event_time_windows_match_step_windows(spark):
     from babelqa.streaming.windows import log_window_counts
     seqs = MT.token_counts(MT.token_positions_to_sequences(FX.tok_pred(spark, SF01)))
-    by_step = {(r.window, r.lang, r.correct, r.total) for r in log_window_counts(seqs, 10).collect()}
+    by_step = {(r.log_window, r.lang, r.correct, r.total) for r in log_window_counts(seqs, 10).collect()}
     timed = seqs.withColumn("ts", F.timestamp_seconds("step"))
-    by_time = {(int(r.window.start.timestamp()) // 10, r.lang, r.correct, r.total)
+    by_time = {(int(r.log_window.start.timestamp()) // 10, r.lang, r.correct, r.total)
                for r in log_window_counts(timed, 10, ts="ts", watermark="10 seconds").collect()}
     assert by_step == by_time
 

@@ -80,7 +80,7 @@ def test_log_windows(spark):
     seqs = MT.token_counts(MT.token_positions_to_sequences(FX.tok_pred(spark, SF01)))
     w = MT.token_accuracy(seqs, every=10).collect()
     overall = [r for r in w if r.lang is None]
-    assert sum(r.total for r in overall) == 374 and len({r.window for r in overall}) == len(overall)
+    assert sum(r.total for r in overall) == 374 and len({r.log_window for r in overall}) == len(overall)
 
 
 def test_format_metrics(spark):
