@@ -76,3 +76,21 @@ def test_pad_id_falls_back_to_eos(spark):
     df = spark.createDataFrame([(0, 0, [1, 2]), (1, 0, [3])], "row_id long, batch long, ids array<int>")
     out = {r.row_id: r.input_ids for r in BT.pad_batches(df, pad_id=None, eos_id=99, side="right").collect()}
     assert out[1] == [3, 99]
+
+
+def test_single_partition_windows_only_on_language_tables(spark):
+    """Windows without partitionBy (an Exchange SinglePartition) may only run on
+    per-language tables: the exchange right below must be the language aggregation."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("stratified_sample", "batch_plan", "lang_allocation"):
+            lines = Q.QUERIES[name](spark, SF01)._jdf.queryExecution().executedPlan().toString().splitlines()
+            assert any("Exchange SinglePartition" in ln for ln in lines), name
+            for i, ln in enumerate(lines):
+                if "Exchange SinglePartition" in ln:
+                    below = next(x for x in lines[i + 1:] if "Exchange" in x)
+                    assert "hashpartitioning(lang" in below, (name, below)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
