@@ -46,13 +46,20 @@ def test_native_summary_has_no_python(spark):
 
 
 def test_ngram_operator_single_shuffle(spark):
-    toks = Q._doc_tokens(spark, SF01)
-    df = RP.first_repeated_ngram(toks)
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    # one repartition of the documents by key; windows and the final aggregate reuse it
-    shuffles = [ln for ln in final.splitlines() if "Exchange hashpartitioning(row_id" in ln and "Reused" not in ln]
-    assert len(shuffles) == 1, final
+    # broadcasts off, as for large inputs: no join may sneak in a second shuffle
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        for op in (RP.first_repeated_ngram, RP.trim_repetition):
+            df = op(Q._doc_tokens(spark, SF01))
+            df.write.format("noop").mode("overwrite").save()
+            final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            # one repartition of the documents by key; windows and aggregates reuse it
+            shuffles = [ln for ln in final.splitlines() if "Exchange" in ln and "Reused" not in ln]
+            assert len(shuffles) == 1 and "hashpartitioning(row_id" in shuffles[0], final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 def test_required_columns_and_lookup_errors(spark):
