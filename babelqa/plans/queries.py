@@ -397,21 +397,24 @@ def q_batch_plan_size(spark, sf):
     return BT.batch_plan_size(_doc_alloc(spark, sf), 8, 8)
 
 
+_PLAN_CTES = [
+    ("dims", """SELECT lang, n, slots, CAST(ceil(max(n) OVER () / max(slots) OVER ()) AS BIGINT) AS batches,
+                sum(slots) OVER () AS batch_slots FROM alloc"""),
+    ("cyc", "SELECT *, CAST(ceil(batches * slots / n) AS BIGINT) AS cycles FROM dims"),
+    ("rows_c", """SELECT d.row_id, c.lang, c.n, c.slots, c.batches, c.batch_slots,
+                    unnest(generate_series(0, c.cycles - 1)) AS cycle
+                  FROM docs d JOIN cyc c ON d.lang = c.lang"""),
+    ("drawn", """SELECT *, cycle * n + row_number() OVER (PARTITION BY lang, cycle
+                   ORDER BY md5(concat_ws('|', 42, lang, cycle, row_id)), row_id) - 1 AS d FROM rows_c"""),
+]
+
+
 @query("batch_plan", """SELECT effective_batch,
   effective_batch * CAST(ceil(batch_slots / 8) AS BIGINT) + p // 8 AS micro_batch, p % 8 AS micro_pos, lang, row_id, cycle
 FROM (SELECT *, row_number() OVER (PARTITION BY effective_batch
         ORDER BY md5(concat_ws('|', 42, 'batch', effective_batch, lang, slot)), lang, slot) - 1 AS p
       FROM (SELECT *, d // slots AS effective_batch, d % slots AS slot FROM drawn WHERE d < batches * slots) t) u""",
-       ["docs"], _ALLOC_SQL + [
-           ("dims", """SELECT lang, n, slots, CAST(ceil(max(n) OVER () / max(slots) OVER ()) AS BIGINT) AS batches,
-                       sum(slots) OVER () AS batch_slots FROM alloc"""),
-           ("cyc", """SELECT *, CAST(ceil(batches * slots / n) AS BIGINT) AS cycles FROM dims"""),
-           ("rows_c", """SELECT d.row_id, c.lang, c.n, c.slots, c.batches, c.batch_slots,
-                           unnest(generate_series(0, c.cycles - 1)) AS cycle
-                         FROM docs d JOIN cyc c ON d.lang = c.lang"""),
-           ("drawn", """SELECT *, cycle * n + row_number() OVER (PARTITION BY lang, cycle
-                          ORDER BY md5(concat_ws('|', 42, lang, cycle, row_id)), row_id) - 1 AS d FROM rows_c"""),
-       ])
+       ["docs"], _ALLOC_SQL + _PLAN_CTES)
 def q_batch_plan(spark, sf):
     return BT.batch_plan(FX.docs(spark, sf), 8, 8)
 
@@ -967,3 +970,32 @@ def q_gen_metrics_scored(spark, sf):
 
 # The stream's final state is the batch log-window table, so it shares that oracle.
 ORACLE["stream_log_windows"] = ORACLE["log_window_accuracy"]
+
+
+def _plan_ctes(src: str) -> list:
+    """The allocation and batch-plan CTEs of ``batch_plan`` over another (row_id, lang)
+    source, ending in ``plan``."""
+    ctes = [(n, q.replace("FROM docs GROUP BY lang", f"FROM {src} GROUP BY lang")) for n, q in _ALLOC_SQL]
+    ctes += [(n, q.replace("FROM docs d JOIN cyc c", f"FROM {src} d JOIN cyc c"))
+             for n, q in _PLAN_CTES]
+    ctes.append(("plan", _PLAN_SELECT))
+    return ctes
+
+
+_PLAN_SELECT = ORACLE["batch_plan"].split("\nSELECT effective_batch,", 1)[1]
+_PLAN_SELECT = "SELECT effective_batch," + _PLAN_SELECT
+
+_TRAIN_RENDER = (f"concat({_Q_RENDER}, {D.sq(K.START_TURN + K.CHATBOT_TOKEN + K.RESPONSE_START)}, "
+                 f"{_MARK}, ' ', output, {D.sq(K.RESPONSE_END + K.END_TURN)})")
+_TRAIN_PREFIX = f"concat({_Q_RENDER})"
+
+ORACLE["training_table"] = FX.with_views("""SELECT p.effective_batch, p.micro_batch, p.micro_pos, p.row_id, p.lang,
+  CAST(least(max(len(e.toks)) OVER (PARTITION BY p.micro_batch), 2048) AS INTEGER) AS padded_len,
+  CAST(len(e.toks) - e.r AS INTEGER) AS n_labels
+FROM plan p JOIN ex e ON p.row_id = e.row_id""", "qa", "countries", extra=_QA_PARTS + [
+    ("ex0", f"""SELECT row_id, split_part(subset, '_', 1) AS lang,
+                  regexp_extract_all({_TRAIN_RENDER}, {_CHAT_TOK}) AS toks,
+                  len(regexp_extract_all({_TRAIN_PREFIX}, {_CHAT_TOK})) AS plen FROM qp"""),
+    ("ex", f"""SELECT *, plen + list_position(list_slice(toks, plen + 1, len(toks)), {D.sq(K.RESPONSE_START)}) AS r
+               FROM ex0"""),
+] + _plan_ctes("ex"))
