@@ -409,11 +409,14 @@ _PLAN_CTES = [
 ]
 
 
-@query("batch_plan", """SELECT effective_batch,
+_PLAN_SELECT = """SELECT effective_batch,
   effective_batch * CAST(ceil(batch_slots / 8) AS BIGINT) + p // 8 AS micro_batch, p % 8 AS micro_pos, lang, row_id, cycle
 FROM (SELECT *, row_number() OVER (PARTITION BY effective_batch
         ORDER BY md5(concat_ws('|', 42, 'batch', effective_batch, lang, slot)), lang, slot) - 1 AS p
-      FROM (SELECT *, d // slots AS effective_batch, d % slots AS slot FROM drawn WHERE d < batches * slots) t) u""",
+      FROM (SELECT *, d // slots AS effective_batch, d % slots AS slot FROM drawn WHERE d < batches * slots) t) u"""
+
+
+@query("batch_plan", _PLAN_SELECT,
        ["docs"], _ALLOC_SQL + _PLAN_CTES)
 def q_batch_plan(spark, sf):
     return BT.batch_plan(FX.docs(spark, sf), 8, 8)
@@ -982,8 +985,6 @@ def _plan_ctes(src: str) -> list:
     return ctes
 
 
-_PLAN_SELECT = ORACLE["batch_plan"].split("\nSELECT effective_batch,", 1)[1]
-_PLAN_SELECT = "SELECT effective_batch," + _PLAN_SELECT
 
 _TRAIN_RENDER = (f"concat({_Q_RENDER}, {D.sq(K.START_TURN + K.CHATBOT_TOKEN + K.RESPONSE_START)}, "
                  f"{_MARK}, ' ', output, {D.sq(K.RESPONSE_END + K.END_TURN)})")
