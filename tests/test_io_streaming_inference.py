@@ -114,3 +114,17 @@ def test_inference_raise_mode(spark):
     always = INF.failing_predictor(lambda b: True, INF.echo_predictor())
     with pytest.raises(Exception, match="simulated generation failure"):
         INF.batch_infer(qa, always, on_error="raise").collect()
+
+
+def test_stream_scoring_resumes_from_checkpoint(spark, scratch):
+    gen = FX.gen(spark, SF001)
+    first, second = gen.where("row_id % 2 = 0"), gen.where("row_id % 2 = 1")
+    src, out, ck = scratch("rs-in"), scratch("rs-out"), scratch("rs-ck")
+    first.repartition(2).write.parquet(src)
+    stream_scoring(spark, src, out, ck, gen.schema)
+    n1 = spark.read.parquet(out).count()
+    second.repartition(2).write.mode("append").parquet(src)
+    stream_scoring(spark, src, out, ck, gen.schema)  # restart: only the new files are scored
+    done = spark.read.parquet(out)
+    assert n1 == first.count() and done.count() == gen.count()
+    assert {tuple(r) for r in done.collect()} == {tuple(r) for r in score_answers(clean_generation(gen)).collect()}
