@@ -151,3 +151,14 @@ def test_strict_params_fail(spark):
     df = spark.createDataFrame([("{bad",)], "p string")
     with pytest.raises(Exception):
         df.select(PR.parse_params("p", strict=True)).collect()
+
+
+def test_strip_and_split_random_unicode(spark):
+    import random
+    rng = random.Random(11)
+    pool = list(K.PY_WHITESPACE) + list("ab éßİ中​﻿_-")
+    samples = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r.i: (r.st, list(r.w)) for r in df.select("i", TX.py_strip("s").alias("st"), TX.words("s").alias("w")).collect()}
+    for i, s in enumerate(samples):
+        assert got[i] == (s.strip(), s.split()), repr(s)
