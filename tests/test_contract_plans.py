@@ -101,3 +101,14 @@ def test_single_partition_windows_only_on_language_tables(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_materialised_tables_live_under_checkpoint_dir(spark):
+    import glob
+    import os
+
+    from babelqa.operators.ranking import with_row_id
+    base = spark.conf.get("spark.checkpoint.dir").replace("file:", "")
+    before = set(glob.glob(os.path.join(base, "babelqa-ranked-*")))
+    with_row_id(spark.range(10), ["id"]).collect()
+    assert len(set(glob.glob(os.path.join(base, "babelqa-ranked-*"))) - before) == 1
