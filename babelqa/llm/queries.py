@@ -12,7 +12,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_digest
+    return dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
