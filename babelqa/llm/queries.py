@@ -17,7 +17,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("t")
+
+
 QUERIES = {
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
@@ -49,3 +55,28 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(comp.top, s.do
        coalesce(comp.top, s.doc_id) = s.doc_id AS kept
 FROM sets s LEFT JOIN member m ON m.doc_id = s.doc_id LEFT JOIN comp ON comp.node = m.c
 """
+
+# Masks as in decontaminate.SEEDS, offsets of their ones; 12 words, 6 around, 80 percent.
+ORACLE["op10_benchmark_decontamination"] = r"""
+WITH masks AS (SELECT * FROM (VALUES (1, [0, 1, 2, 4, 5, 7, 10, 11]), (2, [0, 1, 3, 6, 7, 9, 10, 11]),
+                                     (3, [0, 2, 3, 5, 6, 7, 8, 11])) m(id, o)),
+texts AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS g FROM benchmark),
+short AS (SELECT DISTINCT len(g) AS n FROM items WHERE len(g) BETWEEN 5 AND 11),
+at_doc AS (SELECT doc_id, h, unnest(range(0, len(h) - 11)) AS p FROM texts WHERE len(h) >= 12),
+at_item AS (SELECT item_id, g, unnest(range(0, len(g) - 11)) AS q FROM items WHERE len(g) >= 12),
+doc_seeds AS (SELECT doc_id, h, p, id, list_transform(o, lambda k: h[p + k + 1]) AS key FROM at_doc, masks),
+item_seeds AS (SELECT item_id, g, q, id, list_transform(o, lambda k: g[q + k + 1]) AS key FROM at_item, masks),
+short_doc AS (SELECT doc_id, h, n, unnest(range(0, len(h) - n + 1)) AS p FROM texts, short WHERE len(h) >= n),
+hits AS (
+  SELECT DISTINCT doc_id, h, item_id, g, p, q, 12 AS span FROM doc_seeds JOIN item_seeds USING (id, key)
+  UNION ALL
+  SELECT DISTINCT doc_id, h, item_id, g, p, 0, n FROM short_doc JOIN items ON len(g) = n AND h[p + 1:p + n] = g),
+sized AS (SELECT *, least(6, p, q) AS a, least(6, len(h) - p - span, len(g) - q - span) AS b FROM hits),
+checked AS (
+  SELECT doc_id, item_id, p, q, a + span + b AS n,
+         list_sum(list_transform(range(0, a + span + b), lambda k: CAST(h[p - a + k + 1] = g[q - a + k + 1] AS INT))) AS m
+  FROM sized)
+SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(m) AS BIGINT) AS matched, CAST(min(p) AS BIGINT) AS first_word
+FROM checked WHERE 100 * m >= 80 * n GROUP BY doc_id, item_id
+"""
