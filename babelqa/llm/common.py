@@ -3,12 +3,12 @@ tables and byte views of Arrow columns."""
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelqa.session import ensure_checkpoint_dir, ship_package
@@ -42,6 +42,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that another written table has replaced."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect garbage, which lets Spark delete the shuffle files of
+    plans that nothing refers to any more (it would do so every 30 minutes)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few fixed-width columns, marked for broadcast only while it has at
+    most ``rows`` rows; a larger one stays for a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def content_key(text) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text (by content key) are in ``bad`` (doc_id, t)."""
+    bad = small_side(written(bad.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "gone"))
+    return docs.join(bad, (content_key(docs["text"]) == F.col("_t")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array and its row offsets (n + 1).
     Null counts as empty. No copy is made of a column without nulls."""
@@ -58,15 +92,3 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
 
 def batches_of(arrays: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arrays[f.name], type=f.type) for f in schema], schema=schema)
-
-
-def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """[start, end) index ranges of equal neighbours."""
-    if len(sorted_values):
-        cuts = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
-        edges = [0, *cuts.tolist(), len(sorted_values)]
-        yield from zip(edges[:-1], edges[1:])
-
-
-def has_letter(column):
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike(r"\p{L}")

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import content_key, without
+
 SPAN = 12
 # Masks of eight words out of twelve.
 SEEDS = ("111011010011", "110100110111", "101101111001")
@@ -74,7 +76,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                    F.col("h").alias("g"))
     n_seeds = item_seeds.count()
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
+    texts = docs.select(F.col(id_col).alias("doc_id"), content_key(text_col).alias("t"),
                         word_hashes(F.col(text_col)).alias("h"))
     if n_seeds <= seed_rows:
         keys = F.broadcast(item_seeds.select("key", "item_id", "q", "item_span"))
@@ -102,6 +104,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which a benchmark item is found; columns as they were."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, (key == F.col("_t")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    return without(docs, contaminated(docs, benchmark))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, runs, prepare, text_bytes, written
+from .common import batches_of, content_key, prepare, small_side, text_bytes, without, written
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -128,8 +128,8 @@ def _documents(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
 
 
 def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, node, n_shingles, bands); node and bands null if empty."""
-    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()),
+    """(doc_id, t, text) -> (doc_id, t, node, n_shingles, bands); node and bands null if empty."""
+    out = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()),
                      ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -141,9 +141,9 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 sizes.append(len(found))
                 nodes.append(node_id(found) if len(found) else None)
                 keys.append(band_keys(make.signature(found), bands, rows) if len(found) else None)
-            yield batches_of({"doc_id": batch.column("doc_id"), "node": nodes, "n_shingles": sizes, "bands": keys}, out)
+            yield batches_of({"doc_id": batch.column("doc_id"), "t": batch.column("t"), "node": nodes, "n_shingles": sizes, "bands": keys}, out)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, node long, n_shingles long, bands array<long>")
 
 
 def packed_texts(docs: DataFrame, width: int) -> DataFrame:
@@ -274,11 +274,12 @@ def star_pairs(signed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS,
                     least: Fraction = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id of its group of
-    near-duplicates), kept (doc_id = component_id)."""
+    """One row per document: doc_id, t (content key), n_shingles, component_id (smallest id of
+    its group of near-duplicates), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), content_key(text_col).alias("t"),
+                       F.col(text_col).cast("string").alias("text"))
     signed = written(sign(docs, width, bands, rows), "signed")
 
     star = written(star_pairs(signed), "star")
@@ -319,7 +320,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = least_id.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     top = low.groupBy("comp").agg(F.min("low").alias("component_id"))
     found = low.join(top, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "node", "n_shingles").join(found, "node", "left")
+    out = signed.select("doc_id", "t", "node", "n_shingles").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """docs without the near-duplicates of another document: of each group the document with
+    the smallest id stays, as one row if its id and text are repeated. Documents without
+    words stay; so do groups in which no document has an id. Columns as they were."""
+    out = without(docs, near_duplicates(docs, **params).where("not kept"))
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = small_side(written(again.select(F.col("doc_id").alias("_d")), "again"))
+    same = docs["doc_id"] == F.col("_d")
+    return out.join(again, same, "left_anti").unionByName(
+        out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

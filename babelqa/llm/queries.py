@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
-    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2).drop("t")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +27,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("t")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_documents
+    return predict_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from .packing import pack_documents
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("word_bpe_49k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from .token_files import round_trip
+    return round_trip(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op6_token_files": op6_token_files,
+    "op2_packing": op2_packing,
+    "op7_language_id": op7_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,

@@ -5,7 +5,7 @@ document included, overlaps count, matches never cross documents).
 
 * Sparse suffix arrays. Each window chooses one suffix inside itself: the leftmost smallest
   hash of PREFIX bytes. The choice depends on the window's bytes alone, so two equal windows
-  choose suffixes with equal prefixes at equal distances, and only about one suffix in 85
+  choose suffixes with equal prefixes at equal distances, and only about one suffix in 70
   has to be indexed. Consecutive windows with one choice form the suffix's *context*.
 * Logarithmic family. A batch of documents gets a suffix array: one entry per distinct
   suffix prefix, sorted by its 64-bit hash, with the smallest and largest context hash and
@@ -14,9 +14,11 @@ document included, overlaps count, matches never cross documents).
   like carries of a binary counter, so n batches cost log2(n) rewrites of an entry.
 * Long matches. A prefix met once holds no repeat. Met more often with one context, every
   window of that context repeats. Else the contexts differ somewhere: contexts met twice
-  repeat whole, and one copy of each distinct context is cut into short runs of windows.
-  Equal runs repeat whole; runs that share only their core are compared window by window.
-  That settles every window exactly, up to 128-bit hash equality.
+  repeat whole, and one copy of each distinct context is compared with the others of its
+  prefix, window by window, in a task. Prefixes with more than GROUP distinct contexts are
+  not gathered: their contexts are cut into short runs of windows, equal runs repeat whole,
+  and runs that share only their core are compared window by window, in shuffles that
+  aggregate first. Both ways settle every window.
 
 Nothing is emitted per pair. Copies of a text count at most twice per task, which is all
 "anywhere else" asks. Contexts of long documents may be cut where blocks meet; they then
@@ -29,6 +31,7 @@ rows are separate documents; ids may be null or repeated (texts are keyed by con
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +41,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, prepare, text_bytes, written
+from .common import batches_of, drop, prepare, release, text_bytes, written
 
 WINDOW = 200
-PREFIX = 32
+PREFIX = 64
 BATCHES = 4
-RUN = 12               # windows that are compared through one core
+GROUP = 2000           # distinct contexts of one suffix prefix that are compared in one task
+RUN = 12               # windows that are compared through one core, in larger groups
 BLOCK_BYTES = 1 << 21
 POSITION_BITS = 24     # positions inside a block
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -51,18 +55,20 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 
 def _prefix_hashes(x: np.ndarray) -> np.ndarray:
-    """Hash of the PREFIX (32) bytes from each position."""
+    """Hash of the PREFIX bytes from each position."""
     word = x.astype(np.uint64)
     for step in (1, 2, 4):
         word = word[:-step] | (word[step:] << np.uint64(8 * step))
     word = word * MIX[0]
     word ^= word >> np.uint64(32)
-    n = len(word) - 24
+    n = len(word) - PREFIX + 8
     mixed = word[:n] * MIX[1]
-    for k in (1, 2, 3):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX[1 + k] + word[8 * k:8 * k + n]
+    for k in range(8, PREFIX, 8):
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= MIX[2 + k // 8 % 4]
+        mixed += word[k:k + n]
     mixed ^= mixed >> np.uint64(31)
-    mixed *= MIX[5]
+    mixed *= MIX[6]
     return mixed ^ (mixed >> np.uint64(30))
 
 
@@ -191,6 +197,8 @@ class LevelFamily:
         if level == len(self.levels):
             self.levels.append(None)
         self.levels[level] = new if staying and not carry else self._array(new)
+        for old in carry:       # its entries are in the new level now
+            drop(old)
 
     def repeated(self) -> DataFrame:
         parts = [x.where("n > 1").select("key", "low", "high") for x in self.levels if x is not None] + self.matches
@@ -218,44 +226,94 @@ def packed_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, ddl)
 
 
-RUNS = pa.schema([("core1", pa.int64()), ("core2", pa.int64()), ("left", pa.binary()), ("right", pa.binary()),
-                  ("first", pa.int32()), ("t", pa.int64()), ("size", pa.int32()), ("place", pa.int64()),
-                  ("single", pa.bool_())])
+CONTEXTS = pa.schema([("key", pa.int64()), ("bytes", pa.binary()), ("lead", pa.int32()), ("t", pa.int64()),
+                      ("size", pa.int32()), ("place", pa.int64()), ("single", pa.bool_())])
 
 
-def context_runs(rows: DataFrame, window: int) -> DataFrame:
-    """(t, size, packed, contexts: list of (place, single)) -> one row per run: the windows of
-    a context whose chosen suffix stands q*RUN .. q*RUN+RUN-1 bytes inside them. All of them
-    hold the run's core (its hash is kept); what sticks out on either side is kept as is, so
-    the windows can be told apart later without the text. ``first`` is the smallest distance
-    in the run, minus q*RUN; ``place`` is the run's."""
+def context_bytes(rows: DataFrame, window: int) -> DataFrame:
+    """(t, size, packed, contexts: list of (place, key, single)) -> one row per context with
+    its bytes; ``lead`` is where its chosen suffix starts in them."""
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
         mask = np.uint64((1 << POSITION_BITS) - 1)
-        span, core_size = window - PREFIX + 1, window - RUN + 1
         for batch in batches:
-            found: list[tuple] = []
+            found = []
             for t, size, packed, contexts in zip(*(batch.column(c) for c in ("t", "size", "packed", "contexts"))):
                 text, t, size = press.decompress(packed.as_py()), t.as_py(), size.as_py()
                 raw = np.frombuffer(text, np.uint8)
                 for c in contexts.as_py():
                     low, n = divmod(c["place"], 256)
-                    prefix = _prefix_hashes(raw[low:low + span + PREFIX - 1])
-                    suffix = low + int(np.argmin(prefix & ~mask))
-                    near, far = suffix - (low + n - 1), suffix - low      # distances of the last and first window
-                    for q in range(near // RUN, far // RUN + 1):
-                        d0, d1 = max(near, q * RUN), min(far, q * RUN + RUN - 1)
-                        core = suffix - q * RUN
-                        one = xxhash.xxh3_128_digest(text[core:core + core_size], seed=q)
-                        found.append((one, text[suffix - d1:core], text[core + core_size:suffix - d0 + window],
-                                      d0 - q * RUN, t, size, (suffix - d1) * 256 + d1 - d0 + 1, c["single"]))
+                    lead = int(np.argmin(_prefix_hashes(raw[low:low + window]) & ~mask))
+                    found.append((c["key"], text[low:low + n + window - 1], lead, t, size, c["place"], c["single"]))
+            yield batches_of(dict(zip(CONTEXTS.names, zip(*found))) if found else {n: [] for n in CONTEXTS.names}, CONTEXTS)
+
+    return rows.mapInArrow(run, "key long, bytes binary, lead int, t long, size int, place long, single boolean")
+
+
+PLACES = pa.schema([("t", pa.int64()), ("size", pa.int32()), ("place", pa.int64())])
+
+
+def compared_in_groups(contexts: DataFrame, window: int) -> DataFrame:
+    """Contexts sorted by key -> (t, size, place) of the windows of single contexts that
+    another context of the key holds too. One key's contexts are held at a time."""
+
+    def places(group: list[tuple]):
+        met = Counter(c[0][p:p + window] for c in group for p in range(len(c[0]) - window + 1))
+        for text, t, size, place, single in group:
+            if single:
+                hit = np.array([met[text[p:p + window]] > 1 for p in range(len(text) - window + 1)], np.int8)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).tolist()
+                for a, b in zip(edge[::2], edge[1::2]):
+                    yield t, size, (place // 256 + a) * 256 + b - a
+
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            found = []
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "bytes", "t", "size", "place", "single"))):
+                if k != key:
+                    found += places(group)
+                    key, group = k, []
+                group.append(tuple(row))
+            yield batches_of(dict(zip(PLACES.names, zip(*found))) if found else {n: [] for n in PLACES.names}, PLACES)
+        found = list(places(group))
+        yield batches_of(dict(zip(PLACES.names, zip(*found))) if found else {n: [] for n in PLACES.names}, PLACES)
+
+    return contexts.mapInArrow(run, "t long, size int, place long")
+
+
+RUNS = pa.schema([("core1", pa.int64()), ("core2", pa.int64()), ("left", pa.binary()), ("right", pa.binary()),
+                  ("first", pa.int32()), ("t", pa.int64()), ("size", pa.int32()), ("place", pa.int64()),
+                  ("single", pa.bool_())])
+
+
+def context_runs(contexts: DataFrame, window: int) -> DataFrame:
+    """Contexts -> one row per run: the windows of a context whose chosen suffix stands
+    q*RUN .. q*RUN+RUN-1 bytes inside them. All of them hold the run's core (its hash is
+    kept); what sticks out on either side is kept as is, so the windows can be told apart
+    later. ``first`` is the smallest distance in the run, minus q*RUN; ``place`` the run's."""
+
+    def run(batches):
+        core_size = window - RUN + 1
+        for batch in batches:
+            found: list[tuple] = []
+            for text, lead, t, size, place, single in zip(*(
+                    batch.column(c).to_pylist() for c in ("bytes", "lead", "t", "size", "place", "single"))):
+                low, n = divmod(place, 256)
+                near, far = lead - (n - 1), lead      # distances of the last and the first window
+                for q in range(near // RUN, far // RUN + 1):
+                    d0, d1 = max(near, q * RUN), min(far, q * RUN + RUN - 1)
+                    core = lead - q * RUN
+                    found.append((xxhash.xxh3_128_digest(text[core:core + core_size], seed=q), text[lead - d1:core],
+                                  text[core + core_size:lead - d0 + window], d0 - q * RUN, t, size,
+                                  (low + lead - d1) * 256 + d1 - d0 + 1, single))
             core = np.frombuffer(b"".join(f[0] for f in found), np.int64).reshape(-1, 2)
             rest = dict(zip(RUNS.names[2:], list(zip(*found))[1:])) if found else {n: [] for n in RUNS.names[2:]}
             yield batches_of(rest | {"core1": core[:, 0], "core2": core[:, 1]}, RUNS)
 
-    return rows.mapInArrow(run, "core1 long, core2 long, left binary, right binary, first int, t long, size int, "
-                                "place long, single boolean")
+    return contexts.mapInArrow(run, "core1 long, core2 long, left binary, right binary, first int, t long, size int, "
+                                    "place long, single boolean")
 
 
 def repeated_in_contexts(runs: DataFrame) -> DataFrame:
@@ -296,16 +354,21 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     contexts = (met.where("mixed").groupBy("key", "context")
                 .agg(F.count("*").alias("n"), F.min(F.struct("t", "size", "place")).alias("first")))
     contexts = written(contexts, "contexts")
+    release(docs.sparkSession)
     one_text = contexts.groupBy("first.t", "first.size").agg(F.collect_list(F.struct(
-        F.col("first.place").alias("place"), (F.col("n") == 1).alias("single"))).alias("contexts"))
+        F.col("first.place").alias("place"), "key", (F.col("n") == 1).alias("single"))).alias("contexts"))
     texts = packed_rows(docs.where(F.octet_length("text") >= window), []).dropDuplicates(["t", "size"])
-    cut = written(context_runs(texts.join(one_text, ["t", "size"]), window), "runs")
+    cut = written(context_bytes(texts.join(one_text, ["t", "size"]), window), "cut")
+    release(docs.sparkSession)
+    large = contexts.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("key")
+    small = compared_in_groups(cut.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key"), window)
+    runs = written(context_runs(cut.join(large, "key", "left_semi"), window), "runs")
 
     place = ["t", "size", "place"]
     whole = met.where("not mixed").select(*place)
     copied = met.where("mixed").join(contexts.where("n > 1").select("key", "context"), ["key", "context"]).select(*place)
-    return (whole.unionByName(copied).unionByName(repeated_in_contexts(cut))
-            .groupBy("t", "size").agg(F.collect_set("place").alias("places")))
+    found = whole.unionByName(copied).unionByName(small).unionByName(repeated_in_contexts(runs))
+    return found.groupBy("t", "size").agg(F.collect_set("place").alias("places"))
 
 
 def removed_spans(places: np.ndarray, window: int) -> np.ndarray:
@@ -372,3 +435,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     others = [c for c in columns if c != text_col]
     docs = docs.withColumn("has_text", F.col("text").isNotNull())
     return with_spans(docs, [*others, "has_text"], window, batches).drop("t", "size").mapInArrow(run, schema)
+
+
+def keep_after_repeats(docs: DataFrame) -> DataFrame:
+    """Documents with their repeated passages cut out and n_chars brought up to date; those
+    that lose all but white space go, those that were empty before stay."""
+    cut = remove_repeats(docs.withColumn("_blank", ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")))
+    out = cut.where(F.col("_blank") | F.col("text").rlike(r"\S"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
