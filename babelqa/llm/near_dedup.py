@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, content_key, prepare, small_side, text_bytes, without, written
+from .common import batches_of, content_key, prepare, release, small_side, text_bytes, without, written
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -46,6 +46,7 @@ BANDS, ROWS = 32, 5
 SLOTS = 1 << 20
 SEED = 20
 QUERY_BLOCK, MEMBER_BLOCK = 256, 512   # rows of a block comparison
+WANTED_ROWS = 2_000_000                # node ids (8 bytes) that may be broadcast; more are joined in a shuffle
 CACHE_WORDS = 1 << 19                  # hashes of words a Python worker remembers
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -283,9 +284,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(sign(docs, width, bands, rows), "signed")
 
     star = written(star_pairs(signed), "star")
-    wanted = star.select("node").union(star.select("hub")).distinct()
+    release(spark)
+    wanted = small_side(written(star.select("node").union(star.select("hub")).distinct(), "wanted"), WANTED_ROWS)
     texts = packed_texts(docs.select("text"), width).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = written(unpacked_sets(texts, width), "sets")
+    release(spark)
 
     of = lambda name, col: sets.select(F.col("node").alias(name), F.col("members").alias(col))
     pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b"))
