@@ -42,7 +42,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return round_trip(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
     "op2_packing": op2_packing,
     "op7_language_id": op7_language_id,
