@@ -47,7 +47,21 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+# Conversation -7: both turns hold the template's own marks.
+PROBE = r"""
+SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text
+FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)
+"""
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import round_trip
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return round_trip(rows.unionByName(spark.sql(PROBE)))
+
+
 QUERIES = {
+    "op8_chat_formatting": op8_chat_formatting,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
     "op2_packing": op2_packing,
@@ -109,3 +123,21 @@ checked AS (
 SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(m) AS BIGINT) AS matched, CAST(min(p) AS BIGINT) AS first_word
 FROM checked WHERE 100 * m >= 80 * n GROUP BY doc_id, item_id
 """
+
+# A turn that holds a mark is flagged and escaped: backslash, "<" and "#" take one more place.
+ORACLE["op8_chat_formatting"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+sized AS (
+  SELECT *, CASE WHEN contains(text, '### ') OR contains(text, '</turn>')
+            THEN 1 + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) ELSE length(text) END AS body,
+         length(role) + length(regexp_replace(role, '[^\\<#:!\n]', '', 'g')) AS head FROM rows),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         CAST(sum(body + head + 14) AS BIGINT) AS formatted_chars
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM joined
+"""
