@@ -60,7 +60,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(rows.unionByName(spark.sql(PROBE)))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op4_license_scan": op4_license_scan,
     "op8_chat_formatting": op8_chat_formatting,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_token_files": op6_token_files,
