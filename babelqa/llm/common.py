@@ -73,7 +73,7 @@ def content_key(text) -> Column:
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs without the rows whose id and text (by content key) are in ``bad`` (doc_id, t)."""
     bad = small_side(written(bad.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "gone"))
-    return docs.join(bad, (content_key(docs["text"]) == F.col("_t")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    return docs.join(bad, (content_key(docs["text"]) == bad["_t"]) & docs["doc_id"].eqNullSafe(bad["_d"]), "left_anti")
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

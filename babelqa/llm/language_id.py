@@ -163,8 +163,7 @@ def identify(docs: DataFrame, labelled: Column, columns: list[str], bound: int =
     prepare(spark)
     x, langs = training_rows(docs, labelled, bound)
     model = spark.sparkContext.broadcast(Hierarchy(x, langs) if langs else None)
-    fields = [docs.schema[c] for c in columns]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         for batch in batches:
@@ -180,7 +179,7 @@ def identify(docs: DataFrame, labelled: Column, columns: list[str], bound: int =
             arrays = [batch.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, ddl)
+    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,5 +197,8 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs whose language can be told; ``lang`` becomes the predicted one."""
-    found = identify(docs, ~held_out(F.col("doc_id")), docs.columns).where(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    rest = F.struct(*(F.lit(None).cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(rest.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    found = identify(rows, ~held_out(F.col("doc_id")), ["row", "text"]).where(F.col("lang_pred") != UNKNOWN)
+    row = F.col("row").withField("text", F.col("text")).withField("lang", F.col("lang_pred"))
+    return found.select(row.alias("row")).select("row.*")

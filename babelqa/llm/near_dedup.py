@@ -336,6 +336,6 @@ def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
     out = without(docs, near_duplicates(docs, **params).where("not kept"))
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     again = small_side(written(again.select(F.col("doc_id").alias("_d")), "again"))
-    same = docs["doc_id"] == F.col("_d")
+    same = docs["doc_id"] == again["_d"]
     return out.join(again, same, "left_anti").unionByName(
         out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

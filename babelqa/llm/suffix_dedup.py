@@ -210,8 +210,7 @@ class LevelFamily:
 
 def packed_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs -> the given columns, then (t, size, packed): content key and compressed text."""
-    fields = [docs.schema[c] for c in columns]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["t long", "size int", "packed binary"])
+    schema = docs.select(*columns).schema.add("t", "long").add("size", "integer").add("packed", "binary")
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -223,7 +222,7 @@ def packed_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
                 pa.array(text_keys(raw, at)), pa.array(np.diff(at).astype(np.int32)), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "t", "size", "packed"])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, ddl)
+    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, schema)
 
 
 CONTEXTS = pa.schema([("key", pa.int64()), ("bytes", pa.binary()), ("lead", pa.int32()), ("t", pa.int64()),
@@ -416,9 +415,10 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """docs with the repeated bytes cut out of ``text_col`` (a character that loses a byte
     goes whole); other columns stay. Null text stays null."""
-    columns = docs.columns
-    schema = docs.schema
-    docs = docs.withColumnRenamed(text_col, "text")
+    rest = F.struct(*(F.lit(None).cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(rest.alias("row"), F.col(text_col).isNotNull().alias("has_text"),
+                       F.col(text_col).cast("string").alias("text"))
+    schema = rows.select("row").schema.add("kept", "string")
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
@@ -429,17 +429,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
                 if places.is_valid:
                     raw = cut_spans(raw, removed_spans(places.values.to_numpy(), window))
                 texts.append(raw.decode("utf-8", "ignore") if text else None)
-            arrays = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
 
-    others = [c for c in columns if c != text_col]
-    docs = docs.withColumn("has_text", F.col("text").isNotNull())
-    return with_spans(docs, [*others, "has_text"], window, batches).drop("t", "size").mapInArrow(run, schema)
+    cut = with_spans(rows, ["row", "has_text"], window, batches).drop("t", "size").mapInArrow(run, schema)
+    return cut.select(F.col("row").withField(text_col, F.col("kept")).alias("row")).select("row.*")
 
 
 def keep_after_repeats(docs: DataFrame) -> DataFrame:
     """Documents with their repeated passages cut out and n_chars brought up to date; those
     that lose all but white space go, those that were empty before stay."""
-    cut = remove_repeats(docs.withColumn("_blank", ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")))
-    out = cut.where(F.col("_blank") | F.col("text").rlike(r"\S"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rest = F.struct(*(F.lit(None).cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    before = docs.select(rest.alias("row"), "text", F.coalesce(F.col("text"), F.lit("")).rlike(r"\S").alias("said"))
+    cut = remove_repeats(before).where(~F.col("said") | F.col("text").rlike(r"\S"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(row.alias("row")).select("row.*")
