@@ -100,7 +100,7 @@ class Packer:
 
     def _sequence(self) -> list[Example]:
         left, out = self.limits.copy(), []
-        while self.held and (left > 0).all():
+        while self.held and left[0] > 0 and left[1] > 0:
             used = self.sizes[:, 1] > 0
             fits = used & (self.sizes <= left).all(axis=1)
             if left[1] == 1:     # the last segment has to fill the sequence
