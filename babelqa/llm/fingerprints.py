@@ -35,33 +35,43 @@ TRIES = 12
 BIN_SHIFT = 64 - (BINS.bit_length() - 1)
 
 
-def _bin(x: Column) -> Column:
-    return (F.shiftright(x, BIN_SHIFT) + F.lit(BINS // 2)).cast("int")
+LAST = (1 << BIN_SHIFT) - 1     # the largest hash of a bin marks it empty
+
+
+def _same_bin(x: Column, y: Column) -> Column:
+    return F.shiftrightunsigned(x.bitwiseXOR(y), BIN_SHIFT) == 0
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the fingerprint of a (non-null) text column."""
+    """df with the fingerprint of a (non-null) text column.
+
+    The hashes are sorted together with the last hash of every bin, so the first of each bin
+    is its smallest hash or the mark of an empty one, and the bins come out in order."""
     keep = df.columns
     df = df.withColumn("_w", F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
     n = F.size("_h")
     five = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS),
                        lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(SHINGLE_WORDS))))
-    df = df.withColumn("_s", F.sort_array(
-        F.when(n >= SHINGLE_WORDS, five).when(n > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))))
-    df = df.drop("_h").withColumn("_m", F.filter(
-        "_s", lambda x, i: (i == 0) | (_bin(x) != _bin(F.get("_s", i - 1))))).drop("_s")
-    df = df.withColumn("_b", F.map_from_arrays(F.transform("_m", _bin), F.col("_m")))
-    df = df.withColumn("_o", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.try_element_at("_b", k))).drop("_b")
-
-    def filled(own: Column, k: Column) -> Column:
-        draws = [F.get("_o", F.pmod(F.xxhash64(k, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(TRIES)]
-        last = F.array_min(F.transform("_m", lambda x: F.struct(F.xxhash64(k, F.lit(TRIES), _bin(x)).alias("r"), x.alias("x"))))
-        return F.coalesce(own, *draws, last["x"])
-
-    digits = F.transform(F.transform("_o", filled),
-                         lambda x, k: F.hex(F.xxhash64(x, k).bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
-    return df.withColumn(out, F.when(F.size("_m") > 0, F.array_join(digits, "")).otherwise(F.lit(""))).select(*keep, out)
+    found = F.when(n >= SHINGLE_WORDS, five).when(n > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))
+    marks = F.array(*(F.lit(((k - BINS // 2) << BIN_SHIFT) | LAST) for k in range(BINS)))
+    df = df.withColumn("_e", n == 0).withColumn("_s", F.sort_array(F.concat(found, marks))).drop("_h")
+    df = df.withColumn("_o", F.filter("_s", lambda x, i: (i == 0) | ~_same_bin(x, F.get("_s", i - 1)))).drop("_s")
+
+    def full(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(LAST)) != F.lit(LAST)
+
+    def value(own: Column, k: Column) -> Column:
+        draws = [F.get("_o", F.xxhash64(k, F.lit(t)).bitwiseAND(F.lit(BINS - 1)).cast("int")) for t in range(TRIES)]
+        last = F.array_min(F.transform(F.filter("_o", full), lambda x: F.struct(
+            F.xxhash64(k, F.lit(TRIES), F.shiftright(x, BIN_SHIFT)).alias("r"), x.alias("x"))))
+        case = F.when(full(own), own)
+        for draw in draws:
+            case = case.when(full(draw), draw)
+        return case.otherwise(last["x"])
+
+    code = F.transform("_o", lambda own, k: F.hex(F.xxhash64(value(own, k), k).bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
+    return df.withColumn(out, F.when(F.col("_e"), F.lit("")).otherwise(F.array_join(code, ""))).select(*keep, out)
 
 
 def likeness(a: str, b: str) -> Column:
