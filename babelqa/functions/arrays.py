@@ -62,6 +62,24 @@ def find_subarray(ids, needle, start) -> Column:
     return F.when((last >= st) & (F.size(cand) > 0), F.element_at(cand, 1))
 
 
+def response_start(tokens, prefix_len, marker) -> Column:
+    """Position behind the first response marker at or after ``prefix_len`` (where the final
+    assistant turn starts); NULL when it is absent."""
+    nd = F.array(*[F.lit(x) for x in marker]) if isinstance(marker, (list, tuple)) else _col(marker)
+    return find_subarray(tokens, nd, prefix_len) + F.size(nd)
+
+
+def mask_before(ids, start, ignore: int = IGNORE_INDEX, strict: bool = True) -> Column:
+    """Labels: ``ignore`` before ``start``, the ids from there on. A NULL start fails the
+    query when ``strict``."""
+    a, r = _col(ids), _col(start)
+    masked = F.concat(F.array_repeat(F.lit(ignore), r), F.slice(a, r + 1, F.greatest(F.size(a) - r, F.lit(0))))
+    if not strict:
+        return masked
+    return F.when(r.isNotNull(), masked).otherwise(
+        F.raise_error(F.lit("response marker not found in the final assistant turn")).cast("array<int>"))
+
+
 def label_mask(ids, prefix_len, marker_ids, ignore: int = IGNORE_INDEX, strict: bool = True,
                search=None) -> Column:
     """Training labels of one example: every id up to the end of the first response
@@ -70,14 +88,7 @@ def label_mask(ids, prefix_len, marker_ids, ignore: int = IGNORE_INDEX, strict:
     ``search`` is an array aligned with ``ids`` to look for the marker in (e.g. the
     token strings when the marker is given as text); default ``ids``."""
     a = _col(ids)
-    nd = F.array(*[F.lit(x) for x in marker_ids]) if isinstance(marker_ids, (list, tuple)) else _col(marker_ids)
-    pos = find_subarray(a if search is None else _col(search), nd, prefix_len)
-    r = pos + F.size(nd)
-    masked = F.concat(F.array_repeat(F.lit(ignore), r), F.slice(a, r + 1, F.greatest(F.size(a) - r, F.lit(0))))
-    if not strict:
-        return masked
-    return F.when(pos.isNotNull(), masked).otherwise(
-        F.raise_error(F.lit("response marker not found in the final assistant turn")).cast("array<int>"))
+    return mask_before(a, response_start(a if search is None else _col(search), prefix_len, marker_ids), ignore, strict)
 
 
 def attention_ones(ids) -> Column:

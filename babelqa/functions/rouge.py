@@ -1,9 +1,10 @@
 """ROUGE building blocks.
 
-Tokenisation is a JVM expression. Stemming and the longest common subsequence are small
-per-row helpers run through Arrow (pandas) UDFs: the stemmer caches each word once per
-worker, the LCS is bit-parallel (Allison & Dix 1986; Hyyro 2004), so a pair of long texts
-costs about ``len(a) * len(b) / 64`` word operations instead of a full DP table.
+Tokenisation and ROUGE-1 are JVM expressions. Words are stemmed once per distinct word of a
+vocabulary (``operators.scoring.stem_vocab``); what is left for Arrow is the longest common
+subsequence of two id arrays, bit-parallel (Allison & Dix 1986; Hyyro 2004), so a pair of long
+texts costs about ``len(a) * len(b) / 64`` word operations instead of a full DP table, and
+Python's rounding of the reported values.
 """
 
 from __future__ import annotations
@@ -26,16 +27,6 @@ def rouge_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), 0)
 
 
-def stem_list(tokens) -> list:
-    return [stem(t) if len(t) > 3 else t for t in tokens]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(s: pd.Series) -> pd.Series:
-    """Stem every token longer than 3 characters."""
-    return pd.Series([None if t is None else stem_list(t) for t in s])
-
-
 @F.pandas_udf(T.StringType())
 def stem_word(s: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else (stem(w) if len(w) > 3 else w) for w in s])
@@ -58,20 +49,6 @@ def lcs_length(a, b) -> int:
     return len(b) - bin(v).count("1")
 
 
-def overlap_count(a, b) -> int:
-    """Clipped unigram overlap (multiset intersection size)."""
-    ca: dict = {}
-    for t in a:
-        ca[t] = ca.get(t, 0) + 1
-    n = 0
-    for t in b:
-        k = ca.get(t, 0)
-        if k:
-            n += 1
-            ca[t] = k - 1
-    return n
-
-
 def f_measure(overlap: int, n_pred: int, n_ref: int, empty_zero: bool) -> float:
     """F1 computed in the scorer's operation order."""
     if empty_zero and (n_pred == 0 or n_ref == 0):
@@ -81,37 +58,38 @@ def f_measure(overlap: int, n_pred: int, n_ref: int, empty_zero: bool) -> float:
     return 2 * p * r / (p + r) if p + r > 0 else 0.0
 
 
+def in_order(ids, places) -> list:
+    """The id sequence of a text, from the places of each id in it."""
+    out = [0] * sum(map(len, places))
+    for i, own in zip(ids.tolist(), places):
+        for p in own.tolist():
+            out[p] = i
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b)],
-                     dtype="Int32")
+def lcs_udf(ids: pd.Series, gen: pd.Series, gold: pd.Series) -> pd.Series:
+    return pd.Series([lcs_length(in_order(i, g), in_order(i, r)) for i, g, r in zip(ids, gen, gold)], dtype="int32")
 
 
 STATS_TYPE = T.StructType([
-    T.StructField("overlap", T.IntegerType()), T.StructField("lcs", T.IntegerType()),
-    T.StructField("n_gen", T.IntegerType()), T.StructField("n_gold", T.IntegerType()),
     T.StructField("rouge1_f1", T.DoubleType()), T.StructField("rougeL_f1", T.DoubleType()),
     T.StructField("score", T.DoubleType()),
 ])
 
 
-def rouge_stats_udf(w_r1: float = 0.5, w_rl: float = 0.5, stem: bool = False):
-    """Arrow UDF (gen_tokens, gold_tokens) -> struct of counts and 4-place F values
-    (rounded the Python way; the combined score uses the unrounded F values). With
-    ``stem`` the tokens are stemmed inside the same Python pass."""
+def rouge_stats_udf(w_r1: float = 0.5, w_rl: float = 0.5):
+    """Arrow UDF (ids, their places in both texts, overlap) -> 4-place F values and score (rounded the
+    Python way; the score uses the unrounded F values)."""
 
     @F.pandas_udf(STATS_TYPE)
-    def rouge_stats(gen: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    def rouge_stats(ids: pd.Series, gen: pd.Series, gold: pd.Series, overlap: pd.Series) -> pd.DataFrame:
         rows = []
-        for g, r in zip(gen, gold):
-            g = [] if g is None else list(g)
-            r = [] if r is None else list(r)
-            if stem:
-                g, r = stem_list(g), stem_list(r)
-            ov, lcs = overlap_count(g, r), lcs_length(g, r)
+        for i, g, r, ov in zip(ids, gen, gold, overlap):
+            g, r = in_order(i, g), in_order(i, r)
             f1 = f_measure(ov, len(g), len(r), empty_zero=False)
-            fl = f_measure(lcs, len(g), len(r), empty_zero=True)
-            rows.append((ov, lcs, len(g), len(r), round(f1, 4), round(fl, 4), round(f1 * w_r1 + fl * w_rl, 4)))
+            fl = f_measure(lcs_length(g, r), len(g), len(r), empty_zero=True)
+            rows.append((round(f1, 4), round(fl, 4), round(f1 * w_r1 + fl * w_rl, 4)))
         return pd.DataFrame(rows, columns=[f.name for f in STATS_TYPE.fields])
 
     return rouge_stats

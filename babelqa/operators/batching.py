@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.arrays import pad_to
+from ..session import measured
 from .ranking import rank_by_hash, running_max, with_row_id
 from .sampling import md5_order
 
@@ -68,49 +69,42 @@ def batch_plan_size(alloc: DataFrame, micro: int, accum: int) -> DataFrame:
         (F.col("batches") * F.ceil(F.col("batch_slots") / F.lit(micro))).cast("long").alias("real_micro_batches"))
 
 
+CYCLE_CHUNK = 4096   # pool cycles that one task generates of one row
+
+
 def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_ALPHA,
-               seed: int = K.DEFAULT_SAMPLE_SEED, lang: str = "lang", key: str = "row_id",
-               max_batches: int | None = None, cycle_chunk: int = 4096) -> DataFrame:
+               seed: int = K.DEFAULT_SAMPLE_SEED, lang: str = "lang", key: str = "row_id") -> DataFrame:
     """Language-stratified batch plan.
 
     Output ``(effective_batch, micro_batch, micro_pos, lang, row_id, cycle)``: every
     effective batch holds ``slots[lang]`` rows of each language, a language's pool is
     used without repeats inside one cycle and reshuffled for the next, each effective
     batch is shuffled and cut into micro-batches of ``micro`` rows (``micro_batch`` is
-    numbered globally). ``max_batches`` keeps only the effective batches a trainer will
-    consume (its step budget); the default is the whole plan.
+    numbered globally).
 
-    A small pool in a long plan repeats each row for many cycles. Rows needing more than
-    ``cycle_chunk`` cycles are first cut into chunks of cycles, the (few) chunk rows are
-    spread over the cluster, and each chunk generates its own cycles - so no single task
-    expands one row millions of times. Large pools take the direct path.
+    The input is read twice: once for the counts per language, once for the rows, which are
+    repeated once per cycle of their pool and written with their hash. A row's cycles are
+    cut into chunks that are spread over the cluster, so a small pool in a long plan does
+    not expand in one task.
     """
     x = df.select(F.col(lang).alias("lang"), F.col(key).alias("row_id"))
     alloc = lang_allocation(x.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), micro * accum, alpha)
     dims = plan_dimensions(alloc, micro, accum)
-    if max_batches is not None:
-        dims = dims.withColumn("batches", F.least(F.col("batches"), F.lit(int(max_batches)).cast("long"))) \
-            .withColumn("cycles", F.ceil(F.col("batches") * F.col("slots") / F.col("n")).cast("long"))
-    dims = dims.select("lang", "n", "slots", "batches", "cycles", "batch_slots")
-    # Small per-language table joined on the language key (AQE broadcasts it after
-    # measuring); each row is repeated once per cycle of its pool.
-    rows = x.join(dims, "lang")
-    direct = rows.where(F.col("cycles") <= cycle_chunk).withColumn(
-        "cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cycles") - 1)))
+    dims = measured(dims.select("lang", "n", "slots", "batches", "cycles", "batch_slots"), "dims")
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    chunked = (rows.where(F.col("cycles") > cycle_chunk)
-               .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                          F.floor((F.col("cycles") - 1) / cycle_chunk).cast("long"))))
-               .repartition(n_parts, "row_id", "_chunk")
-               .withColumn("cycle", F.explode(F.sequence(
-                   F.col("_chunk") * cycle_chunk,
-                   F.least((F.col("_chunk") + 1) * cycle_chunk, F.col("cycles")) - 1)))
-               .drop("_chunk"))
-    rows = direct.unionByName(chunked)
-    rows = rows.withColumn("_h", md5_order(seed, F.col("lang"), F.col("cycle"), F.col("row_id")))
-    ranked = rank_by_hash(rows, ["lang", "cycle"], "_h", ["row_id"], out="_pos")
-    draws = ranked.withColumn("_d", F.col("cycle") * F.col("n") + F.col("_pos")) \
-        .where(F.col("_d") < F.col("batches") * F.col("slots"))
+    rows = (x.join(dims, "lang")
+            .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                       F.floor((F.col("cycles") - 1) / CYCLE_CHUNK).cast("long"))))
+            .repartition(n_parts, "row_id", "_chunk")
+            .withColumn("cycle", F.explode(F.sequence(
+                F.col("_chunk") * CYCLE_CHUNK,
+                F.least((F.col("_chunk") + 1) * CYCLE_CHUNK, F.col("cycles")) - 1))))
+    rows = measured(rows.select("row_id", "lang", "n", "slots", "batches", "batch_slots", "cycle", md5_order(
+        seed, F.col("lang"), F.col("cycle"), F.col("row_id")).alias("_h")), "cycles")
+    # Of the last cycle only the draws that the plan needs are ranked.
+    ranked = rank_by_hash(rows, ["lang", "cycle"], "_h", ["row_id"], out="_pos",
+                          below=F.col("batches") * F.col("slots") - F.col("cycle") * F.col("n"))
+    draws = ranked.withColumn("_d", F.col("cycle") * F.col("n") + F.col("_pos"))
     draws = draws.withColumn("effective_batch", F.floor(F.col("_d") / F.col("slots")).cast("long")) \
         .withColumn("_slot", F.pmod(F.col("_d"), F.col("slots")))
     # Shuffle inside each effective batch (a group of sum(slots) rows).
@@ -144,17 +138,19 @@ def batch_max_len(df: DataFrame, ids: str = "ids", batch: str = "batch",
 
 def pad_batches(df: DataFrame, ids: str = "ids", labels: str | None = None, batch: str = "batch",
                 max_len: int = K.DEFAULT_MAX_SEQ_LEN, pad_id: int | None = 0, eos_id: int | None = None,
-                side: str = "left", overflow: str = "truncate") -> DataFrame:
+                side: str = "left", overflow: str = "error") -> DataFrame:
     """Pad every sequence of a batch to the batch's longest (capped at ``max_len``).
 
     ids get ``pad_id`` (falling back to ``eos_id``), labels get -100, the attention mask
-    is 1 on real tokens and 0 on padding. Sequences longer than the cap keep their
-    first tokens (``overflow='truncate'``) or fail the query (``'error'``). A batch is a
-    handful of rows, so the window per batch is a tiny group.
+    is 1 on real tokens and 0 on padding. A sequence longer than the cap fails the query;
+    with ``overflow='truncate'`` it keeps its first tokens and ``n_cut`` says how many it
+    lost. A batch is a handful of rows, so the window per batch is a tiny group.
     """
     pid = pad_id if pad_id is not None else eos_id
     if pid is None:
         raise ValueError("no pad id and no eos id to fall back to")
+    if overflow not in ("error", "truncate"):
+        raise ValueError(f"overflow must be 'error' or 'truncate', not {overflow!r}")
     lab = labels or "_labels"
     x = df if labels else df.withColumn(lab, F.col(ids))
     target = F.least(F.max(F.size(ids)).over(Window.partitionBy(batch)), F.lit(max_len))
@@ -163,6 +159,8 @@ def pad_batches(df: DataFrame, ids: str = "ids", labels: str | None = None, batc
     if overflow == "error":
         cut_ids = F.when(F.size(ids) > F.col("_L"), F.raise_error(F.lit("sequence longer than max_len"))
                          .cast("array<int>")).otherwise(cut_ids)
+    else:
+        x = x.withColumn("n_cut", F.greatest(F.size(ids) - F.col("_L"), F.lit(0)))
     cut_lab = F.slice(lab, 1, F.col("_L"))
     out = x.withColumn("labels_padded", pad_to(cut_lab, F.col("_L"), K.IGNORE_INDEX, side)) \
         .withColumn("attention_mask", pad_to(F.array_repeat(F.lit(1), F.size(cut_ids)), F.col("_L"), 0, side))
@@ -171,7 +169,7 @@ def pad_batches(df: DataFrame, ids: str = "ids", labels: str | None = None, batc
     same = (F.size(padded) == F.size("labels_padded")) & (F.size(padded) == F.size("attention_mask"))
     out = out.withColumn("input_ids", F.when(same, padded).otherwise(
         F.raise_error(F.lit("padded lengths differ")).cast("array<int>")))
-    out = out.drop("_chk", "_L")
+    out = out.drop("_L")
     if not labels:
         out = out.drop("_labels")
     return out

@@ -1,13 +1,14 @@
 """Batch inference with any predictor, through ``mapInPandas``.
 
-Rows get a dense index and ``batch = index div batch_size``; rows are hash-partitioned
-by batch and sorted, so every batch is contiguous inside one task. Each task builds its
-predictor once (a model handle per task, not per row) and calls it one batch at a time;
-a batch may straddle Arrow record batches, so rows are carried over until the batch id
-changes. A failing batch yields empty answers for its rows plus the error text, and the
-task goes on (``on_error='blank'``), or fails the job (``'raise'``).
-
-A predictor is ``make_predictor() -> predict(batch: pandas.DataFrame) -> list[str]``.
+Every task cuts its own rows into batches of ``batch_size`` as they come; nothing is sorted
+or shuffled for it. Callers who need dense batch numbers in a given order take
+``batching.micro_batches``. Each task builds its predictor once (a model handle per task, not
+per row). A failing batch yields empty answers for its rows plus the error text, and the task
+goes on (``on_error='blank'``), or fails the job (``'raise'``).
+
+A predictor is ``make_predictor() -> predict(batch: pandas.DataFrame) -> list[str]``. The
+result is lazy: an action runs the predictor, so callers that read it twice write it first
+(``session.measured``).
 """
 
 from __future__ import annotations
@@ -15,33 +16,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from .ranking import with_row_id
+from ..session import ship_package
 
 Predictor = Callable[[pd.DataFrame], list]
 
 
 def batch_infer(df: DataFrame, make_predictor: Callable[[], Predictor], batch_size: int = K.DEFAULT_INFER_BATCH,
-                order_col: str = "row_id", on_error: str = "blank", num_partitions: int | None = None,
-                answer_col: str = "answer") -> DataFrame:
-    """Adds ``batch``, ``answer`` and ``error`` (NULL when the batch succeeded)."""
-    x = with_row_id(df, [order_col], out="_idx", key=order_col)
-    x = x.withColumn("batch", F.floor(F.col("_idx") / F.lit(batch_size)).cast("long")).drop("_idx")
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = x.repartition(n, "batch").sortWithinPartitions("batch", order_col)
-    schema = T.StructType(x.schema.fields + [T.StructField(answer_col, T.StringType()),
-                                             T.StructField("error", T.StringType())])
-    cols = x.columns
+                on_error: str = "blank", answer_col: str = "answer") -> DataFrame:
+    """Adds ``batch`` (task number and batch in the task), ``answer`` and ``error`` (NULL when
+    the batch succeeded)."""
+    ship_package(df.sparkSession)
+    schema = T.StructType(df.schema.fields + [T.StructField("batch", T.LongType()), T.StructField(
+        answer_col, T.StringType()), T.StructField("error", T.StringType())])
+    cols = df.columns
 
     def run(it):
-        predict = make_predictor()
+        predict, number = make_predictor(), TaskContext.get().partitionId() << 33
 
         def answer(batch: pd.DataFrame) -> pd.DataFrame:
             out = batch.copy()
+            out["batch"] = number
             try:
                 ans = list(predict(batch))
                 if len(ans) != len(batch):
@@ -53,53 +52,13 @@ def batch_infer(df: DataFrame, make_predictor: Callable[[], Predictor], batch_si
                 out[answer_col], out["error"] = "", f"{type(e).__name__}: {e}"
             return out
 
-        carry = None
+        held = None
         for pdf in it:
-            pdf = pdf[cols]
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf["batch"].iloc[-1]
-            done, carry = pdf[pdf["batch"] != last], pdf[pdf["batch"] == last]
-            for _, b in done.groupby("batch", sort=False):
-                yield answer(b.reset_index(drop=True))
-        if carry is not None and len(carry):
-            for _, b in carry.groupby("batch", sort=False):
-                yield answer(b.reset_index(drop=True))
-
-    return x.mapInPandas(run, schema)
-
-
-# ----------------------------------------------------------- deterministic stubs --
-
-def echo_predictor(question: str = "input", gold: str = "output", tail_words: int = 6) -> Callable[[], Predictor]:
-    """Stand-in model: echoes the question, gives the gold answer and then repeats the
-    gold answer's last ``tail_words`` words (an echo plus degenerate repetition, which
-    the cleanup steps must remove)."""
-
-    def make():
-        def predict(batch: pd.DataFrame) -> list:
-            out = []
-            for q, g in zip(batch[question], batch[gold]):
-                q = "" if q is None else q
-                g = "" if g is None else g
-                out.append(q + " " + g + " " + " ".join(g.split()[-tail_words:]))
-            return out
-        return predict
-    return make
-
-
-def failing_predictor(fail_when: Callable[[pd.DataFrame], bool], inner: Callable[[], Predictor]
-                      ) -> Callable[[], Predictor]:
-    """Wraps a predictor so that batches matching ``fail_when`` raise."""
-
-    def make():
-        p = inner()
-
-        def predict(batch: pd.DataFrame) -> list:
-            if fail_when(batch):
-                raise RuntimeError("simulated generation failure")
-            return p(batch)
-        return predict
-    return make
+            held = pdf[cols] if held is None else pd.concat([held, pdf[cols]], ignore_index=True)
+            while len(held) >= batch_size:
+                yield answer(held.iloc[:batch_size].reset_index(drop=True))
+                held, number = held.iloc[batch_size:], number + 1
+        if held is not None and len(held):
+            yield answer(held.reset_index(drop=True))
+
+    return df.mapInPandas(run, schema)

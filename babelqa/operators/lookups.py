@@ -13,26 +13,32 @@ def with_max_len(df: DataFrame, max_lens: DataFrame, key: str = "subset",
     """Per-subset answer-length cap. An unknown subset is an error, as in the toolkit.
 
     ``max_lens`` is a preset of a handful of rows (a fixed table), so it is broadcast.
-    The unknown-subset check runs as part of the same plan: a NULL cap raises.
+    The unknown-subset check sits in the key column, so it runs whatever is selected.
     """
     lk = F.broadcast(max_lens.select(F.col(key).alias("_k"), F.col(out).alias("_v")))
     j = df.join(lk, df[key] == lk["_k"], "left")
-    cap = F.when(F.col("_k").isNotNull(), F.col("_v")).otherwise(
-        F.raise_error(F.concat(F.lit("no max_new_tokens for subset "), F.coalesce(F.col(key), F.lit("NULL"))))
-        .cast("int"))
-    return j.withColumn(out, cap).drop("_k", "_v")
+    known = F.when(F.col("_k").isNotNull(), F.col(key)).otherwise(F.raise_error(
+        F.concat(F.lit("no max_new_tokens for subset "), F.coalesce(F.col(key), F.lit("NULL")))).cast("string"))
+    # the left join alone could be dropped with the cap; the filter keeps it in the plan
+    j = j.where(F.col("_k").isNotNull() | known.isNotNull())
+    return j.withColumn(out, F.col("_v")).withColumn(key, known).drop("_k", "_v")
 
 
 def align_answers(questions: DataFrame, answers: DataFrame, key: str = "row_id") -> DataFrame:
-    """Positional zip -> equi-join on the row key. Both sides must hold each key once;
-    a key on one side only fails the query (the zip would have been misaligned)."""
-    j = questions.join(answers.withColumnRenamed(key, "_akey"),
-                       questions[key] == F.col("_akey"), "full_outer")
-    bad = F.col(key).isNull() | F.col("_akey").isNull()
-    # The check lives in the key column itself, so it cannot be pruned away.
-    checked = F.when(bad, F.raise_error(F.lit("answers and questions do not align")).cast(
-        questions.schema[key].dataType)).otherwise(F.col(key))
-    return j.withColumn(key, checked).drop("_akey")
+    """Positional zip -> equi-join on the row key. Both sides must hold each key once, and
+    no NULL key; a key on one side only, a repeated or a NULL key fails the query (the zip
+    would have been misaligned). The check lives in the key column, so it cannot be pruned."""
+    many = [c for c in answers.columns if c != key]
+    # One row per key: the answer of a key that occurs once, and how often it occurs.
+    a = answers.groupBy(F.col(key).alias("_akey")).agg(
+        F.count(F.lit(1)).alias("_an"), *[F.first(c).alias(c) for c in many])
+    q = questions.groupBy(F.col(key).alias("_qkey")).agg(F.count(F.lit(1)).alias("_qn"))
+    j = questions.join(q, questions[key].eqNullSafe(q["_qkey"]), "left")
+    j = j.join(a, j[key].eqNullSafe(a["_akey"]), "full_outer")
+    sound = F.col(key).isNotNull() & F.col("_akey").isNotNull() & (F.col("_an") == 1) & (F.col("_qn") == 1)
+    checked = F.when(sound, F.col(key)).otherwise(F.raise_error(F.lit("answers and questions do not align")).cast(
+        questions.schema[key].dataType))
+    return j.withColumn(key, checked).drop("_akey", "_an", "_qkey", "_qn")
 
 
 def params_map(params: dict) -> F.Column:

@@ -14,13 +14,23 @@ from .. import constants as K
 from ..functions.arrays import shift_compare
 from ..functions.locale import lang_of
 from ..functions.numeric import format_metric, py_round4, ratio
+from .ranking import with_row_id
+
+
+def _exact_sum(df: DataFrame, m: str):
+    """Scores have four decimal places; summed as decimals, the total does not depend on the
+    order in which tasks add up."""
+    if df.schema[m].dataType.typeName() in ("double", "float"):
+        return F.sum(F.col(m).cast("decimal(20,4)")).cast("double")
+    return F.sum(m)
 
 
 def eval_summary(df: DataFrame, by: str = "expected_lang", require_rouge: bool = True) -> DataFrame:
     """Global and per-group means of the metric columns present.
 
-    Output: ``<by>`` (NULL on the overall row), ``is_overall`` (0/1), ``n`` and for each
-    metric ``m``: ``m_sum`` and the unrounded mean ``m``. No rows -> no output; with
+    Output: ``<by>`` (NULL on the overall row), ``is_overall`` (0/1), ``n``, and for each
+    metric ``m``: ``m_sum``, ``m_null`` (rows without a score, e.g. without a gold answer)
+    and the unrounded mean ``m`` over the scored rows. No rows -> no output; with
     ``require_rouge`` (the toolkit's rule) a table without ``rouge1_f1`` yields nothing.
     """
     metrics = [m for m in K.EVAL_METRICS if m in df.columns]
@@ -28,11 +38,11 @@ def eval_summary(df: DataFrame, by: str = "expected_lang", require_rouge: bool =
         return df.sparkSession.createDataFrame([], f"{by} string, is_overall int, n long")
     aggs = [F.count(F.lit(1)).alias("n")]
     for m in metrics:
-        aggs.append(F.sum(m).alias(f"{m}_sum"))
+        aggs += [_exact_sum(df, m).alias(f"{m}_sum"), F.count(m).alias(f"_{m}_n")]
     grouped = df.rollup(by).agg(*aggs, F.grouping(by).cast("int").alias("is_overall"))
     out = [by, "is_overall", "n"]
     for m in metrics:
-        out += [f"{m}_sum", ratio(f"{m}_sum", "n").alias(m)]
+        out += [f"{m}_sum", (F.col("n") - F.col(f"_{m}_n")).alias(f"{m}_null"), ratio(f"{m}_sum", f"_{m}_n").alias(m)]
     return grouped.select(*out)
 
 
@@ -40,35 +50,34 @@ def gen_metrics(df: DataFrame, prefix: str = "eval", subset_col: str = "subset",
                 metrics=("exact_match", "rouge1", "rougeL", "score")) -> DataFrame:
     """Generation metrics in long form ``(metric, lang, n, value)``.
 
-    ``value`` is the mean of the per-row values, rounded to 4 places the Python way;
-    names are ``<prefix>_gen_<metric>`` overall and ``<prefix>_gen_<metric>_<lang>`` per
-    language (prefix before ``_``, ``unknown`` for an empty subset). The overall block
-    also has ``<prefix>_gen_n_samples``. An empty input gives 0.0 means and 0 samples.
+    ``value`` is the mean of the per-row values that are not NULL (``n`` of them), rounded
+    to 4 places the Python way; names are ``<prefix>_gen_<metric>`` overall and
+    ``<prefix>_gen_<metric>_<lang>`` per language (prefix before ``_``, ``unknown`` for an
+    empty subset). The overall block also has ``<prefix>_gen_n_samples``, the number of
+    rows. An empty input gives 0.0 means and 0 samples. The input is read once.
     """
     present = [m for m in metrics if m in df.columns]
-    with_lang = df.withColumn("_lang", lang_of(subset_col))
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(m).cast("double")).alias(m) for m in present]
-    grouped = with_lang.rollup("_lang").agg(*aggs, F.grouping("_lang").alias("_g"))
-    stack = ", ".join(f"'{m}', `{m}`" for m in present)
-    long = grouped.select("_lang", "_g", "n", F.expr(f"stack({len(present)}, {stack}) AS (metric, total)"))
-    named = long.select(
-        F.when(F.col("_g") == 1, F.concat(F.lit(f"{prefix}_gen_"), "metric"))
-        .otherwise(F.concat(F.lit(f"{prefix}_gen_"), "metric", F.lit("_"), "_lang")).alias("metric"),
-        F.when(F.col("_g") == 1, F.lit(None).cast("string")).otherwise(F.col("_lang")).alias("lang"),
-        F.col("n"),
-        py_round4(ratio("total", "n")).alias("value"),
-    )
-    # Overall sample count; also the row that exists for an empty input.
-    spark = df.sparkSession
-    n_row = with_lang.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(f"{prefix}_gen_n_samples").alias("metric"), F.lit(None).cast("string").alias("lang"),
-        F.col("n"), F.col("n").cast("double").alias("value"))
-    zeros = spark.createDataFrame([(f"{prefix}_gen_{m}",) for m in present], "metric string").select(
-        "metric", F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("n"),
-        F.lit(0.0).alias("value"))
-    # rollup gives no grand-total row for an empty input; fill the 0.0 defaults then.
-    overall_missing = zeros.join(named.select("metric"), "metric", "left_anti")
-    return named.unionByName(n_row).unionByName(overall_missing)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for m in present:
+        aggs += [_exact_sum(df, m).cast("double").alias(f"s_{m}"), F.count(m).alias(f"n_{m}")]
+    grouped = df.withColumn("_lang", lang_of(subset_col)).rollup("_lang").agg(*aggs, F.grouping("_lang").alias("_g"))
+    # (metric, total, n) rows of each group; the total row also gives the number of rows.
+    items = [F.struct(F.lit(m).alias("m"), F.col(f"s_{m}").alias("total"), F.col(f"n_{m}").alias("n")) for m in present]
+    rows = F.struct(F.lit("n_samples").alias("m"), F.lit(None).cast("double").alias("total"), F.col("_rows").alias("n"))
+    long = grouped.select("_lang", "_g", F.explode(F.when(F.col("_g") == 1, F.array(*items, rows))
+                                                    .otherwise(F.array(*items))).alias("i")).select("_lang", "_g", "i.*")
+    name = F.concat(F.lit(f"{prefix}_gen_"), "m")
+    found = long.select(F.when(F.col("_g") == 1, name).otherwise(F.concat(name, F.lit("_"), "_lang")).alias("metric"),
+                        F.when(F.col("_g") == 0, F.col("_lang")).alias("lang"), "n",
+                        F.when(F.col("m") == "n_samples", F.col("n").cast("double"))
+                        .otherwise(ratio("total", "n")).alias("value"))
+    # A rollup of no rows has no total row; the overall names are always reported.
+    names = df.sparkSession.createDataFrame([(f"{prefix}_gen_{m}",) for m in [*present, "n_samples"]], "_name string")
+    overall = F.col("lang").isNull() & (F.col("metric") == F.col("_name"))
+    full = found.join(F.broadcast(names), overall, "full_outer")      # at most five names
+    return full.select(F.coalesce("metric", "_name").alias("metric"), "lang",
+                       F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+                       py_round4(F.when(F.col("metric").isNull(), F.lit(0.0)).otherwise(F.col("value"))).alias("value"))
 
 
 def token_counts(df: DataFrame, preds: str = "pred_ids", labels: str = "labels",
@@ -123,13 +132,10 @@ def lang_counts(df: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 
 def distinct_first_seen(df: DataFrame, key: str = "lang", order_col: str = "row_id") -> DataFrame:
-    """Distinct ``key`` values numbered in order of first appearance.
-
-    The aggregate is distributed; the numbering window runs on the tiny distinct table.
-    """
+    """Distinct ``key`` values numbered in order of first appearance, without a one-task
+    window: the distinct table may be as long as the key is varied."""
     first = df.groupBy(key).agg(F.min(order_col).alias("first_seen"))
-    return first.withColumn("first_rank",
-                            (F.row_number().over(Window.orderBy("first_seen", key)) - 1).cast("long"))
+    return with_row_id(first, ["first_seen", key], out="first_rank").select(key, "first_seen", "first_rank")
 
 
 def format_metrics(df: DataFrame, dp: int = 4, counts=("n",)) -> DataFrame:

@@ -28,14 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import measured
+
 _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
 
 
 def _materialise(df: DataFrame) -> DataFrame:
-    from ..session import scratch_path
-    path = scratch_path(df.sparkSession, "ranked")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return measured(df, "ranked")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, cols) -> DataFrame:
@@ -80,17 +79,23 @@ def with_row_id(df: DataFrame, order_cols, out: str = "row_index",
                 num_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Dense global 0-based index in the order of ``order_cols``.
 
-    With a unique ``key`` column only ``key`` and the order columns are ranked and
-    materialised; the index is then joined back, so wide rows (texts, prompts) are not
-    copied to the checkpoint folder.
+    With a ``key`` column only ``key`` and the order columns are ranked and materialised;
+    the index is then joined back, so wide rows (texts, prompts) are not copied to the
+    checkpoint folder. A NULL or repeated key fails the query: the check sits in the index
+    column, so no row is dropped or multiplied.
     """
     if key is not None:
         names = [c for c in order_cols if isinstance(c, str)]
         if len(names) != len(order_cols):
             raise ValueError("key= needs order columns given by name")
         narrow = df.select(*dict.fromkeys([key, *names]))
-        idx = with_row_id(narrow, order_cols, out, num_partitions).select(key, out)
-        return df.join(idx, key)
+        idx = with_row_id(narrow, order_cols, out, num_partitions).groupBy(F.col(key).alias("_key")).agg(
+            F.min(out).alias(out), F.count(F.lit(1)).alias("_times"))
+        sound = F.col("_key").isNotNull() & (F.col("_times") == 1)
+        return df.join(idx, df[key].eqNullSafe(F.col("_key")), "left").withColumn(
+            out, F.when(sound, F.col(out)).otherwise(F.raise_error(F.concat(
+                F.lit(f"{key} is NULL or repeated: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+                .cast("long"))).drop("_key", "_times")
     return rank_within(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, out=out,
                        num_partitions=num_partitions).drop("_all")
 
@@ -112,8 +117,13 @@ def running_max(df: DataFrame, order_col: str, value_col: str, out: str = "runni
         out, F.greatest(F.col("_lmax"), F.col("_prev"))).drop("_part", "_lmax", "_prev")
 
 
+def hash_bucket(hash_col, prefix_chars: int = 4) -> Column:
+    """Order-preserving bucket of a fixed-width lower-case hex digest."""
+    return F.conv(F.substring(hash_col, 1, prefix_chars), 16, 10).cast("int")
+
+
 def rank_by_hash(df: DataFrame, group_cols, hash_col: str, tie_cols=(), out: str = "rank",
-                 prefix_chars: int = 4) -> DataFrame:
+                 prefix_chars: int = 4, below: Column | None = None) -> DataFrame:
     """0-based position inside each group in ``(hash_col, *tie_cols)`` order, for a
     ``hash_col`` that is a fixed-width lower-case hex digest (``md5``).
 
@@ -121,14 +131,19 @@ def rank_by_hash(df: DataFrame, group_cols, hash_col: str, tie_cols=(), out: str
     about ``16**-prefix_chars`` of every group, so a group of billions of rows is spread
     over 65,536 small windows. rank = rows of the group in earlier buckets (a window
     over the bucket-count table) + position inside the bucket. The bucket is a pure
-    function of the row: any re-evaluation or retry gives the same ranks, and nothing
-    has to be materialised.
+    function of the row: any re-evaluation or retry gives the same ranks. ``df`` is read
+    twice, so callers pass a written table. ``below`` (a column) keeps only ranks under it;
+    whole buckets beyond it are left out before the window.
     """
     groups = list(group_cols)
-    x = df.withColumn("_b", F.conv(F.substring(hash_col, 1, prefix_chars), 16, 10).cast("int"))
+    x = df.withColumn("_b", hash_bucket(hash_col, prefix_chars))
     counts = x.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"))
+    offsets = measured(counts.select(*groups, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before")),
+                       "buckets")
+    x = _join_null_safe(x, offsets, [*groups, "_b"])
+    if below is not None:
+        x = x.where(F.col("_before") < below)
     local = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(hash_col, *tie_cols)) - 1
-    return (_join_null_safe(x.withColumn("_l", local), offsets, [*groups, "_b"])
-            .withColumn(out, F.col("_before") + F.col("_l")).drop("_b", "_l", "_before"))
+    x = x.withColumn(out, F.col("_before") + local)
+    return (x if below is None else x.where(F.col(out) < below)).drop("_b", "_before")

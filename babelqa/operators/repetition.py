@@ -30,11 +30,16 @@ from ..functions.text import lossless_tokens, py_strip
 
 
 def _by_key(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by key. Rows with a NULL key are dropped first: they could not be
-    joined back anyway, and with the filter below the exchange both sides of the later
-    self-join see the same plan, so the exchange is reused instead of run twice."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.where(F.col(key).isNotNull()).repartition(n, key)
+    return df.repartition(n, key)
+
+
+def _checked(df: DataFrame, key: str):
+    """The key, or an error where it is NULL or several rows share it: each row of the input
+    counts once in ``_rows``, so no row is dropped or merged with another."""
+    return F.when(F.col(key).isNotNull() & (F.col("_rows") == 1), F.col(key)).otherwise(F.raise_error(F.concat(
+        F.lit(f"{key} is NULL or repeated: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+        .cast(df.schema[key].dataType)).alias(key)
 
 
 def _gram(t, i, n: int, sep: str | None):
@@ -69,7 +74,8 @@ def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_
         F.when(i == 0, t).alias("_t")))).alias("_p")).select(key, "_p.*")
     flagged = hashed.withColumn("_rep", F.count(F.lit(1)).over(Window.partitionBy(key, "h")) > 1)
     per_row = flagged.groupBy(key).agg(F.collect_list(F.when(F.col("_rep"), F.col("pos"))).alias("_cand"),
-                                       F.first("_t", ignorenulls=True).alias(tokens)) \
+                                       F.first("_t", ignorenulls=True).alias(tokens),
+                                       F.count("_t").alias("_rows")) \
         .where(F.size("_cand") > 0)
     tt = F.col(tokens)
     tsize = F.size(tt)
@@ -79,16 +85,17 @@ def first_repeated_ngram(df: DataFrame, tokens: str = "tokens", key: str = "row_
             F.struct(F.lit(n).alias("n"), F.when(i + n <= tsize, _gram(tt, i, n, gram_sep)).alias("gram"))
             for n in lengths]).alias("gs"))
 
-    stacked = (per_row.select(key, F.explode(F.transform("_cand", at)).alias("_p"))
-               .select(key, "_p.pos", F.explode("_p.gs").alias("_g"))
-               .select(key, "pos", "_g.n", "_g.gram").where(F.col("gram").isNotNull()))
+    stacked = (per_row.select(key, "_rows", F.explode(F.transform("_cand", at)).alias("_p"))
+               .select(key, "_rows", "_p.pos", F.explode("_p.gs").alias("_g"))
+               .select(key, "_rows", "pos", "_g.n", "_g.gram").where(F.col("gram").isNotNull()))
     w = Window.partitionBy(key, "n", "gram")
     second = (stacked.withColumn("_rn", F.row_number().over(w.orderBy("pos")))
               .withColumn("_first", F.min("pos").over(w))
               .where(F.col("_rn") == 2))
     best = second.groupBy(key).agg(F.max(F.struct(F.col("n"), (-F.col("pos")).alias("neg_pos"),
-                                                  F.col("_first").alias("first"))).alias("b"))
-    return best.select(key, F.col("b.first").alias("first_start"), F.col("b.n").alias("n"))
+                                                  F.col("_first").alias("first"))).alias("b"),
+                                  F.max("_rows").alias("_rows"))
+    return best.select(_checked(df, key), F.col("b.first").alias("first_start"), F.col("b.n").alias("n"))
 
 
 def _keep_lengths(x: DataFrame, tokens: str, key: str, m: int, sep: str | None, carry=None) -> DataFrame:
@@ -117,12 +124,13 @@ def _keep_lengths(x: DataFrame, tokens: str, key: str, m: int, sep: str | None,
     aggs = [F.max("_len").alias("n_tokens"),
             # J = first non-removable block; all removable -> number of blocks.
             F.min(F.when(is_block & ~removable, j)).alias("_stop"),
-            F.count(F.when(is_block, F.lit(1))).alias("_nb")]
+            F.count(F.when(is_block, F.lit(1))).alias("_nb"),
+            F.count(F.when(F.col("pos") <= 0, F.lit(1))).alias("_rows")]
     if carry is not None:
         aggs.append(F.first("_row", ignorenulls=True).alias("_row"))
     out = first.groupBy(key).agg(*aggs)
     kept = (F.col("n_tokens") - F.coalesce(F.col("_stop"), F.col("_nb")) * F.lit(m)).cast("int")
-    cols = [key, F.col("n_tokens").cast("int").alias("n_tokens"), kept.alias("n_kept")]
+    cols = [_checked(x, key), F.col("n_tokens").cast("int").alias("n_tokens"), kept.alias("n_kept")]
     return out.select(*cols, *(["_row"] if carry is not None else []))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.locale import lang_of
-from .metrics import distinct_first_seen
-from .ranking import rank_by_hash
+from ..session import measured
+from .ranking import _join_null_safe, hash_bucket
 
 
 def md5_order(*parts) -> F.Column:
@@ -42,27 +42,38 @@ def stratified_sample(df: DataFrame, n: int | None, subset_col: str = "subset",
     if subset_col not in df.columns:
         return head_n(df, n, order_col)
     x = df if keep_null_subset else df.where(F.col(subset_col).isNotNull())
-    x = x.withColumn("lang", lang_of(subset_col, unknown=None))
-    langs = distinct_first_seen(x, "lang", order_col)
-    quotas = langs.select(
-        "lang",
-        F.lit(n).cast("long").alias("_n"),
-        F.col("first_rank"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_L"),
-    ).select("lang", (F.floor(F.col("_n") / F.col("_L")) +
-                      F.when(F.col("first_rank") < F.pmod(F.col("_n"), F.col("_L")), 1).otherwise(0))
-             .cast("long").alias("_quota"))
-    # Rank a narrow projection only; the chosen keys are joined back to the full rows.
-    narrow = x.select("lang", order_col, md5_order(seed, F.col(order_col)).alias("_h"))
-    ranked = rank_by_hash(narrow, ["lang"], "_h", [order_col], out="_pos")
-    chosen = ranked.join(quotas, ranked["lang"].eqNullSafe(quotas["lang"])) \
-        .where(F.col("_pos") < F.col("_quota")).select(order_col)
-    return x.join(chosen, order_col, "left_semi")
+    x = x.withColumn("lang", lang_of(subset_col, unknown=None)) \
+        .withColumn("_h", md5_order(seed, F.col(order_col))).withColumn("_b", hash_bucket("_h"))
+    # One pass counts the hash buckets of every language; all facts come from that table.
+    buckets = measured(x.groupBy("lang", "_b").agg(F.count(F.lit(1)).alias("_cnt"),
+                                                   F.min(order_col).alias("_seen")), "strata")
+    first = buckets.groupBy("lang").agg(F.min("_seen").alias("first_seen"))
+    langs = first.select("lang", (F.row_number().over(Window.orderBy("first_seen", "lang")) - 1).alias("first_rank"),
+                         F.count(F.lit(1)).over(Window.partitionBy()).alias("_L"))
+    quotas = langs.select("lang", (F.floor(F.lit(n).cast("long") / F.col("_L")) +
+                                   F.when(F.col("first_rank") < F.pmod(F.lit(n), F.col("_L")), 1).otherwise(0))
+                          .cast("long").alias("_quota"))
+    upto = Window.partitionBy("lang").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = _join_null_safe(buckets.withColumn("_before", F.coalesce(F.sum("_cnt").over(upto), F.lit(0))), quotas, ["lang"])
+    cuts = measured(cuts.where(F.col("_before") < F.col("_quota")).select("lang", "_b", "_before", "_quota"), "cuts")
+    # Only rows of the buckets that reach into the quota are kept and ranked.
+    near = _join_null_safe(x, cuts, ["lang", "_b"])
+    place = F.row_number().over(Window.partitionBy("lang", "_b").orderBy("_h", order_col)) - 1
+    return near.withColumn("_pos", F.col("_before") + place).where(F.col("_pos") < F.col("_quota")) \
+        .drop("_h", "_b", "_before", "_quota", "_pos")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, order_col: str = "row_id") -> DataFrame:
-    """``min(n, rows)`` rows without replacement, the seed being the training step."""
-    return df.withColumn("_h", md5_order(seed, F.col(order_col))).orderBy("_h", order_col).limit(n).drop("_h")
+    """``min(n, rows)`` rows without replacement, the seed being the training step. The hash
+    buckets are counted first, so only rows near the front of the order are ranked."""
+    x = df.withColumn("_h", md5_order(seed, F.col(order_col))).withColumn("_b", hash_bucket("_h"))
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)      # at most 65,536 buckets
+    cuts = measured(counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(upto), F.lit(0)))
+                    .where(F.col("_before") < n).select("_b", "_before"), "cuts")
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", order_col)) - 1
+    return x.join(cuts, "_b").withColumn("_pos", F.col("_before") + place).where(F.col("_pos") < n) \
+        .drop("_h", "_b", "_before", "_pos")
 
 
 def debug_sample(df: DataFrame, n: int = 5, order_col: str = "row_id") -> DataFrame:

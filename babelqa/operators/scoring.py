@@ -1,9 +1,9 @@
 """Answer scoring: exact match and ROUGE-1 / ROUGE-L F values.
 
-``rouge1_counts`` is fully relational (explode, count per (row, token), clip, sum) and is
-the form checked against SQL. ``rouge_score`` keeps each row's two token arrays together
-and scores them in one Arrow pass (overlap, bit-parallel LCS, F values, Python rounding),
-so scoring needs no shuffle at all.
+Each row's tokens are exploded once, joined with the stems of the distinct vocabulary (written,
+so a small one is joined map-side) and regrouped per row: clipped overlap and token counts by
+aggregation, and the places of each id for the LCS, the only part that leaves the JVM. The row
+itself rides on its first token, so nothing is joined back and keys may repeat or be NULL.
 """
 
 from __future__ import annotations
@@ -11,59 +11,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rouge import lcs_udf, rouge_stats_udf, rouge_tokens, stem_tokens, stem_word
+from ..functions.numeric import py_round4
+from ..functions.rouge import lcs_udf, rouge_stats_udf, rouge_tokens, stem_word
+from ..session import measured, ship_package
 from .records import to_eval_records
 
 
-def scoring_tokens(df: DataFrame, ref_col: str, gen_col: str, stem: bool = True) -> DataFrame:
-    gen_t, gold_t = rouge_tokens(gen_col), rouge_tokens(ref_col)
-    if stem:
-        gen_t, gold_t = stem_tokens(gen_t), stem_tokens(gold_t)
-    return df.withColumn("_gen_t", gen_t).withColumn("_gold_t", gold_t)
+def scoring_tokens(df: DataFrame, ref_col: str, gen_col: str) -> DataFrame:
+    return df.withColumn("_gen_t", rouge_tokens(gen_col)).withColumn("_gold_t", rouge_tokens(ref_col))
 
 
 def stem_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct words of a token column and their stems, each word stemmed once."""
+    ship_package(df.sparkSession)
     words = df.select(F.explode(tokens).alias("word")).distinct()
     return words.withColumn("stem", stem_word("word"))
 
 
-def rouge1_counts(df: DataFrame, gen_tokens: str, gold_tokens: str, key: str = "row_id") -> DataFrame:
+def rouge_counts(df: DataFrame, gen_tokens: str, gold_tokens: str, stem: bool = True, arrays: bool = True) -> DataFrame:
+    """df with ``overlap`` (clipped unigrams), ``n_gen``, ``n_gold`` and, with ``arrays``, the
+    row's distinct ``ids`` and the places of each in both texts (``gen_places``,
+    ``gold_places``). An id stands for one stem (one word without ``stem``); NULL token
+    arrays count as empty."""
+    none = F.array().cast("array<string>")
+    x = df.withColumn("_g", F.coalesce(gen_tokens, none)).withColumn("_r", F.coalesce(gold_tokens, none))
+    both = F.concat(F.transform("_g", lambda t, i: F.struct(F.lit(0).alias("side"), i.alias("pos"), t.alias("word"))),
+                    F.transform("_r", lambda t, i: F.struct(F.lit(1).alias("side"), i.alias("pos"), t.alias("word"))))
+    row = F.struct(*df.columns)
+    e = x.select(F.monotonically_increasing_id().alias("_uid"), row.alias("_row"), both.alias("_both"))
+    e = e.select("_uid", "_row", F.posexplode_outer("_both").alias("_k", "_t"))
+    first = F.coalesce(F.col("_k"), F.lit(0)) == 0
+    e = e.select("_uid", F.when(first, F.col("_row")).alias("_row"), "_t.side", "_t.pos", "_t.word")
+    if stem:
+        vocab = measured(stem_vocab(x.select(F.concat("_g", "_r").alias("t")), "t"), "stems")
+        ids = measured(vocab.select("word", F.xxhash64("stem").alias("id")), "stem-ids")
+        e = e.join(ids, "word", "left")
+    else:
+        e = e.withColumn("id", F.when(F.col("word").isNotNull(), F.xxhash64("word")))
+    gen, gold = F.col("side") == 0, F.col("side") == 1
+    place = [F.collect_list(F.when(c, F.col("pos"))).alias(n) for c, n in ((gen, "_gp"), (gold, "_rp"))] if arrays else []
+    per_id = e.groupBy("_uid", "id").agg(F.count(F.when(gen, 1)).alias("_cg"), F.count(F.when(gold, 1)).alias("_cr"),
+                                         F.first("_row", ignorenulls=True).alias("_row"), *place)
+    lists = [F.collect_list(F.when(F.col("id").isNotNull(), F.struct(
+        F.col("id").alias("ids"), F.col("_gp").alias("gen_places"), F.col("_rp").alias("gold_places")))).alias("_l")] if arrays else []
+    per_row = per_id.groupBy("_uid").agg(
+        F.sum(F.least("_cg", "_cr")).cast("int").alias("overlap"), F.sum("_cg").cast("int").alias("n_gen"),
+        F.sum("_cr").cast("int").alias("n_gold"), F.first("_row", ignorenulls=True).alias("_row"), *lists)
+
+    lists = [F.col("_l")[c].alias(c) for c in ("ids", "gen_places", "gold_places")] if arrays else []
+    return per_row.select(*[F.col("_row")[c].alias(c) for c in df.columns], "overlap", "n_gen", "n_gold", *lists)
+
+
+def rouge1_counts(df: DataFrame, gen_tokens: str, gold_tokens: str, key: str = "row_id", stem: bool = False) -> DataFrame:
     """``(key, overlap, n_gen, n_gold)``: clipped unigram overlap of two token arrays."""
-    side = [df.select(key, F.explode(gen_tokens).alias("token"), F.lit(1).alias("g"), F.lit(0).alias("r")),
-            df.select(key, F.explode(gold_tokens).alias("token"), F.lit(0).alias("g"), F.lit(1).alias("r"))]
-    counts = side[0].unionByName(side[1]).groupBy(key, "token").agg(F.sum("g").alias("cg"), F.sum("r").alias("cr"))
-    ov = counts.groupBy(key).agg(F.sum(F.least("cg", "cr")).cast("int").alias("overlap"))
-    sizes = df.select(key, F.size(gen_tokens).alias("n_gen"), F.size(gold_tokens).alias("n_gold"))
-    return sizes.join(ov, key, "left").select(key, F.coalesce("overlap", F.lit(0)).alias("overlap"),
-                                              "n_gen", "n_gold")
+    x = df.select(key, gen_tokens, gold_tokens)
+    return rouge_counts(x, gen_tokens, gold_tokens, stem, arrays=False).select(key, "overlap", "n_gen", "n_gold")
 
 
-def rougeL_counts(df: DataFrame, gen_tokens: str, gold_tokens: str, key: str = "row_id") -> DataFrame:
+def rougeL_counts(df: DataFrame, gen_tokens: str, gold_tokens: str, key: str = "row_id", stem: bool = True) -> DataFrame:
     """``(key, lcs, n_gen, n_gold)``."""
-    return df.select(key, lcs_udf(gen_tokens, gold_tokens).alias("lcs"), F.size(gen_tokens).alias("n_gen"),
-                     F.size(gold_tokens).alias("n_gold"))
+    x = rouge_counts(df.select(key, gen_tokens, gold_tokens), gen_tokens, gold_tokens, stem)
+    ship_package(df.sparkSession)
+    return x.select(key, lcs_udf("ids", "gen_places", "gold_places").alias("lcs"), "n_gen", "n_gold")
+
+
+def _f1(overlap, n_gen, n_gold):
+    """F1 in the scorer's operation order; 0 without overlap."""
+    p = overlap / F.greatest(n_gen, F.lit(1))
+    r = overlap / F.greatest(n_gold, F.lit(1))
+    return F.coalesce(F.try_divide(F.lit(2.0) * p * r, p + r), F.lit(0.0))
+
+
+def rouge1_score(df: DataFrame, ref_col: str = "gold_answer", gen_col: str = "gen_answer", stem: bool = True) -> DataFrame:
+    """Adds ``rouge1_f1`` alone: no text leaves the JVM, only the value to be rounded."""
+    x = rouge_counts(scoring_tokens(df, ref_col, gen_col), "_gen_t", "_gold_t", stem, arrays=False)
+    ship_package(df.sparkSession)
+    return x.select(*df.columns, py_round4(_f1(F.col("overlap"), F.col("n_gen"), F.col("n_gold"))).alias("rouge1_f1"))
 
 
 def rouge_score(df: DataFrame, ref_col: str = "gold_answer", gen_col: str = "gen_answer",
                 w_r1: float = 0.5, w_rl: float = 0.5, stem: bool = True) -> DataFrame:
     """Adds ``rouge1_f1``, ``rougeL_f1`` and ``score = w_r1*R1 + w_rl*RL`` (from the
     unrounded F values), all rounded to 4 places. The reference text is the target, the
-    generated text the prediction."""
-    # Tokens are cut on the JVM; stemming, overlap, LCS and rounding share one Arrow pass.
-    x = scoring_tokens(df, ref_col, gen_col, stem=False)
-    x = x.withColumn("_rs", rouge_stats_udf(w_r1, w_rl, stem)("_gen_t", "_gold_t"))
-    return x.select(*df.columns, F.col("_rs.rouge1_f1").alias("rouge1_f1"),
-                    F.col("_rs.rougeL_f1").alias("rougeL_f1"), F.col("_rs.score").alias("score"))
+    generated text the prediction. A row without reference text (NULL) has NULL values."""
+    x = rouge_counts(scoring_tokens(df, ref_col, gen_col), "_gen_t", "_gold_t", stem)
+    x = x.withColumn("_rs", rouge_stats_udf(w_r1, w_rl)("ids", "gen_places", "gold_places", "overlap"))
+    known = F.col(ref_col).isNotNull()
+    return x.select(*df.columns, *[F.when(known, F.col("_rs")[c]).alias(c) for c in ("rouge1_f1", "rougeL_f1", "score")])
 
 
 def score_answers(df: DataFrame, answer: str = "gen_answer", gold: str = "output", id_col: str = "ID",
                   stem: bool = True) -> DataFrame:
     """Evaluation records end to end: exact match plus ROUGE (a NULL gold answer scores
     NULL, it is not turned into the text 'nan')."""
-    rec = to_eval_records(df, answer, gold, id_col)
-    scored = rouge_score(rec.withColumn("_g", F.coalesce("gold_answer", F.lit(""))), "_g", "gen_answer", stem=stem)
-    nul = F.col("gold_answer").isNull()
-    return scored.select(
-        *[c for c in rec.columns],
-        *[F.when(nul, F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("rouge1_f1", "rougeL_f1", "score")])
+    return rouge_score(to_eval_records(df, answer, gold, id_col), stem=stem)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PY_WHITESPACE, regex_class
+from ..session import measured
 from .ranking import with_row_id
 
 # FIXED VALUES: special tokens of the chat template are single tokens.
@@ -27,49 +28,57 @@ def chat_tokens(text) -> Column:
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``(token, cnt, id)``: ids by descending count, then token (binary order)."""
+    """``(token, cnt, id)``: ids by descending count, then token (binary order). The table is
+    written, so that joins with it are planned by its real size."""
     counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    return with_row_id(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], out="id").drop("_neg")
+    ranked = with_row_id(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], out="id")
+    return measured(ranked.select("token", "cnt", "id"), "vocab")
 
 
-# Largest vocabulary shipped to every task for a map-side lookup (rows). Bigger
-# vocabularies take the shuffle join, where AQE splits the partitions of hot tokens.
-BROADCAST_VOCAB_ROWS = 2_000_000
+def _regroup(joined: DataFrame, key: str, value, out: str, carry) -> DataFrame:
+    """Exploded rows -> one row per key with ``out``, the values in token order. Each input
+    row has one row at its first position; a key with more of them, or none, is an error."""
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    rows = joined.groupBy(key).agg(
+        F.array_sort(F.collect_list(value)).alias("_p"), F.sum(first.cast("int")).alias("_rows"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry])
+    sound = F.col(key).isNotNull() & (F.col("_rows") == 1)
+    checked = F.when(sound, F.col(key)).otherwise(F.raise_error(F.concat(
+        F.lit(f"{key} is NULL or repeated: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+        .cast(joined.schema[key].dataType))
+    return rows.select(checked.alias(key), *carry, F.col("_p").alias(out))
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "row_id",
-                  out: str = "ids", broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
+                  out: str = "ids", carry=()) -> DataFrame:
     """Token arrays -> id arrays (unknown tokens -> NULL), in token order.
 
-    The vocabulary's row count is checked first (``build_vocab`` output is already
-    materialised, so counting it is cheap). Within ``broadcast_rows`` the rows are
-    hash-partitioned by key, exploded, looked up in the broadcast vocabulary and
-    regrouped in the same task - one shuffle of the input rows. Beyond it, the exploded
-    tokens are joined to the vocabulary by a shuffle on the token and regrouped by key.
+    The exploded tokens are joined with the vocabulary and regrouped by key; the partial
+    aggregation gathers a row's ids in the task that exploded it. ``build_vocab`` returns a
+    written table, so the planner joins a small vocabulary map-side and shuffles by token
+    beyond its broadcast threshold (in bytes), where AQE splits the partitions of hot tokens.
+    ``carry`` columns ride on the row's first position. A NULL or repeated key is an error.
     """
-    small = vocab.count() <= broadcast_rows
-    src = df.select(key, tokens)
-    if small:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        src = src.repartition(n, key)
     # explode_outer keeps rows without tokens (one row with a NULL position), so they
     # come out with an empty array without a second pass over the input.
-    exploded = src.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    lk = vocab.select("token", "id")
-    j = exploded.join(F.broadcast(lk) if small else lk, "token", "left")
-    rows = j.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.when(F.col("_pos").isNotNull(), F.struct("_pos", "id")))).alias("_p"))
-    return rows.select(key, F.transform("_p", lambda x: x["id"].cast("int")).alias(out))
+    exploded = df.select(key, *carry, F.posexplode_outer(tokens).alias("_pos", "token"))
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    exploded = exploded.select(key, *[F.when(first, F.col(c)).alias(c) for c in carry], "_pos", "token")
+    j = exploded.join(vocab.select("token", "id"), "token", "left")
+    rows = _regroup(j, key, F.when(F.col("_pos").isNotNull(), F.struct("_pos", "id")), "_ids", carry)
+    return rows.select(key, *carry, F.transform("_ids", lambda x: x["id"].cast("int")).alias(out))
 
 
 def decode_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", key: str = "row_id",
                   skip_ids=(), sep: str = " ", out: str = "text") -> DataFrame:
-    """Id arrays -> text; ``skip_ids`` (special tokens) are left out."""
+    """Id arrays -> text; ``skip_ids`` (special tokens) are left out, an id that the
+    vocabulary lacks is an error."""
     exploded = df.select(key, F.posexplode_outer(ids).alias("_pos", "id"))
     keep = F.col("_pos").isNotNull()
     if skip_ids:
-        keep = keep & ~F.col("id").isin(list(skip_ids))
+        keep = keep & ~F.coalesce(F.col("id").isin(list(skip_ids)), F.lit(False))
     j = exploded.join(vocab.select("token", "id"), "id", "left")
-    rows = j.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.when(keep, F.struct("_pos", "token")))).alias("_p"))
-    return rows.select(key, F.array_join(F.transform("_p", lambda x: x["token"]), sep).alias(out))
+    token = F.coalesce("token", F.raise_error(F.concat(F.lit("id without a token: "), F.coalesce(
+        F.col("id").cast("string"), F.lit("NULL")))).cast("string"))
+    rows = _regroup(j, key, F.when(keep, F.struct("_pos", token.alias("token"))), "_p2", ())
+    return rows.select(key, F.array_join(F.transform("_p2", lambda x: x["token"]), sep).alias(out))

@@ -23,7 +23,6 @@ from ..functions import prompts as P
 from ..functions import rouge as RG
 from ..functions import text as TX
 from ..operators import batching as BT
-from ..operators import inference as INF
 from ..operators import lookups as LK
 from ..operators import metrics as MT
 from ..operators import records as RC
@@ -33,8 +32,10 @@ from ..operators import scoring as SC
 from ..operators import vocab as VC
 from ..operators.ranking import with_row_id
 from ..sources import fixtures as FX
-from ..sources.qa import read_qa
+from ..session import measured
+from ..sources.qa import QA_SCHEMA, read_qa, read_qa_indexed
 from . import duck as D
+from . import duck_rouge as DR
 from . import evaluation as EV
 from . import submission as SU
 from . import training as TRN
@@ -150,28 +151,61 @@ def q_row_index(spark, sf):
     return with_row_id(FX.qa(spark, sf).select("row_id"), ["row_id"])
 
 
-@query("parse_params", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k,
-  CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events""")
+def _params_text(spark, sf):
+    """Five kinds of parameter text: the event's own object, a wider one, broken, empty, NULL."""
+    k = F.pmod("event_id", F.lit(5))
+    text = (F.when(k == 0, F.col("props"))
+            .when(k == 1, F.concat(F.lit('{"top_k": '), F.col("event_id").cast("string"), F.lit(', "seed": 7, "num_beams": 2}')))
+            .when(k == 2, F.concat(F.lit("not json "), F.col("props"))).when(k == 3, F.lit("")))
+    return FX.table(spark, sf, "events").select("event_id", text.alias("text"))
+
+
+_PARAMS = [
+    ("pt", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN props
+  WHEN 1 THEN '{"top_k": ' || CAST(event_id AS VARCHAR) || ', "seed": 7, "num_beams": 2}'
+  WHEN 2 THEN 'not json ' || props WHEN 3 THEN '' END AS text FROM events"""),
+    ("pk", """SELECT event_id, text, CASE WHEN text IS NOT NULL AND json_valid(text) THEN json_keys(text)
+  ELSE CAST([] AS VARCHAR[]) END AS keys FROM pt"""),
+    ("pm", "SELECT *, list_distinct(list_concat(keys, [" + ", ".join(D.sq(k) for k in K.GENERATION_PARAMS) + "])) AS merged FROM pk"),
+]
+_ACCEPTED = ["do_sample", "k", "num_beams", "seed"]
+_ACCEPTED_SQL = "[" + ", ".join(D.sq(k) for k in _ACCEPTED) + "]"
+
+
+@query("parse_params", """SELECT event_id, CASE WHEN list_contains(keys, 'k') THEN CAST(json_extract_string(text, '$.k') AS VARCHAR) END AS k,
+  CAST(len(keys) AS INTEGER) AS n_keys FROM pm""", extra=_PARAMS)
 def q_parse_params(spark, sf):
-    e = FX.table(spark, sf, "events")
-    m = PR.parse_params("props")
-    return e.select("event_id", F.element_at(m, F.lit("k")).alias("k"), F.size(m).alias("n_keys"))
+    m = PR.parse_params("text")
+    return _params_text(spark, sf).select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), F.size(m).alias("n_keys"))
 
 
-@query("params_filter", """SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_kept FROM events""")
+def _merged_params(spark, sf):
+    return _params_text(spark, sf).withColumn("m", LK.merge_params(LK.params_map(K.GENERATION_PARAMS), PR.parse_params("text")))
+
+
+@query("params_filter", f"""SELECT event_id, array_to_string(list_sort(list_filter(merged, lambda x: list_contains({_ACCEPTED_SQL}, x))), ',')
+  AS kept FROM pm""", extra=_PARAMS)
 def q_params_filter(spark, sf):
-    e = FX.table(spark, sf, "events")
-    m = PR.filter_params(LK.merge_params(LK.params_map(K.GENERATION_PARAMS), PR.parse_params("props")),
-                         allowed=["k"])
-    return e.select("event_id", F.size(m).alias("n_kept"))
+    kept = PR.filter_params("m", allowed=_ACCEPTED)
+    return _merged_params(spark, sf).select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"))
 
 
-@query("params_dropped", f"""SELECT event_id, {D.sq(','.join(sorted(K.GENERATION_PARAMS)))} AS dropped
-FROM events""")
+@query("params_dropped", f"""SELECT event_id, array_to_string(list_sort(list_filter(merged, lambda x: NOT list_contains({_ACCEPTED_SQL}, x))), ',')
+  AS dropped FROM pm""", extra=_PARAMS)
 def q_params_dropped(spark, sf):
-    e = FX.table(spark, sf, "events")
-    m = LK.merge_params(LK.params_map(K.GENERATION_PARAMS), PR.parse_params("props"))
-    return e.select("event_id", F.array_join(PR.dropped_params(m, allowed=["k"]), ",").alias("dropped"))
+    return _merged_params(spark, sf).select("event_id", F.array_join(PR.dropped_params("m", allowed=_ACCEPTED), ",").alias("dropped"))
+
+
+@query("eval_params", f"""SELECT event_id, coalesce(CASE WHEN list_contains(keys, 'num_beams') THEN json_extract_string(text, '$.num_beams') END,
+    {D.sq(str(K.GENERATION_PARAMS['num_beams']))}) AS num_beams, '64' AS max_new_tokens,
+  array_to_string(list_sort(list_filter(merged, lambda x: NOT list_contains(['max_new_tokens', 'num_beams'], x))), ',') AS dropped
+FROM pm""", extra=_PARAMS)
+def q_eval_params(spark, sf):
+    """Parameters of an evaluation: file over defaults, the new-token override over both,
+    keys that the predictor does not accept left out and reported."""
+    x = EV.eval_params(_params_text(spark, sf), "text", ["max_new_tokens", "num_beams"], max_new_tokens=64)
+    return x.select("event_id", F.col("params")["num_beams"].alias("num_beams"),
+                    F.col("params")["max_new_tokens"].alias("max_new_tokens"), F.array_join("dropped", ",").alias("dropped"))
 
 
 # ------------------------------------------------------------------ 2.3 lookups ----
@@ -207,10 +241,20 @@ def q_decode_params(spark, sf):
     return x.select("row_id", F.array_join(kv, ",").alias("params"))
 
 
-@query("subset_filter", """SELECT q.row_id, q.subset FROM qa q WHERE q.subset IN (SELECT subset FROM max_lens)""",
-       ["qa", "max_lens"])
+_SOME_SUBSETS = list(K.MAX_NEW_TOKENS_BY_SUBSET)[:5]
+
+
+@query("subset_filter", "SELECT row_id, subset FROM qa WHERE subset IN (" + ", ".join(map(D.sq, _SOME_SUBSETS)) + ")", ["qa"])
 def q_subset_filter(spark, sf):
-    return RC.per_subset(FX.qa(spark, sf), FX.max_lens(spark)).select("row_id", "subset")
+    some = FX.max_lens(spark).where(F.col("subset").isin(_SOME_SUBSETS))
+    return RC.per_subset(FX.qa(spark, sf), some).select("row_id", "subset")
+
+
+@query("required_columns", "SELECT row_id, subset, input, output FROM qa", ["qa"])
+def q_required_columns(spark, sf):
+    """The columns that evaluation asks for, checked before any job runs."""
+    need = ["row_id", "subset", "input", "output"]
+    return RC.require_columns(FX.qa(spark, sf), need).select(*need)
 
 
 # ------------------------------------------------------------------ 2.4 metrics ----
@@ -241,10 +285,24 @@ def q_eval_summary(spark, sf):
     return MT.eval_summary(_eval_records(spark, sf), require_rouge=False)
 
 
-ORACLE["eval_summary"] = _with_ans("""SELECT expected_lang, CAST(grouping(expected_lang) AS INTEGER) AS is_overall,
-  count(*) AS n, CAST(sum(exact_match) AS BIGINT) AS exact_match_sum,
-  CAST(sum(exact_match) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS exact_match
-FROM rec GROUP BY ROLLUP (expected_lang)""")
+_SUMMARY_SQL = """SELECT expected_lang, CAST(grouping(expected_lang) AS INTEGER) AS is_overall, count(*) AS n,
+  CAST(sum(exact_match) AS BIGINT) AS exact_match_sum, count(*) - count(exact_match) AS exact_match_null,
+  CAST(sum(exact_match) AS DOUBLE) / CAST(nullif(count(exact_match), 0) AS DOUBLE) AS exact_match
+FROM rec GROUP BY ROLLUP (expected_lang)"""
+ORACLE["eval_summary"] = _with_ans(_SUMMARY_SQL)
+
+
+@query("eval_summary_null_gold")
+def q_eval_summary_null_gold(spark, sf):
+    """Rows without a gold answer have no score: they are counted, and leave the mean alone."""
+    gold = F.when(F.pmod("row_id", F.lit(3)) != 0, F.col("output"))
+    rec = RC.to_eval_records(_answers(spark, sf).withColumn("output", gold))
+    return MT.eval_summary(rec, require_rouge=False)
+
+
+ORACLE["eval_summary_null_gold"] = FX.with_views(_SUMMARY_SQL, "gen", extra=[
+    ("ans", f"""SELECT row_id, ID, subset, input, CASE WHEN row_id % 3 <> 0 THEN output END AS output,
+  {D.with_fallback(D.strip_thinking('raw_answer', 'input'))} AS gen_answer FROM gen"""), ("rec", _REC_SQL)])
 
 
 @query("submission")
@@ -498,10 +556,12 @@ def q_sft_test(spark, sf):
                           "messages", ["row_id", "subset"])
 
 
-@query("sft_pairs", "SELECT row_id, CAST(3 AS INTEGER) AS n_messages, output AS answer FROM qa", ["qa"])
+@query("sft_pairs", f"""SELECT row_id, output AS answer, 0 AS msg_pos, 'system' AS role, {_SYS} AS content FROM qp
+UNION ALL SELECT row_id, output, 1, 'user', {_STUDENT_SQL} FROM qp
+UNION ALL SELECT row_id, output, 2, 'assistant', concat({_MARK}, ' ', output) FROM qp""", ["qa", "countries"], _QA_PARTS)
 def q_sft_pairs(spark, sf):
     p = RC.sft_pairs(FX.qa(spark, sf), "val", FX.countries(spark))
-    return p.select("row_id", F.size("messages").alias("n_messages"), "answer")
+    return _messages_long(p, "messages", ["row_id", "answer"])
 
 
 @query("preference_pairs")
@@ -538,10 +598,24 @@ def q_render_chat(spark, sf):
     return FX.chat(spark, sf).select("conv_id", P.render_chat("messages", generation=True).alias("rendered"))
 
 
-@query("drop_assistant", """SELECT conv_id, CAST(len(list_filter(messages, lambda m: m.role <> 'assistant')) AS INTEGER)
-  AS n_left FROM chat""", ["chat"])
+@query("drop_assistant", """SELECT conv_id, CAST(unnest(generate_series(0, len(m) - 1)) AS INTEGER) AS msg_pos,
+  unnest(list_transform(m, lambda x: x.role)) AS role, unnest(list_transform(m, lambda x: x.content)) AS content
+FROM (SELECT conv_id, list_filter(messages, lambda m: m.role <> 'assistant') AS m FROM chat) t WHERE len(m) > 0""", ["chat"])
 def q_drop_assistant(spark, sf):
-    return FX.chat(spark, sf).select("conv_id", F.size(P.drop_role("messages", "assistant")).alias("n_left"))
+    left = FX.chat(spark, sf).select("conv_id", P.drop_role("messages", "assistant").alias("m"))
+    return _messages_long(left, "m", ["conv_id"])
+
+
+_OWN_TEMPLATE = P.ChatTemplate(system_prompt="Be brief.", bos="<s>", start_turn="<turn>", end_turn="</turn>", system_token="[S]",
+                               user_token="[U]", chatbot_token="[A]", response_start="(", response_end=")")
+
+
+@query("render_template", """SELECT conv_id, '<s><turn>[S]Be brief.</turn>' || array_to_string(list_transform(
+  list_filter(messages, lambda m: m.role <> 'system'), lambda m: '<turn>' ||
+  CASE m.role WHEN 'user' THEN '[U]' || m.content ELSE '[A](' || m.content || ')' END || '</turn>'), '') AS rendered FROM chat""", ["chat"])
+def q_render_template(spark, sf):
+    """The chat in another template: every marker is a setting."""
+    return FX.chat(spark, sf).select("conv_id", P.render_chat("messages", _OWN_TEMPLATE).alias("rendered"))
 
 
 _Q_RENDER = f"{_HEAD}, {D.sq(K.START_TURN + K.USER_TOKEN)}, {_STUDENT_SQL}, {D.sq(K.END_TURN)}"
@@ -595,22 +669,27 @@ def _doc_tokens(spark, sf):
     return FX.docs_by_key(spark, sf).select("row_id", TX.words("text").alias("tokens"))
 
 
+def _doc_words(spark, sf):
+    """Documents' tokens as they are scanned: counting and encoding need no order of texts."""
+    return FX.docs(spark, sf).select("row_id", TX.words("text").alias("tokens"))
+
+
 @query("build_vocab", "SELECT token, cnt, id FROM v_all", ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks"))
 def q_build_vocab(spark, sf):
-    return VC.build_vocab(_doc_tokens(spark, sf))
+    return VC.build_vocab(_doc_words(spark, sf))
 
 
 @query("encode_tokens", "SELECT row_id, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(ids, ',') AS ids FROM enc",
        ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks") + [_enc_sql("enc", "dt", "row_id", "toks")])
 def q_encode_tokens(spark, sf):
-    t = _doc_tokens(spark, sf)
+    t = _doc_words(spark, sf)
     e = VC.encode_tokens(t, VC.build_vocab(t))
     return e.select("row_id", F.size("ids").alias("n_ids"), _ids_str(F.col("ids")).alias("ids"))
 
 
 @query("decode_tokens", "SELECT row_id, array_to_string(toks, ' ') AS text FROM dt", ["docs"], _DOC_TOKS)
 def q_decode_tokens(spark, sf):
-    t = _doc_tokens(spark, sf)
+    t = _doc_words(spark, sf)
     v = VC.build_vocab(t)
     return VC.decode_tokens(VC.encode_tokens(t, v), v)
 
@@ -627,22 +706,19 @@ _QA_TOKS = [("qt", f"""SELECT row_id, regexp_extract_all(input, {_WORD}) AS p,
     regexp_extract_all(output, {_WORD})) AS pa FROM qa""")]
 
 
-def _qa_encoded(spark, sf):
-    """qa with word-token id arrays of the question (p), answer (a) and both (pa)."""
+def _qa_encoded(spark, sf, col: str):
+    """qa with the word-token ids of the question (p), the answer (a) or both (pa), and the
+    number of question tokens; ids come from the vocabulary of both."""
     q = FX.qa(spark, sf).select("row_id", TX.words("input").alias("p"), TX.words("output").alias("a"))
-    q = q.withColumn("pa", F.concat("p", "a"))
-    v = VC.build_vocab(q, "pa")
-    out = q.select("row_id")
-    for c in ("p", "a", "pa"):
-        out = out.join(VC.encode_tokens(q, v, c, out=f"{c}_ids"), "row_id", "left")
-    return out
+    q = measured(q.select("row_id", "p", "a", F.concat("p", "a").alias("pa"), F.size("p").alias("n_p")), "qa-words")
+    return VC.encode_tokens(q, VC.build_vocab(q, "pa"), col, carry=("n_p",))
 
 
 @query("strip_prompt_ids", "SELECT row_id, array_to_string(ids, ',') AS ids FROM ea", ["qa"],
        _QA_TOKS + _vocab_sql("qt", "pa") + [_enc_sql("ea", "qt", "row_id", "a")])
 def q_strip_prompt_ids(spark, sf):
-    e = _qa_encoded(spark, sf)
-    return e.select("row_id", _ids_str(A.strip_prompt_ids("pa_ids", F.size("p_ids"))).alias("ids"))
+    e = _qa_encoded(spark, sf, "pa")
+    return e.select("row_id", _ids_str(A.strip_prompt_ids("ids", F.col("n_p"))).alias("ids"))
 
 
 @query("truncate_at_stop", """SELECT row_id, array_to_string(CASE WHEN k IS NULL THEN ids ELSE list_slice(ids, 1, k - 1) END,
@@ -650,31 +726,30 @@ def q_strip_prompt_ids(spark, sf):
     lambda i: CASE WHEN ids[i] IN (0, 1) THEN i END), lambda x: x IS NOT NULL)[1] AS k FROM ea) t""", ["qa"],
        _QA_TOKS + _vocab_sql("qt", "pa") + [_enc_sql("ea", "qt", "row_id", "a")])
 def q_truncate_at_stop(spark, sf):
-    e = _qa_encoded(spark, sf)
-    return e.select("row_id", _ids_str(A.truncate_at_stop("a_ids", [0, 1, None])).alias("ids"))
+    e = _qa_encoded(spark, sf, "a")
+    return e.select("row_id", _ids_str(A.truncate_at_stop("ids", [0, 1, None])).alias("ids"))
 
 
-def _pad_sql(side: str) -> str:
+def _pad_sql(side: str, pad_id: int = 0) -> str:
     fill = "list_transform(generate_series(1, L - len(cut)), lambda i: {v})"
 
     def pad(arr, v):
         f = fill.format(v=v)
         return f"list_concat({f}, {arr})" if side == "left" else f"list_concat({arr}, {f})"
     ones = "list_transform(cut, lambda x: 1)"
-    return f"""SELECT row_id, batch, array_to_string({pad('cut', 0)}, ',') AS input_ids,
+    return f"""SELECT row_id, batch, array_to_string({pad('cut', pad_id)}, ',') AS input_ids,
   array_to_string({pad('cut', -100)}, ',') AS labels, array_to_string({pad(ones, 0)}, ',') AS attention_mask
 FROM (SELECT row_id, batch, L, list_slice(ids, 1, L) AS cut FROM
-  (SELECT row_id, ids, batch, least(max(len(ids)) OVER (PARTITION BY batch), 64) AS L FROM
+  (SELECT row_id, ids, batch, least(max(len(ids)) OVER (PARTITION BY batch), {K.DEFAULT_MAX_SEQ_LEN}) AS L FROM
     (SELECT row_id, ids, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM ep) b) m) c"""
 
 
 _PAD_CTES = _QA_TOKS + _vocab_sql("qt", "pa") + [_enc_sql("ep", "qt", "row_id", "p")]
 
 
-def _padded(spark, sf, side):
-    e = _qa_encoded(spark, sf).select("row_id", F.col("p_ids").alias("ids"))
-    b = BT.micro_batches(e, 8)
-    p = BT.pad_batches(b, "ids", batch="batch", max_len=64, pad_id=0, side=side)
+def _padded(spark, sf, side, pad_id=0):
+    b = BT.micro_batches(measured(_qa_encoded(spark, sf, "p"), "questions"), 8)
+    p = BT.pad_batches(b, "ids", batch="batch", pad_id=pad_id, eos_id=7, side=side)
     return p.select("row_id", "batch", _ids_str(F.col("input_ids")).alias("input_ids"),
                     _ids_str(F.col("labels_padded")).alias("labels"),
                     _ids_str(F.col("attention_mask")).alias("attention_mask"))
@@ -690,17 +765,20 @@ def q_pad_right(spark, sf):
     return _padded(spark, sf, "right")
 
 
+@query("pad_eos", _pad_sql("right", 7), ["qa"], _PAD_CTES)
+def q_pad_eos(spark, sf):
+    """No pad id: the end-of-text id pads."""
+    return _padded(spark, sf, "right", pad_id=None)
+
+
 @query("batch_max_len", """SELECT batch, max_len, CAST(max(max_len) OVER (ORDER BY batch
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS running_max_len FROM
-  (SELECT batch, CAST(least(max(len(ids)), 64) AS INTEGER) AS max_len FROM
+  (SELECT batch, CAST(least(max(len(ids)), 2048) AS INTEGER) AS max_len FROM
     (SELECT ids, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch FROM ep) b GROUP BY batch) t""",
        ["qa"], _PAD_CTES)
 def q_batch_max_len(spark, sf):
-    e = _qa_encoded(spark, sf).select("row_id", F.col("p_ids").alias("ids"))
-    return BT.batch_max_len(BT.micro_batches(e, 8), "ids", "batch", max_seq_len=64)
-
-
-_CHAT_LAST_A = "element_at(messages, -1).role = 'assistant'"
+    e = measured(_qa_encoded(spark, sf, "p"), "questions")
+    return BT.batch_max_len(BT.micro_batches(e, 8), "ids", "batch")
 
 
 def _render_sql(msgs: str) -> str:
@@ -713,18 +791,22 @@ def _render_sql(msgs: str) -> str:
     ',') AS labels
 FROM (SELECT l.conv_id, e.ids, l.plen + list_position(list_slice(l.toks, l.plen + 1, len(l.toks)),
         '<|START_RESPONSE|>') AS r FROM lt l JOIN el e ON l.conv_id = e.conv_id) t""", ["chat"], [
-    ("lt", f"""SELECT conv_id, regexp_extract_all({_render_sql('messages')}, {_CHAT_TOK}) AS toks,
-       len(regexp_extract_all({_render_sql('list_slice(messages, 1, len(messages) - 1)')}, {_CHAT_TOK})) AS plen
-       FROM chat WHERE messages[-1].role = 'assistant'""")] + _vocab_sql("lt", "toks") + [
-    _enc_sql("el", "lt", "conv_id", "toks")])
+    ("la", """SELECT conv_id, messages, list_position(list_transform(list_reverse(messages), lambda m: m.role = 'assistant'), true) AS back
+       FROM chat"""),
+    ("lm", "SELECT conv_id, list_slice(messages, 1, len(messages) - back + 1) AS msgs FROM la WHERE back > 0"),
+    ("lt", f"""SELECT conv_id, regexp_extract_all({_render_sql('msgs')}, {_CHAT_TOK}) AS toks,
+       len(regexp_extract_all({_render_sql('list_slice(msgs, 1, len(msgs) - 1)')}, {_CHAT_TOK})) AS plen FROM lm""")]
+       + _vocab_sql("lt", "toks") + [_enc_sql("el", "lt", "conv_id", "toks")])
 def q_label_mask(spark, sf):
-    c = FX.chat(spark, sf).where(F.element_at("messages", -1)["role"] == "assistant")
-    c = c.select("conv_id", VC.chat_tokens(P.render_chat("messages")).alias("toks"),
-                 F.size(VC.chat_tokens(P.render_chat(F.slice("messages", 1, F.size("messages") - 1)))).alias("plen"))
-    v = VC.build_vocab(c, "toks")
-    e = VC.encode_tokens(c, v, "toks", key="conv_id").join(c, "conv_id")
-    labels = A.label_mask("ids", F.col("plen"), [K.RESPONSE_START], search=F.col("toks"))
-    x = e.select("conv_id", "ids", labels.alias("labels"))
+    """Every conversation with an answer, cut behind its last one."""
+    c = FX.chat(spark, sf)
+    last = F.array_max(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i + 1)))
+    c = c.withColumn("n", last).where("n is not null").select("conv_id", F.slice("messages", F.lit(1), F.col("n")).alias("m"))
+    c = c.select("conv_id", VC.chat_tokens(P.render_chat("m")).alias("toks"),
+                 F.size(VC.chat_tokens(P.render_chat(F.slice("m", 1, F.size("m") - 1)))).alias("plen"))
+    c = measured(c.select("conv_id", "toks", A.response_start("toks", F.col("plen"), [K.RESPONSE_START]).alias("start")), "chats")
+    e = VC.encode_tokens(c, VC.build_vocab(c, "toks"), "toks", key="conv_id", carry=("start",))
+    x = e.select("conv_id", "ids", A.mask_before("ids", F.col("start")).alias("labels"))
     return x.select("conv_id", F.size("ids").alias("n_ids"),
                     F.size(F.filter("labels", lambda v_: v_ == K.IGNORE_INDEX)).alias("label_start"),
                     _ids_str(F.col("labels")).alias("labels"))
@@ -780,9 +862,11 @@ def q_clean_repetition(spark, sf):
 # ------------------------------------------------------------------ 2.5 scoring ----
 
 
-def _scoring_input(spark, sf, stem: bool):
-    a = _answers(spark, sf)
-    return SC.scoring_tokens(a, "output", "gen_answer", stem).select("row_id", "_gen_t", "_gold_t")
+def _scoring_input(spark, sf):
+    return SC.scoring_tokens(_answers(spark, sf), "output", "gen_answer").select("row_id", "_gen_t", "_gold_t")
+
+
+_ROUGE = _ANS + DR.rouge_ctes("ans", "row_id", "gen_answer", "output")
 
 
 @query("rouge_tokens")
@@ -797,7 +881,7 @@ ORACLE["rouge_tokens"] = FX.with_views(
 
 @query("rouge1_counts")
 def q_rouge1_counts(spark, sf):
-    return SC.rouge1_counts(_scoring_input(spark, sf, False), "_gen_t", "_gold_t")
+    return SC.rouge1_counts(_scoring_input(spark, sf), "_gen_t", "_gold_t")
 
 
 ORACLE["rouge1_counts"] = FX.with_views("""SELECT t.row_id, CAST(coalesce(o.overlap, 0) AS INTEGER) AS overlap,
@@ -811,74 +895,177 @@ FROM rt t LEFT JOIN (SELECT row_id, sum(least(cg, cr)) AS overlap FROM (
               regexp_extract_all(lower(output), '[a-z0-9]+') AS r FROM ans""")])
 
 
-@query("stem_vocab")
+@query("stem_vocab", "SELECT word, stem FROM stems", ["gen"], _ROUGE)
 def q_stem_vocab(spark, sf):
-    return SC.stem_vocab(_scoring_input(spark, sf, False).select(F.concat("_gen_t", "_gold_t").alias("t")), "t")
+    return SC.stem_vocab(_scoring_input(spark, sf).select(F.concat("_gen_t", "_gold_t").alias("t")), "t")
+
 
+@query("stem_documents", "SELECT word, stem FROM stems", ["docs"], [
+    ("dw", "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM docs")] + DR.stem_ctes("dw"))
+def q_stem_documents(spark, sf):
+    """Stems of the documents' whole vocabulary."""
+    return SC.stem_vocab(FX.docs(spark, sf).select(RG.rouge_tokens("text").alias("t")), "t")
 
-@query("rouge1")
+
+@query("rouge1", "SELECT row_id, rouge1_f1 FROM rouge", ["gen"], _ROUGE)
 def q_rouge1(spark, sf):
-    s = SC.rouge_score(_answers(spark, sf), "output", "gen_answer")
-    return s.select("row_id", "rouge1_f1")
+    return SC.rouge1_score(_answers(spark, sf).select("row_id", "output", "gen_answer"), "output").select("row_id", "rouge1_f1")
 
 
-@query("rougeL_counts")
+@query("rougeL_counts", "SELECT row_id, lcs, CAST(n_gen AS INTEGER) AS n_gen, CAST(n_gold AS INTEGER) AS n_gold FROM rouge", ["gen"], _ROUGE)
 def q_rougeL_counts(spark, sf):
-    return SC.rougeL_counts(_scoring_input(spark, sf, True), "_gen_t", "_gold_t")
+    return SC.rougeL_counts(_scoring_input(spark, sf), "_gen_t", "_gold_t")
 
 
-@query("rouge_score")
+@query("rouge_score", "SELECT row_id, rouge1_f1, rougeL_f1, score FROM rouge", ["gen"], _ROUGE)
 def q_rouge_score(spark, sf):
-    s = SC.rouge_score(_answers(spark, sf), "output", "gen_answer")
+    s = SC.rouge_score(_answers(spark, sf).select("row_id", "output", "gen_answer"), "output")
     return s.select("row_id", "rouge1_f1", "rougeL_f1", "score")
 
 
-@query("score_answers")
+_SCORED = _ROUGE + [("rec", _REC_SQL.replace("FROM ans", "FROM ans").replace("SELECT ID,", "SELECT row_id, ID,")),
+                    ("scored", "SELECT rec.* EXCLUDE (row_id), rouge1_f1, rougeL_f1, score FROM rec JOIN rouge USING (row_id)")]
+
+
+@query("score_answers", "SELECT * FROM scored", ["gen"], _SCORED)
 def q_score_answers(spark, sf):
     return SC.score_answers(_answers(spark, sf))
 
 
-# ----------------------------------------------------- 2.11 inference, streaming ----
+# ------------------------------------------- 2.11 runs over an answer table, streaming ----
 
 
-_TAIL6 = f"array_to_string(list_slice(regexp_extract_all(output, {_WORD}), " \
-         f"greatest(len(regexp_extract_all(output, {_WORD})) - 5, 1), len(regexp_extract_all(output, {_WORD}))), ' ')"
-_STUB_SQL = f"concat(input, ' ', output, ' ', {_TAIL6})"
+def _answer_table(spark, sf):
+    return FX.gen(spark, sf).select("row_id", F.col("raw_answer").alias("answer"))
 
 
-@query("batch_infer", f"""SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch,
-  {_STUB_SQL} AS answer FROM qa""", ["qa"])
-def q_batch_infer(spark, sf):
-    return INF.batch_infer(FX.qa(spark, sf), INF.echo_predictor()).select("row_id", "batch", "answer")
+@query("submission_run", f"""SELECT ef.ID, c.cleaned AS TargetRLF1, c.cleaned AS TargetR1F1, c.cleaned AS TargetLLM
+FROM ef JOIN (SELECT lt3.row_id, {D.py_strip("array_to_string(list_slice(toks, 1, n_kept), '')")} AS cleaned
+  FROM lt3 JOIN tk ON lt3.row_id = tk.row_id) c ON ef.row_id = c.row_id""", ["gen"], [
+    ("ef", f"SELECT row_id, ID, {D.strip_echo('raw_answer', 'input')} AS t FROM gen"),
+    ("lt3", f"SELECT row_id, regexp_extract_all(t, {_LOSSLESS}) AS toks FROM ef")] + _trim_sql("lt3", 3))
+def q_submission_run(spark, sf):
+    return SU.submission_run(FX.qa(spark, sf), _answer_table(spark, sf))
 
 
-def _fails(batch) -> bool:
-    return bool((batch["row_id"] % 5 == 0).any())
+@query("submission_prompts", f"""SELECT row_id, concat({_Q_RENDER}, {D.sq(K.START_TURN + K.CHATBOT_TOKEN + K.RESPONSE_START)}, {_MARK},
+    {D.sq(K.RESPONSE_END + K.END_TURN)}) AS prompt, CAST(m.max_new_tokens AS VARCHAR) AS max_new_tokens
+FROM qp JOIN max_lens m ON m.subset = qp.subset""", ["qa", "countries", "max_lens"], _QA_PARTS)
+def q_submission_prompts(spark, sf):
+    x = SU.submission_prompts(FX.qa(spark, sf), FX.countries(spark), FX.max_lens(spark))
+    return x.select("row_id", "prompt", F.col("params")["max_new_tokens"].alias("max_new_tokens"))
 
 
-@query("batch_infer_failures", f"""SELECT row_id, CASE WHEN failed = 1 THEN {D.sq(K.FALLBACK_ANSWER)} ELSE {_STUB_SQL} END
-  AS answer, failed FROM (SELECT *, CAST(max(CASE WHEN row_id % 5 = 0 THEN 1 ELSE 0 END)
-    OVER (PARTITION BY (rn - 1) // 8) AS INTEGER) AS failed
-  FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS rn FROM qa) a) b""", ["qa"])
-def q_batch_infer_failures(spark, sf):
-    out = INF.batch_infer(FX.qa(spark, sf), INF.failing_predictor(_fails, INF.echo_predictor()))
-    return out.select("row_id", TX.with_fallback("answer").alias("answer"),
-                      F.col("error").isNotNull().cast("int").alias("failed"))
+@query("eval_prompts", f"""SELECT row_id, 'aya' AS family, concat({_Q_RENDER}, {_OPEN}) AS prompt FROM qp
+UNION ALL SELECT row_id, 'qwen', concat({_Q_RENDER}, {D.sq(K.START_TURN + K.CHATBOT_TOKEN + K.RESPONSE_START)}, {_MARK}) FROM qp""",
+       ["qa", "countries"], _QA_PARTS)
+def q_eval_prompts(spark, sf):
+    """The evaluation prompt of both model families."""
+    q, c = FX.qa(spark, sf), FX.countries(spark)
+    both = [EV.eval_prompts(q, c, f).select("row_id", F.lit(f).alias("family"), "prompt") for f in ("aya", "qwen")]
+    return both[0].unionByName(both[1])
 
 
-@query("submission_run", f"""SELECT ef.ID, c.cleaned AS TargetRLF1, c.cleaned AS TargetR1F1, c.cleaned AS TargetLLM
-FROM ef JOIN (SELECT lt3.row_id, {D.py_strip("array_to_string(list_slice(toks, 1, n_kept), '')")} AS cleaned
-  FROM lt3 JOIN tk ON lt3.row_id = tk.row_id) c ON ef.row_id = c.row_id""", ["qa"], [
-    ("ef", f"SELECT row_id, ID, {D.strip_echo(_STUB_SQL, 'input')} AS t FROM qa"),
-    ("lt3", f"SELECT row_id, regexp_extract_all(t, {_LOSSLESS}) AS toks FROM ef")] + _trim_sql("lt3", 3))
-def q_submission_run(spark, sf):
-    return SU.submission_run(FX.qa(spark, sf), INF.echo_predictor(), FX.countries(spark), FX.max_lens(spark))
+@query("eval_run", "SELECT * FROM scored", ["gen"], _SCORED)
+def q_eval_run(spark, sf):
+    return EV.eval_run(FX.qa(spark, sf), _answer_table(spark, sf))[0]
 
 
-@query("eval_run")
-def q_eval_run(spark, sf):
-    records, _ = EV.eval_run(FX.qa(spark, sf), INF.echo_predictor(), FX.countries(spark))
-    return records
+@query("eval_run_test")
+def q_eval_run_test(spark, sf):
+    return EV.eval_run_test(FX.qa(spark, sf).drop("output"), _answer_table(spark, sf))
+
+
+ORACLE["eval_run_test"] = ORACLE["submission"]
+
+
+def _metrics_sql(source: str, names: dict[str, str]) -> str:
+    """Long generation metrics of ``source`` (lang and the columns of ``names``)."""
+    parts = [f"""SELECT CASE WHEN grouping(lang) = 1 THEN 'eval_gen_{m}' ELSE 'eval_gen_{m}_' || lang END AS metric,
+  CASE WHEN grouping(lang) = 1 THEN NULL ELSE lang END AS lang, count({c}) AS n,
+  {DR.round4(f"{DR.exact_sum(c)} / CAST(count({c}) AS DOUBLE)")} AS value FROM {source} GROUP BY ROLLUP (lang)""" for m, c in names.items()]
+    parts.append(f"SELECT 'eval_gen_n_samples', NULL, count(*), CAST(count(*) AS DOUBLE) FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+_VAL = [("picked", "SELECT * FROM gen ORDER BY md5(concat_ws('|', 11, row_id)), row_id LIMIT 64"),
+        ("vt", f"""SELECT row_id, subset, {D.py_strip('raw_answer')} AS a, {D.py_strip('output')} AS b FROM picked""")]
+
+
+@query("validation_run", _metrics_sql("vs", {"exact_match": "exact_match", "rouge1": "rouge1_f1", "rougeL": "rougeL_f1", "score": "score"}),
+       ["gen"], _VAL + DR.rouge_ctes("vt", "row_id", "a", "b") + [
+    ("vs", f"SELECT {D.lang_of('subset')} AS lang, CAST(lower(a) = lower(b) AS INTEGER) AS exact_match, rouge.* FROM vt JOIN rouge USING (row_id)")])
+def q_validation_run(spark, sf):
+    """A training step's validation: uniform sample by step, answers stripped and scored."""
+    return EV.validation_run(FX.qa(spark, sf), _answer_table(spark, sf), step=11, n=64)
+
+
+@query("validation_prompts", f"""SELECT row_id, concat({_Q_RENDER}, {_OPEN}, {_MARK}) AS prompt
+FROM (SELECT * FROM qp ORDER BY md5(concat_ws('|', 11, row_id)), row_id LIMIT 64) t""", ["qa", "countries"], _QA_PARTS)
+def q_validation_prompts(spark, sf):
+    return EV.validation_prompts(FX.qa(spark, sf), FX.countries(spark), step=11, n=64).select("row_id", "prompt")
+
+
+def _csv_in_order(spark, sf, name, columns):
+    """The QA rows as CSV files whose order of paths and lines is the order of row_id."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_csv
+    rows = FX.qa(spark, sf).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    path = scratch_path(spark, name)
+    write_csv(rows.select(*columns), path)
+    return path
+
+
+@query("file_row_index", """SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, CAST(ID AS VARCHAR) AS ID, subset, input FROM qa""", ["qa"])
+def q_file_row_index(spark, sf):
+    """Rows of CSV files numbered in file order, end to end from the written files."""
+    path = _csv_in_order(spark, sf, "ordered", [F.col("ID").cast("string").alias("ID"), "subset", "input", "output"])
+    return read_qa_indexed(spark, path).select("row_id", "ID", "subset", "input")
+
+
+@query("file_default_id", """SELECT row_number() OVER (ORDER BY row_id) - 1 AS ID, input FROM qa""", ["qa"])
+def q_file_default_id(spark, sf):
+    """Files without an ID column: the row's number stands in."""
+    path = _csv_in_order(spark, sf, "unnamed", ["subset", "input", "output"])
+    schema = type(QA_SCHEMA)([f for f in QA_SCHEMA.fields if f.name != "ID"])
+    return read_qa_indexed(spark, path, schema=schema).select("ID", "input")
+
+
+@query("incremental_sink")
+def q_incremental_sink(spark, sf):
+    """Results made durable batch by batch, projected to the submission columns."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_incremental
+    out, path = RC.to_submission(_answers(spark, sf)), scratch_path(spark, "incremental")
+    for k in range(3):
+        write_incremental(out.where(F.pmod("ID", F.lit(3)) == k), path, columns=["ID", *K.SUBMISSION_TARGETS])
+    return spark.read.parquet(path)
+
+
+ORACLE["incremental_sink"] = ORACLE["submission"]
+
+
+@query("training_set")
+def q_training_set(spark, sf):
+    """The SFT table handed over as Parquet, nested messages kept."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_training_set
+    sft = RC.build_sft(FX.qa(spark, sf), "train", FX.countries(spark), keep=("row_id", "subset"))
+    return _messages_long(spark.read.parquet(write_training_set(sft, scratch_path(spark, "sft"))), "messages", ["row_id", "subset"])
+
+
+ORACLE["training_set"] = ORACLE["sft_train"]
+
+
+@query("format_metrics")
+def q_format_metrics(spark, sf):
+    """Display form of the summary: counts without, means with four decimals."""
+    s = MT.eval_summary(_eval_records(spark, sf), require_rouge=False).select("expected_lang", "n", "exact_match")
+    return MT.format_metrics(s)
+
+
+ORACLE["format_metrics"] = _with_ans("""SELECT expected_lang, CAST(count(*) AS VARCHAR) AS n,
+  printf('%.4f', CAST(sum(exact_match) AS DOUBLE) / CAST(count(*) AS DOUBLE)) AS exact_match FROM rec GROUP BY ROLLUP (expected_lang)""")
 
 
 @query("debug_sample", f"""SELECT row_id, concat({_Q_RENDER}, {_OPEN}, {_MARK}) AS prompt, raw_answer
@@ -914,15 +1101,15 @@ def _stream_inputs(spark, sf, df, name):
     return d
 
 
-@query("stream_scoring")
+@query("stream_scoring", "SELECT * FROM scored", ["gen"], _SCORED)
 def q_stream_scoring(spark, sf):
     from ..session import scratch_path
-    from ..streaming.scoring import stream_scoring
+    from ..streaming.scoring import scored, stream_scoring
     gen = FX.gen(spark, sf)
     src = _stream_inputs(spark, sf, gen, "stream-in")
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     stream_scoring(spark, src, out, ck, gen.schema)
-    return spark.read.parquet(out)
+    return scored(spark, out)
 
 
 @query("stream_log_windows")
@@ -956,13 +1143,22 @@ def _scored(spark, sf):
     return SC.score_answers(_answers(spark, sf))
 
 
-@query("eval_summary_scored")
+_MEANS = ", ".join(f"""{DR.exact_sum(m)} AS {m}_sum, count(*) - count({m}) AS {m}_null,
+  {DR.exact_sum(m)} / CAST(count({m}) AS DOUBLE) AS {m}""" for m in ("rouge1_f1", "rougeL_f1", "score"))
+
+
+@query("eval_summary_scored", f"""SELECT expected_lang, CAST(grouping(expected_lang) AS INTEGER) AS is_overall, count(*) AS n,
+  CAST(sum(exact_match) AS BIGINT) AS exact_match_sum, count(*) - count(exact_match) AS exact_match_null,
+  CAST(sum(exact_match) AS DOUBLE) / CAST(count(exact_match) AS DOUBLE) AS exact_match, {_MEANS}
+FROM scored GROUP BY ROLLUP (expected_lang)""", ["gen"], _SCORED)
 def q_eval_summary_scored(spark, sf):
     """A1/A2 with every metric: exact match and the stemmed ROUGE scores."""
     return MT.eval_summary(_scored(spark, sf))
 
 
-@query("gen_metrics_scored")
+@query("gen_metrics_scored", _metrics_sql("sl", {"exact_match": "exact_match", "rouge1": "rouge1_f1", "rougeL": "rougeL_f1",
+                                                 "score": "score"}), ["gen"], _SCORED + [
+    ("sl", f"""SELECT *, {D.lang_of("expected_lang || '_' || expected_country")} AS lang FROM scored""")])
 def q_gen_metrics_scored(spark, sf):
     """A3 over exact match, ROUGE-1, ROUGE-L and the combined score."""
     s = _scored(spark, sf).select(

@@ -1,5 +1,5 @@
-"""Submission run: per-subset decoding params -> chat prompt -> batch inference ->
-echo removal -> repetition cleanup -> submission projection.
+"""Submission run: per-subset decoding params -> chat prompt -> answers -> echo removal ->
+repetition cleanup -> submission projection.
 
 One pass over all rows: partitions replace the per-GPU processes, the per-subset loop
 becomes a join with the length table, and the output committer replaces part files plus
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from .. import constants as K
 from ..functions.prompts import DEFAULT_TEMPLATE, ChatTemplate, render_chat
 from ..functions.text import strip_echo
-from ..operators.inference import batch_infer
-from ..operators.lookups import decode_params
+from ..operators.lookups import align_answers, decode_params
 from ..operators.records import build_sft, to_submission
 from ..operators.repetition import clean_repetition
+from ..session import measured
 
 
 def submission_prompts(df: DataFrame, countries: DataFrame, max_lens: DataFrame,
@@ -28,11 +28,12 @@ def submission_prompts(df: DataFrame, countries: DataFrame, max_lens: DataFrame,
     return msgs.withColumn("prompt", render_chat("messages", template, generation=True)).drop("messages")
 
 
-def submission_run(df: DataFrame, make_predictor, countries: DataFrame, max_lens: DataFrame,
-                   batch_size: int = K.DEFAULT_INFER_BATCH, min_n: int = K.DEFAULT_MIN_N,
-                   max_n: int = K.DEFAULT_MAX_N, max_passes: int = K.DEFAULT_MAX_PASSES) -> DataFrame:
-    prompts = submission_prompts(df, countries, max_lens)
-    gen = batch_infer(prompts, make_predictor, batch_size)
-    gen = gen.withColumn("_echo_free", strip_echo("answer", "input"))
-    cleaned = clean_repetition(gen, "_echo_free", "row_id", min_n, max_n, max_passes, out="gen_answer")
+def submission_run(df: DataFrame, answers: DataFrame, min_n: int = K.DEFAULT_MIN_N, max_n: int = K.DEFAULT_MAX_N,
+                   max_passes: int = K.DEFAULT_MAX_PASSES) -> DataFrame:
+    """Questions and their answer table ``(row_id, answer)`` -> submission. The answers come
+    from ``submission_prompts`` through ``inference.batch_infer``, or from any other source;
+    they are written once before they are cleaned."""
+    given = align_answers(df, measured(answers.select("row_id", "answer"), "answers"))
+    given = given.withColumn("_echo_free", strip_echo("answer", "input"))
+    cleaned = clean_repetition(given, "_echo_free", "row_id", min_n, max_n, max_passes, out="gen_answer")
     return to_submission(cleaned)

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library is tuned for. AQE re-plans at runtime: it coalesces small
 # shuffle partitions, splits skewed join partitions and turns a join into a broadcast
@@ -64,6 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/babelqa-{name}-{uuid.uuid4().hex}"
 
 
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once under the shared folder and read it back. Lineage is cut, and the
+    planner knows the table's real size: it broadcasts a side of a join only if its bytes are
+    within ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 

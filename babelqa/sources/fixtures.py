@@ -48,8 +48,8 @@ def gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.pmod(F.col("row_id"), F.lit(7))
     out, inp = F.col("output"), F.col("input")
     raw = (F.when(k == 0, F.concat(F.lit("  "), F.lower(out), F.lit(" ")))
-           .when(k == 1, F.substring(out, 1, 120))
-           .when(k == 2, F.concat(F.lit("<think>"), F.substring(inp, 1, 20), F.lit("</think> "), out))
+           .when(k == 1, F.array_join(F.reverse(F.split(out, " ")), " "))
+           .when(k == 2, F.concat(F.lit("<think>"), inp, F.lit("</think> "), out))
            .when(k == 3, F.lit("   "))
            .when(k == 4, F.concat(out, F.lit(" "), out))
            .when(k == 5, F.concat(inp, F.lit(" "), out))
@@ -134,8 +134,8 @@ WHERE role = 'user' AND next_role = 'assistant'""",
 SELECT row_id, ID, subset, input, output,
   CASE row_id % 7
     WHEN 0 THEN concat('  ', lower(output), ' ')
-    WHEN 1 THEN substr(output, 1, 120)
-    WHEN 2 THEN concat('<think>', substr(input, 1, 20), '</think> ', output)
+    WHEN 1 THEN array_to_string(list_reverse(string_split(output, ' ')), ' ')
+    WHEN 2 THEN concat('<think>', input, '</think> ', output)
     WHEN 3 THEN '   '
     WHEN 4 THEN concat(output, ' ', output)
     WHEN 5 THEN concat(input, ' ', output)

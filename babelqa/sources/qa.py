@@ -54,6 +54,22 @@ def read_qa(spark: SparkSession, path, fmt: str = "csv", schema: T.StructType |
     return df
 
 
+def read_qa_indexed(spark: SparkSession, path, **options) -> DataFrame:
+    """``read_qa`` plus ``row_id``: 0, 1, 2, ... in the order of the files (by path) and of the
+    rows in each of them, after rows without a subset are gone. ``ID`` is filled from it where
+    the files have none. Rows are numbered per task and shifted by the rows before (file, block),
+    so nothing is gathered in one task."""
+    from ..operators.ranking import rank_within
+    df = read_qa(spark, path, **options)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+             F.monotonically_increasing_id().alias("_at")]
+    x = rank_within(df.select("*", *place).withColumn("_all", F.lit(0)), ["_all"], ["_file", "_block", "_at"], out="row_id")
+    x = x.drop("_all", "_file", "_block", "_at")
+    if "ID" in x.columns:
+        return x.withColumn("ID", F.coalesce(F.col("ID"), F.col("row_id").cast(x.schema["ID"].dataType)))
+    return x.withColumn("ID", F.col("row_id"))
+
+
 def merge_parts(spark: SparkSession, paths, fmt: str = "csv", schema: T.StructType | None = None) -> DataFrame:
     """One read over all part files; each row keeps the file it came from."""
     if fmt == "csv":

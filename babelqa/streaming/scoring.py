@@ -1,9 +1,9 @@
 """Incremental scoring with Structured Streaming.
 
-Each arriving file of answers is scored and appended to the result table as soon as its
-micro-batch commits; the checkpoint makes a restart resume where it stopped (the
-toolkit rewrote its whole CSV after every batch). Scoring is per row, so the stream's
-result equals the batch result.
+Each arriving file of answers is scored as a micro-batch by the batch operator and written to
+its own folder, named by the batch's number; a batch that is run again after a restart
+replaces its folder, so every row is in the result once. The checkpoint makes a restart resume
+where it stopped (the toolkit rewrote its whole CSV after every batch).
 """
 
 from __future__ import annotations
@@ -14,14 +14,19 @@ from ..operators.records import clean_generation
 from ..operators.scoring import score_answers
 
 
-def scoring_stream(sdf: DataFrame) -> DataFrame:
-    return score_answers(clean_generation(sdf))
-
-
 def stream_scoring(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema,
                    max_files_per_trigger: int = 1) -> None:
     """Score everything available in ``in_dir`` (Parquet) into ``out_dir`` and stop."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(in_dir)
-    q = (scoring_stream(src).writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start(out_dir))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        score_answers(clean_generation(batch)).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+
+    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def scored(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The rows scored so far."""
+    return spark.read.option("basePath", out_dir).parquet(out_dir).drop("batch")

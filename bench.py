@@ -18,7 +18,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["eval_summary", "stratified_sample", "batch_plan", "trim_repetition", "first_repeated_ngram",
-            "rouge1", "rougeL_counts", "encode_tokens"]
+            "rouge1", "rougeL_counts", "encode_tokens", "build_vocab", "decode_tokens", "label_mask",
+            "clean_repetition", "training_table", "gen_metrics_scored"]
 
 
 def main() -> None:

@@ -1,5 +1,6 @@
 """Driver contract and physical-plan properties."""
 
+import re
 import subprocess
 import sys
 
@@ -85,22 +86,60 @@ def test_pad_id_falls_back_to_eos(spark):
     assert out[1] == [3, 99]
 
 
-def test_single_partition_windows_only_on_language_tables(spark):
-    """Windows without partitionBy (an Exchange SinglePartition) may only run on
-    per-language tables: the exchange right below must be the language aggregation."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        for name in ("stratified_sample", "batch_plan", "lang_allocation"):
-            lines = Q.QUERIES[name](spark, SF01)._jdf.queryExecution().executedPlan().toString().splitlines()
-            assert any("Exchange SinglePartition" in ln for ln in lines), name
-            for i, ln in enumerate(lines):
-                if "Exchange SinglePartition" in ln:
-                    below = next(x for x in lines[i + 1:] if "Exchange" in x)
-                    assert "hashpartitioning(lang" in below, (name, below)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+def test_language_is_never_a_shuffle_key_of_rows(spark):
+    """Facts per language are joined map-side from written tables; only aggregated tables are
+    shuffled by language."""
+    for name in ("stratified_sample", "batch_plan", "training_table"):
+        lines = plan(Q.QUERIES[name](spark, SF01)).splitlines()
+        assert not any(re.search(r"hashpartitioning\(lang#\d+, \d+\)", ln) for ln in lines), name
+        assert not any("SinglePartition" in ln for ln in lines), name
+
+
+def test_training_table_plan_is_short(spark):
+    p = plan(Q.QUERIES["training_table"](spark, SF01))
+    assert p.count("Exchange") < 20 and "Python" not in p
+
+
+def test_rouge1_sends_no_text_to_python(spark):
+    lines = [ln for ln in plan(Q.QUERIES["rouge1"](spark, SF01)).splitlines() if "ArrowEvalPython" in ln]
+    assert len(lines) == 1 and "py_round4" in lines[0]
+    assert plan(Q.QUERIES["gen_metrics_scored"](spark, SF01)).count("rouge_stats(") == 1
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters(spark, monkeypatch):
+    import pytest
+    from babelqa import session as S
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.ensure_checkpoint_dir(Session())
+
+
+def test_workers_need_no_path(tmp_path):
+    """Started from another folder, with the package found by the driver alone."""
+    root = __file__.rsplit("/tests/", 1)[0]
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from babelqa.session import get_session\n"
+            "from babelqa.operators.scoring import rouge_score\n"
+            "s = get_session('local[1]', shuffle_partitions=1)\n"
+            "df = s.createDataFrame([('running dogs', 'the dog runs')], 'gold_answer string, gen_answer string')\n"
+            "print('SCORE', rouge_score(df).first().rouge1_f1)")
+    import os
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, cwd=tmp_path, env=env)
+    assert "SCORE 0.8" in out.stdout, out.stderr[-1500:]
 
 
 def test_materialised_tables_live_under_checkpoint_dir(spark):

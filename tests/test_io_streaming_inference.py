@@ -1,19 +1,23 @@
 """Sources, sinks, streaming = batch, inference isolation and the end-to-end runs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from babelqa.operators import inference as INF
+from babelqa.operators import lookups as LK
 from babelqa.operators import metrics as MT
 from babelqa.operators.records import clean_generation
 from babelqa.operators.scoring import score_answers
 from babelqa.plans import evaluation as EV
 from babelqa.plans import training as TR
 from babelqa.sources import fixtures as FX
-from babelqa.sources.qa import read_qa
+from babelqa.session import measured
+from babelqa.sources.qa import QA_SCHEMA, read_qa, read_qa_indexed
 from babelqa.sources.sinks import write_csv, write_incremental, write_training_set
-from babelqa.streaming.scoring import stream_scoring
+from babelqa.streaming.scoring import scored, stream_scoring
 from babelqa.streaming.windows import stream_log_windows
 from conftest import SF001, SF01
+from model_stubs import echo_predictor, failing_predictor
 
 
 def test_csv_round_trip(spark, scratch):
@@ -33,7 +37,7 @@ def test_training_set_and_incremental(spark, scratch):
     assert spark.read.parquet(path).count() == ex.count() > 0
     one = ex.first()
     assert len(one.ids) == len(one.labels) and one.labels[0] == -100 and one.labels[-1] != -100
-    batches = TR.training_batches(ex, micro=4, accum=2, max_len=256)
+    batches = TR.training_batches(ex, micro=4, accum=2)
     assert batches.where(F.size("input_ids") != F.size("labels_padded")).count() == 0
     out = scratch("incr")
     write_incremental(ex.select("row_id", "subset").limit(3), out)
@@ -47,7 +51,7 @@ def test_stream_scoring_equals_batch(spark, scratch):
     gen.repartition(3).write.parquet(src)
     out, ck = scratch("out"), scratch("ck")
     stream_scoring(spark, src, out, ck, gen.schema)
-    streamed = {tuple(r) for r in spark.read.parquet(out).collect()}
+    streamed = {tuple(r) for r in scored(spark, out).collect()}
     batch = {tuple(r) for r in score_answers(clean_generation(gen)).collect()}
     assert streamed == batch and len(batch) > 0
 
@@ -66,7 +70,7 @@ def test_stream_windows_equal_batch(spark, scratch):
 
 def test_inference_failure_isolation(spark):
     qa = FX.qa(spark, SF001)
-    fails = INF.failing_predictor(lambda b: bool((b["row_id"] % 3 == 0).any()), INF.echo_predictor())
+    fails = failing_predictor(lambda b: bool((b["row_id"] % 3 == 0).any()), echo_predictor())
     out = INF.batch_infer(qa, fails, batch_size=4).collect()
     by_batch = {}
     for r in out:
@@ -79,14 +83,50 @@ def test_inference_failure_isolation(spark):
     assert len(out) == qa.count()
 
 
-def test_eval_run(spark):
-    records, summary = EV.eval_run(FX.qa(spark, SF001), INF.echo_predictor(), FX.countries(spark), sample_size=20)
-    assert records.count() <= 20
+def test_inference_answers_every_row(spark):
+    df = spark.createDataFrame([(1, "q1", "a"), (1, "q2", "b"), (None, "q3", "c")], "row_id long, input string, output string")
+    out = INF.batch_infer(df, echo_predictor(), batch_size=2).collect()
+    assert sorted(r.answer for r in out) == ["q1 a a", "q2 b b", "q3 c c"]
+
+
+def test_eval_run_over_predicted_answers(spark):
+    qa = FX.qa(spark, SF001)
+    prompts = EV.eval_prompts(qa, FX.countries(spark), "qwen")
+    answers = measured(INF.batch_infer(prompts, echo_predictor()).select("row_id", "answer"), "predicted")
+    records, summary = EV.eval_run(qa, answers, sample_size=20)
+    assert 0 < records.count() <= 20
     s = summary.collect()
     assert any(r.expected_lang is None for r in s)
     assert {"rouge1_f1", "rougeL_f1", "score", "exact_match"} <= set(summary.columns)
 
 
+def test_align_fails_on_repeated_null_and_missing_keys(spark):
+    q = spark.createDataFrame([(1, "x"), (2, "y")], "row_id long, input string")
+    good = spark.createDataFrame([(2, "b"), (1, "a")], "row_id long, answer string")
+    assert sorted((r.row_id, r.answer) for r in LK.align_answers(q, good).collect()) == [(1, "a"), (2, "b")]
+    for bad in ([(1, "a")], [(1, "a"), (2, "b"), (2, "c")], [(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (2, "b"), (None, "c")]):
+        with pytest.raises(Exception, match="do not align"):
+            LK.align_answers(q, spark.createDataFrame(bad, "row_id long, answer string")).collect()
+    with pytest.raises(Exception, match="do not align"):
+        LK.align_answers(q.unionByName(q), good).select("row_id").collect()
+
+
+def test_unknown_subset_fails_whatever_is_selected(spark):
+    df = spark.createDataFrame([(1, "Xyz_Abc")], "row_id long, subset string")
+    for cols in (["row_id"], ["subset"], ["max_new_tokens"]):
+        with pytest.raises(Exception, match="no max_new_tokens"):
+            LK.with_max_len(df, FX.max_lens(spark)).select(*cols).collect()
+
+
+def test_files_are_numbered_in_order(spark, tmp_path):
+    for k, name in enumerate(("b.csv", "a.csv", "c.csv")):
+        lines = ["subset,input,output"] + [f'Eng_Ken,"q{k}\nline {j}",a' for j in range(3)] + [",dropped,a"]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    schema = type(QA_SCHEMA)([f for f in QA_SCHEMA.fields if f.name != "ID"])
+    got = [(r.row_id, r.ID, r.input) for r in read_qa_indexed(spark, str(tmp_path), schema=schema).orderBy("row_id").collect()]
+    assert got == [(3 * i + j, 3 * i + j, f"q{k}\nline {j}") for i, k in enumerate((1, 0, 2)) for j in range(3)]
+
+
 def test_event_time_windows_match_step_windows(spark):
     from babelqa.streaming.windows import log_window_counts
     seqs = MT.token_counts(MT.token_positions_to_sequences(FX.tok_pred(spark, SF01)))
@@ -109,9 +149,8 @@ def test_training_table(spark):
 
 
 def test_inference_raise_mode(spark):
-    import pytest
     qa = FX.qa(spark, SF001)
-    always = INF.failing_predictor(lambda b: True, INF.echo_predictor())
+    always = failing_predictor(lambda b: True, echo_predictor())
     with pytest.raises(Exception, match="simulated generation failure"):
         INF.batch_infer(qa, always, on_error="raise").collect()
 
@@ -122,9 +161,9 @@ def test_stream_scoring_resumes_from_checkpoint(spark, scratch):
     src, out, ck = scratch("rs-in"), scratch("rs-out"), scratch("rs-ck")
     first.repartition(2).write.parquet(src)
     stream_scoring(spark, src, out, ck, gen.schema)
-    n1 = spark.read.parquet(out).count()
+    n1 = scored(spark, out).count()
     second.repartition(2).write.mode("append").parquet(src)
     stream_scoring(spark, src, out, ck, gen.schema)  # restart: only the new files are scored
-    done = spark.read.parquet(out)
+    done = scored(spark, out)
     assert n1 == first.count() and done.count() == gen.count()
     assert {tuple(r) for r in done.collect()} == {tuple(r) for r in score_answers(clean_generation(gen)).collect()}

@@ -98,3 +98,11 @@ def test_clean_repetition_text(spark):
     for k, t in enumerate(texts):
         toks = re.findall(r"\s*\S+", t)
         assert got2[k] == "".join(naive_trim(toks, 3, 8)).strip()
+
+
+def test_null_and_repeated_keys_fail(spark):
+    import pytest
+    for bad in ([(1, "a b c a b c"), (1, "x y z")], [(None, "a b c a b c")]):
+        df = spark.createDataFrame(bad, "row_id long, text string")
+        with pytest.raises(Exception, match="NULL or repeated"):
+            RP.clean_repetition(df).collect()

@@ -95,16 +95,18 @@ def test_micro_batches_and_max_len(spark):
 def test_padding(spark, side):
     df = spark.createDataFrame([(0, 0, [1, 2, 3]), (1, 0, [4]), (2, 1, [5, 6, 7, 8, 9])],
                                "row_id long, batch long, ids array<int>")
-    out = {r.row_id: r for r in BT.pad_batches(df, "ids", batch="batch", max_len=4, pad_id=0, side=side).collect()}
+    out = {r.row_id: r for r in BT.pad_batches(df, "ids", batch="batch", max_len=4, pad_id=0, side=side,
+                                               overflow="truncate").collect()}
     assert all(len(r.input_ids) == len(r.attention_mask) == len(r.labels_padded) for r in out.values())
     if side == "left":
         assert out[1].input_ids == [0, 0, 4] and out[1].attention_mask == [0, 0, 1]
         assert out[1].labels_padded == [-100, -100, 4]
     else:
         assert out[1].input_ids == [4, 0, 0]
-    assert out[2].input_ids == [5, 6, 7, 8]  # truncated to the cap, first tokens kept
+    assert out[2].input_ids == [5, 6, 7, 8]  # truncated on request, first tokens kept and the loss counted
+    assert (out[0].n_cut, out[1].n_cut, out[2].n_cut) == (0, 0, 1)
     with pytest.raises(Exception, match="longer than max_len"):
-        BT.pad_batches(df, "ids", batch="batch", max_len=4, overflow="error").collect()
+        BT.pad_batches(df, "ids", batch="batch", max_len=4).collect()
 
 
 def test_rank_by_hash_hot_group(spark):
@@ -118,15 +120,26 @@ def test_rank_by_hash_hot_group(spark):
         assert [m[1] for m in mine] == sorted(m[1] for m in mine)
 
 
-def test_batch_plan_chunked_cycles_and_budget(spark):
+def test_batch_plan_cycles_in_chunks(spark, monkeypatch):
     rows = [(i, "big" if i < 300 else ("mid" if i < 330 else "one")) for i in range(331)]
     df = spark.createDataFrame(rows, "row_id long, lang string")
     full = {tuple(r) for r in BT.batch_plan(df, micro=4, accum=2).collect()}
-    chunked = {tuple(r) for r in BT.batch_plan(df, micro=4, accum=2, cycle_chunk=3).collect()}
-    assert full == chunked and len(full) > 0
-    budget = BT.batch_plan(df, micro=4, accum=2, max_batches=5).collect()
-    assert {r.effective_batch for r in budget} == set(range(5))
-    assert {tuple(r) for r in budget} <= full
+    monkeypatch.setattr(BT, "CYCLE_CHUNK", 3)
+    assert full == {tuple(r) for r in BT.batch_plan(df, micro=4, accum=2).collect()} and len(full) > 0
+
+
+def test_index_by_key_fails_on_null_and_repeated_keys(spark):
+    for bad in ([(1,), (1,)], [(None,), (2,)]):
+        df = spark.createDataFrame(bad, "row_id long")
+        with pytest.raises(Exception, match="NULL or repeated"):
+            with_row_id(df, ["row_id"], key="row_id").collect()
+
+
+def test_uniform_sample_is_the_front_of_the_hash_order(spark):
+    df = spark.range(3000).withColumnRenamed("id", "row_id")
+    want = [r.row_id for r in df.orderBy(SM.md5_order(5, F.col("row_id")), "row_id").limit(77).collect()]
+    assert sorted(want) == sorted(r.row_id for r in SM.uniform_sample(df, 77, seed=5).collect())
+    assert SM.uniform_sample(df, 5000, seed=5).count() == 3000 and SM.uniform_sample(df.limit(0), 5, seed=5).count() == 0
 
 
 def test_null_groups_are_kept(spark):

@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from babelqa.functions.numeric import py_round4
-from babelqa.functions.rouge import f_measure, lcs_length, overlap_count
+from babelqa.functions.rouge import f_measure, in_order, lcs_length
 from babelqa.operators import metrics as MT
 from babelqa.operators import scoring as SC
 from babelqa.sources import fixtures as FX
@@ -27,7 +28,12 @@ def test_lcs_and_overlap_random():
         a = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
         b = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
         assert lcs_length(a, b) == dp_lcs(a, b)
-        assert overlap_count(a, b) == sum((Counter(a) & Counter(b)).values())
+
+
+def test_ids_in_order():
+    import numpy as np
+    places = [np.array([0, 3]), np.array([1]), np.array([], dtype=int), np.array([2])]
+    assert in_order(np.array([7, 8, 9, 5]), places) == [7, 8, 5, 7]
 
 
 def test_rouge_edges(spark):
@@ -47,11 +53,31 @@ def test_python_rounding(spark):
     assert got == [round(v, 4) if v is not None else None for v in vals]
 
 
-def test_native_overlap_equals_udf(spark):
-    a = SC.scoring_tokens(FX.gen(spark, SF01), "output", "raw_answer", stem=False).select("row_id", "_gen_t", "_gold_t")
-    native = {r.row_id: r.overlap for r in SC.rouge1_counts(a, "_gen_t", "_gold_t").collect()}
+def test_counts_equal_python(spark):
+    a = SC.scoring_tokens(FX.gen(spark, SF01), "output", "raw_answer").select("row_id", "_gen_t", "_gold_t")
+    ones = {r.row_id: tuple(r)[1:] for r in SC.rouge1_counts(a, "_gen_t", "_gold_t").collect()}
+    ls = {r.row_id: r.lcs for r in SC.rougeL_counts(a, "_gen_t", "_gold_t", stem=False).collect()}
     for r in a.collect():
-        assert native[r.row_id] == overlap_count(list(r._gen_t), list(r._gold_t))
+        g, gold = r._gen_t, r._gold_t
+        assert ones[r.row_id] == (sum((Counter(g) & Counter(gold)).values()), len(g), len(gold))
+        assert ls[r.row_id] == dp_lcs(g, gold)
+
+
+def test_repeated_and_null_keys_are_scored_apart(spark):
+    df = spark.createDataFrame([(1, "a b c", "a b c"), (1, "a b c", "x"), (None, "a", "a"), (None, "a", None), (4, None, "a"), (5, "", "")],
+                               "row_id long, gold string, gen string")
+    got = sorted(((r.row_id, r.gold, r.gen, r.rouge1_f1, r.rougeL_f1, r.score) for r in SC.rouge_score(df, "gold", "gen").collect()), key=str)
+    assert got == sorted([(1, "a b c", "a b c", 1.0, 1.0, 1.0), (1, "a b c", "x", 0.0, 0.0, 0.0), (None, "a", "a", 1.0, 1.0, 1.0),
+                          (None, "a", None, 0.0, 0.0, 0.0), (4, None, "a", None, None, None), (5, "", "", 0.0, 0.0, 0.0)], key=str)
+
+
+def test_null_scores_are_counted_not_averaged(spark):
+    df = spark.createDataFrame([("en_X", "en", 1, 1.0, 1.0, 1.0), ("en_X", "en", None, None, None, None)],
+                               "subset string, expected_lang string, exact_match int, rouge1_f1 double, rougeL_f1 double, score double")
+    total = {r.expected_lang: r for r in MT.eval_summary(df).collect()}[None]
+    assert (total.n, total.exact_match, total.exact_match_null, total.score, total.score_null) == (2, 1.0, 1, 1.0, 1)
+    m = {r.metric: (r.n, r.value) for r in MT.gen_metrics(df, metrics=("exact_match", "score")).collect()}
+    assert m["eval_gen_score"] == (1, 1.0) and m["eval_gen_exact_match_en"] == (1, 1.0) and m["eval_gen_n_samples"] == (2, 2.0)
 
 
 def test_token_accuracy_fixture_counts(spark):
@@ -93,12 +119,23 @@ def test_encode_decode_empty_and_skip(spark):
     from babelqa.operators import vocab as VC
     df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "row_id long, tokens array<string>")
     v = VC.build_vocab(df)
-    for limit in (10, 0):  # broadcast lookup and shuffle join
-        enc = {r.row_id: r.ids for r in VC.encode_tokens(df, v, broadcast_rows=limit).collect()}
-        assert enc == {1: [0, 1, 0], 2: []}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (kept, "-1"):  # map-side lookup and shuffle join
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            enc = {r.row_id: r.ids for r in VC.encode_tokens(df, v).collect()}
+            assert enc == {1: [0, 1, 0], 2: []}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     e = VC.encode_tokens(df, v)
     dec = {r.row_id: r.text for r in VC.decode_tokens(e, v, skip_ids=[1]).collect()}
     assert dec == {1: "a a", 2: ""}
+    unknown = spark.createDataFrame([(1, [0, 99])], "row_id long, ids array<int>")
+    with pytest.raises(Exception, match="id without a token"):
+        VC.decode_tokens(unknown, v).collect()
+    for bad in ([(1, ["a"]), (1, ["b"])], [(None, ["a"])], [(1, ["a"]), (1, [])]):
+        with pytest.raises(Exception, match="NULL or repeated"):
+            VC.encode_tokens(spark.createDataFrame(bad, "row_id long, tokens array<string>"), v).collect()
 
 
 def test_rouge_pipeline_matches_python(spark):
