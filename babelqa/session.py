@@ -7,6 +7,7 @@ goes under ``spark.checkpoint.dir``, the folder the cluster shares between execu
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -78,17 +79,21 @@ _shipped: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the Python workers (once per application), so that functions
-    which run in tasks can be imported wherever the driver was started."""
+    which run in tasks can be imported wherever the driver was started. The archive lies in
+    the shared folder, from where Spark fetches it."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="babelqa-ship-"), "babelqa.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    root, data = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for folder, _, names in sorted(os.walk(root)):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(target)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'package')}/babelqa.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
     _shipped.add(app)
