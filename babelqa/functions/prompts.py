@@ -8,6 +8,7 @@ user text may contain ``%``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -30,23 +31,25 @@ def message(role, content) -> Column:
     return F.struct(_str(role).alias("role"), _col(content).cast("string").alias("content"))
 
 
+def _fill(template: str, **values) -> Column:
+    """A text template with ``{name}`` places filled by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
 def student_prompt(question, language=None, country=None) -> Column:
     """Question wrapped in the student template when a language or a country is given
     (country is accepted but not shown); otherwise the bare question."""
     q = _col(question)
     lang = F.coalesce(_col(language), F.lit(""))
     ctry = F.coalesce(_col(country), F.lit(""))
-    wrapped = F.concat(F.lit("\nAnswer in "), lang, F.lit("\nQuestion:\n"), q)
+    wrapped = _fill(K.STUDENT_TEMPLATE, language=lang, question=q)
     return F.when((lang != "") | (ctry != ""), wrapped).otherwise(q)
 
 
 def teacher_prompt(question, language, country, golden_answer) -> Column:
-    return F.concat(
-        F.lit("\nAnswer in "), F.coalesce(_col(language), F.lit("")),
-        F.lit(" as spoken in "), F.coalesce(_col(country), F.lit("")),
-        F.lit("\nQuestion:\n"), _col(question),
-        F.lit("\n\nReference answer (use it to ground your response):\n"), _col(golden_answer),
-    )
+    return _fill(K.TEACHER_TEMPLATE, language=F.coalesce(_col(language), F.lit("")),
+                 country=F.coalesce(_col(country), F.lit("")), question=_col(question), golden_answer=_col(golden_answer))
 
 
 def question_messages(question, language=None, country=None, marker=K.ANSWER_MARKER,

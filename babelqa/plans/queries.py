@@ -224,6 +224,17 @@ def q_max_len_lookup(spark, sf):
     return LK.with_max_len(FX.qa(spark, sf), FX.max_lens(spark)).select("row_id", "subset", "max_new_tokens")
 
 
+_ALT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in K.MAX_NEW_TOKENS_BY_SUBSET_ALT.items()) + ") t(subset, max_new_tokens)"
+
+
+@query("max_len_lookup_alt", """SELECT q.row_id, q.subset, m.max_new_tokens
+FROM qa q JOIN alt m ON q.subset = m.subset""", ["qa"], [("alt", _ALT_SQL)])
+def q_max_len_lookup_alt(spark, sf):
+    """The other preset of answer lengths."""
+    lens = FX.max_lens(spark, K.MAX_NEW_TOKENS_BY_SUBSET_ALT)
+    return LK.with_max_len(FX.qa(spark, sf), lens).select("row_id", "subset", "max_new_tokens")
+
+
 @query("align_answers", f"""SELECT q.row_id, q.input, a.gen_answer FROM qa q JOIN
   (SELECT row_id, {D.with_fallback(D.strip_thinking('raw_answer', 'input'))} AS gen_answer FROM gen) a
   ON q.row_id = a.row_id""", ["gen"])

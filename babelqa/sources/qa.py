@@ -34,9 +34,11 @@ def read_qa(spark: SparkSession, path, fmt: str = "csv", schema: T.StructType |
             na_values=(), drop_null_subset: bool = True) -> DataFrame:
     """Read a QA table. ``na_values`` lists markers turned into NULL in every string
     column (Spark already reads an empty field as NULL). Rows with a NULL ``subset`` are
-    dropped when the column exists and ``drop_null_subset`` is set."""
+    dropped when the column exists and ``drop_null_subset`` is set. Line breaks inside quotes
+    keep a CSV file from being split, so each file is one task; write many files, or pass
+    ``multi_line=False`` where no text holds a line break."""
     if fmt == "csv":
-        reader = spark.read.options(**CSV_OPTIONS)
+        reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
         df = reader.schema(schema or QA_SCHEMA).csv(path)
     elif fmt == "json":
         df = spark.read.schema(schema or QA_SCHEMA).json(path)

@@ -1,15 +1,16 @@
-"""Token-accuracy log windows as a streaming aggregation.
-
-Counts are kept per (window, language) as two longs of state and the window is
-``floor(step / every)``; every trigger emits the windows it changed (update mode) with
-its epoch, and the latest epoch per key is the current value. With an event-time column
-the same aggregation uses ``withWatermark`` + ``window()`` so finished windows leave the
-state store.
+"""Token-accuracy log windows over a stream.
+
+Every micro-batch is aggregated per (window, language), the window being ``floor(step /
+every)``, and its counts are written to its own folder, named by the batch's number; a batch
+that runs again after a restart replaces its folder. Counts add up, so no state is kept
+between batches and late steps need no watermark. With an event-time column the same
+aggregation runs as a streaming aggregation with ``withWatermark`` + ``window()``, whose
+finished windows leave the state store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.locale import lang_of
@@ -28,19 +29,18 @@ def log_window_counts(sdf: DataFrame, every: int, step_col: str = "step", subset
 
 
 def stream_log_windows(spark: SparkSession, sdf: DataFrame, every: int, out_dir: str, checkpoint: str) -> DataFrame:
-    """Run the per-language window aggregation over everything available, then return
-    the current value of every (window, lang), plus the all-language row per window."""
-    counts = log_window_counts(sdf, every)
+    """Aggregate everything available, then return the counts of every (window, lang), plus
+    the all-language row per window."""
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_dir)
+    def sink(batch: DataFrame, number: int) -> None:
+        log_window_counts(batch, every).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
-    q = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(sink).trigger(availableNow=True).start())
+    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    latest = spark.read.parquet(out_dir)
-    w = Window.partitionBy("log_window", "lang").orderBy(F.desc("epoch"))
-    cur = latest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "epoch")
-    overall = cur.groupBy("log_window").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")) \
+    sums = [F.sum("correct").alias("correct"), F.sum("total").alias("total")]
+    parts = spark.read.option("basePath", out_dir).parquet(out_dir)
+    cur = parts.groupBy("log_window", "lang").agg(*sums)
+    overall = cur.groupBy("log_window").agg(*sums) \
         .select("log_window", F.lit(None).cast("string").alias("lang"), "correct", "total")
     return cur.unionByName(overall).withColumn("accuracy", ratio("correct", "total"))
