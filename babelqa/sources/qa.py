@@ -31,7 +31,7 @@ CSV_OPTIONS = {
 
 
 def read_qa(spark: SparkSession, path, fmt: str = "csv", schema: T.StructType | None = None,
-            na_values=(), drop_null_subset: bool = True) -> DataFrame:
+            na_values=(), drop_null_subset: bool = True, multi_line: bool = True) -> DataFrame:
     """Read a QA table. ``na_values`` lists markers turned into NULL in every string
     column (Spark already reads an empty field as NULL). Rows with a NULL ``subset`` are
     dropped when the column exists and ``drop_null_subset`` is set. Line breaks inside quotes
