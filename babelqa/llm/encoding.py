@@ -13,17 +13,18 @@ from array import array
 
 import numpy as np
 
-REMEMBERED_CHUNKS = 1 << 20   # chunks a Python worker keeps
+REMEMBERED_CHUNKS = 400_000   # chunks a worker keeps, about 200 bytes each
 
 # Fixed value: Unicode White_Space, the class both files' patterns use.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-# A word of plain letters, one comma or stop behind it, any other run without white space;
-# all three are sure ends of a piece. The first form takes the blank before it along and
-# keeps white space, as byte-level files do; the second drops white space.
-JOINED = re.compile(f" ?[{LETTER}]+(?=[,.]?(?:[{WHITE}]|$))|[,.](?=[{WHITE}]|$)| ?[^{WHITE}]+"
+MARK = r"!-&(-/:-@\[-`{-~"     # ASCII marks but the apostrophe, which begins contractions
+# A word of plain letters, the run of marks behind it, any other run without white space; all
+# three are sure ends of a piece. The first form takes the blank before it along and keeps
+# white space, as byte-level files do; the second drops white space.
+JOINED = re.compile(f" ?[{LETTER}]+(?=[{MARK}]*(?:[{WHITE}]|$))|[{MARK}]+(?=[{WHITE}]|$)| ?[^{WHITE}]+"
                     f"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-DROPPED = re.compile(f"[{LETTER}]+(?=[,.]?(?:[{WHITE}]|$))|[,.](?=[{WHITE}]|$)|[^{WHITE}]+")
+DROPPED = re.compile(f"[{LETTER}]+(?=[{MARK}]*(?:[{WHITE}]|$))|[{MARK}]+(?=[{WHITE}]|$)|[^{WHITE}]+")
 PLAIN = re.compile(f" ?[{LETTER}]+")
 PROBES = ["", " ", " Word", "word", "\xc9t\xe9,", "Stra\xdfe.", " \xe0 la", "It's  12\n3"]
 
@@ -36,6 +37,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids by chunk; a new chunk is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = array("I", self.encode(chunk)).tobytes()
+        return ids
+
+
 class ChunkEncoder:
     """``ids(texts)`` -> little-endian unsigned 32-bit ids of each text, as bytes."""
 
@@ -43,47 +56,51 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut = JOINED if self.encode(" ") else DROPPED
+        self.lower = self.encode("A") == self.encode("a")
+        self.letters = byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        keeps_white = bool(self.encode(" "))
-        self.cut = JOINED if keeps_white else DROPPED
-        self.fold = (lambda x: x) if self.encode("A") != self.encode("a") else str.lower
-        self.letters, self.known = byte_letters(), {}
-        self.words = True
-        self.words = all(b"".join(map(self._one, self.cut.findall(p))) == self._bytes(self.encode(p)) for p in PROBES)
+        probe = [self.encode(p) for p in PROBES]
+        words = all([i for c in self.cut.findall(p) for i in self._chunk(c)] == q for p, q in zip(PROBES, probe))
+        self.known = _Known(self._chunk if words else self.encode)
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _one(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> list[int]:
         """A plain word is one piece and goes to the merge model itself."""
-        if self.words and PLAIN.fullmatch(chunk):
-            piece = self.fold(chunk).encode().decode("latin-1").translate(self.letters)
-            return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
-        return self._bytes(self.encode(chunk))
+        if not PLAIN.fullmatch(chunk):
+            return self.encode(chunk)
+        piece = chunk.lower() if self.lower else chunk
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        elif piece[0] == " ":
+            piece = self.letters[32] + piece[1:]
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.cut.findall(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED_CHUNKS:
             self.known.clear()
-        model, letters, fold, plain = self.tokenizer.model, self.letters, self.fold, PLAIN.fullmatch
-        for chunk in set().union(*cut) - self.known.keys():
-            if self.words and plain(chunk):
-                piece = fold(chunk).encode().decode("latin-1").translate(letters)
-                self.known[chunk] = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
-            else:
-                self.known[chunk] = self._bytes(self.encode(chunk))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [self._text(t) if t else b"" for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):      # they cut a text before white space does
+            return array("I", self.encode(text)).tobytes()
+        return b"".join(map(self.known.__getitem__, self.cut.findall(text)))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder of this file; what it remembers is bounded and serves later tasks."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
+
+
+def forget_chunks() -> None:
+    """Called by tasks of other operators: Python workers are reused, and what encoding has
+    remembered would take their memory."""
+    for e in _encoders.values():
+        e.known.clear()

@@ -4,8 +4,9 @@ An example takes three things of a sequence: tokens, a segment, and loss-bearing
 While a sequence is open, the example whose size vector has the largest dot product with
 what the sequence has left (each over its limit) goes in, among those that fit all limits.
 If none fits, the longest one that is left is cut so that the sequence ends full: ids may be
-cut anywhere and every id lies in exactly one piece. What remains at the end of a task is cut
-into sequences whose lengths are powers of two, which need no padding.
+cut anywhere and every id lies in exactly one piece. A sequence that cannot be filled (its
+segments are used up, or the task's rows are) is cut into sequences whose lengths are powers of
+two, which need no padding.
 
 Each task packs its own rows through a pool of at most POOL examples; nothing is shuffled,
 and sequence ids carry the task's number, so a re-run task gives the same pieces. Documents
@@ -64,6 +65,8 @@ class Packer:
     ``ready``; ``finish`` packs what is left."""
 
     def __init__(self, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS), pool: int = POOL):
+        if min(limits) < 1 or pool < 2:
+            raise ValueError("limits have to be at least 1, the pool at least 2")
         self.limits, self.scale = np.array(limits), 1 / np.array(limits, float)
         self.pool, self.held = pool, 0
         self.items: list[Example | None] = [None] * pool
@@ -96,7 +99,7 @@ class Packer:
         if len(x):
             self._put(x)
         while self.held >= self.pool - 1:
-            yield self._sequence()
+            yield from self._settled(self._sequence())
 
     def _sequence(self) -> list[Example]:
         left, out = self.limits.copy(), []
@@ -121,24 +124,27 @@ class Packer:
             left -= (len(out[-1]), 1, out[-1].bearing())
         return out
 
+    def _settled(self, out: list[Example]) -> Iterator[list[Example]]:
+        """A full sequence as it is; a shorter one in sequences of powers of two."""
+        total = sum(map(len, out))
+        if total == self.limits[0]:
+            yield out
+            return
+        for bit in reversed(range(total.bit_length())):
+            if total >> bit & 1:
+                part, room = [], 1 << bit
+                while room:
+                    x = out.pop(0)
+                    if len(x) > room:
+                        x, rest = x.cut(room)
+                        out.insert(0, rest)
+                    part.append(x)
+                    room -= len(x)
+                yield part
+
     def finish(self) -> Iterator[list[Example]]:
         while self.held:
-            out = self._sequence()
-            total = sum(map(len, out))
-            if total == self.limits[0]:
-                yield out
-                continue
-            for bit in reversed(range(total.bit_length())):     # powers of two
-                if total >> bit & 1:
-                    part, room = [], 1 << bit
-                    while room:
-                        x = out.pop(0)
-                        if len(x) > room:
-                            x, rest = x.cut(room)
-                            out.insert(0, rest)
-                        part.append(x)
-                        room -= len(x)
-                    yield part
+            yield from self._settled(self._sequence())
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),

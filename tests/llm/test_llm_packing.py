@@ -13,14 +13,16 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 TRICKY = ["", "  a  b", "a\n\n b\n", "x <|endoftext|> y", "<|startoftext|>a", "it's  I'M don't\t\ttab \xa0nb em　x", "  ",
-          "\x1c\x1d a\x1fb", "é é x 12 345\r\n", "ΑΣ Σ", "a,b a, b. c., .d ,", "Ünïcode, STRASSE. ß", "日本 語", "a​ b", "1.5, 2"]
+          "\x1c\x1d a\x1fb", "é é x 12 345\r\n", "ΑΣ Σ", "a,b a, b. c., .d ,", "Ünïcode, STRASSE. ß", "日本 語", "a​ b", "1.5, 2",
+          "word,$$$ it's!! <|endoftext|>, x<|endoftext|> |> a-b a- -b 'tis rock'n'roll' (a) [b] {c}~ d^ e` _f_ f_ g\\\\ #h h# ...", "a.$",
+          "$$$\n$$$ x", "a_", "ab'", "it's, it',"]
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_chunk_encoder_equals_whole_texts(path):
     from tokenizers import Tokenizer
     whole, chunks = Tokenizer.from_file(path), ChunkEncoder(path)
-    assert chunks.words
+    assert chunks.known.encode == chunks._chunk
     texts = TRICKY + [" ".join(words(k, 200)).capitalize() + "." for k in range(5)]
     for text, ids in zip(texts, chunks.ids(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
@@ -66,10 +68,20 @@ def test_documents_are_packed_whole_without_padding(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     # a small pool, and limits that bind
     limits = (256, 5, 256)
-    check_pieces(P.pack_documents(docs, WORDS, limits=limits, pool=9).collect(), ids, limits)
+    assert check_pieces(P.pack_documents(docs, WORDS, limits=limits, pool=9).collect(), ids, limits) == 0
     assert P.pack_documents(documents(spark, []), WORDS).count() == 0
 
 
+def test_many_tiny_documents_need_no_padding(spark):
+    texts = [f"a{k}" for k in range(3000)]
+    encoder = ChunkEncoder(WORDS)
+    ids = {k: encoder.encode(x) + [1] for k, x in enumerate(texts)}
+    limits = (P.MAX_TOKENS, 16, P.MAX_LOSS)
+    assert check_pieces(P.pack_documents(documents(spark, texts), WORDS, limits=limits, pool=64).collect(), ids, limits) == 0
+    with pytest.raises(ValueError):
+        P.Packer((0, 1, 1))
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = P.pack_documents(documents(spark, ["a b", "a b", "c"], [None, None, 3]), WORDS).collect()
     assert sum(r.length for r in rows) == 8 and sum(r.doc_id is None for r in rows) >= 2
