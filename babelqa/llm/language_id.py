@@ -4,8 +4,8 @@ support vector machines between the languages of that family.
 Features of a whole text: its bytes (letters as they are, ASCII lower-cased, other ASCII
 bytes as one blank), counts of 1- to 4-byte windows hashed into FEATURES slots, square root,
 unit length. The models are squared-hinge linear SVMs fitted by Nesterov gradient steps on a
-bounded sample: about SAMPLE_PER_LANGUAGE labelled documents of each language, chosen by a
-hash of the document, whatever the table's size. Families come from a fixed table of
+bounded sample: about SAMPLE_PER_LANGUAGE labelled documents of each language, drawn with a
+fixed seed, whatever the table's size. Families come from a fixed table of
 ISO codes; a code that is not listed is a family of its own.
 
 score = probability of the family times the mean one-versus-one probability of the language
@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, prepare, text_bytes
+from .encoding import forget_chunks
 
 FEATURES = 2048
 WINDOWS = (1, 2, 3, 4)
 SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_SEED = 7
 STEPS, PENALTY = 120, 1e-4
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -140,7 +142,7 @@ def training_rows(docs: DataFrame, labelled: Column, bound: int = SAMPLE_PER_LAN
     share = {r["lang"]: bound / max(r["n"], bound) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return np.empty((0, FEATURES), np.float32), []
-    draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    draw = F.rand(SAMPLE_SEED)     # per row, so copies of one text cannot exceed the bound together
     taken = F.create_map(*(x for k, v in share.items() for x in (F.lit(k), F.lit(v))))
     rows = rows.where(draw < taken[F.col("lang")])
     out = pa.schema([("lang", pa.string()), ("x", pa.binary())])
@@ -166,6 +168,7 @@ def identify(docs: DataFrame, labelled: Column, columns: list[str], bound: int =
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
+        forget_chunks()
         for batch in batches:
             column = batch.column("text")
             known = np.array([t is not None and LETTER.search(t) is not None for t in column.to_pylist()], bool)

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, content_key, prepare, release, small_side, text_bytes, without, written
+from .encoding import forget_chunks
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -47,7 +48,7 @@ SLOTS = 1 << 20
 SEED = 20
 QUERY_BLOCK, MEMBER_BLOCK = 256, 512   # rows of a block comparison
 WANTED_ROWS = 2_000_000                # node ids (8 bytes) that may be broadcast; more are joined in a shuffle
-CACHE_WORDS = 1 << 19                  # hashes of words a Python worker remembers
+CACHE_WORDS = 1 << 16                  # hashes of words a task remembers
 
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -134,6 +135,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                      ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        forget_chunks()
         make = circulant(bands * rows)
         for batch in batches:
             nodes, sizes, keys = [], [], []
@@ -143,6 +145,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 nodes.append(node_id(found) if len(found) else None)
                 keys.append(band_keys(make.signature(found), bands, rows) if len(found) else None)
             yield batches_of({"doc_id": batch.column("doc_id"), "t": batch.column("t"), "node": nodes, "n_shingles": sizes, "bands": keys}, out)
+        _words.clear()
 
     return docs.mapInArrow(run, "doc_id long, t long, node long, n_shingles long, bands array<long>")
 
@@ -162,6 +165,7 @@ def packed_texts(docs: DataFrame, width: int) -> DataFrame:
                     nodes.append(node)
                     packed.append(press.compress(text))
             yield batches_of({"node": nodes, "packed": packed}, out)
+        _words.clear()
 
     return docs.mapInArrow(run, "node long, packed binary")
 

@@ -42,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, drop, prepare, release, text_bytes, written
+from .encoding import forget_chunks
 
 WINDOW = 200
 PREFIX = 64
 BATCHES = 4
 GROUP = 2000           # distinct contexts of one suffix prefix that are compared in one task
 RUN = 12               # windows that are compared through one core, in larger groups
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
 POSITION_BITS = 24     # positions inside a block
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                               0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -147,6 +148,7 @@ def indexed_suffixes(docs: DataFrame, window: int) -> DataFrame:
     of windows; (t, size) is the text's content key."""
 
     def run(batches):
+        forget_chunks()
         seen: dict[int, int] = {}
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
