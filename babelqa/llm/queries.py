@@ -153,3 +153,25 @@ joined AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM joined
 """
+
+# Every 200-byte window by its 128-bit hash; runs of repeated windows; what lies between them.
+ORACLE["op3_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+hashed AS (
+  SELECT doc_id, list_transform(range(0, greatest(length(h) // 2 - 199, 0)), lambda p: md5_number(substr(h, 2 * p + 1, 400))) AS m FROM d),
+windows AS (SELECT doc_id, unnest(range(0, len(m))) AS p, unnest(m) AS m FROM hashed),
+met AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+repeated AS (SELECT doc_id, p FROM windows WHERE m IN (SELECT m FROM met)),
+cut AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS first FROM repeated),
+runs AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cut),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY doc_id, run),
+edges AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS stop FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(length(h)) // 2 FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start, stop) AS k FROM edges JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
