@@ -48,6 +48,8 @@ def rouge_counts(df: DataFrame, gen_tokens: str, gold_tokens: str, stem: bool =
         e = e.join(ids, "word", "left")
     else:
         e = e.withColumn("id", F.when(F.col("word").isNotNull(), F.xxhash64("word")))
+    # One exchange for both aggregations below.
+    e = e.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "_uid")
     gen, gold = F.col("side") == 0, F.col("side") == 1
     place = [F.collect_list(F.when(c, F.col("pos"))).alias(n) for c, n in ((gen, "_gp"), (gold, "_rp"))] if arrays else []
     per_id = e.groupBy("_uid", "id").agg(F.count(F.when(gen, 1)).alias("_cg"), F.count(F.when(gold, 1)).alias("_cr"),

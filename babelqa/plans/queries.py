@@ -682,7 +682,7 @@ def _doc_tokens(spark, sf):
 
 def _doc_words(spark, sf):
     """Documents' tokens as they are scanned: counting and encoding need no order of texts."""
-    return FX.docs(spark, sf).select("row_id", TX.words("text").alias("tokens"))
+    return FX.spread(FX.docs(spark, sf)).select("row_id", TX.words("text").alias("tokens"))
 
 
 @query("build_vocab", "SELECT token, cnt, id FROM v_all", ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks"))

@@ -63,6 +63,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.col("lang"), F.lit("_"), F.col("source")).alias("subset"), "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer tasks than cores (a few large row groups) dealt out evenly; a
+    scan that already has them stays as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def docs_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``docs`` hash-partitioned by ``row_id`` (the key every per-document operator
     groups by), with the number of partitions Spark's own shuffles use."""
