@@ -15,7 +15,7 @@ from babelqa.session import ensure_checkpoint_dir, ship_package
 
 # Rows per Arrow batch handed to a Python worker. A batch of whole documents must fit a
 # worker's share of an executor several times over; Spark's default of 10,000 rows does not.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
