@@ -227,8 +227,7 @@ def _compare(block: list[tuple], least: Fraction) -> Iterator[tuple[int, int]]:
     mark = np.zeros(len(values), np.int64)
     for comp, own in queries:
         at = np.searchsorted(values, own)
-        at = at[(at < len(values))]
-        at = at[np.isin(values[at], own, assume_unique=True)] if len(at) else at
+        at = at[values[np.minimum(at, len(values) - 1)] == own]
         mark[at] = 1
         both = np.add.reduceat(mark[columns], starts)
         mark[at] = 0

@@ -113,3 +113,35 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40), (40, 60), (99, 99)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(21)}, 40: 40, 50: 40, 60: 40}
+
+
+def under_the_limit(seed, size, members):
+    """One query set and members whose Jaccard with it is slightly under or at 0.8."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    own = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    out = []
+    for k in range(members):
+        swapped = len(own) // 9 + 1 - (k % 5 == 4)     # 8/10 of the union stays at size/9 swapped
+        keep = rng.permutation(own)[swapped:]
+        out.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, swapped).astype(np.uint64)])))
+    return own, out
+
+
+@pytest.mark.parametrize("size", [50, 100, 200])
+def test_block_comparison_is_exact_slightly_under_the_limit(spark, size):
+    rows, expected = [], set()
+    for hub in range(40):
+        own, members = under_the_limit(hub, size, 1 + hub % 20)
+        rows.append((hub, 0, 0, True, hub * 100, own.tobytes()))
+        for k, s in enumerate(members):
+            comp = hub * 100 + k + 1
+            rows.append((hub, 0, 0, False, comp, s.tobytes()))
+            both = len(set(own.tolist()) & set(s.tolist()))
+            if 5 * both >= 4 * (len(own) + len(s) - both):
+                expected.add((hub * 100, comp))
+    df = spark.createDataFrame([(*r[:5], bytearray(r[5])) for r in rows],
+                               "hub long, part_q int, part_m int, query boolean, comp long, members binary")
+    blocks = df.repartition(3, "hub").sortWithinPartitions("hub", "query")
+    got = {tuple(r) for r in N.compare_blocks(blocks, N.SIMILARITY).collect()}
+    assert got == expected
