@@ -50,6 +50,7 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption template html body button object".split())
+IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())   # others end an open head
 MAX_TABLES = 20
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -82,7 +83,10 @@ def build(page: str) -> tuple[Node, list[str]]:
 
     def text(part: str) -> None:
         if part:
-            stack[-1].children.append(html.unescape(part) if "&" in part else part)
+            part = html.unescape(part) if "&" in part else part
+            if stack[-1].tag == "head" and part.strip(" \t\n\r\f"):
+                close({"head"}, set())
+            stack[-1].children.append(part)
 
     def close(tags: set[str], limits: set[str]) -> None:
         """End the nearest open element of ``tags``, unless one of ``limits`` comes first."""
@@ -126,6 +130,10 @@ def build(page: str) -> tuple[Node, list[str]]:
         if tag == "html":
             root.attrs = {**attrs, **root.attrs}
             continue
+        if tag == "head" and opened["head"]:
+            continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            close({"head"}, set())
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
         if tag in IMPLIED:

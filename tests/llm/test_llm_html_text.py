@@ -68,3 +68,13 @@ def test_query_keeps_every_row(spark):
     got = sorted(((str(r.page_id), r.n_chars, r.n_lines) for r in extract_text(pages).collect()))
     assert got == [("1", 4, 3), ("1", 4, 3), ("3", 0, 0), ("4", 499_999, 1), ("None", 0, 0)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>T</title><p>Hello <b>you</b><p>there", "Hello you\n\nthere"),
+    ("<head><meta charset=utf-8><style>.x{display:none}</style>\nHello<p class=x>no<p>yes", "Hello\n\nyes"),
+    ("<head> <script>a</script> <template><p>t</p></template><noscript><p>n</p></noscript> <h1>H</h1>x", "H\n\nx"),
+    ("<head><head><title>T</title></head>a<title>b</title>c", "ac"), ("<head><title>T</title>&nbsp;x", "x"),
+    ("<html><head><link rel=x></html>\nlate", "late"), ("<head><title>T</title><table><tr><td>a<td>b</table>", "a | b")])
+def test_head_ends_without_end_tag(page, text):
+    assert render(page).strip() == text
