@@ -13,7 +13,9 @@ documents' seeds in a shuffle join, and the hits are checked after joining the d
 words back by content.
 
 Defined results: null or empty text has no words and no hits; a repeated row gives no second
-result row; null ids match null-safely; repeated items each give their own rows.
+result row; null ids match null-safely; items repeated under other ids each give their own
+rows. Different texts under one item id (or without an id) are checked each on its own words
+and share the row of their id, which counts the places of each text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SEEDS = ("111011010011", "110100110111", "101101111001")
 EXTEND = 6
 AGREE = 80
 LEAST_WORDS = 5
-SEED_ROWS = 1_000_000   # 24 bytes of payload each
+SEED_ROWS = 1_000_000   # 32 bytes of payload each
 
 
 def word_hashes(text: Column) -> Column:
@@ -65,24 +67,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hits (distinct confirmed places), matched (most words agreeing around a hit),
     first_word (smallest place of a hit in the document, in words)."""
     items = (benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("h"))
-             .where(F.size("h") >= LEAST_WORDS))
+             .where(F.size("h") >= LEAST_WORDS).withColumn("words", F.xxhash64("h")))
     short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())
     exact = tuple("1" * n for n in short)
-    item_seeds = seeds(items, ["item_id", "h"], SEEDS)
+    item_seeds = seeds(items, ["item_id", "words", "h"], SEEDS)
     for mask in exact:
         whole = items.where(F.size("h") == len(mask))
-        item_seeds = item_seeds.unionByName(seeds(whole, ["item_id", "h"], (mask,)))
-    item_seeds = item_seeds.select("key", "item_id", F.col("p").alias("q"), F.col("span").alias("item_span"),
+        item_seeds = item_seeds.unionByName(seeds(whole, ["item_id", "words", "h"], (mask,)))
+    item_seeds = item_seeds.select("key", "item_id", "words", F.col("p").alias("q"), F.col("span").alias("item_span"),
                                    F.col("h").alias("g"))
     n_seeds = item_seeds.count()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), content_key(text_col).alias("t"),
                         word_hashes(F.col(text_col)).alias("h"))
     if n_seeds <= seed_rows:
-        keys = F.broadcast(item_seeds.select("key", "item_id", "q", "item_span"))
-        words = F.broadcast(items.select(F.col("item_id").alias("i"), F.col("h").alias("g")).distinct())
+        keys = F.broadcast(item_seeds.select("key", "item_id", "words", "q", "item_span"))
+        words = F.broadcast(items.select("words", F.col("h").alias("g")).dropDuplicates(["words"]))
         hits = seeds(texts, ["doc_id", "t", "h"], SEEDS + exact).join(keys, "key")
-        hits = hits.join(words, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
+        hits = hits.join(words, "words")
     else:
         narrow = seeds(texts, ["doc_id", "t"], SEEDS + exact).join(item_seeds, "key").distinct()
         whole = texts.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "h").dropDuplicates(["d", "u"])
@@ -96,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     two = F.slice("g", F.col("q") - before + 1, F.col("n"))
     same = F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
     hits = hits.withColumn("matched", same).where(F.col("matched") * 100 >= F.lit(AGREE) * F.col("n"))
-    places = hits.groupBy("doc_id", "t", "item_id", "p", "q").agg(F.max("matched").alias("matched"))
+    places = hits.groupBy("doc_id", "t", "item_id", "words", "p", "q").agg(F.max("matched").alias("matched"))
     return places.groupBy("doc_id", "t", "item_id").agg(
         F.count("*").alias("n_hits"), F.max("matched").cast("long").alias("matched"),
         F.min("p").cast("long").alias("first_word"))

@@ -68,3 +68,26 @@ def test_stage_drops_contaminated_documents(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", "clean " * 5), ("4", ""), ("None", "None")]
     empty = bench.limit(0)
     assert D.without_contamination(docs, empty).count() == 5 and D.contaminated(documents(spark, []), bench).count() == 0
+
+
+def by_item(rows):
+    """Rows of the texts of one item id joined into one, as the SQL groups them."""
+    out = {}
+    for d, i, n, m, first in rows:
+        n0, m0, f0 = out.get((d, i), (0, 0, first))
+        out[d, i] = (n0 + n, max(m0, m), min(f0, first))
+    return sorted(((*k, *v) for k, v in out.items()), key=str)
+
+
+@pytest.mark.parametrize("seed_rows", [D.SEED_ROWS, 0])
+def test_item_ids_with_several_texts(spark, seed_rows):
+    one, two, other, short = words(1, 40), words(2, 14), words(3, 60), words(4, 7)
+    fooled = other[:20] + two + other[20:]      # holds the second text only
+    items = [(5, " ".join(one)), (5, " ".join(two)), (None, " ".join(other)), (None, " ".join(two)), (None, " ".join(short)),
+             (5, " ".join(one[:20] + two[:5])), (6, " ".join(two))]
+    # eight words of the long text at its end: no hit; against a shorter text n would not be above 0
+    near = one[:26] + [w if bit == "1" else f"x{k}" for k, (w, bit) in enumerate(zip(one[26:38], D.SEEDS[0]))]
+    texts = [" ".join(x) for x in (one, fooled, two, short + words(9, 9), words(8, 30) + near[26:] + words(7, 30), near)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contaminated(documents(spark, texts), bench, seed_rows=seed_rows)
+    assert sorted(map(tuple, got.drop("t").collect()), key=str) == by_item(brute(list(enumerate(texts)), items))
