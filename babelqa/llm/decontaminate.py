@@ -4,10 +4,12 @@ Texts are lower-cased words (runs of letters and digits), each kept as a 64-bit
 is a fixed mask over SPAN neighbouring words; it hashes the words under its ones and ignores
 the others, so a substitution in an ignored place does not hide a match. Benchmark and
 document seeds are joined; each hit is checked along its diagonal: the words of the span and
-up to EXTEND words on both sides must agree in at least AGREE percent of the places.
+up to EXTEND words on both sides must agree in at least AGREE percent of the places. Where an
+item has no such hit in a document, as with a short excerpt from its middle, any range that
+holds the span and at most EXTEND words on each side may agree in AGREE percent instead.
 
-Items with fewer than SPAN words are searched whole, as one exact seed of their length;
-items under LEAST_WORDS words cannot be told from chance and match nothing. The seed table
+Items with fewer than SPAN words are searched whole, by masks of their length that skip one
+place each: places with one other word count where the document has no exact one. Items under LEAST_WORDS words cannot be told from chance and match nothing. The seed table
 is broadcast only while it has at most SEED_ROWS rows of fixed width; a larger one meets the
 documents' seeds in a shuffle join, and the hits are checked after joining the documents'
 words back by content.
@@ -61,6 +63,19 @@ def seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame
     return found
 
 
+def _some_range() -> Column:
+    """Some range around the span agrees in AGREE percent: its places sum up to 0 or more where
+    an agreeing one counts 100 - AGREE and another -AGREE, so both sides are stretched alone."""
+    score = F.transform("same", lambda x: x * 100 - AGREE)
+    best = lambda part: F.aggregate(
+        part, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")),
+        lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.greatest(a["top"], a["sum"] + x).alias("top")), lambda a: a["top"])
+    left, behind = F.slice(score, 1, F.col("before")), F.col("before") + F.col("span")
+    right = F.slice(score, behind + 1, F.col("n") - behind)
+    middle = F.aggregate(F.slice(score, F.col("before") + 1, F.col("span")), F.lit(0), lambda a, x: a + x)
+    return middle + best(F.reverse(left)) + best(right) >= 0
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text", seed_rows: int = SEED_ROWS) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, t (content key), item_id,
@@ -69,11 +84,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = (benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text)).alias("h"))
              .where(F.size("h") >= LEAST_WORDS).withColumn("words", F.xxhash64("h")))
     short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())
-    exact = tuple("1" * n for n in short)
+    skips = {n: tuple("1" * k + "0" + "1" * (n - 1 - k) for k in range(n)) for n in short}
+    every = SEEDS + tuple(m for n in short for m in skips[n])
     item_seeds = seeds(items, ["item_id", "words", "h"], SEEDS)
-    for mask in exact:
-        whole = items.where(F.size("h") == len(mask))
-        item_seeds = item_seeds.unionByName(seeds(whole, ["item_id", "words", "h"], (mask,)))
+    for n, masks in skips.items():
+        whole = items.where(F.size("h") == n)
+        item_seeds = item_seeds.unionByName(seeds(whole, ["item_id", "words", "h"], masks))
     item_seeds = item_seeds.select("key", "item_id", "words", F.col("p").alias("q"), F.col("span").alias("item_span"),
                                    F.col("h").alias("g"))
     n_seeds = item_seeds.count()
@@ -83,25 +99,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if n_seeds <= seed_rows:
         keys = F.broadcast(item_seeds.select("key", "item_id", "words", "q", "item_span"))
         words = F.broadcast(items.select("words", F.col("h").alias("g")).dropDuplicates(["words"]))
-        hits = seeds(texts, ["doc_id", "t", "h"], SEEDS + exact).join(keys, "key")
+        hits = seeds(texts, ["doc_id", "t", "h"], every).join(keys, "key")
         hits = hits.join(words, "words")
     else:
-        narrow = seeds(texts, ["doc_id", "t"], SEEDS + exact).join(item_seeds, "key").distinct()
+        narrow = seeds(texts, ["doc_id", "t"], every).join(item_seeds, "key").distinct()
         whole = texts.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "h").dropDuplicates(["d", "u"])
         hits = narrow.join(whole, (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d"))).drop("d", "u")
     hits = hits.where("span = item_span")
 
     before = F.least(F.lit(EXTEND), F.col("p"), F.col("q"))
     behind = F.least(F.lit(EXTEND), F.size("h") - F.col("p") - F.col("span"), F.size("g") - F.col("q") - F.col("span"))
-    hits = hits.withColumn("n", before + F.col("span") + behind)
+    hits = hits.withColumn("before", before).withColumn("n", before + F.col("span") + behind)
     one = F.slice("h", F.col("p") - before + 1, F.col("n"))
     two = F.slice("g", F.col("q") - before + 1, F.col("n"))
-    same = F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    hits = hits.withColumn("matched", same).where(F.col("matched") * 100 >= F.lit(AGREE) * F.col("n"))
-    places = hits.groupBy("doc_id", "t", "item_id", "words", "p", "q").agg(F.max("matched").alias("matched"))
+    hits = hits.withColumn("same", F.zip_with(one, two, lambda x, y: (x == y).cast("int")))
+    hits = hits.withColumn("matched", F.aggregate("same", F.lit(0), lambda a, x: a + x))
+    needed = F.when(F.col("span") < SPAN, 100).otherwise(AGREE)
+    hits = hits.withColumn("whole", F.col("matched") * 100 >= needed * F.col("n")).where(F.col("whole") | _some_range())
+    places = hits.groupBy("doc_id", "t", "item_id", "words", "p", "q").agg(
+        F.max("matched").alias("matched"), F.max("whole").alias("whole"))
+    of = lambda agg, c: F.coalesce(agg(F.when(F.col("whole"), c)), agg(c)).cast("long")
+    n_whole = F.count(F.when(F.col("whole"), 1))
     return places.groupBy("doc_id", "t", "item_id").agg(
-        F.count("*").alias("n_hits"), F.max("matched").cast("long").alias("matched"),
-        F.min("p").cast("long").alias("first_word"))
+        F.when(n_whole > 0, n_whole).otherwise(F.count("*")).alias("n_hits"), of(F.max, F.col("matched")).alias("matched"),
+        of(F.min, F.col("p")).alias("first_word"))
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

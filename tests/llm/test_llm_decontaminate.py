@@ -91,3 +91,20 @@ def test_item_ids_with_several_texts(spark, seed_rows):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = D.contaminated(documents(spark, texts), bench, seed_rows=seed_rows)
     assert sorted(map(tuple, got.drop("t").collect()), key=str) == by_item(brute(list(enumerate(texts)), items))
+
+
+@pytest.mark.parametrize("seed_rows", [D.SEED_ROWS, 0])
+def test_short_excerpts_and_short_items(spark, seed_rows):
+    item, short = words(1, 60), words(2, 7)
+    around = lambda k, part: " ".join(words(100 + k, 30, 10**6) + part + words(200 + k, 30, 10**6))
+    texts = [around(n, item[20:20 + n]) for n in range(12, 20)]          # 0 to 7: excerpts of 12 to 19 words
+    one_off = [" ".join(short[:k] + ["other"] + short[k + 1:]) for k in range(7)]
+    texts += [around(50 + k, x.split()) for k, x in enumerate(one_off)]   # 8 to 14: one word changed
+    texts += [around(70, short[:3] + ["x", "y"] + short[5:]), around(71, item[20:31]), around(72, words(9, 40))]
+    texts += [around(73, short) + " " + one_off[2]]                       # the exact place alone counts
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contaminated(documents(spark, texts), bench, seed_rows=seed_rows).collect()}
+    assert set(got) == {(k, 1) for k in range(8)} | {(k, 2) for k in range(8, 15)} | {(18, 2)}
+    assert all(got[k, 1].first_word == 30 for k in range(8))
+    assert all((got[k, 2].n_hits, got[k, 2].matched, got[k, 2].first_word) == (1, 6, 30) for k in range(8, 15))
+    assert (got[18, 2].n_hits, got[18, 2].matched) == (1, 7)
