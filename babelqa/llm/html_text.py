@@ -183,10 +183,10 @@ class Renderer:
         return not ("hidden" in attrs or GONE.search(attrs.get("style", ""))
                     or node.tag == "dialog" and "open" not in attrs)
 
-    def lines(self, node: Node, depth: int = 0) -> list[str]:
-        """The node's text as lines; an explicit stack, so nesting cannot exhaust it."""
+    def lines(self, node: Node, depth: int = 0, visible: bool = True) -> list[str]:
+        """The node's text as lines, under the visibility in force; an explicit stack, so nesting cannot exhaust it."""
         out, line, gap = [], [], 0     # gap: blank lines asked for before the next text
-        indent, marker, pre, visible = "", "", 0, True
+        indent, marker, pre = "", "", 0
         trailing = True                # the open line is empty or ends in white space
 
         def flush(blank: int) -> None:
@@ -238,7 +238,7 @@ class Renderer:
                     gap = max(gap, 1)
             elif x.tag == "table" and visible and depth < MAX_TABLES:
                 flush(1)
-                rows = self.table(x, depth + 1)
+                rows = self.table(x, depth + 1, visible)
                 if rows:
                     out.extend([""] * (gap if out else 0))
                     out.extend(indent + r for r in rows)
@@ -249,9 +249,7 @@ class Renderer:
                     flush(blank if x.tag in SPACED else 0)
                 state = (indent, marker, pre, visible)
                 work.append(("restore", (x.tag, state, blank)))
-                sight = VISIBILITY.search(x.attrs.get("style", "")) if x.attrs else None
-                if sight:
-                    visible = sight[1].lower() == "visible"
+                visible = _visible(x, visible)
                 children = x.children
                 if x.tag in ("pre", "textarea", "xmp"):
                     pre += 1
@@ -275,29 +273,32 @@ class Renderer:
         flush(0)
         return out
 
-    def table(self, table: Node, depth: int) -> list[str]:
+    def table(self, table: Node, depth: int, visible: bool) -> list[str]:
         """Rows of cells padded to the widths of their columns."""
-        rows, caption, work = [], [], list(reversed(table.children))
+        visible = _visible(table, visible)
+        rows, caption, work = [], [], [(c, visible) for c in reversed(table.children)]
         while work:
-            x = work.pop()
+            x, visible = work.pop()
             if isinstance(x, str):
-                if x.strip():
+                if x.strip() and visible:
                     rows.append([(0, 1, [SPACE.sub(" ", x).strip()])])
             elif not self.shown(x):
                 continue
             elif x.tag in ("thead", "tbody", "tfoot"):
-                work.extend(reversed(x.children))
+                visible = _visible(x, visible)
+                work.extend((c, visible) for c in reversed(x.children))
             elif x.tag == "caption":
-                caption += self.lines(_as_block(x), depth)
+                caption += self.lines(_as_block(x), depth, _visible(x, visible))
             elif x.tag == "tr":
-                rows.append(x)
+                rows.append((x, _visible(x, visible)))
             else:
-                rows.append([(0, 1, self.lines(_as_block(x), depth))])
+                rows.append([(0, 1, self.lines(_as_block(x), depth, _visible(x, visible)))])
         grid, taken = [], {}           # taken: column -> rows that a cell above still covers
         for row in rows:
             if isinstance(row, list):
                 grid.append(row)
                 continue
+            row, visible = row
             cells, column, below = [], 0, {}
             for c in row.children:
                 if isinstance(c, str):
@@ -310,7 +311,7 @@ class Renderer:
                     column += 1
                 wide, tall = (min(int(v), 1000) if (v := c.attrs.get(k, "1")).isdecimal() and int(v) > 0 else 1
                               for k in ("colspan", "rowspan"))
-                cells.append((column, wide, self.lines(_as_block(c), depth)))
+                cells.append((column, wide, self.lines(_as_block(c), depth, _visible(c, visible))))
                 for k in range(column, column + wide):
                     below[k] = tall
                 column += wide
@@ -336,6 +337,11 @@ class Renderer:
         return out
 
 
+def _visible(node: Node, inherited: bool) -> bool:
+    sight = VISIBILITY.search(node.attrs.get("style", "")) if node.attrs else None
+    return sight[1].lower() == "visible" if sight else inherited
+
+
 def _as_block(node: Node, children: list | None = None) -> Node:
     block = Node("div")
     block.children = node.children if children is None else children

@@ -78,3 +78,15 @@ def test_query_keeps_every_row(spark):
     ("<html><head><link rel=x></html>\nlate", "late"), ("<head><title>T</title><table><tr><td>a<td>b</table>", "a | b")])
 def test_head_ends_without_end_tag(page, text):
     assert render(page).strip() == text
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><td>a<td style='visibility:hidden'>b<td>c</table>", "a |  | c"),
+    ("<table><tr><th style='visibility: collapse'>a<b style='visibility:visible'>b</b><th>c</table>", "b | c"),
+    ("<table><tr style='visibility:hidden'><td>a<td>b<tr><td>c<td>d</table>", "c | d"),
+    ("<table><tbody style='visibility:collapse'><tr><td>a<tr><td style='visibility:visible'>b</tbody><tfoot><tr><td>c</table>", "b\nc"),
+    ("<table><caption style='visibility:hidden'>a</caption><tr><td>b</table>", "b"),
+    ("<table style='visibility:hidden'>t<tr><td>a<td style='visibility:visible'>b</table>", "| b"),
+    ("<table><tr style='visibility:hidden'><td><table><tr><td>a</table></table>b", "b")])
+def test_visibility_inside_tables(page, text):
+    assert render(page).strip() == text
