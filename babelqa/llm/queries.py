@@ -70,6 +70,21 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_digest
+    return run_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digest
+    return digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op4_license_scan": op4_license_scan,
@@ -81,6 +96,9 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {}
@@ -175,3 +193,59 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(remove
        CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
+
+# The checksum bit by bit; equal words one period apart; their islands; the smallest periods.
+ORACLE["op12_periodic_runs"] = r"""
+WITH bytes AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM range(256) r(i)),
+poly AS (SELECT list(v ORDER BY i) AS v FROM bytes),
+texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+             lambda c, b: xor(c // 256, v[xor(c % 256, b) + 1])), 4294967295) AS h FROM documents, poly),
+placed AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % len(w) AS a FROM texts),
+formed AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i:
+         w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM placed),
+flat AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM formed),
+pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM flat x JOIN flat y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+  WHERE 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM islands GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches r WHERE NOT EXISTS (
+    SELECT 1 FROM stretches o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.length >= r.s + r.length)),
+summed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         list(struct_pack(start := s, length := length, period := q) ORDER BY s, q) AS l FROM runs GROUP BY doc_id),
+best AS (
+  SELECT doc_id, n_runs, lines, list_reduce(l, lambda t, r: CASE WHEN r.length * t.period > t.length * r.period THEN r ELSE t END) AS b FROM summed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM flat ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period,
+       1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(t, '')) AS collapsed_sha256
+FROM formed f LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op13_fill_in_middle"] = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS p, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS q,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (
+  SELECT *, array_to_string(u[1:least(p, q)], '') AS a, array_to_string(u[least(p, q) + 1:greatest(p, q)], '') AS b,
+         array_to_string(u[greatest(p, q) + 1:], '') AS c FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
