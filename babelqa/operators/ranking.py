@@ -100,6 +100,59 @@ def with_row_id(df: DataFrame, order_cols, out: str = "row_index",
                        num_partitions=num_partitions).drop("_all")
 
 
+BROADCAST_SPLITS = 500_000     # rows of a few numbers and a path each
+
+
+def join_splits(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+    """Join rows that carry the place of their file split (``_file``, ``_block``) with a written
+    table of one row per split, keeping the rows of a task in file order. The table is
+    broadcast only up to ``BROADCAST_SPLITS`` rows; beyond, the rows are shuffled by split and
+    sorted back."""
+    if table.count() <= BROADCAST_SPLITS:
+        return rows.join(F.broadcast(table), ["_file", "_block"], how)
+    tagged = rows.withColumn("_order", F.monotonically_increasing_id())
+    return tagged.join(table, ["_file", "_block"], how).sortWithinPartitions("_file", "_block", "_order").drop("_order")
+
+
+def split_offsets(counts: DataFrame) -> DataFrame:
+    """(_file, _block, ..., n) -> the same with ``_before``, the rows of all splits before. The
+    window runs over one row per split."""
+    w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long"))
+
+
+def file_places(df: DataFrame) -> DataFrame:
+    """df, as read from files, with the place of each row: ``_file``, ``_block`` (start of its
+    split) and ``_mid`` (task and place in the task)."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_mid"))
+
+
+def split_counts(placed: DataFrame) -> DataFrame:
+    """Rows and first ``_mid`` of each split, in one narrow pass."""
+    return placed.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("n"))
+
+
+def numbered_in_splits(placed: DataFrame, offsets: DataFrame, out: str) -> DataFrame:
+    """``out`` = rows of all splits before + place in the split. ``placed`` must come from a scan
+    through narrow steps. Should the files be split otherwise than when they were counted,
+    places leave the counted range and the query fails."""
+    x = join_splits(placed, offsets.select("_file", "_block", "_first", F.col("n").alias("_n"), "_before"))
+    local = F.col("_mid") - F.col("_first")
+    sound = (local >= 0) & (local < F.col("_n"))
+    return x.withColumn(out, F.when(sound, F.col("_before") + local).otherwise(
+        F.raise_error(F.lit("the files were split anew while their rows were numbered")).cast("long"))) \
+        .drop("_file", "_block", "_mid", "_first", "_n", "_before")
+
+
+def in_file_order(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """df, as read from files (filters and projections allowed), with a dense 0-based number in
+    the order of files (by path) and of the rows in each. Two narrow passes: rows are counted
+    per split, then shifted by the rows of the splits before; no row is shuffled or sorted."""
+    placed = file_places(df)
+    return numbered_in_splits(placed, measured(split_offsets(split_counts(placed)), "splits"), out)
+
+
 def running_max(df: DataFrame, order_col: str, value_col: str, out: str = "running_max",
                 num_partitions: int | None = None) -> DataFrame:
     """``max(value) OVER (ORDER BY order_col ROWS UNBOUNDED PRECEDING)`` without a

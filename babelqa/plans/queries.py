@@ -136,14 +136,28 @@ def q_scan_qa(spark, sf):
     return read_qa(spark, path)
 
 
-@query("drop_null_subset", """SELECT d.row_id FROM docs d JOIN labels l ON d.row_id = l.doc_id""", ["docs"])
+@query("scan_qa_split", "SELECT CAST(ID AS VARCHAR) AS ID, subset, input, output FROM qa", ["qa"])
+def q_scan_qa_split(spark, sf):
+    """The QA view as one CSV file, its records cut by many tasks."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_csv
+    path = scratch_path(spark, "scan-split")
+    rows = FX.qa(spark, sf).select(F.col("ID").cast("string").alias("ID"), "subset", "input", "output")
+    write_csv(rows, path, single_file=True)
+    return read_qa(spark, path, split=True)
+
+
+@query("drop_null_subset", """SELECT CAST(d.row_id AS VARCHAR) AS ID, d.subset FROM docs d JOIN labels l ON d.row_id = l.doc_id""", ["docs"])
 def q_drop_null_subset(spark, sf):
-    """Subset is NULL for documents without a label row; those rows are dropped."""
+    """Subset is NULL in the file for documents without a label row; the reader drops them."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_csv
     d = FX.docs(spark, sf)
     lab = FX.table(spark, sf, "labels").select(F.col("doc_id").alias("_l"))
-    x = d.join(lab, d["row_id"] == lab["_l"], "left").withColumn(
-        "subset", F.when(F.col("_l").isNull(), F.lit(None)).otherwise(F.col("subset")))
-    return x.na.drop(subset=["subset"]).select("row_id")
+    x = d.join(lab, d["row_id"] == lab["_l"], "left").select(
+        F.col("row_id").cast("string").alias("ID"), F.when(F.col("_l").isNotNull(), F.col("subset")).alias("subset"),
+        F.col("text").alias("input"), F.lit(None).cast("string").alias("output"))
+    return read_qa(spark, write_csv(x, scratch_path(spark, "null-subset"))).select("ID", "subset")
 
 
 @query("row_index", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS row_index FROM qa", ["qa"])
@@ -1034,6 +1048,13 @@ def q_file_row_index(spark, sf):
     return read_qa_indexed(spark, path).select("row_id", "ID", "subset", "input")
 
 
+@query("file_row_index_split", """SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, CAST(ID AS VARCHAR) AS ID, subset, input FROM qa""", ["qa"])
+def q_file_row_index_split(spark, sf):
+    """The same numbers where each file is read by many tasks."""
+    path = _csv_in_order(spark, sf, "ordered-split", [F.col("ID").cast("string").alias("ID"), "subset", "input", "output"])
+    return read_qa_indexed(spark, path, split=True).select("row_id", "ID", "subset", "input")
+
+
 @query("file_default_id", """SELECT row_number() OVER (ORDER BY row_id) - 1 AS ID, input FROM qa""", ["qa"])
 def q_file_default_id(spark, sf):
     """Files without an ID column: the row's number stands in."""
@@ -1134,6 +1155,47 @@ def q_stream_log_windows(spark, sf):
     return stream_log_windows(spark, sdf, 10, out, ck)
 
 
+_EVENT_SQL = [
+    ("ev", """SELECT *, least(3, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 8) AS BIGINT)
+  + CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS arrival,
+  CAST(date_trunc('day', ts) AS TIMESTAMP) AS w, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'use' END AS lang,
+  CAST(value > 20 AS BIGINT) AS correct, CAST(1 AS BIGINT) AS total FROM events"""),
+    ("marks", """SELECT a.arrival, max(e.ts) - INTERVAL 2 DAY AS mark FROM (SELECT unnest(range(0, 5)) AS arrival) a
+  JOIN ev e ON e.arrival < a.arrival GROUP BY a.arrival"""),
+    ("judged", """SELECT ev.*, coalesce(w + INTERVAL 1 DAY <= mark, false) AS late FROM ev LEFT JOIN marks USING (arrival)"""),
+]
+
+
+@query("stream_event_windows", """SELECT CASE WHEN w + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE arrival = 4) THEN 'closed' ELSE 'open' END AS kind,
+  CAST(epoch(w) AS BIGINT) AS window_start, lang, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total,
+  count(*) AS rows FROM judged WHERE NOT late GROUP BY ALL
+UNION ALL SELECT 'late', NULL, lang, NULL, NULL, count(*) FROM judged WHERE late GROUP BY lang""", [], _EVENT_SQL)
+def q_stream_event_windows(spark, sf):
+    """Events that arrive out of order in four loads, each taken in by a restarted stream:
+    daily windows closed by a watermark two days behind, those still open, and what came late."""
+    from ..session import scratch_path
+    from ..streaming.windows import closed_windows, late_rows, open_windows, stream_event_windows
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    delay = F.when(F.col("event_id") % 11 == 0, 2).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    # the table's times have no zone; they are taken as UTC whatever the session's zone is
+    utc = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)))")
+    ev = FX.table(spark, sf, "events").select(
+        utc.alias("ts"), F.when(F.col("event_type") == "error", "errors").otherwise("use").alias("subset"),
+        (F.col("value") > 20).cast("long").alias("correct"), F.lit(1).cast("long").alias("total"),
+        F.least(F.lit(3), F.floor(day / 8) + delay).alias("arrival"))
+    src, out, ck = (scratch_path(spark, f"events-{n}") for n in ("in", "out", "ck"))
+    for k in range(4):
+        ev.where(F.col("arrival") == k).write.mode("append").parquet(src)
+        stream_event_windows(spark, spark.readStream.schema(ev.schema).parquet(src), "1 day", "2 days", out, ck)
+    closed, still = closed_windows(spark, out), open_windows(spark, ck)
+    late = late_rows(spark.read.parquet(src), closed, still)
+    shape = lambda df, kind: df.select(
+        F.lit(kind).alias("kind"), F.unix_seconds("window_start").alias("window_start"), "lang", "correct", "total", "rows")
+    none = F.lit(None).cast("long")
+    return shape(closed, "closed").unionByName(shape(still, "open")).unionByName(
+        late.select(F.lit("late").alias("kind"), none.alias("window_start"), "lang", none.alias("correct"), none.alias("total"), "rows"))
+
+
 # ------------------------------------------------------ training-table composition --
 
 

@@ -127,16 +127,6 @@ def test_files_are_numbered_in_order(spark, tmp_path):
     assert got == [(3 * i + j, 3 * i + j, f"q{k}\nline {j}") for i, k in enumerate((1, 0, 2)) for j in range(3)]
 
 
-def test_event_time_windows_match_step_windows(spark):
-    from babelqa.streaming.windows import log_window_counts
-    seqs = MT.token_counts(MT.token_positions_to_sequences(FX.tok_pred(spark, SF01)))
-    by_step = {(r.log_window, r.lang, r.correct, r.total) for r in log_window_counts(seqs, 10).collect()}
-    timed = seqs.withColumn("ts", F.timestamp_seconds("step"))
-    by_time = {(int(r.log_window.start.timestamp()) // 10, r.lang, r.correct, r.total)
-               for r in log_window_counts(timed, 10, ts="ts", watermark="10 seconds").collect()}
-    assert by_step == by_time
-
-
 def test_training_table(spark):
     import __spark_entry__ as E
     t = E.queries()["training_table"](spark, SF001)
