@@ -1065,18 +1065,33 @@ def q_file_default_id(spark, sf):
 
 @query("incremental_sink")
 def q_incremental_sink(spark, sf):
-    """Results made durable batch by batch, projected to the submission columns."""
+    """Results made durable batch by batch, projected to the submission columns; a batch that
+    comes twice is taken once, and the small folders are compacted in between."""
     from ..session import scratch_path
-    from ..sources.sinks import write_incremental
+    from ..sources import results as RS
     out, path = RC.to_submission(_answers(spark, sf)), scratch_path(spark, "incremental")
-    for k in range(3):
-        write_incremental(out.where(F.pmod("ID", F.lit(3)) == k), path, columns=["ID", *K.SUBMISSION_TARGETS])
-    return spark.read.parquet(path)
+    for k in (0, 1, 0, 2, 1):
+        RS.write_batch(out.where(F.pmod("ID", F.lit(3)) == k), path, f"batch-{k}", columns=["ID", *K.SUBMISSION_TARGETS])
+        if k == 1:
+            RS.compact(spark, path)
+    return RS.read_results(spark, path)
 
 
 ORACLE["incremental_sink"] = ORACLE["submission"]
 
 
+@query("resumed_answers", "SELECT row_id, coalesce(raw_answer, '') AS answer FROM gen", ["gen"])
+def q_resumed_answers(spark, sf):
+    """An answer table that an earlier run left half filled is completed: recorded answers are
+    played back for the rows that have none."""
+    from ..operators import inference as INF
+    from ..session import scratch_path
+    rows, path = measured(FX.gen(spark, sf).select("row_id", "raw_answer"), "recorded"), scratch_path(spark, "answer-table")
+    INF.infer_durable(rows.where(F.pmod("row_id", F.lit(5)) < 2), "row_id", INF.recorded("raw_answer"), path)
+    INF.infer_durable(rows, "row_id", INF.recorded("raw_answer"), path)
+    return INF.answers(spark, path).select("row_id", "answer")
+
+
 @query("training_set")
 def q_training_set(spark, sf):
     """The SFT table handed over as Parquet, nested messages kept."""
@@ -1126,6 +1141,24 @@ def q_merge_parts(spark, sf):
     return part_report(merged, part)
 
 
+@query("write_report", """SELECT 'shard_' || shard AS name, count(*) AS rows FROM (SELECT (row_number() OVER (ORDER BY row_id) - 1) % 3 AS shard
+  FROM qa) t GROUP BY shard UNION ALL SELECT 'rows', count(*) FROM qa
+UNION ALL SELECT 'part_' || shard, count(*) FROM (SELECT (row_number() OVER (ORDER BY row_id) - 1) % 3 AS shard FROM qa) t GROUP BY shard
+UNION ALL SELECT 'merged', count(*) FROM qa""", ["qa"])
+def q_write_report(spark, sf):
+    """Rows per shard and per merged part, counted by the jobs that write them."""
+    from ..session import scratch_path
+    from ..sources.qa import merge_parts
+    from ..sources.reports import write_merged, write_shards
+    base, merged = scratch_path(spark, "shards"), scratch_path(spark, "merged")
+    s = RC.shard(with_row_id(FX.qa(spark, sf).select("row_id", "subset", "input"), ["row_id"]), 3)
+    counts = write_shards(s, 3, lambda x: x.write.partitionBy("shard").parquet(base))
+    parts = [f"{base}/shard={k}" for k in range(3)]
+    again = write_merged(merge_parts(spark, parts, fmt="parquet"), parts, lambda x: x.write.parquet(merged))
+    rows = [*counts.items(), ("merged", again["rows"]), *((k, n) for k, n in again.items() if k != "rows")]
+    return spark.createDataFrame(rows, "name string, rows long")
+
+
 def _stream_inputs(spark, sf, df, name):
     from ..session import scratch_path
     d = scratch_path(spark, name)
