@@ -1,14 +1,16 @@
 """ROUGE building blocks.
 
-Tokenisation and ROUGE-1 are JVM expressions. Words are stemmed once per distinct word of a
-vocabulary (``operators.scoring.stem_vocab``); what is left for Arrow is the longest common
-subsequence of two id arrays, bit-parallel (Allison & Dix 1986; Hyyro 2004), so a pair of long
-texts costs about ``len(a) * len(b) / 64`` word operations instead of a full DP table, and
-Python's rounding of the reported values.
+Tokenisation is a JVM expression. One Arrow pass compares the two token lists of a row: stems
+(a worker remembers the words it has seen), clipped overlap and the longest common subsequence,
+bit-parallel (Allison & Dix 1986; Hyyro 2004), so a pair of long texts costs about
+``len(a) * len(b) / 64`` word operations instead of a full DP table, and Python's rounding of
+the reported values. The same measures from ids and their places serve the relational way.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,12 @@ from pyspark.sql import types as T
 from .porter import stem
 
 
+STATS_TYPE = T.StructType([
+    T.StructField("rouge1_f1", T.DoubleType()), T.StructField("rougeL_f1", T.DoubleType()),
+    T.StructField("score", T.DoubleType()),
+])
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -67,15 +75,57 @@ def in_order(ids, places) -> list:
     return out
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_udf(ids: pd.Series, gen: pd.Series, gold: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(in_order(i, g), in_order(i, r)) for i, g, r in zip(ids, gen, gold)], dtype="int32")
+REMEMBERED = 400_000     # words a worker remembers the stems of before it starts anew
+_stems: dict[str, str] = {}
 
 
-STATS_TYPE = T.StructType([
-    T.StructField("rouge1_f1", T.DoubleType()), T.StructField("rougeL_f1", T.DoubleType()),
-    T.StructField("score", T.DoubleType()),
-])
+def tokens_of(joined: str, stemmed: bool) -> list[str]:
+    """Tokens joined by blanks -> their stems, or the tokens themselves."""
+    words = joined.split()
+    if stemmed:
+        if len(_stems) > REMEMBERED:
+            _stems.clear()
+        for w in words:
+            if w not in _stems:
+                _stems[w] = stem(w) if len(w) > 3 else w
+        words = [_stems[w] for w in words]
+    return words
+
+
+def clipped_overlap(a: list, b: list) -> int:
+    have = Counter(a)
+    return sum(min(n, have[t]) for t, n in Counter(b).items() if t in have)
+
+
+def pair_counts_udf(stemmed: bool, with_lcs: bool):
+    """Arrow UDF (generated, reference tokens joined by blanks) -> overlap, lcs, n_gen, n_gold."""
+
+    @F.pandas_udf("overlap int, lcs int, n_gen int, n_gold int")
+    def pair_counts(gen: pd.Series, gold: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, r in zip(gen, gold):
+            g, r = tokens_of(g, stemmed), tokens_of(r, stemmed)
+            rows.append((clipped_overlap(g, r), lcs_length(g, r) if with_lcs else 0, len(g), len(r)))
+        return pd.DataFrame(rows, columns=["overlap", "lcs", "n_gen", "n_gold"], dtype="int32")
+
+    return pair_counts
+
+
+def pair_scores_udf(w_r1: float = 0.5, w_rl: float = 0.5, stemmed: bool = True, with_lcs: bool = True):
+    """Arrow UDF (generated, reference tokens joined by blanks) -> as ``rouge_stats_udf``; without
+    ``with_lcs`` only ``rouge1_f1`` means something."""
+
+    @F.pandas_udf(STATS_TYPE)
+    def pair_scores(gen: pd.Series, gold: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, r in zip(gen, gold):
+            g, r = tokens_of(g, stemmed), tokens_of(r, stemmed)
+            f1 = f_measure(clipped_overlap(g, r), len(g), len(r), empty_zero=False)
+            fl = f_measure(lcs_length(g, r), len(g), len(r), empty_zero=True) if with_lcs else 0.0
+            rows.append((round(f1, 4), round(fl, 4), round(f1 * w_r1 + fl * w_rl, 4)))
+        return pd.DataFrame(rows, columns=[f.name for f in STATS_TYPE.fields], dtype="float64")
+
+    return pair_scores
 
 
 def rouge_stats_udf(w_r1: float = 0.5, w_rl: float = 0.5):

@@ -1069,9 +1069,10 @@ def q_incremental_sink(spark, sf):
     comes twice is taken once, and the small folders are compacted in between."""
     from ..session import scratch_path
     from ..sources import results as RS
+    from ..sources.sinks import write_incremental
     out, path = RC.to_submission(_answers(spark, sf)), scratch_path(spark, "incremental")
     for k in (0, 1, 0, 2, 1):
-        RS.write_batch(out.where(F.pmod("ID", F.lit(3)) == k), path, f"batch-{k}", columns=["ID", *K.SUBMISSION_TARGETS])
+        write_incremental(out.where(F.pmod("ID", F.lit(3)) == k), path, f"batch-{k}", columns=["ID", *K.SUBMISSION_TARGETS])
         if k == 1:
             RS.compact(spark, path)
     return RS.read_results(spark, path)

@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from . import files as FS
+from .reports import write_reported
 
 LOG = "_versions"
 
@@ -33,21 +34,31 @@ def _publish(spark: SparkSession, path: str, number: int, state: dict) -> bool:
     return FS.create(spark, f"{path}/{LOG}/{number:020d}.json", json.dumps(state))
 
 
-def write_batch(batch: DataFrame, path: str, batch_id: str, columns=None) -> bool:
-    """Add a batch under its identity; False (and nothing written) if the table has it."""
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the newest version, -1 before the first."""
+    return _version(spark, path.rstrip("/"))[0]
+
+
+def folder_count(spark: SparkSession, path: str) -> int:
+    return len(_version(spark, path.rstrip("/"))[1]["folders"])
+
+
+def write_batch(batch: DataFrame, path: str, batch_id: str, columns=None, keep_empty: bool = True) -> int | None:
+    """Add a batch under its identity and return its rows; None (and nothing written) if the
+    table has it. Without ``keep_empty`` a batch of no rows adds no folder after the first."""
     spark, path = batch.sparkSession, path.rstrip("/")
     if batch_id in _version(spark, path)[1]["batches"]:
-        return False
+        return None
     folder = f"rows-{uuid.uuid4().hex}"
-    (batch.select(*columns) if columns else batch).write.parquet(f"{path}/{folder}")
+    rows = write_reported(batch.select(*columns) if columns else batch, lambda x: x.write.parquet(f"{path}/{folder}"), {})["rows"]
     while True:
         number, state = _version(spark, path)
-        if batch_id in state["batches"]:      # another writer was faster with the same batch
-            FS.delete(spark, f"{path}/{folder}")
-            return False
+        if batch_id in state["batches"] or (not rows and not keep_empty and state["folders"]):
+            FS.delete(spark, f"{path}/{folder}")      # nothing new, or another writer was faster with the same batch
+            return None if batch_id in state["batches"] else 0
         state = {"folders": [*state["folders"], folder], "batches": [*state["batches"], batch_id]}
         if _publish(spark, path, number + 1, state):
-            return True
+            return rows
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

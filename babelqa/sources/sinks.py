@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .qa import CSV_OPTIONS
+from .results import write_batch
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
@@ -26,8 +27,8 @@ def write_training_set(df: DataFrame, path: str, mode: str = "overwrite") -> str
     return path
 
 
-def write_incremental(batch: DataFrame, path: str, columns=None) -> None:
-    """Make one batch of results durable by appending it (the toolkit rewrote the whole
-    file after every batch). ``columns`` projects first, as the test mode does."""
-    out = batch.select(*columns) if columns else batch
-    out.write.mode("append").parquet(path)
+def write_incremental(batch: DataFrame, path: str, batch_id: str, columns=None) -> int | None:
+    """Make one batch of results durable under its identity (the toolkit rewrote the whole file
+    after every batch); a batch that comes again is not taken twice. ``columns`` projects
+    first, as the test mode does. Read the table with ``results.read_results``."""
+    return write_batch(batch, path, batch_id, columns)

@@ -96,9 +96,17 @@ def test_a_batch_is_taken_once(spark, scratch):
     out, x = scratch("results"), spark.range(30).withColumn("b", F.pmod("id", F.lit(3)))
     with pytest.raises(FileNotFoundError):
         RS.read_results(spark, out)
-    for _ in range(2):
+    for turn in range(2):
         took = [RS.write_batch(x.where(F.col("b") == k), out, f"batch-{k}", columns=["id"]) for k in range(3)]
-    assert took == [False] * 3 and sorted(r.id for r in RS.read_results(spark, out).collect()) == list(range(30))
+        assert took == [None if turn else 10] * 3
+    assert sorted(r.id for r in RS.read_results(spark, out).collect()) == list(range(30))
+
+
+def test_empty_batches(spark, scratch):
+    out = scratch("results")
+    assert RS.write_batch(spark.range(0), out, "a", keep_empty=False) == 0 and RS.read_results(spark, out).count() == 0
+    assert RS.write_batch(spark.range(0), out, "b", keep_empty=False) == 0 and RS.folder_count(spark, out) == 1
+    assert RS.write_batch(spark.range(0), out, "c") == 0 and RS.folder_count(spark, out) == 2 and RS.version(spark, out) == 1
 
 
 def test_reader_during_compaction_sees_all_rows(spark, scratch):
@@ -108,7 +116,7 @@ def test_reader_during_compaction_sees_all_rows(spark, scratch):
     before = RS.read_results(spark, out)               # planned on the old folders
     assert RS.compact(spark, out, files=1) == 6 and before.count() == 60
     assert RS.read_results(spark, out).count() == 60 and len(RS.read_results(spark, out).inputFiles()) == 1
-    assert not RS.write_batch(spark.range(5), out, "3") and RS.write_batch(spark.range(60, 70), out, "6")
+    assert RS.write_batch(spark.range(5), out, "3") is None and RS.write_batch(spark.range(60, 70), out, "6") == 10
     assert RS.clean(spark, out) == 6 and RS.compact(spark, out) == 2
     assert sorted(r.id for r in RS.read_results(spark, out).collect()) == list(range(70)) and RS.clean(spark, out) == 2
 

@@ -7,12 +7,13 @@ from babelqa.operators import inference as INF
 from babelqa.operators import lookups as LK
 from babelqa.operators import metrics as MT
 from babelqa.operators.records import clean_generation
-from babelqa.operators.scoring import score_answers
+from babelqa.operators.scoring import KEPT_FOLDERS, kept_stems, rouge_score, score_answers
 from babelqa.plans import evaluation as EV
 from babelqa.plans import training as TR
 from babelqa.sources import fixtures as FX
 from babelqa.session import measured
 from babelqa.sources.qa import QA_SCHEMA, read_qa, read_qa_indexed
+from babelqa.sources.results import folder_count, read_results
 from babelqa.sources.sinks import write_csv, write_incremental, write_training_set
 from babelqa.streaming.scoring import scored, stream_scoring
 from babelqa.streaming.windows import stream_log_windows
@@ -40,9 +41,9 @@ def test_training_set_and_incremental(spark, scratch):
     batches = TR.training_batches(ex, micro=4, accum=2)
     assert batches.where(F.size("input_ids") != F.size("labels_padded")).count() == 0
     out = scratch("incr")
-    write_incremental(ex.select("row_id", "subset").limit(3), out)
-    write_incremental(ex.select("row_id", "subset").limit(2), out, columns=["row_id"])
-    assert spark.read.parquet(out).count() == 5
+    few = ex.select("row_id", "subset").limit(3)
+    assert [write_incremental(few, out, b, columns=["row_id"]) for b in ("1", "2", "1")] == [3, 3, None]
+    assert read_results(spark, out).columns == ["row_id"] and read_results(spark, out).count() == 6
 
 
 def test_stream_scoring_equals_batch(spark, scratch):
@@ -145,6 +146,34 @@ def test_inference_raise_mode(spark):
         INF.batch_infer(qa, always, on_error="raise").collect()
 
 
+def test_later_micro_batches_stem_no_old_word(spark, scratch):
+    kept = scratch("stems")
+    one = spark.createDataFrame([(["running", "dogs"],), (["dogs", None],)], "t array<string>")
+    table, n = kept_stems(one, "t", kept)
+    assert n == 3 and {(r.word, r.stem) for r in table.collect()} == {("running", "run"), ("dogs", "dog"), (None, None)}
+    assert kept_stems(one.where("t[1] = 'dogs'"), "t", kept)[1] == 0
+    two = spark.createDataFrame([(["dogs", "jumping"],)], "t array<string>")
+    table, n = kept_stems(two, "t", kept)
+    assert n == 1 and table.where("word IS NOT NULL").count() == 3
+    for k in range(20):
+        table, n = kept_stems(spark.createDataFrame([([f"word{k}"],)], "t array<string>"), "t", kept)
+        assert n == 1 and folder_count(spark, kept) <= KEPT_FOLDERS
+    assert table.where("word IS NOT NULL").count() == 23
+
+
+def test_kept_dictionary_gives_the_same_scores(spark, scratch):
+    """Equal and NULL keys stay apart, odd column names come back, both ways score alike."""
+    rows = [(k % 7 if k % 5 else None, f"a{k} running dogs the" if k % 6 else None, f"a{k} the run {'dog ' * (k % 4)}" if k % 9 else "", "x.y")
+            for k in range(60)]
+    df = spark.createDataFrame(rows, "`row.id` long, output string, gen_answer string, `_g` string").repartition(5)
+    narrow = sorted(map(str, rouge_score(df, "output").collect()))
+    kept = scratch("stems")
+    assert sorted(map(str, rouge_score(df, "output", stems=kept).collect())) == narrow and len(narrow) == 60
+    assert sorted(map(str, rouge_score(df, "output", stems=kept).collect())) == narrow
+    plan = rouge_score(df, "output")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1      # the input's own
+
+
 def test_stream_scoring_resumes_from_checkpoint(spark, scratch):
     gen = FX.gen(spark, SF001)
     first, second = gen.where("row_id % 2 = 0"), gen.where("row_id % 2 = 1")
