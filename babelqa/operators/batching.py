@@ -9,11 +9,12 @@ the skew-safe ``rank_by_hash``; no row is ever looked up by index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.arrays import pad_to
+from ..functions.permute import permuted
 from ..session import measured
 from .ranking import rank_by_hash, running_max, with_row_id
 from .sampling import md5_order
@@ -122,6 +123,49 @@ def batch_plan(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_A
     )
 
 
+def plan_index(df: DataFrame, micro: int, accum: int, alpha: float = K.DEFAULT_ALPHA, seed: int = K.DEFAULT_SAMPLE_SEED,
+               lang: str = "lang", key: str = "row_id") -> tuple[DataFrame, list]:
+    """What ``plan_batches`` needs of a pool, made once: the rows numbered inside their language
+    (lang, place, row_id), written, and one fact row per language (lang, n, slots, batches)."""
+    x = df.select(F.col(lang).alias("lang"), F.col(key).alias("row_id"))
+    x = measured(x.withColumn("_h", md5_order(seed, F.col("row_id"))), "pool")
+    alloc = lang_allocation(x.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), micro * accum, alpha)
+    facts = plan_dimensions(alloc, micro, accum).select("lang", "n", "slots", "batches").orderBy("lang").collect()
+    index = rank_by_hash(x, ["lang"], "_h", ["row_id"], out="place").select("lang", "place", "row_id")
+    return measured(index, "pool-index"), facts
+
+
+def plan_batches(index: DataFrame, facts: list, first: int, last: int, micro: int, seed: int = K.DEFAULT_SAMPLE_SEED) -> DataFrame:
+    """Effective batches ``first`` to ``last - 1`` of the plan over a pool, computed alone: batch
+    k of any cycle costs its own draws and one join with the index, whatever lies before it.
+
+    Same contract as ``batch_plan`` (other shuffles): draw d of a language is place ``d mod n`` of
+    the language's permutation for cycle ``d div n``, and a permutation of the batch's slots
+    shuffles the batch. The permutations are keyed (``functions.permute``), so nothing is ranked."""
+    if not facts or last <= first:
+        return index.sparkSession.createDataFrame([], "effective_batch long, micro_batch long, micro_pos long, lang string, row_id long, cycle long")
+    total = sum(f["slots"] for f in facts)
+    starts = [sum(f["slots"] for f in facts[:k]) for k in range(len(facts))]
+    fact = F.array(*[F.struct(F.lit(f["lang"]).alias("lang"), F.lit(int(f["n"])).cast("long").alias("n"),
+                              F.lit(int(f["slots"])).cast("long").alias("slots"), F.lit(s).cast("long").alias("start"))
+                     for f, s in zip(facts, starts)])
+    slot = F.pmod("id", F.lit(total))
+    d = index.sparkSession.range(first * total, last * total).select(
+        F.floor(F.col("id") / total).cast("long").alias("effective_batch"), slot.alias("slot"),
+        F.element_at(F.filter(fact, lambda f: f["start"] <= slot), -1).alias("f"))
+    d = d.withColumn("d", F.col("effective_batch") * F.col("f.slots") + F.col("slot") - F.col("f.start"))
+    d = d.withColumn("cycle", F.floor(F.col("d") / F.col("f.n")).cast("long"))
+    name = lambda *parts: F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    d = d.select(
+        "effective_batch", "cycle", F.col("f.lang").alias("lang"),
+        permuted(F.pmod("d", F.col("f.n")), F.col("f.n"), name(seed, F.col("f.lang"), F.col("cycle").cast("string"))).alias("place"),
+        permuted(F.col("slot"), F.lit(total), name(seed, "batch", F.col("effective_batch").cast("string"))).alias("p"))
+    rows = d.join(index, [d["lang"].eqNullSafe(index["lang"]), d["place"] == index["place"]])
+    return rows.select(
+        "effective_batch", (F.col("effective_batch") * -(-total // micro) + F.floor(F.col("p") / micro)).cast("long").alias("micro_batch"),
+        F.pmod("p", F.lit(micro)).cast("long").alias("micro_pos"), d["lang"], "row_id", "cycle")
+
+
 def micro_batches(df: DataFrame, size: int, order_col: str = "row_id") -> DataFrame:
     """Rows cut in order into batches of ``size``: ``batch = row_index div size``."""
     x = with_row_id(df, [order_col], key=order_col)

@@ -517,6 +517,31 @@ def q_shard_round_robin(spark, sf):
     return RC.shard(with_row_id(FX.qa(spark, sf).select("row_id"), ["row_id"]), 3)
 
 
+_ACCESS_CTES = _ALLOC_SQL + [
+    ("dims", """SELECT lang, n, slots, CAST(ceil(max(n) OVER () / max(slots) OVER ()) AS BIGINT) AS batches,
+                sum(slots) OVER () AS total, sum(slots) OVER (ORDER BY lang) - slots AS start FROM alloc"""),
+    ("pool", """SELECT row_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', 42, row_id)), row_id) - 1 AS place FROM docs"""),
+    ("draws", """SELECT b AS effective_batch, lang, n, slots, total, start + j AS slot, b * slots + j AS d FROM
+  (SELECT *, unnest(range(0, slots)) AS j FROM (SELECT *, unnest(range(0, batches)) AS b FROM dims) x) y"""),
+    ("ask", """SELECT effective_batch * total + slot AS id, d % n AS x, n, concat_ws('|', 42, lang, d // n) AS k FROM draws"""),
+    ("found", D.permuted("ask")),
+    ("ask2", """SELECT effective_batch * total + slot AS id, slot AS x, CAST(total AS BIGINT) AS n, concat_ws('|', 42, 'batch', effective_batch) AS k FROM draws"""),
+    ("shuffled", D.permuted("ask2")),
+]
+
+
+@query("batch_plan_access", """SELECT w.effective_batch, CAST(w.effective_batch * CAST(ceil(total / 8) AS BIGINT) + s.y // 8 AS BIGINT) AS micro_batch,
+  s.y % 8 AS micro_pos, w.lang, p.row_id, w.d // w.n AS cycle
+FROM draws w JOIN found f ON f.id = w.effective_batch * w.total + w.slot JOIN shuffled s ON s.id = f.id
+JOIN pool p ON p.lang = w.lang AND p.place = f.y""", ["docs"], _ACCESS_CTES)
+def q_batch_plan_access(spark, sf):
+    """The plan by random access: its second half computed without the first, then the first."""
+    index, facts = BT.plan_index(FX.docs(spark, sf), 8, 8)
+    batches = facts[0]["batches"] if facts else 0
+    late, early = ((batches // 2, batches), (0, batches // 2))
+    return BT.plan_batches(index, facts, *late, micro=8).unionByName(BT.plan_batches(index, facts, *early, micro=8))
+
+
 @query("shard_counts", """SELECT shard, count(*) AS rows FROM (SELECT CAST((row_number() OVER (ORDER BY row_id) - 1) % 3
   AS INTEGER) AS shard FROM qa) t GROUP BY ROLLUP (shard)""", ["qa"])
 def q_shard_counts(spark, sf):
@@ -719,6 +744,29 @@ def q_decode_tokens(spark, sf):
     return VC.decode_tokens(VC.encode_tokens(t, v), v)
 
 
+_MERGES = 8
+
+
+@query("subword_merges", " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS rank, pair, n FROM m{k}" for k in range(_MERGES)), ["docs"],
+       _DOC_TOKS + [("wc", "SELECT w, count(*) AS cnt FROM (SELECT unnest(toks) AS w FROM dt) t GROUP BY w")] + D.subword_merges("wc", _MERGES))
+def q_subword_merges(spark, sf):
+    """The first merges learned from all words of the documents."""
+    from ..operators.subwords import learn_merges
+    counts = _doc_words(spark, sf).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    rows = [(k, pair, n) for k, (pair, n) in enumerate(learn_merges(counts, _MERGES))]
+    return spark.createDataFrame(rows, "rank int, pair string, n long")
+
+
+@query("subword_round_trip", "SELECT row_id, md5(text) AS text_md5 FROM docs", ["docs"])
+def q_subword_round_trip(spark, sf):
+    """Documents encoded with merges learned from them, and decoded."""
+    from ..operators.subwords import decode_subwords, encode_subwords, learn_merges
+    counts = _doc_words(spark, sf).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    merges = learn_merges(counts, 24)
+    ids = encode_subwords(FX.spread(FX.docs(spark, sf)).select("row_id", "text"), merges).select("row_id", "ids")
+    return decode_subwords(ids, merges).select("row_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 @query("argmax_label", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax "
        "FROM embeddings")
 def q_argmax_label(spark, sf):
