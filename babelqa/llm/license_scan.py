@@ -1,31 +1,34 @@
 """License scans by conditional compression.
 
-Candidate blocks (neighbouring lines that speak of licences, with at most GAP_LINES other
-lines between) are compressed alone and, for each template, with the template as zstandard
-raw dictionary, and templates are ranked by the relative size reduction. Every template is
-compared word by word with the block: the wording differences are the template's words that
-the block lacks and the words the block puts in between. The template with the fewest
-differences wins if they are at most DIFFERENCES percent of its words and no differing word
-tells licences apart (a number, or a word of TELLING). The words from its first to its last
-match are then cut out and both rests searched in the same way, until nothing is confirmed.
-
-Spans do not overlap: each runs from its notice's first to its last matched word; the first
-notice of a block also takes what stands before it, the last what stands behind it, so a
-block with one notice is reported whole. The reduction is that of the span.
+Candidate blocks are compressed alone and, for each template, with the template as zstandard raw
+dictionary, and templates are ranked by the relative size reduction. Along the ranking, each
+template is aligned with the block word by word until one is confirmed. The alignment is local:
+the whole template against any stretch of the block, with the fewest wording differences, which
+are the template's words that the stretch lacks and the words it puts in between. A template
+is confirmed if they are at most DIFFERENCES percent of its words and no differing word tells
+licences apart (a number, or a word of TELLING). The stretch is then cut out and both rests
+are ranked anew, until nothing is confirmed.
+
+Candidate blocks depend on words alone, not on lines, so a notice is found in any layout and in
+running text. A word belongs to a block if it stands in a pair of neighbouring words that some
+template has; blocks end where more words than any notice may put in between stand in no such
+pair. Templates which a text cannot hold, since more of their words are absent from it than
+may differ, take no part; most texts end there.
 
 Defined results: null or empty text has no block; a block without a confirmed template gives
-no row; equally few differences are decided by the reduction, equal reductions by template
-name; repeated rows give their rows again.
+no row; of equal reductions the template name decides, of equal alignments the first; a
+row's span (start, end) runs from its first to its last matched word with the marks behind
+it; repeated rows give their rows again, with a null id if they have none; an empty table gives
+no row; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, prepare
 
-GAP_LINES = 2
 DIFFERENCES = 20
 LEVEL = 19
+REMEMBERED_CHARS = 2000      # blocks up to this length are remembered, 4,096 of them
 
 # Notices of public licences, as their authors publish them.
 TEMPLATES = {
@@ -78,11 +81,39 @@ TEMPLATES = {
         "Software."),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        'IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        'with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS '
+        "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
 }
 TELLING = frozenset("affero agpl apache bsd by cc cc0 clause gnu gpl isc lesser lgpl mit mozilla mpl nc nd sa".split())
-CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "public domain", "free software", "warrant",
-        "cc by", "cc-by", "cc0")
-CUE = re.compile("|".join(CUES), re.I)
 WORD = re.compile(r"\w+(?:\.\d+)*")
 MARKS = re.compile(r"[^\w\s]*")      # what closes a notice behind its last word
 
@@ -91,23 +122,50 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """[start, end) character spans of candidate blocks."""
-    low = text.lower()
-    if not any(c in low for c in CUES):
-        return []
-    spans, at, line_no, last = [], 0, 0, -GAP_LINES - 2
-    for line in text.splitlines(keepends=True):
-        if CUE.search(line):
-            end = at + len(line.rstrip())
-            if line_no - last <= GAP_LINES + 1 and spans:
-                spans[-1] = (spans[-1][0], end)
-            else:
-                spans.append((at + len(line) - len(line.lstrip()), end))
-            last = line_no
-        at += len(line)
-        line_no += 1
-    return spans
+WANTED = {name: words(text) for name, text in TEMPLATES.items()}
+ALLOWED = {name: DIFFERENCES * len(want) // 100 for name, want in WANTED.items()}
+KINDS = {name: frozenset(want) for name, want in WANTED.items()}
+PAIRS = {name: frozenset(zip(want, want[1:])) for name, want in WANTED.items()}
+
+
+def _telling(word: str) -> bool:
+    return word in TELLING or word[0].isdigit()
+
+
+def possible(kinds: set[str]) -> list[str]:
+    """Templates of which a text with these words does not lack too many."""
+    out = []
+    for name, want in KINDS.items():
+        left = ALLOWED[name]
+        for w in want:
+            if w not in kinds:
+                left -= 1
+                if left < 0 or _telling(w):
+                    break
+        else:
+            out.append(name)
+    return out
+
+
+def candidate_blocks(have: list[str], names: list[str]) -> list[tuple[int, int]]:
+    """[first, end) word spans that may hold notices of the templates ``names``."""
+    known = frozenset().union(*(PAIRS[n] for n in names))
+    pairs = [k for k, p in enumerate(zip(have, have[1:])) if p in known]
+    gap, spans = max(ALLOWED[n] for n in names) + 2, []
+    for k in pairs:
+        if spans and k - spans[-1][1] <= gap:
+            spans[-1][1] = k + 2
+        else:
+            spans.append([k, k + 2])
+    # a notice's first and last words may stand in no pair
+    edge, out = gap, []
+    for a, b in spans:
+        a, b = max(0, a - edge), min(len(have), b + edge)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 @lru_cache(1)
@@ -117,7 +175,7 @@ def _compressors() -> tuple:
         text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in TEMPLATES.items()}
 
 
-def reductions(block: str, names: Iterable[str] = tuple(TEMPLATES)) -> list[tuple[float, str]]:
+def reductions(block: str, names=tuple(TEMPLATES)) -> list[tuple[float, str]]:
     """(relative size reduction, template), best first."""
     plain, given = _compressors()
     raw = block.encode()
@@ -125,84 +183,88 @@ def reductions(block: str, names: Iterable[str] = tuple(TEMPLATES)) -> list[tupl
     return sorted(((1 - len(given[name].compress(raw)) / alone, name) for name in names), key=lambda x: (-x[0], x[1]))
 
 
-def _compared(have: list[str], want: list[str]) -> tuple[list[str], int, int]:
-    """Wording differences, and the first and the end of the matched words of ``have``."""
-    pairs = [m for m in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
-    if not pairs:
+def aligned(have: list[str], want: list[str]) -> tuple[list[str], int, int]:
+    """The fewest wording differences between ``want`` and a stretch of ``have``, and the first
+    and the end of its matched words; of equal ones the stretch that ends first."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(want))}
+    x = np.array([number.get(w, -1) for w in have], np.int32)
+    place = np.arange(len(x) + 1, dtype=np.int32)
+    table = np.zeros((len(want) + 1, len(x) + 1), np.int32)      # fewest differences of want[:i], ending at j
+    for i, w in enumerate(want, 1):
+        row = table[i - 1] + 1
+        row[1:] = np.where(x == number[w], table[i - 1, :-1], row[1:])
+        table[i] = np.minimum.accumulate(row - place) + place
+    j = int(table[-1].argmin())
+    i, found, matched = len(want), [], []
+    while i:
+        if j and x[j - 1] == number[want[i - 1]] and table[i, j] == table[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+            matched.append(j)
+        elif table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+            found.append(f"-{want[i]}")
+        else:
+            j -= 1
+            found.append(f"+{have[j]}")
+    if not matched:
         return [f"-{w}" for w in want], 0, 0
-    found, b = [], 0
-    for k, m in enumerate(pairs):
-        found += [f"-{w}" for w in want[b:m.b]]
-        if k:
-            before = pairs[k - 1]
-            found += [f"+{w}" for w in have[before.a + before.size:m.a]]
-        b = m.b + m.size
-    return found + [f"-{w}" for w in want[b:]], pairs[0].a, pairs[-1].a + pairs[-1].size
+    return found[::-1], matched[-1], matched[0] + 1
 
 
 def wording_differences(block: str, template: str) -> list[str]:
     """Words of the template that the block lacks (-) and words it puts in between (+)."""
-    return _compared(words(block), words(template))[0]
-
-
-def _telling(difference: str) -> bool:
-    word = difference[1:]
-    return word in TELLING or word[0].isdigit()
+    return aligned(words(block), words(template))[0]
 
 
-@lru_cache(1)
-def _wanted() -> dict[str, tuple[list[str], str, Counter]]:
-    """template: its words, the words joined, their counts."""
-    return {name: (w := words(text), f" {' '.join(w)} ", Counter(w)) for name, text in TEMPLATES.items()}
-
-
-def _confirmed(have: list[str]) -> list[tuple[int, str, int, int]]:
-    """(differences, template, first and end of the matched words) of the confirmed templates;
-    where some occur word for word, only these, as no other can have so few differences."""
-    joined, exact = f" {' '.join(have)} ", []
-    for name, (want, whole, _) in _wanted().items():
-        if (at := joined.find(whole)) >= 0:
-            first = joined.count(" ", 0, at + 1) - 1
-            exact.append((0, name, first, first + len(want)))
-    if exact:
-        return exact
-    found, there = [], Counter(have)
-    for name, (want, _, counts) in _wanted().items():
-        lacking = counts - there      # differences in any alignment
-        if sum(lacking.values()) * 100 > DIFFERENCES * len(want) or any(_telling(f"-{w}") for w in lacking):
-            continue
-        differences, first, end = _compared(have, want)
-        if len(differences) * 100 <= DIFFERENCES * len(want) and not any(map(_telling, differences)):
-            found.append((len(differences), name, first, end))
-    return found
+def confirmed(have: list[str], name: str) -> tuple[int, int, int] | None:
+    """(number of differences, first and end of the matched words) if the template is there."""
+    want = WANTED[name]
+    lacking = Counter(want) - Counter(have)                      # differences in any alignment
+    if lacking.total() > ALLOWED[name] or any(map(_telling, lacking)):
+        return None
+    differences, first, end = aligned(have, want)
+    if len(differences) > ALLOWED[name] or any(_telling(d[1:]) for d in differences):
+        return None
+    return len(differences), first, end
 
 
-@lru_cache(4096)
-def identify(block: str) -> tuple[tuple[int, int, str, float, int], ...]:
+def identify(block: str) -> list[tuple[int, int, str, float, int]]:
     """(start, end, template, reduction, number of differences) of each notice of a block."""
     places = [m.span() for m in WORD.finditer(block)]
     have = words(block)
     found, work = [], [(0, len(have))]
     while work:
         a, b = work.pop()
-        confirmed = _confirmed(have[a:b])
-        if not confirmed:
+        part = have[a:b]
+        if a == b or not possible(set(part)):
             continue
-        least = min(c[0] for c in confirmed)
-        best = {name: (first, end) for n, name, first, end in confirmed if n == least}
-        name = min(best)
-        if len(best) > 1:
-            name = reductions(block[places[a][0]:places[b - 1][1]] if found else block, best)[0][1]
-        first, end = a + best[name][0], a + best[name][1]
-        found.append((first, end, name, least))
-        work += [(a, first), (end, b)]
-    found.sort()
-    out = []
-    for k, (first, end, name, n) in enumerate(found):
-        start = places[first][0] if k else 0
-        stop = MARKS.match(block, places[end - 1][1]).end() if k + 1 < len(found) else len(block)
-        out.append((start, stop, name, reductions(block[start:stop], (name,))[0][0], n))
-    return tuple(out)
+        for _, name in reductions(block[places[a][0]:places[b - 1][1]]):
+            hit = confirmed(part, name)
+            if hit:
+                n, first, end = hit[0], a + hit[1], a + hit[2]
+                start, stop = places[first][0], MARKS.match(block, places[end - 1][1]).end()
+                found.append((start, stop, name, reductions(block[start:stop], (name,))[0][0], n))
+                work += [(a, first), (end, b)]
+                break
+    return sorted(found)
+
+
+_remembered = lru_cache(4096)(identify)
+
+
+def notices(text: str) -> list[tuple[int, int, str, float, int]]:
+    """(start, end, template, reduction, number of differences) of each notice of a text."""
+    have = words(text)
+    names = possible(set(have))
+    if not names:
+        return []
+    places, out = [m.span() for m in WORD.finditer(text)], []
+    for a, b in candidate_blocks(have, names):
+        start = places[a][0]
+        block = text[start:MARKS.match(text, places[b - 1][1]).end()]
+        found = _remembered(block) if len(block) <= REMEMBERED_CHARS else identify(block)
+        out += ((start + x, start + y, *rest) for x, y, *rest in found)
+    return out
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()),
@@ -216,10 +278,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for a, b in candidate_blocks(text) if text else ():
-                    rows += ((doc, a + start, a + end, *hit) for start, end, *hit in identify(text[a:b]))
+            rows = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+                    for hit in (notices(text) if text else ())]
             yield batches_of(dict(zip(FOUND.names, zip(*rows))) if rows else {n: [] for n in FOUND.names}, FOUND)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
