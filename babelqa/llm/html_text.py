@@ -6,13 +6,18 @@ visible text, blocks on lines of their own, a blank line around paragraphs, head
 and tables, list markers and indents, preformatted text as it is, and table cells padded to
 common column widths.
 
-Visibility: elements that are never shown, ``hidden``, ``display:none`` or ``visibility``
-in a style attribute, closed ``details`` (all but the summary) and ``dialog``, hidden inputs,
-and ``display:none`` rules of the page's own style sheets with plain tag, class or id
-selectors.
-
-Defined results: null or empty html renders as the empty text; broken markup never fails;
-tables nested deeper than MAX_TABLES are laid out as blocks; repeated rows are rendered each.
+Visibility: elements that are never shown, ``hidden``, closed ``details`` (all but the summary)
+and ``dialog``, hidden inputs, and the cascade of ``display`` and ``visibility`` over the page's
+own style sheets and style attributes: later and more specific rules win, ``!important`` before
+all, a shown ``display`` undoes ``hidden``, and ``@media`` blocks count if they are for screens.
+Selectors are tags, classes, ids and ``*``, alone or together, below or as children of
+others; rules with any other selector (states, attributes, siblings) are left out. Buttons and
+text fields show their value.
+
+Defined results: null or empty html renders as the empty text; broken markup never fails, and
+numbers too long to be meant count as the largest allowed; tables nested deeper than
+MAX_TABLES are laid out as blocks; repeated rows are rendered each, rows without an id too; an
+empty table gives no row; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from .common import prepare
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg "
+NEVER = frozenset("head script style title template noscript iframe noembed noframes audio video canvas svg "
                   "math datalist meta link base param source track area col colgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt figcaption footer form "
@@ -51,27 +56,39 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption template html body button object".split())
 IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())   # others end an open head
-MAX_TABLES = 20
+MAX_TABLES = 100          # each takes two calls of the stack
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-GONE = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
+CSS_PART = re.compile(r"([^{};]*)([{};])")
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+SHOWN_VALUE = frozenset("submit button reset text search email url tel number date time month week".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+
+
+def _unescape(text: str) -> str:
+    """Character references resolved; a number beyond all characters is the replacement mark."""
+    return html.unescape(LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+
+def _number(value: str, most: int) -> int:
+    """A positive number of at most ``most``, 1 where there is none."""
+    digits = value.strip().lstrip("0") if value.strip().isascii() and value.strip().isdecimal() else ""
+    return min(int(digits), most) if 0 < len(digits) <= 9 else most if digits else 1
 
 
 @lru_cache(1024)
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(raw)))}
+    return {m[1].lower(): _unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(raw)))}
 
 
 def build(page: str) -> tuple[Node, list[str]]:
@@ -83,7 +100,7 @@ def build(page: str) -> tuple[Node, list[str]]:
 
     def text(part: str) -> None:
         if part:
-            part = html.unescape(part) if "&" in part else part
+            part = _unescape(part) if "&" in part else part
             if stack[-1].tag == "head" and part.strip(" \t\n\r\f"):
                 close({"head"}, set())
             stack[-1].children.append(part)
@@ -120,9 +137,9 @@ def build(page: str) -> tuple[Node, list[str]]:
         tag = m[2].lower()
         if m[1]:
             if tag == "p" and not opened["p"]:
-                stack[-1].children.append(Node("p"))
+                stack[-1].children.append(Node("p", None, stack[-1]))
             elif tag == "br":
-                stack[-1].children.append(Node("br"))
+                stack[-1].children.append(Node("br", None, stack[-1]))
             else:
                 close({tag}, set() if tag in SCOPE else SCOPE)
             continue
@@ -143,45 +160,149 @@ def build(page: str) -> tuple[Node, list[str]]:
                 close({"tr"}, {"table"})
                 tags = tags - {"td", "th", "tr"}
             close(tags, limits)
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
             inner = page[at:end.start() if end else len(page)]
             if tag == "style":
                 sheets.append(inner)
-            node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
+            node.children.append(_unescape(inner) if tag in ("textarea", "title") else inner)
             at = (page.find(">", end.start()) + 1 or len(page)) if end else len(page)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("path", "circle", "rect", "use")):
             stack.append(node)
             opened[tag] += 1
 
 
+def _declared(body: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a list of declarations: (important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in ("display", "visibility") and value:
+            urgent = value.endswith("important") and "!" in value
+            value = value.split("!")[0].strip()
+            if value and (urgent or not out.get(name, (False, ""))[0]):
+                out[name] = (urgent, value)
+    return out
+
+
+def _chain(selector: str) -> tuple | None:
+    """(tag, names, child) from the element up to its ancestors; None for other selectors."""
+    out, child = [], False
+    for part in reversed(re.sub(r"\s*>\s*", " > ", selector.strip()).split()):
+        if part == ">":
+            child = True
+            continue
+        m = COMPOUND.fullmatch(part)
+        if not m:
+            return None
+        out.append((None if m[1] in (None, "*") else m[1].lower(), frozenset(re.findall(r"[.#][\w-]+", m[2])), child))
+        child = False
+    return tuple(out) or None
+
+
+def _for_screens(media: str) -> bool:
+    """Whether one of the media named has screens in it; conditions on sizes are taken as met."""
+    kinds = [m.split()[:2] for m in media.lower().split(",")]
+    return any(not k or (k[0] not in ("print", "speech", "not") and k[-1] not in ("print", "speech")) for k in kinds)
+
+
 @lru_cache(256)
-def _hidden_selectors(sheet: str) -> frozenset[str]:
-    found = set()
-    if "none" in sheet:
-        for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if GONE.search(m[2]):
-                found |= {s.strip() for s in m[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
-    return frozenset(found)
+def _rules(sheet: str) -> tuple[tuple[tuple, tuple, dict], ...]:
+    """(chain, specificity, declarations) of a sheet's rules, in order, nested blocks opened."""
+    out, open_blocks, body = [], [], ""
+    if "display" not in sheet.lower() and "visibility" not in sheet.lower():
+        return ()
+    for m in CSS_PART.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+        text, mark = m[1].strip(), m[2]
+        if mark == "{":
+            open_blocks.append(text)
+            body = ""
+        elif mark == ";":
+            body += text + ";"
+        elif open_blocks:
+            selectors = open_blocks.pop()
+            outer = [b.lower() for b in open_blocks]
+            applies = all(b.startswith(("@supports", "@layer", "@container")) or (b.startswith("@media") and _for_screens(b[6:]))
+                          for b in outer)
+            found = _declared(body + text) if applies and not selectors.startswith("@") else {}
+            for selector in selectors.split(",") if found else ():
+                chain = _chain(selector)
+                if chain:
+                    ids = sum(n[0] == "#" for _, names, _ in chain for n in names)
+                    classes = sum(n[0] == "." for _, names, _ in chain for n in names)
+                    out.append((chain, (ids, classes, sum(t is not None for t, _, _ in chain)), found))
+            body = ""
+    return tuple(out)
+
+
+def _fits(part: tuple, node: Node) -> bool:
+    tag, names, _ = part
+    if tag is not None and tag != node.tag:
+        return False
+    if not names:
+        return True
+    own = {"." + c for c in node.attrs.get("class", "").split()}
+    return names <= own | {"#" + node.attrs.get("id", "")}
+
+
+def _matches(chain: tuple, node: Node) -> bool:
+    """Whether an element and its ancestors fit a chain of selectors."""
+    if not _fits(chain[0], node):
+        return False
+    above = [node]                       # elements that the parts so far may have ended at
+    for part in chain[1:]:
+        found, seen = [], set()
+        for n in above:
+            up = n.parent
+            while up is not None and id(up) not in seen:
+                seen.add(id(up))
+                if _fits(part, up):
+                    found.append(up)
+                up = None if part[2] else up.parent
+        if not found:
+            return False
+        above = found
+    return True
 
 
 class Renderer:
-    def __init__(self, selectors: frozenset[str]):
-        self.selectors = selectors
+    def __init__(self, sheets: list[str]):
+        self.rules: dict[str, list[tuple]] = {}
+        for k, (chain, weight, found) in enumerate(r for sheet in sheets for r in _rules(sheet)):
+            tag, names, _ = chain[0]
+            self.rules.setdefault(min(names, default=tag or "*"), []).append((weight, k, chain, found))
+
+    def styled(self, node: Node, name: str) -> str | None:
+        """The value that wins the cascade for display or visibility, None without one."""
+        best = None
+        if self.rules:
+            attrs = node.attrs
+            keys = ["*", node.tag, "#" + attrs.get("id", ""), *("." + c for c in attrs.get("class", "").split())]
+            for key in dict.fromkeys(keys):
+                for weight, k, chain, found in self.rules.get(key, ()):
+                    if name in found and _matches(chain, node):
+                        urgent, value = found[name]
+                        best = max(best or (), (urgent, 0, weight, k, value))
+        if "style" in node.attrs:
+            own = _declared(node.attrs["style"]).get(name)
+            if own:
+                best = max(best or (), (own[0], 1, (), 0, own[1]))
+        return best[-1] if best else None
 
     def shown(self, node: Node) -> bool:
         if node.tag in NEVER:
             return False
-        attrs = node.attrs
-        if self.selectors and (node.tag in self.selectors or "#" + attrs.get("id", "") in self.selectors
-                               or any("." + c in self.selectors for c in attrs.get("class", "").split())):
-            return False
-        if not attrs:
-            return node.tag != "dialog"
-        return not ("hidden" in attrs or GONE.search(attrs.get("style", ""))
-                    or node.tag == "dialog" and "open" not in attrs)
+        display = self.styled(node, "display") if self.rules or node.attrs else None
+        if display is not None:
+            return display != "none"
+        return "hidden" not in node.attrs and (node.tag != "dialog" or "open" in node.attrs)
+
+    def visible(self, node: Node, inherited: bool) -> bool:
+        sight = self.styled(node, "visibility") if self.rules or node.attrs else None
+        return inherited if sight in (None, "inherit", "unset") else sight not in ("hidden", "collapse")
 
     def lines(self, node: Node, depth: int = 0, visible: bool = True) -> list[str]:
         """The node's text as lines, under the visibility in force; an explicit stack, so nesting cannot exhaust it."""
@@ -249,8 +370,10 @@ class Renderer:
                     flush(blank if x.tag in SPACED else 0)
                 state = (indent, marker, pre, visible)
                 work.append(("restore", (x.tag, state, blank)))
-                visible = _visible(x, visible)
+                visible = self.visible(x, visible)
                 children = x.children
+                if x.tag == "input" and x.attrs.get("type", "text").lower() in SHOWN_VALUE and x.attrs.get("value"):
+                    children = [x.attrs["value"]]
                 if x.tag in ("pre", "textarea", "xmp"):
                     pre += 1
                     if children and isinstance(children[0], str):
@@ -275,7 +398,7 @@ class Renderer:
 
     def table(self, table: Node, depth: int, visible: bool) -> list[str]:
         """Rows of cells padded to the widths of their columns."""
-        visible = _visible(table, visible)
+        visible = self.visible(table, visible)
         rows, caption, work = [], [], [(c, visible) for c in reversed(table.children)]
         while work:
             x, visible = work.pop()
@@ -285,14 +408,14 @@ class Renderer:
             elif not self.shown(x):
                 continue
             elif x.tag in ("thead", "tbody", "tfoot"):
-                visible = _visible(x, visible)
+                visible = self.visible(x, visible)
                 work.extend((c, visible) for c in reversed(x.children))
             elif x.tag == "caption":
-                caption += self.lines(_as_block(x), depth, _visible(x, visible))
+                caption += self.lines(_as_block(x), depth, self.visible(x, visible))
             elif x.tag == "tr":
-                rows.append((x, _visible(x, visible)))
+                rows.append((x, self.visible(x, visible)))
             else:
-                rows.append([(0, 1, self.lines(_as_block(x), depth, _visible(x, visible)))])
+                rows.append([(0, 1, self.lines(_as_block(x), depth, self.visible(x, visible)))])
         grid, taken = [], {}           # taken: column -> rows that a cell above still covers
         for row in rows:
             if isinstance(row, list):
@@ -309,9 +432,8 @@ class Renderer:
                     continue
                 while taken.get(column, 0):
                     column += 1
-                wide, tall = (min(int(v), 1000) if (v := c.attrs.get(k, "1")).isdecimal() and int(v) > 0 else 1
-                              for k in ("colspan", "rowspan"))
-                cells.append((column, wide, self.lines(_as_block(c), depth, _visible(c, visible))))
+                wide, tall = _number(c.attrs.get("colspan", "1"), 1000), _number(c.attrs.get("rowspan", "1"), 65534)
+                cells.append((column, wide, self.lines(_as_block(c), depth, self.visible(c, visible))))
                 for k in range(column, column + wide):
                     below[k] = tall
                 column += wide
@@ -337,11 +459,6 @@ class Renderer:
         return out
 
 
-def _visible(node: Node, inherited: bool) -> bool:
-    sight = VISIBILITY.search(node.attrs.get("style", "")) if node.attrs else None
-    return sight[1].lower() == "visible" if sight else inherited
-
-
 def _as_block(node: Node, children: list | None = None) -> Node:
     block = Node("div")
     block.children = node.children if children is None else children
@@ -353,8 +470,7 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, sheets = build(page)
-    selectors = frozenset().union(*map(_hidden_selectors, sheets)) if sheets else frozenset()
-    return "\n".join(Renderer(selectors).lines(root)).strip("\n")
+    return "\n".join(Renderer(sheets).lines(root)).strip("\n")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -16,7 +16,7 @@ CASES = [
     ("<head><title>t</title></head><body>x<script>if (a</p>) b</script><style>c</style>y", "xy"),
     ("<script>never ended <p>x", ""), ("<!-- c --><p>x<!-- <p>y</p> -->z", "xz"), ("<!DOCTYPE html>x", "x"),
     ("<p hidden>a</p><p style='display: none'>b</p><p style='visibility:hidden'>c<b style='visibility:visible'>d</b></p>e", "d\n\ne"),
-    ("<style>.ad, #x {display:none} p.q{display:none}</style><div class='big ad'>a</div><p id=x>b<p class=q>c", "c"),
+    ("<style>.ad, #x {display:none} p.q{display:none}</style><div class='big ad'>a</div><p id=x>b<p class=q>c", ""),
     ("<details><summary>s</summary>gone</details><details open><summary>t</summary>here</details>", "s\nt\nhere"),
     ("<dialog>a</dialog><dialog open>b</dialog><template>c</template><noscript>d</noscript>", "b"),
     ("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "a\n  b\nc\n  d"), ("<blockquote><p>q</blockquote>r", "  q\n\nr"),
@@ -31,6 +31,50 @@ CASES = [
 ]
 
 
+STYLED = [
+    ("<style>@media print{.n{display:none}} .x{color:red}</style><p class=n>a", "a"),
+    ("<style>@media screen and (min-width:9px){.n{display:none}}</style><p class=n>a<p>b", "b"),
+    ("<style>@media print{p{color:red}} .n{display:none}</style><p class=n>a<p>b", "b"),
+    ("<style>@font-face{src:url(x;y)} .n{display:none}</style><p class=n>a<p>b", "b"),
+    ("<style>.h{display:none}.h{display:block}</style><p class=h>a", "a"),
+    ("<style>.h{display:block}.h{display:none}</style><p class=h>a", ""),
+    ("<style>#i{display:block}p.h{display:none}</style><p class=h id=i>a<p class=h>b", "a"),
+    ("<style>.h{display:none!important}#i{display:block}</style><p class=h id=i style='display:block'>a", ""),
+    ("<style>.h{display:none}</style><p class=h style='display:block'>a", "a"),
+    ("<p style='display:none;display:block'>a<p style='display:block;display:none'>b", "a"),
+    ("<style>.h{visibility:hidden}.s{visibility:visible}</style><p class=h>a<b class=s>c</b>d", "c"),
+    ("<style>.a .h{display:none}</style><div class=a><i><b class=h>x</b></i>y</div><b class=h>z</b>", "y\nz"),
+    ("<style>.a > .h{display:none}</style><div class=a><b class=h>x</b><i><b class=h>y</b></i></div>", "y"),
+    ("<style>ul li.h , .z{display:none}</style><ul><li>a<li class=h>b</ul><p class='y z'>c", "- a"),
+    ("<style>.a:hover,.b[x],.c+.d{display:none}</style><p class='a b d'>x", "x"),
+    ("<style>[hidden]{display:none}.s{display:block}</style><p hidden class=s>a<p hidden>b", "a"),
+    ("<style>*{visibility:hidden}.s{visibility:visible}</style><p>a<p class=s>b", "b"),
+    ("<style>.h{/* } */display:none}</style><p class=h>a<p>b", "b"), ("<style>.h{display:none</style><p class=h>a", "a"),
+    ("<style>td.h{display:none}</style><table><tr><td>a<td class=h>b<td>c</table>", "a | c"),
+    ("<input type=submit value=Go><input type=hidden value=x><input value=word><input type=checkbox value=y>", "Goword"),
+    ("<object data=x>fallback</object>", "fallback"),
+]
+
+
+@pytest.mark.parametrize("page,text", STYLED)
+def test_styles(page, text):
+    assert render(page).strip() == text.strip()
+
+
+@pytest.mark.parametrize("digits", ["9" * 5000, "0" * 5000 + "2", "-3", "２", "1.5", ""])
+def test_numbers_that_nobody_means(digits):
+    page = f"<table><tr><td colspan='{digits}' rowspan='{digits}'>a<td>b</table><ol start='{digits}'><li>c</ol>&#{digits};&#x{digits};d"
+    got = render(page)
+    assert "a" in got and "b" in got and "c" in got and got.endswith("d")
+
+
+def test_deep_tables_keep_their_layout():
+    inner = "<table><tr><td>x<td>y</table>"
+    for _ in range(60):
+        inner = f"<table><tr><td>{inner}<td>z</table>"
+    assert render(inner) == "x | y" + " | z" * 60
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_layout(page, text):
     assert render(page).strip() == text.strip()
