@@ -2,8 +2,8 @@
 
 Texts are lower-cased words (runs of letters and digits), each kept as a 64-bit hash. A seed
 is a fixed mask over SPAN neighbouring words; it hashes the words under its ones and ignores
-the others, so a substitution in an ignored place does not hide a match. Benchmark and
-document seeds are joined; each hit is checked along its diagonal: the words of the span and
+the others, so a substitution in an ignored place does not hide a match; whatever two words of
+a span are changed, one mask ignores both. Benchmark and document seeds are joined; each hit is checked along its diagonal: the words of the span and
 up to EXTEND words on both sides must agree in at least AGREE percent of the places. Where an
 item has no such hit in a document, as with a short excerpt from its middle, any range that
 holds the span and at most EXTEND words on each side may agree in AGREE percent instead.
@@ -14,7 +14,8 @@ is broadcast only while it has at most SEED_ROWS rows of fixed width; a larger o
 documents' seeds in a shuffle join, and the hits are checked after joining the documents'
 words back by content.
 
-Defined results: null or empty text has no words and no hits; a repeated row gives no second
+Defined results: null or empty text has no words and no hits; empty tables give no row; other
+columns of the tables, whatever their names, are not read; a repeated row gives no second
 result row; null ids match null-safely; items repeated under other ids each give their own
 rows. Different texts under one item id (or without an id) are checked each on its own words
 and share the row of their id, which counts the places of each text.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import content_key, without
 
 SPAN = 12
-# Masks of eight words out of twelve.
-SEEDS = ("111011010011", "110100110111", "101101111001")
+# Masks of six words out of twelve: the places fall into four classes by their rest modulo 4, and
+# each mask ignores two of them, so that any two changed words are ignored by some mask.
+SEEDS = tuple("".join("0" if k % 4 in (a, b) else "1" for k in range(SPAN)) for a in range(4) for b in range(a + 1, 4))
 EXTEND = 6
 AGREE = 80
 LEAST_WORDS = 5
@@ -46,21 +48,17 @@ def _seed_key(mask: str, at: str) -> Column:
         int("1" + mask, 2), ", ".join(f"get(h, {at} + {k})" for k, bit in enumerate(mask) if bit == "1")))
 
 
-def _positions(n: Column, span: int) -> Column:
-    """0 .. n - span, empty where the text is shorter."""
-    return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
-
-
 def seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """Rows with ``h`` (word hashes) -> keep, p (first word), span, key, one row per seed.
-    Masks of one span share a pass over the positions."""
-    found = None
-    for span in sorted({len(m) for m in masks}):
-        at = rows.withColumn("p", F.explode(_positions(F.size("h"), span)))
-        keys = F.array(*(_seed_key(m, "p") for m in masks if len(m) == span))
-        part = at.select(*keep, "p", F.lit(span).alias("span"), F.explode(keys).alias("key"))
-        found = part if found is None else found.unionByName(part)
-    return found
+    """Rows with ``h`` (word hashes) -> keep, p (first word), span, key, one row per seed, in one
+    pass over the positions for masks of all lengths."""
+    if not masks:
+        return rows.select(*keep, F.lit(0).alias("p"), F.lit(0).alias("span"), F.lit(0).cast("long").alias("key")).limit(0)
+    n, least = F.size("h"), min(map(len, masks))
+    at = F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("p", F.explode(at))
+    found = F.array(*(F.struct(F.lit(len(m)).alias("span"), _seed_key(m, "p").alias("key")) for m in masks))
+    fitting = found if len(set(map(len, masks))) == 1 else F.filter(found, lambda x: F.col("p") + x["span"] <= F.size("h"))
+    return rows.select(*keep, "p", F.explode(fitting).alias("_s")).select(*keep, "p", "_s.span", "_s.key")
 
 
 def _some_range() -> Column:
