@@ -9,12 +9,11 @@ bounded group).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PY_WHITESPACE, regex_class
 from ..session import measured
-from .ranking import with_row_id
 
 # FIXED VALUES: special tokens of the chat template are single tokens.
 SPECIAL_TOKEN_PATTERN = r"<\|[A-Za-z_]+\|>|<BOS_TOKEN>"
@@ -27,12 +26,28 @@ def chat_tokens(text) -> Column:
     return F.regexp_extract_all(c, F.lit(CHAT_TOKEN_PATTERN), 0)
 
 
+PREFIX = 3      # leading characters that split the tokens of one count
+
+
 def build_vocab(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(token, cnt, id)``: ids by descending count, then token (binary order). The table is
-    written, so that joins with it are planned by its real size."""
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = with_row_id(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], out="id")
-    return measured(ranked.select("token", "cnt", "id"), "vocab")
+    written, so that joins with it are planned by its real size.
+
+    The counts are written once. A token's id is the tokens of higher counts, plus those of its
+    count with a smaller prefix, plus its place among the rest, so no window is wider than the
+    tokens that share a count and their first characters (half of all words occur once)."""
+    counts = measured(df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt")), "word-counts")
+    counts = counts.withColumn("_p", F.coalesce(F.substring("token", 1, PREFIX), F.lit("")))
+    groups = counts.groupBy("cnt", "_p").agg(F.count(F.lit(1)).alias("n"))
+    of_count = groups.groupBy("cnt").agg(F.sum("n").alias("n"))
+    above = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)     # one row per distinct count
+    of_count = of_count.select("cnt", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_above"))
+    smaller = Window.partitionBy("cnt").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("cnt", "_p", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("_smaller"))
+    starts = measured(groups.join(of_count, "cnt").select("cnt", "_p", (F.col("_above") + F.col("_smaller")).alias("_start")), "word-offsets")
+    place = F.row_number().over(Window.partitionBy("cnt", "_p").orderBy("token")) - 1
+    x = counts.withColumn("_place", place).join(starts, ["cnt", "_p"])
+    return measured(x.select("token", "cnt", (F.col("_start") + F.col("_place")).alias("id")), "vocab")
 
 
 def _regroup(joined: DataFrame, key: str, value, out: str, carry) -> DataFrame:

@@ -100,10 +100,14 @@ def test_training_table_plan_is_short(spark):
     assert p.count("Exchange") < 20 and "Python" not in p
 
 
-def test_rouge1_sends_no_text_to_python(spark):
-    lines = [ln for ln in plan(Q.QUERIES["rouge1"](spark, SF01)).splitlines() if "ArrowEvalPython" in ln]
-    assert len(lines) == 1 and "py_round4" in lines[0]
-    assert plan(Q.QUERIES["gen_metrics_scored"](spark, SF01)).count("rouge_stats(") == 1
+def test_rouge_is_one_narrow_pass(spark):
+    """Scoring moves no row and evaluates its function once: the exchanges are the input's."""
+    given = plan(Q.QUERIES["answer_fallback"](spark, SF01)).count("Exchange")
+    for name in ("rouge1", "rouge_score", "rougeL_counts"):
+        p = plan(Q.QUERIES[name](spark, SF01))
+        assert p.count("Exchange") == given and len(re.findall(r"ArrowEvalPython \[pair_", p)) == 1, name
+    p = plan(Q.QUERIES["gen_metrics_scored"](spark, SF01))
+    assert len(re.findall(r"ArrowEvalPython \[pair_scores\(", p)) == 1 and p.count("pair_scores(") == 1
 
 
 def test_scratch_needs_a_shared_folder_off_local_masters(spark, monkeypatch):
