@@ -4,15 +4,17 @@ support vector machines between the languages of that family.
 Features of a whole text: its bytes (letters as they are, ASCII lower-cased, other ASCII
 bytes as one blank), counts of 1- to 4-byte windows hashed into FEATURES slots, square root,
 unit length. The models are squared-hinge linear SVMs fitted by Nesterov gradient steps on a
-bounded sample: about SAMPLE_PER_LANGUAGE labelled documents of each language, drawn with a
-fixed seed, whatever the table's size. Families come from a fixed table of
+bounded sample: about SAMPLE_PER_LANGUAGE labelled documents of each language and SAMPLE_ROWS in
+all, drawn by a hash of id and text, so that neither the table's size nor its layout matters. Families come from a fixed table of
 ISO codes; a code that is not listed is a family of its own.
 
 score = probability of the family times the mean one-versus-one probability of the language
 inside it, both from logistic margins; 0 for ``und``.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; with no
-labelled document to learn from, every text is ``und``; with a single language, that one.
+labelled document to learn from, every text is ``und``; with a single language, that one;
+repeated rows are drawn once and predicted each, rows without an id too; an empty table gives
+no row; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, prepare, text_bytes
+from .common import batches_of, prepare, text_bytes, written
 from .encoding import forget_chunks
 
 FEATURES = 2048
 WINDOWS = (1, 2, 3, 4)
 SAMPLE_PER_LANGUAGE = 1000
-SAMPLE_SEED = 7
+SAMPLE_ROWS = 20_000     # of all languages together, 4 KB each on the driver
 STEPS, PENALTY = 120, 1e-4
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -136,15 +138,17 @@ class Hierarchy:
         return best.tolist(), np.clip(score, 0, 1)
 
 
-def training_rows(docs: DataFrame, labelled: Column, bound: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of about ``bound`` labelled documents per language."""
+def training_rows(docs: DataFrame, labelled: Column, bound: int = SAMPLE_PER_LANGUAGE,
+                  total: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
+    """Features and languages of about ``bound`` labelled documents per language, and about
+    ``total`` where there are many languages."""
     rows = docs.where(labelled).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = {r["lang"]: bound / max(r["n"], bound) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
-        return np.empty((0, FEATURES), np.float32), []
-    draw = F.rand(SAMPLE_SEED)     # per row, so copies of one text cannot exceed the bound together
-    taken = F.create_map(*(x for k, v in share.items() for x in (F.lit(k), F.lit(v))))
-    rows = rows.where(draw < taken[F.col("lang")])
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    per_language = min(float(bound), total / max(1, counts.count()))
+    draw = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    share = counts.select(F.col("lang").alias("_lang"), (F.lit(per_language) / F.col("n")).alias("_share"))
+    rows = rows.withColumn("_draw", draw).join(share, F.col("lang") == F.col("_lang")).where(F.col("_draw") < F.col("_share"))
+    rows = rows.groupBy("lang", "_draw").agg(F.first("text").alias("text"))      # equal rows draw alike
     out = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
     def run(batches):
@@ -154,6 +158,8 @@ def training_rows(docs: DataFrame, labelled: Column, bound: int = SAMPLE_PER_LAN
 
     sample = rows.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["x"])))
+    if not sample:
+        return np.empty((0, FEATURES), np.float32), []
     return (np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in sample]).astype(np.float32),
             [r["lang"] for r in sample])
 

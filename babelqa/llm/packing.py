@@ -39,9 +39,10 @@ POOL = 2048
 
 @dataclass
 class Example:
-    """Token ids (little-endian unsigned 32-bit) from ``start`` on of one document."""
+    """Token ids (little-endian unsigned 32-bit) from ``start`` on of one document. Parts of a long
+    document are views of its ids, so cutting copies nothing."""
     doc: int | None
-    ids: bytes
+    ids: bytes | memoryview
     total: int            # tokens of the whole document
     start: int = 0
     loss: np.ndarray | None = None   # per token; None: every token bears loss
@@ -74,6 +75,7 @@ class Packer:
         self.free = list(range(pool))[::-1]
 
     def _put(self, x: Example) -> None:
+        x.ids = bytes(x.ids)       # what is held must not hold a long document
         k = self.free.pop()
         self.items[k], self.sizes[k] = x, (len(x), 1, x.bearing())
         self.held += 1
@@ -93,6 +95,7 @@ class Packer:
         return n if left[1] > 0 else 0
 
     def add(self, x: Example) -> Iterator[list[Example]]:
+        x.ids = memoryview(x.ids)
         while len(x) >= self.limits[0] or x.bearing() > self.limits[2]:
             head, x = x.cut(self._within(x, self.limits))
             yield [head]

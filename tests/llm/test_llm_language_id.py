@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from babelqa.llm import language_id as L
 from conftest import SF01
@@ -46,6 +47,19 @@ def test_predictions_ignore_the_labels_of_held_out_rows(spark):
     assert one == two
 
 
+def test_sample_is_bounded_and_does_not_depend_on_the_layout(spark):
+    body, names = texts(200)
+    docs = documents(spark, body + body[:50], ids=[*range(200), *range(50)], langs=names + names[:50])
+    labelled = F.lit(True)
+    x, langs = L.training_rows(docs, labelled)
+    y, again = L.training_rows(docs.repartition(7), labelled)
+    assert langs == again and np.array_equal(x, y) and len(langs) == 200        # equal rows are drawn once
+    few = L.training_rows(docs, labelled, bound=10)[1]
+    assert 0 < len(few) < 100
+    many = documents(spark, body, langs=[f"x{k}" for k in range(200)])
+    assert len(L.training_rows(many, labelled)[1]) == 200 and 0 < len(L.training_rows(many, labelled, total=40)[1]) < 80
+
+
 def test_nothing_to_learn_from_one_language_no_rows(spark):
     rows = L.predict_documents(documents(spark, ["the and", None], langs=[None, None])).collect()
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
