@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -42,8 +44,8 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def create(spark: SparkSession, path: str, text: str) -> bool:
     """Write a new file whole, or not at all: False if ``path`` exists already. The text goes to
-    a file beside it first; renaming does not replace an existing file."""
-    import uuid
+    a file beside it first, which is renamed; the file system has to refuse a name that is
+    taken, as HDFS does."""
     fs, p = _fs(spark, path)
     if fs.exists(p):
         return False

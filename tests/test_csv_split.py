@@ -38,18 +38,18 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("seed,end", [(0, "\n"), (1, "\n"), (2, "\r\n")])
+@pytest.mark.parametrize("seed,end", [(0, "\n"), (2, "\r\n")])
 def test_equals_the_one_task_reader(spark, tiny, tmp_path, seed, end):
     rng, more = random.Random(seed), ["r\r"] if end == "\n" else []   # Spark's reader rewrites breaks of \r\n files in texts
     for name in ("b", "a"):
-        rows = [(f"{name}{k}", rng.choice(["Eng_Ken", "Swa_Ken"]), body(rng, 12), body(rng, 40 if k % 9 else 900, more)) for k in range(50)]
+        rows = [(f"{name}{k}", rng.choice(["Eng_Ken", "Swa_Ken"]), body(rng, 12), body(rng, 30, more) if k % 9 else "z\n," * 2000) for k in range(30)]
         write(tmp_path / f"{name}.csv", rows, end)
     path = str(tmp_path)
     want = rows_of(read_qa(spark, path))
     got = read_qa(tiny, path, split=True)
-    assert rows_of(got) == want and len(want) == 100
+    assert rows_of(got) == want and len(want) == 60
     lines = split_lines(tiny, path)
-    assert lines.select("_file", "_block").distinct().count() > 10
+    assert lines.select("_file", "_block").distinct().count() > 6
     assert lines.rdd.getNumPartitions() > 2
     state = split_states(lines).collect()
     # borders inside quotes, splits that lie wholly inside one field

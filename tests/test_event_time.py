@@ -42,7 +42,7 @@ def table(df):
     return {(int(r.window_start.timestamp()), r.lang): (r.correct, r.total, r.rows) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_windows_state_and_late_rows_over_restarts(spark, scratch, seed):
     rng = random.Random(seed)
     loads = []
