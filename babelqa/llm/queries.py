@@ -37,6 +37,12 @@ def op2_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("word_bpe_49k.json"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The packing of operator 2 for instruction data, where all three limits bind."""
+    from .chat_packing import pack_chats
+    return pack_chats(read_table(spark, sf_dir, "conversations"), tokenizer or public_tokenizer("word_bpe_49k.json"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from .token_files import round_trip
     return round_trip(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
@@ -99,6 +105,7 @@ QUERIES = {
     "op11_quality_classifier": op11_quality_classifier,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_fill_in_middle": op13_fill_in_middle,
+    "pack_conversations": pack_conversations,
 }
 
 ORACLE: dict[str, str] = {}
