@@ -29,7 +29,7 @@ from .encoding import encoder
 from .packing import POOL, Example, Packer, _rows
 
 TURNS = 32                        # turns of a part
-LIMITS = (2048, 6, 1024)          # of a sequence: tokens, segments, loss-bearing tokens
+LIMITS = (2048, 4, 1638)          # of a sequence: tokens, segments, loss-bearing tokens (four in five)
 
 PIECES = pa.schema([(c, pa.int64()) for c in ("conv_id", "part", "start", "length", "ids_crc32", "part_tokens",
                                               "sequence_id", "offset", "loss_tokens")])

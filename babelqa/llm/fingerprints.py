@@ -17,7 +17,8 @@ range those that start the first.
 
 Defined results: null text is empty. A text without words has an empty fingerprint, like only
 another empty one (likeness 1, else 0). Rows without an id come first; rows with equal ids
-are ordered by content. A single row is its own next one. An empty table gives no row.
+are ordered by content. A single row is its own next one. An empty table gives no row; other
+columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations

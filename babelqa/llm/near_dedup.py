@@ -22,7 +22,8 @@ With 32 bands of 5 rows a pair at similarity 0.8 misses every bucket with probab
 
 Defined results: null or empty text, or text without words: empty set, linked with nothing,
 component_id its own id. Rows with equal ids or null ids are separate rows with their own
-sets; null ids never become a component_id unless the whole component has no id.
+sets; null ids never become a component_id unless the whole component has no id. An empty table gives
+no row; other columns, whatever their names, are not read by the operator and kept by the stage.
 """
 
 from __future__ import annotations

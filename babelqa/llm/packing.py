@@ -13,7 +13,8 @@ and sequence ids carry the task's number, so a re-run task gives the same pieces
 longer than a sequence are cut into full sequences as they come.
 
 Defined results: null text is empty; an empty document is its end id alone; repeated rows and
-null ids are packed like others; an empty table gives no piece.
+null ids are packed like others; an empty table gives no piece; other columns of the input, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

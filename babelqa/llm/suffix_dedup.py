@@ -25,7 +25,9 @@ Nothing is emitted per pair. Copies of a text count at most twice per task, whic
 differ from uncut ones and are settled by their runs.
 
 Defined results: null text is empty; texts under WINDOW bytes are never touched; repeated
-rows are separate documents; ids may be null or repeated (texts are keyed by content).
+rows are separate documents; ids may be null or repeated (texts are keyed by content); an empty
+table gives no row; other columns, whatever their names, are not read by the digest and kept by
+the stage. ``suffix_index`` keeps the levels for later batches.
 """
 
 from __future__ import annotations

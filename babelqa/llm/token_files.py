@@ -18,7 +18,7 @@ documents before one are its part's sum, its segment's first_id and its own star
 close at document boundaries after SEGMENT_IDS ids.
 
 Defined results: null text is empty: its end id alone; repeated rows are written like others;
-an empty table gives no document.
+an empty table gives no document; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -71,6 +71,7 @@ def test_no_documents(spark, tmp_path):
 
 def test_registry():
     from babelqa.llm.queries import ORACLE, QUERIES
-    assert [re.match(r"op(\d+)_", k)[1] for k in sorted(QUERIES, key=lambda k: int(k[2:].split("_")[0]))] == [str(n) for n in range(1, 14)]
+    numbered = sorted(int(m[1]) for k in QUERIES if (m := re.match(r"op(\d+)_", k)))
+    assert numbered == list(range(1, 14)) and len(QUERIES) == 14 and "pack_conversations" in QUERIES
     assert set(ORACLE) <= set(QUERIES) and [n for n, _ in C.STAGES] == [
         "language_id", "near_dedup", "suffix_dedup", "decontamination", "packing"]
