@@ -721,7 +721,7 @@ def _doc_tokens(spark, sf):
 
 def _doc_words(spark, sf):
     """Documents' tokens as they are scanned: counting and encoding need no order of texts."""
-    return FX.spread(FX.docs(spark, sf)).select("row_id", TX.words("text").alias("tokens"))
+    return FX.spread(FX.docs(spark, sf)).select("row_id", VC.split_words("text").alias("tokens"))
 
 
 @query("build_vocab", "SELECT token, cnt, id FROM v_all", ["docs"], _DOC_TOKS + _vocab_sql("dt", "toks"))
@@ -752,7 +752,7 @@ _MERGES = 8
 def q_subword_merges(spark, sf):
     """The first merges learned from all words of the documents."""
     from ..operators.subwords import learn_merges
-    counts = _doc_words(spark, sf).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = VC.count_tokens(_doc_words(spark, sf))
     rows = [(k, pair, n) for k, (pair, n) in enumerate(learn_merges(counts, _MERGES))]
     return spark.createDataFrame(rows, "rank int, pair string, n long")
 
@@ -761,7 +761,7 @@ def q_subword_merges(spark, sf):
 def q_subword_round_trip(spark, sf):
     """Documents encoded with merges learned from them, and decoded."""
     from ..operators.subwords import decode_subwords, encode_subwords, learn_merges
-    counts = _doc_words(spark, sf).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = VC.count_tokens(_doc_words(spark, sf))
     merges = learn_merges(counts, 24)
     ids = encode_subwords(FX.spread(FX.docs(spark, sf)).select("row_id", "text"), merges).select("row_id", "ids")
     return decode_subwords(ids, merges).select("row_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))

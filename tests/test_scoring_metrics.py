@@ -138,6 +138,50 @@ def test_encode_decode_empty_and_skip(spark):
             VC.encode_tokens(spark.createDataFrame(bad, "row_id long, tokens array<string>"), v).collect()
 
 
+def test_only_tokens_beyond_the_head_are_joined(spark, monkeypatch):
+    """With a head of four short tokens: the same ids and texts, NULL tokens, NULL arrays, unknown
+    tokens and carried columns, whether a token is in the head or not; the join gets the others only."""
+    from pyspark.sql import functions as F
+    from babelqa.operators import vocab as VC
+    monkeypatch.setattr(VC, "HEAD", 4)
+    written = {}
+    monkeypatch.setattr(VC, "measured", lambda df, name, f=VC.measured: written.setdefault(name, f(df, name)))
+    long = "x" * 100
+    rows = [(1, list("aaabbccde")), (2, []), (3, None), (4, [long] * 5 + ["f", None, "a"]), (5, [None]), (6, ["zz", "a", "b"])]
+    df = spark.createDataFrame([(k, t, f"c{k}") for k, t in rows], "row_id long, tokens array<string>, c string")
+    v = VC.build_vocab(df.where("row_id <> 6"))
+    table = {r.token: r.id for r in v.collect()}
+    assert table[long] == 0 and table["a"] == 1 and sorted(table.values()) == list(range(len(table)))
+    e = VC.encode_tokens(df, v, carry=("c",))
+    want = {k: [None if t is None else table.get(t) for t in tokens or []] for k, tokens in rows}
+    assert {r.row_id: r.ids for r in e.collect()} == want
+    assert {r.row_id: r.c for r in e.collect()} == {k: f"c{k}" for k, _ in rows} and dict(e.dtypes)["ids"] == "array<int>"
+    rest = [m.token for r in written["token-ids"].collect() for m in r["_e"].rest]
+    assert not {"a", "b"} & set(rest) and rest.count(long) == 5
+    whole = e.where("row_id in (1, 2, 3)")
+    assert {r.row_id: r.text for r in VC.decode_tokens(whole, v).collect()} == {1: "a a a b b c c d e", 2: "", 3: ""}
+    skip = [table["a"], table["d"], 10 ** 9]
+    got = VC.decode_tokens(whole.withColumn("ids", F.array_append("ids", F.lit(10 ** 9))), v, skip_ids=skip, sep="-").collect()
+    assert {r.row_id: r.text for r in got} == {1: "b-b-c-c-e", 2: "", 3: ""}
+    with pytest.raises(Exception, match="id without a token: NULL"):
+        VC.decode_tokens(e.where("row_id = 6"), v).collect()
+    twice = df.where("row_id = 1").unionByName(df.where("row_id = 1"))
+    with pytest.raises(Exception, match="NULL or repeated"):
+        VC.encode_tokens(twice, v).collect()
+
+
+def test_split_words_and_counts_equal_the_column_expressions(spark):
+    from babelqa.constants import PY_WHITESPACE
+    from babelqa.functions import text as TX
+    from babelqa.operators import vocab as VC
+    texts = [None, "", " ", "a", " a  b ", "日\u3000本 x", *(f"{w}a{w}{w}b" for w in PY_WHITESPACE), "a\u200bb\ufeff c\u180e"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    x = df.select("k", VC.split_words("text").alias("tokens"), TX.words("text").alias("t"))
+    assert all(r.tokens == r.t for r in x.collect())
+    tokens = spark.createDataFrame([(["a", None, "b"],), ([],), (None,), (["a", None],)], "tokens array<string>")
+    assert {r.token: r.cnt for r in VC.count_tokens(tokens).collect()} == {"a": 2, None: 2, "b": 1}
+
+
 def test_rouge_pipeline_matches_python(spark):
     import re
     from babelqa.functions.porter import stem
