@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ FIRST_SYMBOL = 0xF0000          # merge r is written as this code point plus r
 MOST_MERGES = 0x20000 - 4       # the private planes, without their last points
 FIRST_ID = 0x110000             # ids: a character's code point, or this number plus the merge
 TOP = 64                        # pairs looked at in a round
-REMEMBERED = 200_000            # words a worker remembers the ids of before it starts anew
+FEW = 256                       # merges up to which a text is rewritten whole
+REMEMBERED = 200_000            # pieces a worker remembers the symbols of before it starts anew
 
 _WORD = re.compile(r"\S+")
+_PRIVATE = re.compile("[\U000F0000-\U0010FFFF]")
 
 
 def _pairs(word: str, weight: Column) -> list[Column]:
@@ -93,7 +97,11 @@ class Codec:
         as_id = lambda c: ids.get(c, ord(c))
         self.rank = {(as_id(p[0]), as_id(p[1])): r for r, (p, _) in enumerate(merges)}
         self.text = {FIRST_ID + r: a + b for r, (a, b) in enumerate(spelt(merges))}
-        self.known: dict[str, list[int]] = {}
+        self.merges = [(p, chr(FIRST_SYMBOL + r)) for r, (p, _) in enumerate(merges)]
+        self.lengths = np.array([len(t) for t in self.text.values()], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.points = np.frombuffer("".join(self.text.values()).encode("utf-32-le"), np.int32)
+        self.known: dict[str, str] = {}
 
     def word(self, word: str) -> list[int]:
         ids = [ord(c) for c in word]
@@ -112,21 +120,45 @@ class Codec:
             ids = out
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out, at = [], 0
+    def symbols(self, text: str) -> str:
+        """The text with a symbol for each merge, as the learner writes it. A later merge makes no
+        earlier pair, so a few merges are replaced one after the other in the whole text. With
+        more, the pieces between spaces are remembered; nothing merges across a blank."""
+        if len(self.merges) <= FEW:
+            for pair, symbol in self.merges:
+                text = text.replace(pair, symbol)
+            return text
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for m in _WORD.finditer(text):
-            out += map(ord, text[at:m.start()])
-            w = m.group()
-            if w not in self.known:
-                self.known[w] = self.word(w)
-            out += self.known[w]
-            at = m.end()
-        return out + [ord(c) for c in text[at:]]
-
-    def decode(self, ids) -> str:
-        return "".join(self.text[i] if i >= FIRST_ID else chr(i) for i in ids)
+        pieces, known = text.split(" "), self.known
+        for p in set(pieces).difference(known):
+            known[p] = _WORD.sub(lambda m: "".join(chr(i if i < FIRST_ID else i - FIRST_ID + FIRST_SYMBOL) for i in self.word(m.group())), p)
+        return " ".join([known[p] for p in pieces])
+
+    def encode(self, text: str) -> np.ndarray:
+        if not text.isascii() and _PRIVATE.search(text):       # its own characters are no symbols of merges
+            out, at = [], 0
+            for m in _WORD.finditer(text):
+                out += [*map(ord, text[at:m.start()]), *self.word(m.group())]
+                at = m.end()
+            return np.array(out + [*map(ord, text[at:])], np.int32)
+        ids = np.frombuffer(self.symbols(text).encode("utf-32-le"), np.int32)
+        return np.where(ids >= FIRST_SYMBOL, ids + (FIRST_ID - FIRST_SYMBOL), ids)
+
+    def decode(self, ids: np.ndarray) -> str:
+        merge = np.flatnonzero(ids >= FIRST_ID)
+        which = ids[merge] - FIRST_ID
+        if len(which) and which.max() >= len(self.lengths):
+            raise KeyError(int(which.max()) + FIRST_ID)
+        if len(ids) and ids.min() < 0:
+            raise ValueError(f"{ids.min()} is no id")
+        counts = np.ones(len(ids), np.int64)
+        counts[merge] = self.lengths[which]
+        out = np.repeat(ids, counts)
+        n = counts[merge]               # the characters of the merges, one after the other
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(np.cumsum(counts)[merge] - n, n) + inner] = self.points[np.repeat(self.starts[which], n) + inner]
+        return out.astype("<i4").tobytes().decode("utf-32-le")
 
 
 def encode_subwords(df: DataFrame, merges: list[tuple[str, int]], text: str = "text", out: str = "ids") -> DataFrame:
@@ -134,9 +166,12 @@ def encode_subwords(df: DataFrame, merges: list[tuple[str, int]], text: str = "t
     ship_package(df.sparkSession)
     codec = Codec(merges)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else codec.encode(t))
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else codec.encode(t) for t in texts.to_pylist()]
+        offsets = np.cumsum([0] + [0 if r is None else len(r) for r in rows], dtype=np.int32)
+        values = np.concatenate([np.empty(0, np.int32), *[r for r in rows if r is not None]])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=texts.is_null())
 
     return df.withColumn(out, encode(text))
 
@@ -146,8 +181,14 @@ def decode_subwords(df: DataFrame, merges: list[tuple[str, int]], ids: str = "id
     ship_package(df.sparkSession)
     codec = Codec(merges)
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else codec.decode(map(int, r)))
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
+        values = rows.flatten()
+        if values.null_count:
+            raise TypeError("a NULL is no id")
+        values, n = values.to_numpy(), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n, dtype=np.int64)
+        texts = [codec.decode(values[e - k:e]) for e, k in zip(ends, n)]
+        return pa.array([t if v else None for t, v in zip(texts, rows.is_valid().to_pylist())], pa.string())
 
     return df.withColumn(out, decode(ids))

@@ -74,3 +74,20 @@ def test_round_trip_of_all_documents(spark):
     assert sum(len(r.ids) for r in rows if r.ids) < 0.7 * sum(len(r.text) for r in rows if r.text)
     with pytest.raises(Exception, match="KeyError"):
         S.decode_subwords(spark.createDataFrame([([S.FIRST_ID + 99],)], "ids array<int>"), merges).collect()
+
+
+def test_codec_arrays_and_both_ways_of_writing_symbols(monkeypatch):
+    """Ids and texts are arrays made at once, few merges are replaced in the whole text and many by
+    remembered pieces; every way gives the ids of the words one by one."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("aabbc \n é😀") for _ in range(3000))
+    merges = brute(Counter(text.split()), 40)
+    few = S.Codec(merges)
+    monkeypatch.setattr(S, "FEW", 0)
+    many = S.Codec(merges)
+    for t in [text, "", " ", "aa", chr(0xF0001) + " " + text[:300] + chr(0x10FFFF)]:
+        slow = [i for piece in S.re.findall(r"\S+|\s", t) for i in (few.word(piece) if piece.strip() else [ord(piece)])]
+        assert many.encode(t).tolist() == slow and many.decode(many.encode(t)) == t
+        monkeypatch.setattr(S, "FEW", 256)
+        assert few.encode(t).tolist() == slow and few.encode(t).dtype == "int32" and few.decode(few.encode(t)) == t
+        monkeypatch.setattr(S, "FEW", 0)
