@@ -145,7 +145,7 @@ def test_only_tokens_beyond_the_head_are_joined(spark, monkeypatch):
     from babelqa.operators import vocab as VC
     monkeypatch.setattr(VC, "HEAD", 4)
     written = {}
-    monkeypatch.setattr(VC, "measured", lambda df, name, f=VC.measured: written.setdefault(name, f(df, name)))
+    monkeypatch.setattr(VC, "measured", lambda df, name, f=VC.measured: written.update({name: f(df, name)}) or written[name])
     long = "x" * 100
     rows = [(1, list("aaabbccde")), (2, []), (3, None), (4, [long] * 5 + ["f", None, "a"]), (5, [None]), (6, ["zz", "a", "b"])]
     df = spark.createDataFrame([(k, t, f"c{k}") for k, t in rows], "row_id long, tokens array<string>, c string")
