@@ -156,3 +156,26 @@ def test_one_pass_over_the_texts_for_all_lengths(spark):
     assert len(re.findall(r"LogicalRDD \[doc_id", plan)) == 1
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {(k, n) for k, (n, _) in enumerate(items)} <= got
+
+
+@pytest.mark.parametrize("seed_rows", [D.SEED_ROWS, 0])
+def test_long_documents_full_of_items(spark, seed_rows):
+    """174,000 seeds of the first document are found: each must not hold its 40,000 words again."""
+    item, short = [f"w{k}" for k in range(40)], [f"s{k}" for k in range(7)]
+    texts = [" ".join(item * 1000), " ".join(f"x{k}" for k in range(40_000)), " ".join(["y"] * 9000 + short)]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k in range(3)] + [(9, " ".join(short))], "item_id long, text string")
+    got = D.contaminated(documents(spark, texts), bench, seed_rows=seed_rows).drop("t").collect()
+    assert sorted(map(tuple, got)) == [(0, k, 29_000, 24, 0) for k in range(3)] + [(2, 9, 1, 7, 9000)]
+
+
+@pytest.mark.parametrize("seed_rows", [D.SEED_ROWS, 0])
+@pytest.mark.parametrize("piece", [12, 13])
+def test_pieces_of_documents_and_items(spark, monkeypatch, piece, seed_rows):
+    monkeypatch.setattr(D, "PIECE", piece)
+    long, short = words(1, 45), words(2, 7)
+    near = long[:9] + ["x"] + long[10:20] + ["y", "z"] + long[22:]
+    texts = [" ".join(words(100 + k, k) + (long, near, short, long[k:k + 14])[k % 4] + words(200 + k, k % 9)) for k in range(28)]
+    items = [(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(long)), (None, " ".join(short)), (2, " ".join(near[5:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contaminated(documents(spark, texts), bench, seed_rows=seed_rows)
+    assert sorted(map(tuple, got.drop("t").collect()), key=str) == by_item(brute(list(enumerate(texts)), items))
